@@ -9,6 +9,7 @@ drops the hopeless ones, and the full shingle sets decide.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_core as tc
-from .common import ROW_KEY, connected_components, materialise, with_row_key
+from .common import ROW_KEY, connected_components, materialise, shuffle_partitions, with_row_key
 
 SHINGLE_WORDS = 5
 #: 40 bands of 8 registers: a pair of similarity 0.85 is missed with a probability of 3e-6, 0.8 with 6e-4.
@@ -26,9 +27,19 @@ REGISTERS = BANDS * ROWS_PER_BAND
 MANTISSA_BITS = 10
 #: Standard deviations that an estimate may lie below the threshold: at 4, a link is lost once in 30,000.
 SLACK = 4.0
+#: Rows of a block of a large bucket; a task compares two blocks at a time.
+CELL_ROWS = 2048
 _U = np.uint64
 
 
+@functools.cache
+def _detour(step: int) -> np.ndarray:
+    """The bucket that each empty bucket looks into at this step."""
+    with np.errstate(over="ignore"):
+        seed = (np.arange(REGISTERS, dtype=np.uint64) + _U(1)) * _U(1000003) + _U(step + 1) * _U(0x9E3779B97F4A7C15)
+        return (tc.mix(seed) % _U(REGISTERS)).astype(np.int64)
+
+
 def sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Registers (uint16) of the texts' shingle sets, one row for each; the rows of empty sets are 0."""
     n = len(counts)
@@ -52,17 +63,15 @@ def sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     mantissa = ((least >> _U(11)) >> shift) & _U((1 << MANTISSA_BITS) - 1)
     made = (np.minimum(zeros, 63).astype(np.uint16) << MANTISSA_BITS) | mantissa.astype(np.uint16)
     # borrowing: register j of an empty bucket looks into buckets by a fixed random sequence of its own
-    todo = ~filled & (counts > 0)[:, None]
     source = np.where(filled, np.arange(REGISTERS), -1)
+    r, c = np.nonzero(~filled & (counts > 0)[:, None])
     step = 0
-    while todo.any():
-        step += 1
-        r, c = np.nonzero(todo)
-        with np.errstate(over="ignore"):
-            pick = (tc.mix((c.astype(np.uint64) + _U(1)) * _U(1000003) + _U(step) * _U(0x9E3779B97F4A7C15)) % _U(REGISTERS)).astype(np.int64)
+    while len(r):
+        pick = _detour(step)[c]
         ok = filled[r, pick]
         source[r[ok], c[ok]] = pick[ok]
-        todo[r[ok], c[ok]] = False
+        r, c = r[~ok], c[~ok]
+        step += 1
     made = np.take_along_axis(made, np.maximum(source, 0), axis=1)
     made[counts == 0] = 0
     return made
@@ -121,16 +130,69 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band_keys(regs).ravel())], names=["cid", "band"])
 
 
-def _likely(threshold: float):
-    floor = max(0.0, threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / REGISTERS)))
+def _floor(threshold: float) -> float:
+    """The estimate below which a pair isn't checked on its full sets."""
+    return max(0.0, threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / REGISTERS)))
 
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _likely(threshold: float):
     def run(batches):
         for batch in batches:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            x, y = (np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            n, m = col["na"].to_numpy(), col["nb"].to_numpy()
-            ok = estimate(x, y, n, m) >= floor
-            yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(ok)), col["b"].filter(pa.array(ok))], names=["a", "b"])
+            found = estimate(_registers(col["sa"]), _registers(col["sb"]), col["na"].to_numpy(), col["nb"].to_numpy())
+            ok = pa.array(found >= _floor(threshold))
+            yield pa.RecordBatch.from_arrays([col["a"].filter(ok), col["b"].filter(ok)], names=["a", "b"])
+
+    return run
+
+
+def _across(threshold: float):
+    """Likely pairs of classes of different components within each cell of a bucket.
+
+    Rows come sorted by cell. A pair is given by the first band in which its registers agree only, so
+    that pairs that share many buckets come once.
+    """
+
+    def cell(band, i, j, cid, comp, n, regs, blk):
+        keys = band_keys(regs)
+        first_at = np.flatnonzero(keys[0] == band)[0]
+        for x in range(len(cid) - 1):
+            y = np.arange(x + 1, len(cid))
+            y = y[(comp[y] != comp[x]) & ((i == j) | (blk[y] != blk[x]))]
+            y = y[np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9]
+            if not len(y):
+                continue
+            y = y[~(keys[y, :first_at] == keys[x, :first_at]).any(axis=1)]
+            y = y[estimate(regs[y], regs[x], n[y], np.full(len(y), n[x])) >= _floor(threshold)]
+            if len(y):
+                yield np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
+
+    def run(batches):
+        held, last = [], None
+
+        def flush():
+            if len(held) > 1:
+                band, i, j, cid, comp, n, sk, blk = zip(*held)
+                arrays = [np.array(v) for v in (cid, comp, n)]
+                yield from cell(band[0], i[0], j[0], *arrays, np.frombuffer(b"".join(sk), np.uint16).reshape(-1, REGISTERS), np.array(blk))
+
+        def out(pairs):
+            pairs = list(pairs)
+            if pairs:
+                a, b = (np.concatenate(v) for v in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if row[:3] != last:
+                    yield from out(flush())
+                    held, last = [], row[:3]
+                held.append(row)
+        yield from out(flush())
 
     return run
 
@@ -179,13 +241,18 @@ class _Search:
         self.members = materialise(self.classes.select("cid", "sketch").mapInArrow(_bands, "cid long, band long"), "bands")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a < b) whose full sets are similar enough."""
+        """Those of the pairs (a < b) whose estimates and then full sets are similar enough."""
         c, least = self.classes, F.least(F.col("na"), F.col("nb"))
         pairs = pairs.join(c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         pairs = pairs.join(c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         pairs = pairs.where(least * 100 >= F.greatest("na", "nb") * self.percent)
-        likely = materialise(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(self.percent / 100), "a long, b long"), "likely")
-        used = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(c.select("cid", F.col("first_row").alias(ROW_KEY)), "cid")
+        return self.confirmed(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(self.percent / 100), "a long, b long"))
+
+    def confirmed(self, likely: DataFrame) -> DataFrame:
+        """Those of the pairs whose full sets are similar enough; only their texts are read again."""
+        likely = materialise(likely, "likely")
+        used = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        used = used.join(self.classes.select("cid", F.col("first_row").alias(ROW_KEY)), "cid")
         sets = self.base.select(ROW_KEY, "t").join(used, ROW_KEY).select("cid", "t").mapInArrow(_full_sets(self.k), "cid long, set binary")
         sets = materialise(sets, "sets")
         both = likely.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
@@ -206,11 +273,14 @@ class _Search:
         comps = materialise(connected_components(found), "components")
         at = shared.select("band", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("comp"))
         at = materialise(at, "placed")
-        mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        at = materialise(at.join(mixed, "band"), "mixed")
-        rest = at.join(at.select("band", F.col("cid").alias("other"), F.col("comp").alias("other_comp")), "band").where("cid < other and comp != other_comp")
-        rest = rest.select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        return connected_components(found.union(self.links(materialise(rest, "rest"))))
+        # buckets of several components; those of many rows are dealt out as cells of pairs of blocks
+        mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("k")).where("x < y")
+        at = at.join(mixed.select("band", "k"), "band").withColumn("blk", F.pmod(F.hash("cid"), F.col("k")))
+        cells = at.join(self.classes.select("cid", "n", "sketch"), "cid").select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+        cells = cells.select("band", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cid", "comp", "n", "sketch", "blk")
+        cells = cells.repartition(shuffle_partitions(at.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+        rest = cells.mapInArrow(_across(self.percent / 100), "a long, b long")
+        return connected_components(found.union(self.confirmed(rest.join(star, ["a", "b"], "left_anti"))))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
