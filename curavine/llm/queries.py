@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup as embed
 from . import exact_dedup as exact
+from . import language
 from . import near_dedup as near
 from . import packing, pieces
 
@@ -35,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
