@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup as embed
 from . import exact_dedup as exact
+from . import html_text
 from . import language, lm
 from . import near_dedup as near
 from . import packing, pieces
@@ -48,6 +49,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
