@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 
 from .common import materialise
 
-#: Combinations of three lengths use multiples of this share of the window; pairs use every length.
-TRIPLE_STEP = 64
-SWEEPS = 400
+#: Lengths of a combination at most, and the steps between its lengths for a window of 2048.
+DEEPEST, STEPS = 5, {2: 1, 3: 48, 4: 80, 5: 112}
+SWEEPS = 40
 
 
 @functools.lru_cache(maxsize=2)
@@ -107,12 +107,28 @@ def _batch(names, cols, ids_of, rows):
 
 
 def combinations(window: int) -> list[tuple[int, ...]]:
-    """Pairs of lengths that fill the window, and triples of multiples of a step, all in falling order."""
-    made = {(window - a, a) for a in range(1, window // 2 + 1)}
-    step = max(1, min(TRIPLE_STEP, window // 8))
-    for a in range(step, window // 3 + 1, step):
-        made |= {(window - a - b, b, a) for b in range(a, (window - a) // 2 + 1, step)}
-    return sorted(made)
+    """Combinations of two to DEEPEST lengths that fill the window, in falling order.
+
+    The smallest length takes every value; the others rise from it in steps, but for the largest, which
+    is what is left. Pairs so take every length.
+    """
+    made = []
+
+    def extend(chosen: tuple[int, ...], parts: int, step: int) -> None:
+        left = window - sum(chosen)
+        if len(chosen) == parts - 1:
+            made.append((left, *reversed(chosen)))
+            return
+        length = chosen[-1]
+        while length * (parts - len(chosen)) <= left:
+            extend((*chosen, length), parts, step)
+            length += step
+
+    for parts in range(2, DEEPEST + 1):
+        step = max(1, window * STEPS[parts] // 2048)
+        for smallest in range(1, window // parts + 1):
+            extend((smallest,), parts, step)
+    return made
 
 
 def solve(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
@@ -149,7 +165,7 @@ def solve(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int
                 moved += abs(d)
                 for p, w in own:
                     left[p] -= d * w
-        if moved < 1e-3 * scale:
+        if moved < 2e-3 * scale:
             break
     have = histogram.astype(np.int64).copy()
     plan = []
@@ -218,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     before = spark.createDataFrame(before or [(-1, 0)], "task int, before long")
     loose = loose.withColumn("own", F.coalesce(F.sum("length").over(in_task), F.lit(0))).join(F.broadcast(before), "task")
     loose = loose.select("task", "number", (F.col("own") + F.col("before")).alias("pos"))
-    loose = pieces.drop("met").join(loose, ["task", "number"])
+    loose = pieces.drop("met").join(materialise(loose, "loose"), ["task", "number"])
     tail = loose.select("doc_id", "start", "ids", "doc_tokens", "pos").mapInArrow(_laid(window, base), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return planned.select(*out).unionByName(tail.select(*out))
 
