@@ -7,12 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, html_text, language, lm, packing, pieces
 from . import embedding_dedup as embed
 from . import exact_dedup as exact
-from . import html_text
-from . import language, lm
 from . import near_dedup as near
-from . import packing, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +47,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -65,4 +67,25 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
                   FROM documents)
             WINDOW w AS (PARTITION BY t)""",
+        "op9_chat_format": """
+            WITH m AS (
+                SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                       CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                       CASE role WHEN 'user' THEN 'turn ' || conv_id || '.' || turn
+                                 WHEN 'assistant' THEN 'turn ' || conv_id || '.' || (turn - 1) END AS id
+                FROM conversations),
+            n AS (SELECT conv_id, id, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results
+                  FROM m WHERE id IS NOT NULL AND conv_id IS NOT NULL GROUP BY ALL),
+            s AS (SELECT m.*, CASE WHEN kind = 'message' THEN 'plain' WHEN calls > 1 OR results > 1 THEN 'ambiguous'
+                                   WHEN kind = 'call' THEN CASE WHEN results = 1 THEN 'answered' ELSE 'open' END
+                                   WHEN calls = 1 THEN 'linked' ELSE 'orphan' END AS status
+                  FROM m LEFT JOIN n USING (conv_id, id))
+            SELECT conv_id, turn, turn AS order_turn, 0 AS order_step, kind, id, status,
+                   kind <> 'call' OR length(text) >= 1 AS valid,
+                   CASE WHEN kind = 'call' AND length(text) < 1 THEN 'prompt: too short' ELSE '' END AS problems,
+                   '{' || CASE WHEN kind = 'call' THEN '"arguments":{"prompt":' || to_json(text) || '},' ELSE '"content":' || to_json(text) || ',' END
+                   || '"conversation":' || conv_id || CASE WHEN id IS NULL THEN '' ELSE ',"id":' || to_json(id) END
+                   || ',"kind":"' || kind || '"' || CASE WHEN kind = 'call' THEN ',"name":"respond"' ELSE '' END
+                   || ',"role":' || to_json(role) || ',"status":"' || status || '","turn":' || turn || '}' AS json
+            FROM s""",
     }
