@@ -28,7 +28,7 @@ MANTISSA_BITS = 10
 #: Standard deviations that an estimate may lie below the threshold: at 4, a link is lost once in 30,000.
 SLACK = 4.0
 #: Rows of a block of a large bucket; a task compares two blocks at a time.
-CELL_ROWS = 2048
+CELL_ROWS, CELL_BYTES = 2048, 16_000_000
 _U = np.uint64
 
 
@@ -150,53 +150,64 @@ def _likely(threshold: float):
     return run
 
 
-def _across(threshold: float):
-    """Likely pairs of classes of different components within each cell of a bucket.
+def _tied(percent: int, exact: bool):
+    """Components that belong together, found within cells of classes.
 
-    Rows come sorted by cell. A pair is given by the first band in which its registers agree only, so
-    that pairs that share many buckets come once.
+    Rows (cell key, i, j, cid, comp, n, sketch, blk, set) come sorted by cell. Classes of different
+    components are compared by the estimate and, where exact, by their full sets. What is tied already
+    isn't compared again, and only the ties come out: fewer rows than the cell has components.
     """
+    threshold = percent / 100
 
-    def cell(band, i, j, cid, comp, n, regs, blk):
-        keys = band_keys(regs)
-        first_at = np.flatnonzero(keys[0] == band)[0]
+    def cell(i, j, cid, comp, n, regs, blk, sets):
+        _, first, back = np.unique(comp, return_index=True, return_inverse=True)
+        tie = first[back]
+        begun = tie.copy()
         for x in range(len(cid) - 1):
             y = np.arange(x + 1, len(cid))
-            y = y[(comp[y] != comp[x]) & ((i == j) | (blk[y] != blk[x]))]
-            y = y[np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9]
-            if not len(y):
-                continue
-            y = y[~(keys[y, :first_at] == keys[x, :first_at]).any(axis=1)]
-            y = y[estimate(regs[y], regs[x], n[y], np.full(len(y), n[x])) >= _floor(threshold)]
+            y = y[(tie[y] != tie[x]) & ((i == j) | (blk[y] != blk[x]))]
+            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
             if len(y):
-                yield np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
+                y = y[estimate(regs[y], regs[x], n[y], np.full(len(y), n[x])) >= _floor(threshold)]
+            for other in y:
+                if tie[other] != tie[x] and (not exact or _similar(sets[x], sets[other], percent)):
+                    low, high = sorted((tie[x], tie[other]))
+                    tie[tie == high] = low
+        moved = np.unique(begun[tie != begun])
+        return comp[moved], comp[tie[moved]]
 
     def run(batches):
         held, last = [], None
 
-        def flush():
+        def out():
             if len(held) > 1:
-                band, i, j, cid, comp, n, sk, blk = zip(*held)
-                arrays = [np.array(v) for v in (cid, comp, n)]
-                yield from cell(band[0], i[0], j[0], *arrays, np.frombuffer(b"".join(sk), np.uint16).reshape(-1, REGISTERS), np.array(blk))
-
-        def out(pairs):
-            pairs = list(pairs)
-            if pairs:
-                a, b = (np.concatenate(v) for v in zip(*pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                _, i, j, cid, comp, n, sk, blk, sets = zip(*held)
+                regs = np.frombuffer(b"".join(sk), np.uint16).reshape(-1, REGISTERS)
+                a, b = cell(i[0], j[0], *(np.array(v) for v in (cid, comp, n)), regs, np.array(blk), sets)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(9))):
                 if row[:3] != last:
-                    yield from out(flush())
+                    yield from out()
                     held, last = [], row[:3]
                 held.append(row)
-        yield from out(flush())
+        yield from out()
 
     return run
 
 
+def _cells(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows out as cells of a key's blocks, two blocks to a cell, of a bounded number of rows and bytes."""
+    held = F.greatest(F.count(F.lit(1)) / CELL_ROWS, F.sum(F.coalesce(F.octet_length("set"), F.lit(0))) / CELL_BYTES)
+    many = rows.groupBy(key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(held).cast("int").alias("k")).where("x < y")
+    rows = rows.join(many.select(key, "k"), key).withColumn("blk", F.pmod(F.hash("cid"), F.col("k")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    rows = rows.select(key, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cid", "comp", "n", "sketch", "blk", "set")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
@@ -209,17 +220,19 @@ def _full_sets(k: int):
     return run
 
 
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union for two sorted sets of 64-bit hashes."""
+    both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(both) - inter)
+
+
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            good = pa.array([_similar(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return run
 
@@ -248,13 +261,16 @@ class _Search:
         pairs = pairs.where(least * 100 >= F.greatest("na", "nb") * self.percent)
         return self.confirmed(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(self.percent / 100), "a long, b long"))
 
+    def sets(self, used: DataFrame) -> DataFrame:
+        """(cid, full set) of the classes; only their texts are read again."""
+        used = used.join(self.classes.select("cid", F.col("first_row").alias(ROW_KEY)), "cid")
+        texts = self.base.select(ROW_KEY, "t").join(used, ROW_KEY).select("cid", "t")
+        return materialise(texts.mapInArrow(_full_sets(self.k), "cid long, set binary"), "sets")
+
     def confirmed(self, likely: DataFrame) -> DataFrame:
-        """Those of the pairs whose full sets are similar enough; only their texts are read again."""
+        """Those of the pairs whose full sets are similar enough."""
         likely = materialise(likely, "likely")
-        used = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        used = used.join(self.classes.select("cid", F.col("first_row").alias(ROW_KEY)), "cid")
-        sets = self.base.select(ROW_KEY, "t").join(used, ROW_KEY).select("cid", "t").mapInArrow(_full_sets(self.k), "cid long, set binary")
-        sets = materialise(sets, "sets")
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         both = likely.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
         return materialise(both.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a long, b long"), "links")
 
@@ -262,8 +278,10 @@ class _Search:
         """(node, component) of the classes that have links.
 
         First every class is checked against the smallest and the largest class of each of its buckets,
-        which joins most of what belongs together at a cost in proportion to the table. Then only pairs
-        that share a bucket, but no component, are left to check; they are checked one and all.
+        which joins most of what belongs together at a cost in proportion to the table. Buckets that
+        still hold several components are then looked through for likely pairs across them. These give
+        clusters of components, and within each cluster all likely pairs across its components are
+        checked on full sets. Pairs are compared in cells of bounded size and never become rows.
         """
         ends = self.members.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
         shared = materialise(self.members.join(ends, "band"), "buckets")
@@ -271,16 +289,17 @@ class _Search:
         star = materialise(star.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "star")
         found = self.links(star)
         comps = materialise(connected_components(found), "components")
-        at = shared.select("band", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("comp"))
-        at = materialise(at, "placed")
-        # buckets of several components; those of many rows are dealt out as cells of pairs of blocks
-        mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("k")).where("x < y")
-        at = at.join(mixed.select("band", "k"), "band").withColumn("blk", F.pmod(F.hash("cid"), F.col("k")))
-        cells = at.join(self.classes.select("cid", "n", "sketch"), "cid").select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-        cells = cells.select("band", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cid", "comp", "n", "sketch", "blk")
-        cells = cells.repartition(shuffle_partitions(at.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
-        rest = cells.mapInArrow(_across(self.percent / 100), "a long, b long")
-        return connected_components(found.union(self.confirmed(rest.join(star, ["a", "b"], "left_anti"))))
+        place = self.classes.select("cid", "n", "sketch").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+        place = materialise(place.select("cid", F.coalesce("component", "cid").alias("comp"), "n", "sketch"), "placed")
+        at = materialise(shared.select("band", "cid").join(place.select("cid", "comp"), "cid"), "placed")
+        mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+        at = at.join(mixed, "band").select("band", "cid").join(place, "cid").withColumn("set", F.lit(None).cast("binary"))
+        ties = _cells(at, "band").mapInArrow(_tied(self.percent, exact=False), "a long, b long").distinct()
+        clusters = materialise(connected_components(ties), "clusters").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+        inside = materialise(place.join(clusters, "comp"), "clustered")
+        inside = inside.join(self.sets(inside.select("cid")), "cid")
+        more = _cells(inside, "cluster").mapInArrow(_tied(self.percent, exact=True), "a long, b long")
+        return connected_components(found.union(more))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
