@@ -1,24 +1,51 @@
-"""Corpus pipeline over documents: each stage's result is written as Parquet and is the next one's input."""
+"""Corpus pipeline over documents: each stage's result is written as Parquet and is the next one's input.
+
+Language identification, exact and near deduplication keep whole rows with all the columns of documents;
+packing, the last stage, returns the pieces of the packed sequences. No stage looks at the labels that
+another would have to agree with, and each works on all rows that the stage before it kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curavine.llm import exact_dedup as exact
+from curavine.llm import language, packing
+from curavine.llm import near_dedup as near
 from curavine.llm.common import ROW_KEY, materialise, with_row_key
 
+#: Percent of their five-word shingles that near-duplicates share at least.
+NEAR_PERCENT = 80
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs with these row keys, with all their columns."""
+    return with_row_key(docs).join(keys.select(ROW_KEY), ROW_KEY, "left_semi").drop(ROW_KEY)
+
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose row keys the decisions keep, with all their columns."""
-    return with_row_key(docs).join(decisions.where("kept").select(ROW_KEY), ROW_KEY, "left_semi").drop(ROW_KEY)
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification rejects go: without letters, or far from every language."""
+    return _kept(docs, language.identify(docs).where("not rejected"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return _kept(docs, exact.exact_dedup(docs))
+    """One document of each group of equal texts stays, the one with the largest id."""
+    return _kept(docs, exact.exact_dedup(docs).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return _kept(docs, near.near_dedup(docs, percent=NEAR_PERCENT).where("keeps_row"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact_duplicates)]
+STAGES = [("language id", language_id), ("exact dedup", exact_duplicates), ("minhash near-dedup", near_duplicates), ("packing", packed)]
+#: Neither the languages nor the ids of tokens can be had from SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
