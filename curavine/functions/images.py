@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructType
 
 from .. import rules
 
@@ -19,6 +20,21 @@ _EXT = re.compile(r"\.(?:jpe?g|png|webp|gif)(?:$|[?#])", re.I)
 ENCLOSING, LONGEST, AROUND = ("figure", "article", "li", "section", "div"), 8000, 1200
 
 
+def _struct(**fields) -> StructType:
+    """Types as objects: a module may be imported before there is a session."""
+    out = StructType()
+    for name, kind in fields.items():
+        out.add(name, kind)
+    return out
+
+
+_TEXT, _INT, _FLAG, _SHARE = StringType(), IntegerType(), BooleanType(), DoubleType()
+_PICTURE = _struct(position=_INT, url=_TEXT, alt=_TEXT, title=_TEXT, width=_INT, height=_INT, caption=_TEXT, context=_TEXT)
+_FEATURES = _struct(
+    white=_SHARE, dark=_SHARE, vivid=_SHARE, grey=_SHARE, light=_SHARE, colourful=_SHARE, banner_like=_FLAG, plan_like=_FLAG, photo_like=_FLAG, hard_reject=_FLAG, reason=_TEXT,
+)
+
+
 def _enclosing(page: str, at: int) -> str:
     for name in ENCLOSING:
         opens = [m.start() for m in re.finditer(rf"<{name}\b", page[max(0, at - LONGEST) : at], re.I)]
@@ -62,7 +78,7 @@ def pictures(page: str | None) -> Iterator[tuple]:
             yield len(seen), url, attrs.get("alt", ""), attrs.get("title", ""), size("width"), size("height"), _plain(caption[1]) if caption else "", _plain(context)
 
 
-@F.udtf(returnType="position int, url string, alt string, title string, width int, height int, caption string, context string")
+@F.udtf(returnType=_PICTURE)
 class HtmlPictures:
     """Table function over a page's markup."""
 
@@ -103,7 +119,7 @@ def dimensions(data: bytes | None) -> tuple[int | None, int | None, str | None]:
     return none
 
 
-@F.pandas_udf("width int, height int, format string")
+@F.pandas_udf(_struct(width=IntegerType(), height=IntegerType(), format=StringType()))
 def image_size(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([dimensions(x) for x in data], columns=["width", "height", "format"]).astype({"width": "Int32", "height": "Int32"})
 
@@ -135,7 +151,7 @@ def pixel_features(width: int | None, height: int | None, rgba: bytes | None) ->
     return out | rounded | {"banner_like": banner, "plan_like": plan, "photo_like": photo, "hard_reject": bool(reason), "reason": reason}
 
 
-@F.pandas_udf("white double, dark double, vivid double, grey double, light double, colourful double, banner_like boolean, plan_like boolean, photo_like boolean, hard_reject boolean, reason string")
+@F.pandas_udf(_FEATURES)
 def byte_features(width: pd.Series, height: pd.Series, rgba: pd.Series) -> pd.DataFrame:
     known = lambda x: None if pd.isna(x) else int(x)
     return pd.DataFrame([pixel_features(known(w), known(h), b) for w, h, b in zip(width, height, rgba)])

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import _c, text
 
@@ -113,7 +114,7 @@ def index_queries(x: Column | str) -> Column:
     return F.when(d == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(d, p, F.lit("*")), F.concat(F.lit("www."), d, p, F.lit("*"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     """Absolute URL of a link on a page; empty where there is none or it isn't http(s)."""
 

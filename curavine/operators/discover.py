@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions.url import host_suffixes, path, path_query
 
@@ -105,7 +106,7 @@ def parse_rules(body: str | None, dialect: str = "any", agent: str = "curavine")
     return [(i, k, v) for i, (k, v) in enumerate(rules)]
 
 
-@F.udtf(returnType="ord int, kind string, rule string")
+@F.udtf(returnType=StructType().add("ord", IntegerType()).add("kind", StringType()).add("rule", StringType()))
 class RobotsRules:
     """Table function over a robots.txt."""
 
@@ -137,5 +138,5 @@ def allowed(urls: DataFrame, url: str, rules: DataFrame, host: str = "host", wit
 
 def adapter_accepts(signal: Column, rejects: Column, accepts: Column) -> Column:
     """Pattern lists of a site's adapter: any reject is a no; an empty list of accepts is a yes."""
-    hit = lambda patterns: F.exists(patterns, lambda p: signal.rlike(F.concat(F.lit("(?i)"), p)))
+    hit = lambda patterns: F.exists(patterns, lambda p: F.rlike(signal, F.concat(F.lit("(?i)"), p)))
     return ~F.coalesce(hit(rejects), F.lit(False)) & ((F.coalesce(F.size(accepts), F.lit(0)) == 0) | F.coalesce(hit(accepts), F.lit(False)))

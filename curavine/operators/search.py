@@ -32,7 +32,10 @@ def bound(x: object) -> float | None:
 
 
 def in_range(x: Column, low: object, high: object) -> Column:
-    """Inclusive range; a missing value is out as soon as one bound is a number."""
+    """Inclusive range; a missing value is out as soon as one bound is a number.
+
+    The condition is then null, which a filter treats as false: so it can be pushed down to the scan.
+    """
     lo, hi = bound(low), bound(high)
     if lo is None and hi is None:
         return F.lit(True)
@@ -41,7 +44,7 @@ def in_range(x: Column, low: object, high: object) -> Column:
         ok = ok & (x >= lo)
     if hi is not None:
         ok = ok & (x <= hi)
-    return F.coalesce(ok, F.lit(False))
+    return ok
 
 
 def predicate(f: Filters, keyword_columns: list[str], tags: str | None = None, unsupported: list[str] = ()) -> Column:
@@ -56,7 +59,7 @@ def predicate(f: Filters, keyword_columns: list[str], tags: str | None = None, u
         out = out & hit
     for c, v in f.equals.items():
         if v and v != "all":
-            out = out & (F.lit(False) if c in unsupported else F.coalesce(F.col(c) == v, F.lit(False)))
+            out = out & (F.lit(False) if c in unsupported else F.col(c) == v)
     for c, (lo, hi) in f.ranges.items():
         if c in unsupported:
             out = out & F.lit(bound(lo) is None and bound(hi) is None)
@@ -70,7 +73,8 @@ def predicate(f: Filters, keyword_columns: list[str], tags: str | None = None, u
             out = out & (F.lit(False) if c in unsupported else F.coalesce(F.col(c), F.lit(False)))
     for (c, kind), want in f.has_item.items():
         if want in ("with", "without"):
-            there = F.exists(F.coalesce(F.col(c), F.array().cast("array<struct<kind:string>>")), lambda i, k=kind: i["kind"] == k)
+            kinds = F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<kind:string>>")), lambda i: i["kind"])
+            there = F.array_contains(kinds, kind)
             out = out & (there if want == "with" else ~there)
     if f.tag.strip() and tags:
         out = out & F.exists(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda t: contains_ci(t, f.tag))

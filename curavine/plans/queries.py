@@ -111,7 +111,7 @@ def top_per_host(spark: SparkSession, d: str) -> DataFrame:
     return keys.top_n(_pages(spark, d), ["domain"], [F.col("score").desc(), F.col("page_id")], 2).select("page_id", "domain", "score")
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seen, least(0.35, 0.03 * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)) AS penalty FROM documents")
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seen, least(0.35::DOUBLE, 0.03::DOUBLE * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)) AS penalty FROM documents")
 def diversity_penalty(spark: SparkSession, d: str) -> DataFrame:
     out = keys.seen_before(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
     return out.withColumns({"seen": F.col("seen").cast("long"), "penalty": F.least(F.lit(0.35), F.lit(0.03) * F.col("seen"))})

@@ -11,6 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import collapse_space, decode_references, first_filled, links, text
 from ..functions.url import unwrap
@@ -48,7 +49,7 @@ def index_records(lines: DataFrame, column: str = "value") -> DataFrame:
     return out.withColumns({"r_offset": number("r_offset"), "r_length": number("r_length")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def archived_body(data: pd.Series) -> pd.Series:
     """Body of a gzipped archive record of an HTTP answer: what follows the second empty line; null if it can't be read."""
 
