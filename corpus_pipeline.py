@@ -26,7 +26,7 @@ def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: without letters, or far from every language."""
-    return _kept(docs, language.identify(docs).where("not rejected"))
+    return language.keep_known(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

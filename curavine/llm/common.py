@@ -55,6 +55,13 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW_KEY, F.monotonically_increasing_id())
 
 
+def small_batches(batches, rows: int = 1024):
+    """Arrow batches in slices: what Python holds of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, crc32_of_id, with_row_key
+from .common import ROW_KEY, crc32_of_id, small_batches, with_row_key
 from .text_core import SLICE_BYTES
 
 FEATURES = 4096
@@ -148,18 +148,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Centroids(counts, [r[0] for r in sample])
 
 
+def _predicted(model: Centroids, texts: list[str]) -> tuple[list, list, list]:
+    lang, score, rejected = [], [], []
+    for at, counts in term_counts(texts):
+        which, near, far = model.predict(counts)
+        for t, w, s, r in zip(texts[at : at + len(counts)], which.tolist(), near.tolist(), far.tolist()):
+            known = bool(model.languages) and _LETTER.search(t) is not None
+            lang.append(model.languages[w] if known else UNKNOWN)
+            score.append(s if known else 0.0)
+            rejected.append(r or not known)
+    return lang, score, rejected
+
+
 def _labelled(model: Centroids):
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            lang, score, rejected = [], [], []
-            for at, counts in term_counts(texts):
-                which, near, far = model.predict(counts)
-                for t, w, s, r in zip(texts[at : at + len(counts)], which.tolist(), near.tolist(), far.tolist()):
-                    known = bool(model.languages) and _LETTER.search(t) is not None
-                    lang.append(model.languages[w] if known else UNKNOWN)
-                    score.append(s if known else 0.0)
-                    rejected.append(r or not known)
+        for batch in small_batches(batches):
+            lang, score, rejected = _predicted(model, [t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[ROW_KEY, "doc_id", "lang_pred", "score", "rejected"])
 
     return run
@@ -178,3 +182,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_labelled(model), f"{ROW_KEY} long, doc_id {kind}, lang_pred string, score double, rejected boolean")
     return out.select(ROW_KEY, "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Centroids | None = None) -> DataFrame:
+    """The rows of docs that identify() doesn't reject, with all their columns; one pass and no shuffle."""
+    model = model or fit(docs, id_col, text_col, lang_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in small_batches(batches):
+            rejected = _predicted(model, [t or "" for t in batch.column(at).to_pylist()])[2]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

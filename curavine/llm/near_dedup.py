@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_core as tc
-from .common import ROW_KEY, connected_components, materialise, shuffle_partitions, with_row_key
+from .common import ROW_KEY, connected_components, materialise, shuffle_partitions, small_batches, with_row_key
 
 SHINGLE_WORDS = 5
 #: 40 bands of 8 registers: a pair of similarity 0.85 is missed with a probability of 3e-6, 0.8 with 6e-4.
@@ -111,7 +111,7 @@ def _sets(texts: list[str | None], k: int):
 
 def _profile(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             for at, values, counts in _sets(batch.column(2).to_pylist(), k):
                 regs = sketch(values, counts)
                 ends = np.cumsum(counts)
@@ -210,7 +210,7 @@ def _cells(rows: DataFrame, key: str) -> DataFrame:
 
 def _full_sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             for at, values, counts in _sets(batch.column(1).to_pylist(), k):
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Lengths of a combination at most, and the steps between its lengths for a window of 2048.
 DEEPEST, STEPS = 5, {2: 1, 3: 48, 4: 80, 5: 112}
@@ -76,7 +76,7 @@ def _cut(path: str, window: int, end_id: int):
 
         task, number = TaskContext.get().partitionId(), 0
         met: dict[int, int] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             names = ["task", "number", "met", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
             ids_of, cols = batch.column(0), [[] for _ in names]
             rows = []

@@ -21,6 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .text_core import SLICE_BYTES
 
 SPACE = "▁"
@@ -231,7 +232,7 @@ def pieces(path: str) -> Pieces:
 def _digests(path: str):
     def run(batches):
         model = pieces(path)
-        for batch in batches:
+        for batch in small_batches(batches, 2048):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n_out, ids_out, text_out = [], [], []
             at = 0
