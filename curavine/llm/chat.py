@@ -65,8 +65,9 @@ def problems(schemas: dict) -> Column:
         of_tool = (F.col("kind") == "call") & (F.col("name") == tool)
         for p, rule in sorted(parameters.items()):
             path = "$." + p
-            there = F.is_variant_null(F.try_variant_get(v, path, "variant")).isNotNull() & ~F.coalesce(F.is_variant_null(F.try_variant_get(v, path, "variant")), F.lit(True))
-            kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+            value = F.try_variant_get(v, path, "variant")
+            there = value.isNotNull() & ~F.is_variant_null(value)
+            kind = F.schema_of_variant(value)
             text, number = F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "double")
 
             def when(bad: Column, what: str, of_tool=of_tool, p=p) -> None:

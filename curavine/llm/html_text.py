@@ -112,7 +112,7 @@ def blocks(page: str | None) -> list[Block]:
         name = name.lower()
         closing = m[1] or m[4]
         if closing:
-            if name in VOID:
+            if name in VOID or name in RAW:
                 continue
             if held[name]:
                 if name not in INLINE:
