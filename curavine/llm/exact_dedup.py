@@ -8,7 +8,7 @@ texts, without any chance of a collision.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, materialise, with_row_key
@@ -33,21 +33,22 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A block travels as two 64-bit hashes once it has a name. The names table tells whether two distinct
     blocks share both hashes; then the hashing is repeated with another salt, so the stand-in is exact.
     """
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    base = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col))).select(ROW_KEY, "id", text.alias("t"))
-    raw = base.select(ROW_KEY, "id", F.col("t").cast("binary").alias("raw"))
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / F.lit(block_bytes))).cast("int")
-    cut = lambda i: F.substring(F.col("raw"), i * block_bytes + 1, F.lit(block_bytes))
-    blocks = raw.select(F.transform(F.sequence(F.lit(0), count - 1), cut).alias("bs")).select(F.explode("bs").alias("block"))
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER).cast("binary")
+    base = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col))).select(ROW_KEY, "id", text.alias("raw"))
+
+    def cut(make) -> Column:
+        """make(block) for each block. The text is a lambda's argument, so that it is lower-cased once only."""
+        last = lambda r: F.greatest(F.lit(1), F.ceil(F.octet_length(r) / F.lit(block_bytes))).cast("int") - 1
+        one = lambda r: F.transform(F.sequence(F.lit(0), last(r)), lambda i: make(F.substring(r, i * block_bytes + 1, F.lit(block_bytes))))
+        return F.flatten(F.transform(F.array("raw"), one))
+
+    blocks = base.select(F.explode(cut(lambda b: b)).alias("block"))
     for salt in range(0, 100, 2):
         stand_in = lambda b, s=salt: F.struct(F.xxhash64(F.lit(s), b).alias("h1"), F.xxhash64(F.lit(s + 1), b).alias("h2"))
         names = _names(blocks.select(stand_in(F.col("block")).alias("h"), "block").select("h.*", "block"), ["h1", "h2"], ["block"], "blocks")
         if names.groupBy("h1", "h2").count().where("count > 1").isEmpty():
             break
-    hashed = raw.select(
-        ROW_KEY, "id", F.sha2("raw", 256).alias("text_sha256"),
-        F.transform(F.sequence(F.lit(0), count - 1), lambda i: stand_in(cut(i))).alias("hs"),
-    )
+    hashed = base.select(ROW_KEY, "id", F.sha2("raw", 256).alias("text_sha256"), cut(lambda b: stand_in(b)).alias("hs"))
     rows = materialise(hashed, "rows")
     parts = rows.select(ROW_KEY, F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h")).select(ROW_KEY, "n", "pos", "h.h1", "h.h2")
     named = parts.join(names, ["h1", "h2"]).select(ROW_KEY, "n", "pos", "name")
