@@ -224,7 +224,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
     own = docs.select(F.col(id_col).alias("id"), (~held_out(id_col)).alias("train"), F.col(text_col).cast("string").alias("t"))
     id_type = own.schema["id"].dataType
     parts = shuffle_partitions(spark)
-    asked = own.mapInArrow(_asked(parts * SLICES), _PART).repartition(parts, "slice").sortWithinPartitions("slice", "kind")
+    asked = own.mapInArrow(_asked(parts * SLICES), _PART).repartitionById(parts, F.col("slice") % parts).sortWithinPartitions("slice", "kind")
     totals = materialise(asked.mapInArrow(_summed, _PART), "totals")
     n, v = totals.where("chunk = -1 and kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     trained = own.where("train").count()
@@ -235,7 +235,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
     schema = f"chunk long, slice int, kind int, keys binary, counts binary, ids array<{kind}>, held_out array<boolean>, lengths array<long>"
     texts = own.mapInArrow(_texts(arrow), schema)
     back = totals.where("chunk >= 0").drop("n", "v").withColumns({"ids": F.lit(None).cast(f"array<{kind}>"), "held_out": F.lit(None).cast("array<boolean>"), "lengths": F.lit(None).cast("array<long>")})
-    both = texts.unionByName(back).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "slice")
+    # chunks are numbered by scan partition and within it; so dealt, partitions get like numbers of them
+    place = F.pmod(F.shiftright("chunk", 24) + (F.col("chunk") % (1 << 24)) * 7919, F.lit(parts)).cast("int")
+    both = texts.unionByName(back).repartitionById(parts, place).sortWithinPartitions("chunk", "kind", "slice")
     return both.mapInArrow(
         _scored(arrow, n, v, trained, prior),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

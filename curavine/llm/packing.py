@@ -216,7 +216,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         ranges.append((length, int(used[length]), int(total[length]), -1, 0))
     plan = spark.createDataFrame([r for r in ranges if r[1] < r[2]] or [(0, 0, 0, 0, 0)], "length long, first long, beyond long, base long, at long")
     lists = F.broadcast(plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "beyond", "base", "at"))).alias("ranges")))
-    ranked = pieces.drop("ids").join(per_task, ["length", "task"]).withColumn("rank", F.col("met") + F.col("ahead")).join(lists, "length")
+    # the counts grow with the partitions: joined by merging, never sent to all executors
+    ranked = pieces.drop("ids").join(per_task.hint("merge"), ["length", "task"]).withColumn("rank", F.col("met") + F.col("ahead")).join(lists, "length")
     hit = F.filter("ranges", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["beyond"]))[0]
     ranked = materialise(ranked.select("*", hit.alias("r")).drop("ranges", "met", "ahead"), "ranked")
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
