@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import _c, collapse_space, text
+from .text import _c, collapse_space, once, text
 from .url import decode, without_tracking
 
 
@@ -39,25 +39,34 @@ def small_or_banner(width: Column | str, height: Column | str) -> Column:
 
 def signal(*cols: Column | str) -> Column:
     """The filled texts joined by spaces, URLs among them in their key form."""
-    shown = [F.when(text(c).rlike("(?i)^https?:"), without_tracking(c)).otherwise(text(c)) for c in cols]
+    shown = [once(text(c), lambda t: F.when(t.rlike("(?i)^https?:"), without_tracking(t)).otherwise(t)) for c in cols]
     return collapse_space(F.array_join(F.filter(F.array(*shown), lambda s: s != ""), " "))
 
 
 def visual(full: Column, own: Column, width: Column | str, height: Column | str) -> Column:
     """struct<score,token_score,photo_score,hard_rejects,category> from the full and the picture's own signal."""
-    tokens = reduce(add, [F.when(matches(full, p), 0.18).otherwise(0.0) for p in rules.PLAN_TOKENS])
-    evidence = reduce(lambda a, b: a | b, [matches(own, p) for p in rules.PLAN_TOKENS])
-    rejects = F.array_compact(F.array(*(F.when(matches(own, p) & ~(evidence & F.lit(spared)), F.lit(p)) for p, spared in rules.HARD_REJECTS)))
     w, h = F.coalesce(_c(width).cast("double"), F.lit(0.0)), F.coalesce(_c(height).cast("double"), F.lit(0.0))
     known, ratio = (w != 0) & (h != 0), w / F.greatest(h, F.lit(1.0))
     small = F.when(known & ((w < rules.SMALL_WIDTH) | (h < rules.SMALL_HEIGHT)), 0.3).otherwise(0.0)
     banner = F.when(known & ((ratio > rules.WIDE) | (ratio < rules.NARROW)), 0.35).otherwise(0.0)
-    context = F.when(matches(full, rules.PAGE_CONTEXT), 0.12).otherwise(0.0)
-    generic = F.when(matches(full, rules.GENERIC_FILE), 0.08).otherwise(0.0)
-    score = clamp(F.lit(0.25) + tokens + context - small - banner - generic - F.size(rejects) * 0.35)
-    category = F.when(F.size(rejects) > 0, when_first([(matches(full, p), F.lit(name)) for name, p in rules.REJECT_CATEGORIES], "other")).otherwise("unknown")
-    photo = F.when(F.size(rejects) > 0, 0.9).when(matches(full, rules.ROOM_PHOTO), 0.55).otherwise(0.15)
-    return F.struct(score.alias("score"), clamp(tokens).alias("token_score"), photo.alias("photo_score"), rejects.alias("hard_rejects"), category.alias("category"))
+
+    def hits(own: Column) -> Column:
+        evidence = reduce(lambda a, b: a | b, [matches(own, p) for p in rules.PLAN_TOKENS])
+        found = F.array_compact(F.array(*(F.when(matches(own, p), F.lit(p)) for p, _ in rules.HARD_REJECTS)))
+        spared = F.array(*(F.lit(p) for p, s in rules.HARD_REJECTS if s))
+        return F.when(evidence, F.array_except(found, spared)).otherwise(found)
+
+    def scored(full: Column, rejects: Column) -> Column:
+        tokens = reduce(add, [F.when(matches(full, p), 0.18).otherwise(0.0) for p in rules.PLAN_TOKENS])
+        context = F.when(matches(full, rules.PAGE_CONTEXT), 0.12).otherwise(0.0)
+        generic = F.when(matches(full, rules.GENERIC_FILE), 0.08).otherwise(0.0)
+        category = F.when(F.size(rejects) > 0, when_first([(matches(full, p), F.lit(name)) for name, p in rules.REJECT_CATEGORIES], "other")).otherwise("unknown")
+        photo = F.when(F.size(rejects) > 0, 0.9).when(matches(full, rules.ROOM_PHOTO), 0.55).otherwise(0.15)
+        score = once(tokens, lambda t: F.struct(clamp(F.lit(0.25) + t + context - small - banner - generic - F.size(rejects) * 0.35).alias("score"), clamp(t).alias("token_score")))
+        return once(score, lambda s: F.struct(s["score"].alias("score"), s["token_score"].alias("token_score"), photo.alias("photo_score"), rejects.alias("hard_rejects"), category.alias("category")))
+
+    both = F.struct(full.alias("full"), once(own, hits).alias("rejects"))
+    return once(both, lambda b: scored(b["full"], b["rejects"]))
 
 
 def final_confidence(checked: Column, all_flags: Column, strong: Column, model: Column, visual_score: Column) -> Column:
@@ -95,12 +104,32 @@ def acceptance_evidence(url: Column | str, alt: Column | str, caption: Column |
     """
     from .url import looks_like_image, parts
 
-    file, heading = parts(url)["file"], F.lower(text(title))
-    own = F.lower(F.concat_ws(" ", file, text(alt), text(caption)))
-    all_text = F.lower(F.concat_ws(" ", text(url), own, heading))
+    given = F.struct(text(url).alias("url"), parts(url)["file"].alias("file"), F.lower(text(title)).alias("heading"), F.lower(F.concat_ws(" ", parts(url)["file"], text(alt), text(caption))).alias("own"), score.alias("score"))
+    return once(given, lambda g: _evidence(g, overrides, looks_like_image))
+
+
+def _evidence(g: Column, overrides, looks_like_image) -> Column:
+    url, file, heading, own, score = (g[k] for k in ("url", "file", "heading", "own", "score"))
+    all_text = F.lower(F.concat_ws(" ", url, own, heading))
     strong = matches(own, rules.STRONG_EVIDENCE)
     titled = (F.length(heading) <= 110) & matches(heading, rules.TITLE_EVIDENCE)
-    steps = [(~looks_like_image(url), F.lit(False)), (matches(all_text, rules.SIGNAL_DENY), F.lit(False)), (matches(all_text, "gallery|photo") & ~strong, F.lit(False)), (photo_only_title(title), F.lit(False))]
+    steps = [(~looks_like_image(url), F.lit(False)), (matches(all_text, rules.SIGNAL_DENY), F.lit(False)), (matches(all_text, "gallery|photo") & ~strong, F.lit(False)), (photo_only_title(heading), F.lit(False))]
     steps += [(matches(all_text, site), matches(file, name) & (score >= least)) for site, name, least in overrides]
     steps += [(strong, F.lit(True)), (titled & (score >= 0.55) & ~matches(file, rules.GENERIC_PHOTO), F.lit(True))]
     return when_first(steps, False)
+
+
+def picture_kind(alt: Column | str, url: Column | str, outside: Column | None = None) -> Column:
+    """floorplan, exterior, interior, sitePlan or other; outside tells pictures of plans that aren't floor plans."""
+    words = F.concat_ws(" ", text(alt), decode(url))
+    first = [(outside, F.lit("exterior"))] if outside is not None else []
+    return when_first([*first, (matches(words, rules.STRONG_EVIDENCE), F.lit("floorplan")), *((matches(words, p), F.lit(k)) for k, p in rules.KINDS)], "other")
+
+
+def picture_score(alt: Column | str, url: Column | str, kind: Column) -> Column:
+    """How likely a picture of a page is what is looked for, by its kind and words."""
+    words = F.concat_ws(" ", text(alt), decode(url))
+    out = when_first([(kind == k, F.lit(v)) for k, v in rules.KIND_SCORES.items()], 0)
+    for pattern, w in rules.WORD_SCORES:
+        out = out + F.when(matches(words, pattern), w).otherwise(0)
+    return out

@@ -10,6 +10,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, make) -> Column:
+    """make(value), where value is computed once however often make uses it.
+
+    A column that an expression names several times is otherwise written out, and computed, as often.
+    """
+    return F.transform(F.array(value), make)[0]
+
+
 def text(x: Column | str) -> Column:
     return F.coalesce(_c(x).cast("string"), F.lit(""))
 

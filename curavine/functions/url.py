@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import _c, text
+from .text import _c, once, text
 
 #: Parameters that say where a visitor came from.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "yclid"]
@@ -46,16 +46,18 @@ def without_tracking(x: Column | str) -> Column:
 
     What isn't an http(s) URL, or holds a malformed escape, is only trimmed and lower-cased.
     """
-    raw = text(x)
-    bare = F.regexp_replace(raw, "#.*$", "")
-    query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING) & (p != ""))
-    base = F.regexp_replace(bare, r"\?.*$", "")
-    # a host alone has / as its path
-    base = F.when(base.rlike(_HTTP + "$"), F.concat(base, F.lit("/"))).otherwise(base)
-    joined = F.when(F.size(query) > 0, F.concat(base, F.lit("?"), F.array_join(query, "&"))).otherwise(base)
-    decoded = F.try_url_decode(F.replace(joined, F.lit("+"), F.lit("%2B")))
-    key = F.lower(F.regexp_replace(decoded, "/$", ""))
-    return F.when(raw.rlike(_HTTP) & decoded.isNotNull(), key).otherwise(F.lower(F.trim(raw)))
+
+    def key(raw: Column) -> Column:
+        bare = F.regexp_replace(raw, "#.*$", "")
+        query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING) & (p != ""))
+        base = F.regexp_replace(bare, r"\?.*$", "")
+        # a host alone has / as its path
+        base = F.when(base.rlike(_HTTP + "$"), F.concat(base, F.lit("/"))).otherwise(base)
+        joined = once(query, lambda q: F.when(F.size(q) > 0, F.concat(base, F.lit("?"), F.array_join(q, "&"))).otherwise(base))
+        decoded = F.try_url_decode(F.replace(joined, F.lit("+"), F.lit("%2B")))
+        return F.when(raw.rlike(_HTTP), F.lower(F.regexp_replace(decoded, "/$", "")))
+
+    return once(text(x), lambda raw: F.coalesce(key(raw), F.lower(F.trim(raw))))
 
 
 def without_fragment(x: Column | str) -> Column:

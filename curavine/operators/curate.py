@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.score import clamp, matches, photo_only_title, record_score, small_or_banner, when_first
-from ..functions.text import ratio3, text
+from ..functions.score import matches, photo_only_title, record_score, small_or_banner, when_first
+from ..functions.text import once, ratio3, text
 from ..functions.url import decode, image_key, looks_like_image
 
 
@@ -50,15 +50,19 @@ def only(candidates: DataFrame, site: str = "", pattern: str = "", domain_column
 
 def cleanup_reason(url: str, alt: str, title: str, width: str, height: str) -> Column:
     """Why an accepted record has to go; empty if it may stay."""
-    decoded = F.lower(decode(url))
-    everything = F.lower(F.concat_ws(" ", text(title), decoded, text(url), text(alt)))
-    strong = matches(F.concat_ws(" ", F.lower(text(alt)), decoded), rules.STRONG_EVIDENCE) | ((F.length(text(title)) <= 110) & matches(F.lower(text(title)), rules.TITLE_EVIDENCE))
-    steps = [(small_or_banner(width, height), F.lit("small-or-banner-image"))]
-    for k, (reason, pattern, spared) in enumerate(rules.CLEANUP):
-        if k == 2:
-            steps.append((photo_only_title(title), F.lit("photo-only-title")))
-        steps.append((matches(everything, pattern) & ~(strong & F.lit(spared)), F.lit(reason)))
-    return when_first([*steps, (~looks_like_image(url), F.lit("non-image-url"))], "")
+    given = F.struct(F.lower(decode(url)).alias("url"), text(url).alias("raw"), F.lower(text(title)).alias("title"), F.lower(text(alt)).alias("alt"), small_or_banner(width, height).alias("small"))
+
+    def reason(g: Column) -> Column:
+        everything = F.concat_ws(" ", g["title"], g["url"], F.lower(g["raw"]), g["alt"])
+        strong = matches(F.concat_ws(" ", g["alt"], g["url"]), rules.STRONG_EVIDENCE) | ((F.length(g["title"]) <= 110) & matches(g["title"], rules.TITLE_EVIDENCE))
+        steps = [(g["small"], F.lit("small-or-banner-image"))]
+        for k, (name, pattern, spared) in enumerate(rules.CLEANUP):
+            if k == 2:
+                steps.append((photo_only_title(g["title"]), F.lit("photo-only-title")))
+            steps.append((matches(everything, pattern) & ~(strong & F.lit(spared)), F.lit(name)))
+        return when_first([*steps, (~looks_like_image(g["raw"]), F.lit("non-image-url"))], "")
+
+    return once(given, reason)
 
 
 def clean(records: DataFrame, key: str, order: str, url_key: str, content_hash: str, score: str, reason: str) -> DataFrame:
@@ -149,5 +153,39 @@ def crawl_gate(enabled: Column, url: Column, portal: Column, acknowledged: Colum
     return when_first([(~enabled, F.lit("disabled")), (url == "", F.lit("no-url")), (portal & ~acknowledged, F.lit("portal-not-acknowledged")), (portal & stores_images, F.lit("portal-stores-images"))], F.lit(None))
 
 
-def clamp01(x: Column) -> Column:
-    return clamp(x)
+def review_keys(images: DataFrame, key: str, order: str, checked: Column, asked: Column, hard_reject: Column, strong: Column, most: int) -> DataFrame:
+    """Keys of the pictures that a model is asked about: wanted ones first, then strong, other and rejected ones."""
+    rank = F.when(asked, 0).when(hard_reject, 5).when(strong, 1).otherwise(2)
+    rows = images.where(~checked & (text(key) != ""))
+    return rows.select(key, rank.alias("priority"), order).orderBy("priority", order).limit(most).select(key).distinct()
+
+
+def review_pass(images: DataFrame, budget: DataFrame, answers: DataFrame, key: str, checked: Column, was_plan: Column, hard_reject: Column, least: float = 0.65, keep_unchecked: bool = True) -> DataFrame:
+    """Adds kept after a model's answers (key, is_plan, confidence): checked pictures stay unless they were none.
+
+    Pictures beyond the budget, or without an answer, stay if unchecked ones may; answered ones stay if the
+    answer is sure enough and nothing rules them out.
+    """
+    j = images.join(budget.select(key).withColumn("__in", F.lit(True)), key, "left").join(answers, key, "left")
+    answered = F.coalesce(F.col("__in"), F.lit(False)) & F.col("is_plan").isNotNull()
+    good = F.col("is_plan") & (F.col("confidence") >= least) & ~hard_reject
+    kept = F.when(checked, F.coalesce(was_plan, F.lit(True))).when(answered, good).otherwise(F.lit(keep_unchecked))
+    return j.withColumn("kept", kept).drop("__in")
+
+
+def past_answer(status: Column, is_plan: Column, category: Column, confidence: Column, reason: Column) -> Column:
+    """struct<status,category,is_plan,full> of an answer of any age; old ones without a category count as full by their reason."""
+    old = category.isNull() & F.coalesce(status == "checked", F.lit(True)) & is_plan & (confidence >= 0.9)
+    full = old & matches(reason, r"top[- ]?view|top[- ]?down|floor plan|architectural drawing")
+    known = F.coalesce(status, F.when(is_plan.isNotNull(), "checked"), F.lit("unchecked"))
+    return F.struct(known.alias("status"), F.coalesce(category, F.when(is_plan, "floorplan").otherwise("other")).alias("category"), F.coalesce(is_plan, F.lit(False)).alias("is_plan"), F.coalesce(full, F.lit(False)).alias("full"))
+
+
+def advance(state: DataFrame, done: int, size: int, run: Column, most: int = 120) -> DataFrame:
+    """A rotation's next index and rounds after a run, and its history cut to the last runs."""
+    end = F.col("next_index") + done
+    history = F.concat(F.col("runs"), F.array(run))
+    return state.withColumns({
+        "completed_rounds": F.col("completed_rounds") + F.floor(end / size).cast("int"), "next_index": F.pmod(end, F.lit(size)).cast("int"),
+        "runs": F.slice(history, F.greatest(F.lit(1), F.size(history) - most + 1), F.lit(most)),
+    })

@@ -122,3 +122,8 @@ def in_given_order(df: DataFrame, key: str, ids: list) -> DataFrame:
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i,) for i in [ids]], f"ids array<{df.schema[key].dataType.simpleString()}>").select(F.posexplode("ids").alias("place", key))
     return df.join(F.broadcast(wanted), key)  # a list that a caller wrote out
+
+
+def compare_list(chosen: list, item: object) -> list:
+    """Ids to compare after one was clicked: a second click takes it out, and only the last two stay."""
+    return [c for c in chosen if c != item] if item in chosen else [*chosen[-1:], item]

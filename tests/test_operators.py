@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from curavine.functions import score
 from curavine.operators import convert, curate, discover, keys, plans, search, upsert
+from curavine.plans import curation
 
 
 def table(spark, rows, schema):
@@ -215,3 +217,47 @@ def test_adapter_patterns(spark):
 def test_gate(spark):
     df = table(spark, [(True, "u", False, False, False), (False, "u", False, False, False), (True, "", False, False, False), (True, "u", True, False, False), (True, "u", True, True, True)], "e boolean, u string, p boolean, a boolean, s boolean")
     assert [r[0] for r in df.select(curate.crawl_gate(*(F.col(c) for c in "eupas"))).collect()] == [None, "disabled", "no-url", "portal-not-acknowledged", "portal-stores-images"]
+
+
+def test_picture_kinds(spark):
+    df = table(spark, [("間取り図", "https://x/a.png"), ("", "https://x/living.jpg"), (None, "https://x/site-plan.svg"), ("", "https://x/logo.png")], "a string, u string")
+    k = score.picture_kind("a", "u")
+    assert [tuple(r) for r in df.select(k, score.picture_score("a", "u", k)).collect()] == [("floorplan", 210), ("interior", 10), ("sitePlan", -10), ("other", -130)]
+
+
+def test_review_pass(spark):
+    s = "key string, ord int, checked boolean, was boolean, asked boolean, hard boolean, strong boolean"
+    rows = [("a", 1, True, False, False, False, False), ("b", 2, False, None, False, True, False), ("c", 3, False, None, True, False, False), ("d", 4, False, None, False, False, True), ("e", 5, False, None, False, False, False)]
+    df, c = table(spark, rows, s), F.col
+    budget = curate.review_keys(df, "key", "ord", c("checked"), c("asked"), c("hard"), c("strong"), 2)
+    assert sorted(r.key for r in budget.collect()) == ["c", "d"]
+    answers = table(spark, [("c", True, 0.7), ("d", True, 0.6)], "key string, is_plan boolean, confidence double")
+    out = curate.review_pass(df, budget, answers, "key", c("checked"), c("was"), c("hard"))
+    assert {r.key: r.kept for r in out.collect()} == {"a": False, "b": True, "c": True, "d": False, "e": True}
+    past = table(spark, [(None, True, None, 0.95, "a top-down drawing"), ("error", None, None, None, None)], "s string, p boolean, c string, f double, r string").select(curate.past_answer(c("s"), c("p"), c("c"), c("f"), c("r")))
+    assert [tuple(r[0]) for r in past.collect()] == [("checked", "floorplan", True, True), ("error", "other", False, False)]
+
+
+def test_rotation_history(spark):
+    df = table(spark, [(45, 1, ["r"] * 120)], "next_index int, completed_rounds int, runs array<string>")
+    r = curate.advance(df, 5, 47, F.lit("new")).first()
+    assert (r.next_index, r.completed_rounds, len(r.runs), r.runs[-1]) == (3, 2, 120, "new")
+    assert search.compare_list([], 1) == [1] and search.compare_list([1, 2], 3) == [2, 3] and search.compare_list([1, 2], 1) == [2]
+
+
+def test_curation_run(spark):
+    s = "id string, ord int, domain string, page_url string, image_url string, title string, alt string, near string, width int, height int, model_status string, model_plan boolean, model_confidence double, layout string, area double, floors string, last_seen string"
+    row = lambda i, url, title, status, plan, conf: (str(i), i, "d", "https://d/p", url, title, "", "", 900, 900, status, plan, conf, None, None, None, "2026")
+    rows = [
+        row(1, "https://d/madori/plan_1f.png", "間取り図 1F", "checked", True, 0.95), row(2, "https://d/madori/plan_2f.png", "間取り図 2F", "checked", True, 0.95), row(3, "https://d/madori/plan_1f.png?v=2", "間取り図 1F", "checked", True, 0.95),
+        row(4, "https://d/logo.png", "", None, None, None), row(5, "https://d/uploads/x.png", "", None, None, None), row(6, "https://d/known.png", "", None, None, None), row(7, "https://d/img/madori.png", "", "checked", False, 0.9),
+    ]
+    done = table(spark, [("x", "https://d/known.png")], "id string, image_url string")
+    r = curation.curated(table(spark, rows, s), done, done.limit(0))
+    assert sorted(x.id for x in r.accepted.collect()) == ["1", "2"]
+    assert {x.id: x.reason for x in r.rejected.collect()} == {"4": "hard-reject", "7": "not-a-plan"}
+    assert [x.id for x in r.review.collect()] == ["5"]
+    plan = r.plans.collect()
+    assert len(plan) == 1 and plan[0].n_images == 2 and plan[0].floors == "2階建"
+    q = r.stats.first()
+    assert (q.candidates, q.accepted, q.rejected, q.review, q.rate, q.quality) == (7, 2, 2, 1, 0.286, "medium")
