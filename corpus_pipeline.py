@@ -14,6 +14,7 @@ from curavine.llm import exact_dedup as exact
 from curavine.llm import language, packing
 from curavine.llm import near_dedup as near
 from curavine.llm.common import ROW_KEY, materialise, with_row_key
+from curavine.session import find_package
 
 #: Percent of their five-word shingles that near-duplicates share at least.
 NEAR_PERCENT = 80
@@ -26,21 +27,25 @@ def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: without letters, or far from every language."""
+    find_package(spark)
     return language.keep_known(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest id."""
+    find_package(spark)
     return _kept(docs, exact.exact_dedup(docs).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
+    find_package(spark)
     return _kept(docs, near.near_dedup(docs, percent=NEAR_PERCENT).where("keeps_row"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens."""
+    find_package(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
