@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_core as tc
-from .common import ROW_KEY, connected_components, materialise, shuffle_partitions, small_batches, with_row_key
+from .common import ROW_KEY, connected_components, discard, materialise, shuffle_partitions, small_batches, with_row_key
 
 SHINGLE_WORDS = 5
 #: 40 bands of 8 registers: a pair of similarity 0.85 is missed with a probability of 3e-6, 0.8 with 6e-4.
@@ -242,6 +242,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, k: int):
         self.percent, self.k = percent, k
+        self.passing: list[DataFrame] = []
         self.base = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")))
         schema = f"{ROW_KEY} long, id {self.base.schema['id'].dataType.simpleString()}, n long, sig binary, sketch binary"
         self.rows = materialise(self.base.select(ROW_KEY, "id", "t").mapInArrow(_profile(k), schema), "profiles")
@@ -251,7 +252,12 @@ class _Search:
         )
         first = first.select("sig", F.col("head")["id"].alias("rep"), F.coalesce(F.col("head")[ROW_KEY], "any_row").alias("first_row"), "n", "sketch")
         self.classes = materialise(first.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-        self.members = materialise(self.classes.select("cid", "sketch").mapInArrow(_bands, "cid long, band long"), "bands")
+        self.members = self._written(self.classes.select("cid", "sketch").mapInArrow(_bands, "cid long, band long"), "bands")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that components() deletes once it is done."""
+        self.passing.append(materialise(df, name))
+        return self.passing[-1]
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a < b) whose estimates and then full sets are similar enough."""
@@ -265,14 +271,14 @@ class _Search:
         """(cid, full set) of the classes; only their texts are read again."""
         used = used.join(self.classes.select("cid", F.col("first_row").alias(ROW_KEY)), "cid")
         texts = self.base.select(ROW_KEY, "t").join(used, ROW_KEY).select("cid", "t")
-        return materialise(texts.mapInArrow(_full_sets(self.k), "cid long, set binary"), "sets")
+        return self._written(texts.mapInArrow(_full_sets(self.k), "cid long, set binary"), "sets")
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
         """Those of the pairs whose full sets are similar enough."""
-        likely = materialise(likely, "likely")
+        likely = self._written(likely, "likely")
         sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         both = likely.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-        return materialise(both.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a long, b long"), "links")
+        return self._written(both.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a long, b long"), "links")
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that have links.
@@ -284,22 +290,25 @@ class _Search:
         checked on full sets. Pairs are compared in cells of bounded size and never become rows.
         """
         ends = self.members.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-        shared = materialise(self.members.join(ends, "band"), "buckets")
+        shared = self._written(self.members.join(ends, "band"), "buckets")
         star = shared.select("cid", F.explode(F.array("lo", "hi")).alias("other")).where("cid != other")
-        star = materialise(star.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "star")
+        star = self._written(star.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "star")
         found = self.links(star)
-        comps = materialise(connected_components(found), "components")
+        comps = self._written(connected_components(found), "components")
         place = self.classes.select("cid", "n", "sketch").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-        place = materialise(place.select("cid", F.coalesce("component", "cid").alias("comp"), "n", "sketch"), "placed")
-        at = materialise(shared.select("band", "cid").join(place.select("cid", "comp"), "cid"), "placed")
+        place = self._written(place.select("cid", F.coalesce("component", "cid").alias("comp"), "n", "sketch"), "placed")
+        at = self._written(shared.select("band", "cid").join(place.select("cid", "comp"), "cid"), "placed")
         mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
         at = at.join(mixed, "band").select("band", "cid").join(place, "cid").withColumn("set", F.lit(None).cast("binary"))
         ties = _cells(at, "band").mapInArrow(_tied(self.percent, exact=False), "a long, b long").distinct()
-        clusters = materialise(connected_components(ties), "clusters").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
-        inside = materialise(place.join(clusters, "comp"), "clustered")
+        clusters = self._written(connected_components(ties), "clusters").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+        inside = self._written(place.join(clusters, "comp"), "clustered")
         inside = inside.join(self.sets(inside.select("cid")), "cid")
         more = _cells(inside, "cluster").mapInArrow(_tied(self.percent, exact=True), "a long, b long")
-        return connected_components(found.union(more))
+        labels = connected_components(found.union(more))
+        for table in self.passing:
+            discard(table)
+        return labels
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
