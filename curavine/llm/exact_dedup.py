@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, materialise, with_row_key
+from .common import ROW_KEY, discard, materialise, with_row_key
 
 #: Bytes of a block. Larger blocks need fewer rounds of pairing, smaller ones less memory for a row.
 BLOCK_BYTES = 8192
@@ -25,7 +25,7 @@ def _names(parts: DataFrame, key: list[str], value: list[str], level: str) -> Da
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row's (row key, id, text_sha256, level, name): texts are equal where level and name are.
+    """Each row's (row key, id, text_sha256, level, name), as a table: texts are equal where level and name are.
 
     Null text counts as empty, an empty text is one empty block. Ids may be null or repeat; other
     columns of docs are ignored, whatever their names.
@@ -50,12 +50,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     hashed = base.select(ROW_KEY, "id", F.sha2("raw", 256).alias("text_sha256"), cut(lambda b: stand_in(b)).alias("hs"))
     rows = materialise(hashed, "rows")
+    passing = [names, rows]
     parts = rows.select(ROW_KEY, F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h")).select(ROW_KEY, "n", "pos", "h.h1", "h.h2")
     named = parts.join(names, ["h1", "h2"]).select(ROW_KEY, "n", "pos", "name")
     done, level = [], 0
     longest = rows.agg(F.max(F.size("hs"))).first()[0] or 1
     while True:
         named = materialise(named, f"level-{level}")
+        passing.append(named)
         done.append(named.where("n = 1").select(ROW_KEY, F.lit(level).alias("level"), "name"))
         if longest <= 1:
             break
@@ -67,11 +69,15 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         pairs = materialise(pairs, f"pairs-{level}")
         both = _names(pairs, ["l", "r"], ["l", "r"], f"pairs-{level}")
+        passing += [pairs, both]
         named = pairs.join(both, ["l", "r"]).select(ROW_KEY, F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name")
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    return rows.select(ROW_KEY, "id", "text_sha256").join(found, ROW_KEY)
+    out = materialise(rows.select(ROW_KEY, "id", "text_sha256").join(found, ROW_KEY), "identities")
+    for table in passing:
+        discard(table)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -81,7 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stays; of repeated rows with that id, the one that the scan numbers first. Rows without an id
     stay only if no equal text has one. An empty table gives no rows.
     """
-    ids = materialise(identities(docs, id_col, text_col, block_bytes), "identities")
+    ids = identities(docs, id_col, text_col, block_bytes)
     groups = ids.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"),
         F.max(F.struct(F.col("id"), (-F.col(ROW_KEY)).alias("order"))).alias("top"),
