@@ -18,7 +18,7 @@ def scratch_dir(spark: SparkSession) -> str:
     The cluster names it in spark.checkpoint.dir. Only a local session without that setting gets a
     folder of its own; elsewhere a missing setting is an error, as a machine's folder isn't shared.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
