@@ -21,6 +21,8 @@ from .text_core import SLICE_BYTES
 FEATURES = 4096
 #: Labelled texts of each language that the model is fitted on, about: a documented bound of the fit.
 SAMPLE_PER_LANGUAGE = 400
+#: Languages that are learned at most, the most common labels: a bound of the fit as well.
+LANGUAGES = 512
 CENTROIDS, ROUNDS = 4, 12
 #: Texts of a language are rejected below this share of the cosine that all but one in a hundred of its
 #: training texts reach.
@@ -119,7 +121,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id")).where("lang is not null and t is not null")
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.select("lang").groupBy("lang").count().collect()}
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in common.collect()}
     if not share:
         return Centroids(np.zeros((0, FEATURES), np.float32), [])
     steps = 1 << 30
