@@ -27,8 +27,10 @@ from .text_core import SLICE_BYTES
 SPACE = "▁"
 #: Parts of more symbols than this go to the heap.
 LONG = 48
-#: Parts that a Python worker remembers from batch to batch.
-REMEMBERED = 400_000
+#: Short parts that are worked off together: their arrays stay in a processor's cache.
+TOGETHER = 10_000
+#: Parts of a generation that a Python worker remembers; the one before is kept as well.
+REMEMBERED = 300_000
 _PARTS = re.compile(r" +[^ ]*")
 _NONE = np.int64(1 << 40)
 
@@ -48,6 +50,7 @@ class Pieces:
         if lib.decode(lib.encode(probe)) != probe or lib.encode("") != []:
             raise ValueError("the model normalises texts; this encoder takes the identity only")
         self.end = lib.eos_id()
+        self.id_text = [str(i) for i in range(self.size)]
         self.byte_id = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.by_text = {text[i]: i for i in plain}
         # symbols that aren't pieces get numbers after the pieces, as they may be part of one
@@ -79,7 +82,8 @@ class Pieces:
         self.as_bytes = [t.replace(SPACE, " ").encode() if kinds[i] == 0 else b"" for i, t in enumerate(text)]
         for b, i in enumerate(self.byte_id):
             self.as_bytes[i] = bytes([b])
-        self.seen: dict[str, tuple[str, int, str]] = {}
+        self.seen: dict[str, tuple[str, str]] = {}
+        self.before: dict[str, tuple[str, str]] = {}
 
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
         """Ids of each part, its spaces written as in the text."""
@@ -90,8 +94,9 @@ class Pieces:
                 short.append(i)
             else:
                 out[i] = self._by_heap(p.replace(" ", SPACE))
-        for at in range(0, len(short), 50_000):
-            some = short[at : at + 50_000]
+        short.sort(key=lambda i: len(parts[i]))  # parts of like lengths are done at about the same time
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
             for i, ids in zip(some, self._together([parts[i].replace(" ", SPACE) for i in some])):
                 out[i] = ids
         return out
@@ -200,8 +205,11 @@ class Pieces:
     def learn(self, parts: list[str]) -> None:
         """Encode parts that aren't known yet and check them against the library."""
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+            self.before, self.seen = self.seen, {}
         parts = [p for p in parts if p not in self.seen]
+        again = [p for p in parts if p in self.before]
+        self.seen.update(zip(again, map(self.before.__getitem__, again)))
+        parts = [p for p in parts if p not in self.before]
         ids = self.encode_parts(parts)
         plain = [p[1:] for p in parts]
         # the library puts a space before a text itself, but none before an empty one
@@ -213,7 +221,7 @@ class Pieces:
         if [b[1:] for b in back] != self.library.decode(ids):
             raise AssertionError("decoding differs from the library's")
         for p, x, b in zip(parts, ids, back):
-            self.seen[p] = " ".join(map(str, x)), len(x), b
+            self.seen[p] = " ".join(map(self.id_text.__getitem__, x)), b
 
 
 def parts_of(text: str) -> list[str]:
@@ -246,9 +254,10 @@ def _digests(path: str):
                 seen = model.seen.__getitem__
                 for own in cut:
                     known = list(map(seen, own))
-                    n_out.append(sum(k[1] for k in known) + 1)
-                    ids_out.append(hashlib.sha256(" ".join([*(k[0] for k in known), str(model.end)]).encode()).hexdigest())
-                    text_out.append(hashlib.sha256("".join([k[2] for k in known])[1:].encode()).hexdigest())
+                    line = " ".join([*[k[0] for k in known], model.id_text[model.end]])
+                    n_out.append(line.count(" ") + 1)
+                    ids_out.append(hashlib.sha256(line.encode()).hexdigest())
+                    text_out.append(hashlib.sha256("".join([k[1] for k in known])[1:].encode()).hexdigest())
                 at = end
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_out, pa.int64()), pa.array(ids_out, pa.string()), pa.array(text_out, pa.string())],
