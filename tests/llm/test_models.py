@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -87,6 +88,37 @@ def test_language_does_not_read_labels_of_held_out_rows(spark):
     assert language.fit(clashing(spark, other)).languages == model.languages == ["en"]
 
 
+def many_languages(labels, texts):
+    """Rows of invented languages, each with 40 words of its own."""
+    rows = []
+    for k in range(labels):
+        rng = np.random.default_rng(k)
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)]
+        rows += [(k * texts + i, " ".join(rng.choice(words, 60)), f"x{k:04}") for i in range(texts)]
+    return rows
+
+
+def test_every_language_is_learned(spark):
+    rows = many_languages(600, 6)
+    docs = clashing(spark, rows)
+    model = language.fit(docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(learned) > 590 and model.languages == sorted(learned)
+    of = {i: lang for i, _, lang in rows}
+    got = [r for r in language.identify(docs, model=model).collect() if of[r.doc_id] in learned]
+    unseen = [r for r in got if r.held_out]
+    assert len(unseen) > 1000 and sum(r.lang_pred == of[r.doc_id] for r in unseen) > 0.98 * len(unseen)
+    assert not any(r.rejected for r in got)
+
+
+def test_long_texts_of_languages_with_few_short_ones_are_kept(spark):
+    rows = [(i, t[:80], lang) for i, t, lang in many_languages(40, 6)]
+    model = language.fit(clashing(spark, rows))
+    long = [(10_000 + i, " ".join(x for j, x, y in many_languages(40, 6) if y == lang), lang) for i, lang in enumerate(model.languages)]
+    got = language.identify(clashing(spark, long), model=model).collect()
+    assert [r.lang_pred for r in got] == model.languages and not any(r.rejected for r in got)
+
+
 def test_chat_matches_sql(spark, sf, duck):
     same(queries.op9_chat_format(spark, sf), duck.execute(queries.oracle_sql()["op9_chat_format"]))
 
