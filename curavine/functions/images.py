@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote, urljoin, urlsplit
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType,
 from .. import rules
 
 _IMG = re.compile(r"<(img|source)\b[^>]*>|url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", re.I | re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_ATTR = re.compile(r"([a-zA-Z_:@][-a-zA-Z0-9_:.@]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
+#: Between the pictures of a srcset. A comma within a URL, as of an image server's options, parts nothing.
+_NEXT = re.compile(r",\s+|,(?=https?:|\.{0,2}/)|(?:(?<=\d[wx])|(?<=\.(?:jpg|png|gif))|(?<=\.(?:jpeg|webp))),", re.I)
 _EXT = re.compile(r"\.(?:jpe?g|png|webp|gif)(?:$|[?#])", re.I)
 #: Elements that hold a picture's context, from the most to the least telling, and the longest that counts.
 ENCLOSING, LONGEST, AROUND = ("figure", "article", "li", "section", "div"), 8000, 1200
@@ -51,10 +54,20 @@ def _plain(markup: str) -> str:
     return " ".join(re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", markup)).split())
 
 
+def _attributes(tag: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(tag)}
+
+
+def _srcset(value: str) -> list[tuple[str, str]]:
+    """(URL, descriptor) of a srcset's pictures; data URLs, whose commas are their own, are left out."""
+    parts = [p.split() for p in _NEXT.split(re.sub(r"(?i)(?:^|(?<=[\s,]))data:\S*(?:\s+[\d.]+[wx])?", "", value))]
+    return [(p[0].strip(","), p[1] if len(p) > 1 else "") for p in parts if p and p[0].strip(",")]
+
+
 def pictures(page: str | None) -> Iterator[tuple]:
     """(position, url, alt, title, width, height, caption, context) of a page's pictures, each URL once.
 
-    src, lazy-loading attributes and srcset of img and source elements and url() of styles count; data URLs don't.
+    src, lazy-loading and background attributes, quoted or not, and srcset of img and source elements and url() of styles count; data URLs don't.
     """
     page, seen = page or "", set()
     for m in _IMG.finditer(page):
@@ -63,11 +76,10 @@ def pictures(page: str | None) -> Iterator[tuple]:
         if m[2]:
             urls = [m[2]] if _EXT.search(m[2]) else []
         else:
-            for k, a, b in _ATTR.findall(m[0]):
-                attrs[k.lower()] = a or b
-            urls = [attrs[k] for k in ("src", "data-src", "data-original", "data-lazy-src") if attrs.get(k)]
+            attrs = _attributes(m[0])
+            urls = [attrs[k].split()[0] for k in ("src", "data-src", "data-original", "data-lazy-src", "data-large_image", "data-bg", "data-background-image") if attrs.get(k, "").split()]
             for k in ("srcset", "data-srcset"):
-                urls += [p.split()[0] for p in re.split(r",\s+", attrs.get(k, "")) if p.split()]
+                urls += [url for url, _ in _srcset(attrs.get(k, ""))]
         for url in urls:
             if url in seen or url.startswith("data:"):
                 continue
@@ -86,6 +98,154 @@ class HtmlPictures:
         yield from pictures(page)
 
 
+_CRAWLED = _struct(position=_INT, url=_TEXT, kind=_TEXT, alt=_TEXT, review=_FLAG, score=_INT)
+#: Attributes of an img element that the crawl takes a picture's URL from, in this order.
+CRAWLED = (
+    "src", "data-src", "data-original", "data-lazy", "data-lazy-src", "data-original-src", "data-bg", "data-background", "data-bg-src", "data-lazy-background", "data-src-mobile",
+    "data-src-pc",
+)
+_LINKED = re.compile(r"<a\b[^>]*href\s*=\s*([\"']?)([^\"'\s>]+)\1[^>]*>(.*?)</a>", re.I | re.S)
+_STYLED = re.compile(r"url\(([\"']?)([^\"')]+\.(?:png|jpe?g|webp|gif)(?:\?[^\"')]+)?)\1\)", re.I)
+_QUOTED = re.compile(r"[\"']((?:(?:https?:)?//|/|\.\.?/)[^\"'\s)]+?\.(?:png|jpe?g|webp|gif)(?:\?[^\"'\s)]*)?)[\"']", re.I)
+_IMAGE_URL = re.compile(r"\.(?:png|jpe?g|webp|gif)(?:[?#].*)?$", re.I)
+
+
+def _has(pattern: str, value: str) -> bool:
+    return re.search(pattern, value, re.I) is not None
+
+
+def _decoded(value: str) -> str:
+    for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x2F;", "/")):
+        value = value.replace(name, char)
+    return value
+
+
+def _stripped(markup: str) -> str:
+    return re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ", markup))
+
+
+def _meta(page: str, name: str) -> str:
+    q = re.escape(name)
+    m = re.search(rf"<meta[^>]+(?:property|name)=[\"']{q}[\"'][^>]+content=[\"']([^\"']+)", page, re.I) or re.search(rf"<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+(?:property|name)=[\"']{q}[\"']", page, re.I)
+    return _decoded(m[1]) if m else ""
+
+
+def _element(page: str, name: str) -> str:
+    m = re.search(rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", page)
+    return _decoded(_stripped(m[1])) if m else ""
+
+
+def _absolute(link: str, base: str) -> str:
+    link = link.strip()
+    if not link or link.startswith("#") or _has("^(?:data|javascript):", link):
+        return ""
+    try:
+        url = urljoin(base, link)
+        return quote(url, safe="%!#$&'()*+,/:;=?@[]~|^\\") if urlsplit(url).scheme and urlsplit(url).netloc else ""
+    except ValueError:
+        return ""
+
+
+def _number(value: str | None) -> float:
+    try:
+        return float(value or 0)
+    except ValueError:
+        return 0.0
+
+
+def article_thumbnail(signal: str) -> bool:
+    return _has(rules.ARTICLE_URL, signal) and _has(rules.ARTICLE_TITLE, signal) and not _has(rules.ARTICLE_PLAN, signal)
+
+
+def _strong(alt: str, file: str, parent: str) -> bool:
+    if _has(rules.PLAN_ALT, alt) or all(_has(p, alt) for p in rules.PLAN_ALT_PAIR):
+        return True
+    own = f"{alt} {file}"
+    return _has(rules.CRAWL_PLAN_FILE, own) or (_has(rules.PLAN_FOLDER[0], f"{parent}/{file}") and _has(rules.PLAN_FOLDER[1], own))
+
+
+def _outside(signal: str) -> bool:
+    feature = _has(rules.FEATURE_PICTURE, signal) and not _has(rules.FEATURE_PLAN, signal)
+    return _has(rules.SITE_PHOTO + r"\.(?:jpe?g|png|webp)", signal) or feature or _has(rules.OUTSIDE, signal)
+
+
+def crawled_pictures(page: str | None, page_url: str, contextual: bool = False, loose: bool = False, most: int | None = None) -> list[tuple]:
+    """(position, url, kind, alt, review, score) of a page's pictures as the crawl sees them, the best score first.
+
+    Sources: og:image or twitter:image, img and source elements with their lazy-loading attributes, links to
+    picture files, url() of styles and quoted picture files, as in scripts. Each URL counts once. Decorative
+    pictures, article thumbnails and photos labelled as rooms are left out. contextual lets the first content
+    picture of a page about plans be one if its names say so; loose does so for early content pictures of such
+    pages without the names and marks them for review. most keeps the best ones only.
+    """
+    page, found, seen, content = page or "", [], set(), 0
+    title = next((t for t in (" ".join(x.split()) for x in (_meta(page, "og:title"), _meta(page, "twitter:title"), _element(page, "h1"), _element(page, "title"))) if t), "")
+    about = f"{title} {page_url} {' '.join(_decoded(_stripped(page)).split())[: rules.CRAWL_PAGE_CHARS]}"
+    contextual, loose = contextual and _has(rules.CRAWL_PAGE, about), loose and _has(rules.CRAWL_EXPLICIT_PAGE, about)
+
+    def add(link: str, alt: str = "", width: float = 0, height: float = 0, index: int | None = None, literal: bool = False) -> None:
+        url = _absolute(link, page_url)
+        if not url or url in seen:
+            return
+        alt = _decoded(alt)
+        path = [p for p in unquote(urlsplit(url).path).split("/") if p]
+        file, parent = (path[-1] if path else ""), (path[-2] if len(path) > 1 else "")
+        signal = f"{alt} {'/'.join(path[-3:])}"
+        if _has(rules.ROOM_LABEL, signal):
+            return
+        strong = _strong(alt, file, parent)
+        kind = "other"
+        if not article_thumbnail(signal):
+            kind = "exterior" if _outside(signal) else "floorplan" if strong else next((k for k, p in rules.KINDS if _has(p, signal)), "other")
+        large = width >= rules.CRAWL_CONTENT_SIZE[0] or height >= rules.CRAWL_CONTENT_SIZE[1]
+        shown = bool(_IMAGE_URL.search(url)) and not _has(rules.NO_CONTENT_URL, url) and (_has(rules.CONTENT_URL, url) or large or literal)
+        review = False
+        if kind == "other" and shown and contextual and index == 0 and strong and (not alt.strip() or _has(rules.GENERIC_ALT, alt)):
+            kind = "floorplan"
+        if kind == "other" and shown and loose and (index or 0) <= rules.LAST_LOOSE and (_has(rules.CRAWL_PLAN, signal) or not _has(rules.PHOTO_SIGNAL, signal)):
+            kind, review = "floorplan", True
+        if _has(r"\.svg(?:\?|$)", url) or article_thumbnail(signal) or _has(rules.DECORATIVE, signal):
+            return
+        seen.add(url)
+        score = rules.KIND_SCORES.get(kind, 0) + sum(w for p, w in rules.CRAWL_WORD_SCORES if _has(p, signal)) + (rules.LOOSE_SCORE if review else 0)
+        found.append((url, kind, alt, review, score))
+
+    def widest(value: str) -> list[str]:
+        rank = lambda d: _number(d[:-1]) * (1000 if d[-1:] in "xX" else 1)
+        return [url for url, _ in sorted(_srcset(value), key=lambda p: -rank(p[1]))]
+
+    add(_meta(page, "og:image") or _meta(page, "twitter:image"), "OG画像")
+    for m in re.finditer(r"<img\b[^>]*>", page, re.I):
+        a = {k: _decoded(v) for k, v in _attributes(m[0]).items()}
+        alt = next((a[k] for k in ("alt", "title", "aria-label", "class", "id") if a.get(k)), "")
+        width, height, index = _number(a.get("width")), _number(a.get("height")), None
+        if width >= rules.CRAWL_CONTENT_SIZE[0] or height >= rules.CRAWL_CONTENT_SIZE[1] or _has("wp-image|content|main|floor|plan|madori", alt):
+            index, content = content, content + 1
+        for link in [*(a.get(k, "") for k in CRAWLED), *widest(a.get("srcset", "")), *widest(a.get("data-srcset", ""))]:
+            add(link, alt, width, height, index)
+    for m in re.finditer(r"<source\b[^>]*>", page, re.I):
+        a = {k: _decoded(v) for k, v in _attributes(m[0]).items()}
+        for link in widest(a.get("srcset") or a.get("data-srcset") or ""):
+            add(link, a.get("alt") or a.get("title") or "")
+    for m in _LINKED.finditer(page):
+        if _IMAGE_URL.search(_decoded(m[2])):
+            add(_decoded(m[2]), _stripped(m[3]))
+    for m in _STYLED.finditer(page):
+        add(m[2], "背景画像")
+    for m in _QUOTED.finditer(page):
+        add(m[1], _stripped(page[max(0, m.start() - 240) : m.start() + 320]), index=content, literal=True)
+        content += 1
+    return [(i + 1, *f) for i, f in enumerate(sorted(found, key=lambda f: -f[4])[:most])]
+
+
+@F.udtf(returnType=_CRAWLED)
+class CrawledPictures:
+    """Table function over a page's markup and URL."""
+
+    def eval(self, page: str, page_url: str, contextual: bool = False, loose: bool = False):
+        yield from crawled_pictures(page, page_url or "", contextual, loose)
+
+
 def dimensions(data: bytes | None) -> tuple[int | None, int | None, str | None]:
     """Width, height and format from the header of a PNG, GIF, JPEG or WebP file; nulls for anything else."""
     none = None, None, None

@@ -133,6 +133,31 @@ def test_pictures_of_a_page(spark):
     assert spark.sql("SELECT url FROM html_pictures('<img src=\"z.png\">')").first()[0] == "z.png"
 
 
+def test_pictures_in_unquoted_and_further_attributes():
+    page = """<img src=a.jpg width=30><img data-large_image="b.jpg" data-bg='c.jpg'><img data-background-image="d.jpg" srcset="e.jpg 1x,f.jpg 2x,/w_3,h_4/g.jpg 3x">
+    <source srcset="h.webp,i.webp"><source srcset="data:image/png;base64,AAAA 1x, j.webp 2x">"""
+    rows = list(images.pictures(page))
+    assert [r[1] for r in rows] == ["a.jpg", "b.jpg", "c.jpg", "d.jpg", "e.jpg", "f.jpg", "/w_3,h_4/g.jpg", "h.webp", "i.webp", "j.webp"]
+    assert rows[0][4] == 30
+
+
+def test_crawled_pictures(spark):
+    page = """<meta property="og:image" content="/og.jpg"><h1>平屋の間取り</h1><img data-src-pc=/up/madori1.png alt="間取り図"><img data-lazy="/x/logo.png"><img data-bg="/k/kitchen.jpg">
+    <a href=/big/floor-plan_01.jpg>open</a><i style="background:url(/s/bg.gif)"></i><script>var u = "https://c.jp/img/q.webp";</script><img src=/r/1.jpg alt="家｜リビング ">
+    <img src=/blog/1.jpg alt="おすすめ">"""
+    got = {r[1]: r for r in images.crawled_pictures(page, "https://h.jp/p/")}
+    assert got.keys() == {"https://h.jp/og.jpg", "https://h.jp/up/madori1.png", "https://h.jp/k/kitchen.jpg", "https://h.jp/big/floor-plan_01.jpg", "https://h.jp/s/bg.gif", "https://c.jp/img/q.webp"}
+    best = got["https://h.jp/up/madori1.png"]
+    assert best[2] == "floorplan" and best[5] == 210 and got["https://h.jp/og.jpg"][5] == 0
+    assert [r[5] for r in got.values()] == sorted((r[5] for r in got.values()), reverse=True)
+    assert got["https://h.jp/k/kitchen.jpg"][2] == "interior" and got["https://h.jp/big/floor-plan_01.jpg"][2] == "floorplan"
+    plain = "<title>間取り</title><img src=/img/a.jpg width=500><img src=/img/photo.jpg width=500>"
+    assert [r[2:5] for r in images.crawled_pictures(plain, "https://h.jp/", loose=True)] == [("floorplan", "", True), ("other", "", False)]
+    assert images.crawled_pictures(None, "https://h.jp/") == []
+    spark.udtf.register("crawled_pictures", images.CrawledPictures)
+    assert spark.sql("SELECT url FROM crawled_pictures('<img src=z.png>', 'https://h.jp/')").first()[0] == "https://h.jp/z.png"
+
+
 def test_image_headers(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
     gif = b"GIF89a" + struct.pack("<HH", 3, 4) + b"\0\0"
