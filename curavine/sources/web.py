@@ -6,12 +6,13 @@ Fetching is no part of the engine: pages, answers and archive files come as tabl
 from __future__ import annotations
 
 import gzip
+import json
 import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import collapse_space, decode_references, first_filled, links, text
 from ..functions.url import unwrap
@@ -80,15 +81,34 @@ def answers(df: DataFrame, provider: str, column: str = "value") -> DataFrame:
     return rows.select(*(get(p).alias(n) for p, n in zip(paths, ("url", "page", "title", "thumbnail")))).where("url != ''")
 
 
-def topics(df: DataFrame, column: str = "value", levels: int = 3) -> DataFrame:
-    """(url, text) of a search answer's related topics, which may nest up to so many levels."""
-    level = df.select(F.explode(F.try_variant_get(F.try_parse_json(column), "$.RelatedTopics", "array<variant>")).alias("i"))
-    out = None
-    for _ in range(levels):
-        here = level.select(F.try_variant_get("i", "$.FirstURL", "string").alias("url"), F.try_variant_get("i", "$.Text", "string").alias("text")).where("url is not null")
-        out = here if out is None else out.union(here)
-        level = level.select(F.explode(F.try_variant_get("i", "$.Topics", "array<variant>")).alias("i"))
-    return out
+@F.pandas_udf(ArrayType(StructType().add("url", StringType()).add("text", StringType())))
+def _topics(answers: pd.Series) -> pd.Series:
+    def one(value: str | None) -> list[dict]:
+        try:
+            answer = json.loads(value or "")
+        except (ValueError, RecursionError):
+            return []
+        if not isinstance(answer, dict):
+            return []
+        shown = lambda x: x if isinstance(x, str) else ""
+        listed = lambda x: [i for i in x if isinstance(i, dict)] if isinstance(x, list) else []
+        found = [(answer.get("AbstractURL"), shown(answer.get("Heading")) or shown(answer.get("AbstractText")))]
+        found += [(i.get("FirstURL"), shown(i.get("Text"))) for i in listed(answer.get("Results"))]
+        left = listed(answer.get("RelatedTopics"))[::-1]
+        while left:
+            item = left.pop()
+            if isinstance(item.get("Topics"), list):
+                left += listed(item["Topics"])[::-1]
+            else:
+                found.append((item.get("FirstURL"), shown(item.get("Text"))))
+        return [{"url": u, "text": t} for u, t in found if isinstance(u, str) and u]
+
+    return answers.map(one)
+
+
+def topics(df: DataFrame, column: str = "value") -> DataFrame:
+    """(url, text) of a search answer's abstract, results and related topics, however deep these nest."""
+    return df.select(F.explode(_topics(F.col(column).cast("string"))).alias("i")).select("i.url", "i.text")
 
 
 def posts(df: DataFrame, column: str = "value") -> DataFrame:

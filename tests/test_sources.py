@@ -72,6 +72,12 @@ def test_answers(spark):
     assert web.answers(one({"items": [{"link": "l", "image": {"contextLink": "p"}}]}), "google").first().page == "p"
     nested = {"RelatedTopics": [{"FirstURL": "a", "Text": "A"}, {"Topics": [{"FirstURL": "b", "Text": "B"}]}]}
     assert sorted(r.url for r in web.topics(one(nested)).collect()) == ["a", "b"]
+    deep = {"FirstURL": "d", "Text": "D"}
+    for _ in range(5):
+        deep = {"Topics": [deep]}
+    whole = {"AbstractURL": "h", "Heading": "H", "Results": [{"FirstURL": "r", "Text": "R"}], "RelatedTopics": [deep]}
+    assert [tuple(r) for r in web.topics(one(whole)).collect()] == [("h", "H"), ("r", "R"), ("d", "D")]
+    assert web.topics(spark.createDataFrame([(None,), ("x",), ("[]",)], "value string")).count() == 0
     assert web.posts(one([{"link": "l", "title": {"rendered": "t"}}])).first().title == "t"
     text = spark.createDataFrame([('<a href="https://s/?uddg=https%3A%2F%2Fx.com">T</a> https://y.com/z',), ('[{"url":"https://j.com","title":"J"}]',)], "value string")
     assert {r.url: r.title for r in web.pasted(text).collect()}.keys() >= {"https://x.com", "https://y.com/z", "https://j.com"}
