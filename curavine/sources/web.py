@@ -121,11 +121,12 @@ def posts(df: DataFrame, column: str = "value") -> DataFrame:
 def pasted(df: DataFrame, column: str = "value") -> DataFrame:
     """Distinct (url, title) of pasted text: links of markup, a JSON list or object of results, and bare URLs."""
     v = F.try_parse_json(column)
-    listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.results", "array<variant>"), F.try_variant_get(v, "$.urls", "array<variant>"))
-    item = lambda i: F.struct(F.coalesce(F.try_variant_get(i, "$.url", "string"), F.try_variant_get(i, "$.link", "string"), F.try_variant_get(i, "$", "string")).alias("href"), F.coalesce(F.try_variant_get(i, "$.title", "string"), F.lit("")).alias("anchor"))
-    bare = F.transform(F.regexp_extract_all(text(column), F.lit(r"https?://[^\s\"'<>]+"), F.lit(0)), lambda u: F.struct(u.alias("href"), F.lit("").alias("anchor")))
     none = F.array().cast("array<struct<href:string,anchor:string>>")
-    every = F.concat(F.coalesce(F.transform(listed, item), none), links(column), bare)
+    first = lambda i, *paths: F.coalesce(*(F.nullif(F.try_variant_get(i, p, "string"), F.lit("")) for p in paths))
+    item = lambda i: F.struct(first(i, "$.url", "$.href", "$.link", "$").alias("href"), F.coalesce(first(i, "$.title", "$.text", "$.label"), F.lit("")).alias("anchor"))
+    listed = [F.coalesce(F.transform(F.try_variant_get(v, p, "array<variant>"), item), none) for p in ("$", "$.items", "$.links", "$.results", "$.urls")]
+    bare = F.transform(F.regexp_extract_all(text(column), F.lit(r"https?://[^\s\"'<>]+"), F.lit(0)), lambda u: F.struct(u.alias("href"), F.lit("").alias("anchor")))
+    every = F.concat(*listed, links(column), bare)
     rows = df.select(F.posexplode(every).alias("place", "l")).select("place", unwrap("l.href").alias("url"), F.col("l.anchor").alias("title")).where("url rlike '^https?://'")
     return rows.groupBy("url").agg(F.min_by("title", "place").alias("title"), F.min("place").alias("place"))
 

@@ -83,6 +83,12 @@ def test_answers(spark):
     assert {r.url: r.title for r in web.pasted(text).collect()}.keys() >= {"https://x.com", "https://y.com/z", "https://j.com"}
 
 
+def test_pasted_lists_and_fields(spark):
+    texts = ['{"items":[{"href":"https:\\/\\/a.com\\/x","text":"A"}]}', '{"links":[{"link":"https://b.com","label":"B"},"https:\\/\\/c.com"]}', '{"results":[{"url":"","href":"https://d.com","title":"","text":"D"}]}']
+    got = web.pasted(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert {r.url: r.title for r in got.collect()} == {"https://a.com/x": "A", "https://b.com": "B", "https://c.com": "", "https://d.com": "D"}
+
+
 def test_watermarks_and_processed(spark):
     rows = spark.createDataFrame([("a", "2020", 1), ("a", "2022", 2), ("b", "2019", 3), ("b", None, 4)], "k string, t string, id int")
     state = spark.createDataFrame([("a", "2020")], "k string, watermark string")
