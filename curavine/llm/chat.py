@@ -19,7 +19,7 @@ _KINDS = {"string": "STRING", "integer": "BIGINT", "number": "DECIMAL|DOUBLE|FLO
 
 
 def items(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, kind, role, id, name, arguments, content) of messages, calls and results.
+    """(conv_id, turn, role, place, kind, id, name, arguments, content) of messages, calls and results; place is theirs in their message.
 
     A text that isn't the JSON described above is plain content. Null texts count as empty, null roles as
     "unknown". Messages of an unknown conversation or turn are kept, but have no ids and link with nothing.
@@ -54,7 +54,7 @@ def items(conversations: DataFrame) -> DataFrame:
         .when(F.col("role") == "assistant", F.array(item("result", plain_id(F.col("turn") - 1), none, none, F.col("text"))))
         .otherwise(F.array(item("message", none, none, none, F.col("text"))))
     )
-    return m.select("conv_id", "turn", "role", F.explode(one).alias("i")).select("conv_id", "turn", "role", "i.*")
+    return m.select("conv_id", "turn", "role", F.posexplode(one).alias("place", "i")).select("conv_id", "turn", "role", "place", "i.*")
 
 
 def problems(schemas: dict) -> Column:
@@ -93,13 +93,17 @@ def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFr
     Calls and results of a conversation are joined by identifier. status is answered, open or ambiguous
     (its id occurs on several calls or results) for calls, linked, orphan or ambiguous for results and plain
     for messages. Ordered by (order_turn, order_step), each call comes before its result, as it does by
-    turn alone unless a result stands in its call's turn or an earlier one. valid tells whether the
+    turn alone unless a result stands in its call's turn or an earlier one; an ambiguous result comes behind
+    the first call of its id. Items of one message keep their order. valid tells whether the
     arguments meet the tool's schema. json has its keys in alphabetical order and no white space; keys
     without a value are left out. Repeated rows are kept; an empty table gives no rows.
     """
     own = materialise(items(conversations), "chat-items")
+    wide = lambda turn: F.col(turn).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    ordinal = wide("turn") + F.col("place")  # one number, as the least struct would need a sort
     ids = own.where("id is not null and conv_id is not null").groupBy("conv_id", "id")
-    ids = ids.agg(F.count_if(F.col("kind") == "call").alias("calls"), F.count_if(F.col("kind") == "result").alias("results"), F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"))
+    ids = ids.agg(F.count_if(F.col("kind") == "call").alias("calls"), F.count_if(F.col("kind") == "result").alias("results"), F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"), F.min(F.when(F.col("kind") == "call", ordinal)).alias("first"))
+    ids = ids.select("conv_id", "id", "calls", "results", "call_turn", (F.col("first") - wide("call_turn")).cast("int").alias("call_place"))
     own = own.join(materialise(ids, "chat-ids"), ["conv_id", "id"], "left")
     twice = (F.col("calls") > 1) | (F.col("results") > 1)
     status = (
@@ -108,7 +112,7 @@ def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFr
         .otherwise(F.when(F.col("calls") == 1, "linked").otherwise("orphan"))
     )
     own = own.withColumn("status", status).withColumn("problems", problems(SCHEMAS if schemas is None else schemas))
-    late = (F.col("kind") == "result") & (F.col("status") == "linked") & (F.col("turn") <= F.col("call_turn"))
+    late = (F.col("kind") == "result") & F.col("status").isin("linked", "ambiguous") & (F.col("turn") <= F.col("call_turn"))
     line = F.to_json(
         F.struct(
             F.try_parse_json("arguments").alias("arguments"), F.col("content").alias("content"), F.col("conv_id").alias("conversation"), "id", F.col("kind").alias("kind"),
@@ -116,6 +120,6 @@ def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFr
         )
     )
     return own.select(
-        "conv_id", "turn", F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, 1).otherwise(0).alias("order_step"),
+        "conv_id", "turn", F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, F.col("call_place") * 2 + 1).otherwise(F.col("place") * 2).alias("order_step"),
         "kind", "id", "status", (F.size("problems") == 0).alias("valid"), F.array_join("problems", "; ").alias("problems"), line.alias("json"),
     )

@@ -135,6 +135,14 @@ def chats(spark, rows, schemas=None):
     return chat.format_chat(spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], CHAT), schemas)
 
 
+def test_items_of_a_message_keep_their_order(spark):
+    calls = '{"tool_calls":[{"id":"b","name":"add"},{"id":"a","name":"add"},{"id":"c","name":"add"}],"content":"hm"}'
+    rows = [(1, 3, "assistant", calls), (1, 2, "tool", '{"tool_call_id":"a"}'), (1, 2, "tool", '{"tool_call_id":"a"}'), (1, 1, "tool", '{"tool_call_id":"c"}')]
+    got = sorted((r.order_turn, r.order_step, r.kind, r.id, r.status) for r in chats(spark, rows).collect())
+    assert [g[2:4] for g in got] == [("call", "b"), ("call", "a"), ("result", "a"), ("result", "a"), ("call", "c"), ("result", "c"), ("message", None)]
+    assert {g[0] for g in got} == {3} and got[2][4] == "ambiguous"
+
+
 def test_tool_calls_are_linked_ordered_and_checked(spark):
     schemas = {"add": {"x": {"type": "number", "required": True}, "y": {"type": "integer", "required": True, "maximum": 1}, "how": {"type": "string", "enum": ["fast", "slow"]}}}
     calls = '{"tool_calls":[{"id":"a","name":"add","arguments":{"y":2,"x":1.50}},{"id":"b","name":"add","arguments":"{\\"x\\":\\"q\\",\\"how\\":\\"odd\\"}"},{"id":"c","name":"zap","arguments":5},{"id":"d","name":"add","arguments":{"y":1,"x":3}}],"content":"hm"}'
