@@ -51,10 +51,15 @@ def discard(df: DataFrame) -> None:
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """Number the rows of a scan. Equal scans of the same files number them alike."""
+    """Number the rows. The numbers hold within one job only: another scan of the same files may number them otherwise."""
     return df.withColumn(ROW_KEY, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, name: str = "numbered") -> DataFrame:
+    """df with row keys, as a written table: every later read, by whatever executors, finds the same keys."""
+    return materialise(with_row_key(df), name)
+
+
 def small_batches(batches, rows: int = 1024):
     """Arrow batches in slices: what Python holds of one at a time stays small."""
     for batch in batches:

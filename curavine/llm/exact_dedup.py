@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, discard, materialise, with_row_key
+from .common import ROW_KEY, discard, materialise
 
 #: Bytes of a block. Larger blocks need fewer rounds of pairing, smaller ones less memory for a row.
 BLOCK_BYTES = 8192
@@ -24,17 +24,19 @@ def _names(parts: DataFrame, key: list[str], value: list[str], level: str) -> Da
     return materialise(chosen.select(*key, F.monotonically_increasing_id().alias("name")), f"names-{level}")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, key_col: str | None = None) -> DataFrame:
     """Each row's (row key, id, text_sha256, level, name), as a table: texts are equal where level and name are.
 
     Null text counts as empty, an empty text is one empty block. Ids may be null or repeat; other
-    columns of docs are ignored, whatever their names.
+    columns of docs are ignored, whatever their names. key_col names a column of a written table that
+    numbers its rows; without it, rows are numbered in the one job that writes the identities' rows.
 
     A block travels as two 64-bit hashes once it has a name. The names table tells whether two distinct
     blocks share both hashes; then the hashing is repeated with another salt, so the stand-in is exact.
     """
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER).cast("binary")
-    base = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col))).select(ROW_KEY, "id", text.alias("raw"))
+    key = F.monotonically_increasing_id() if key_col is None else F.col(key_col)
+    base = docs.select(key.alias(ROW_KEY), F.col(id_col).alias("id"), text.alias("raw"))
 
     def cut(make) -> Column:
         """make(block) for each block. The text is a lambda's argument, so that it is lower-cased once only."""
@@ -48,6 +50,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = _names(blocks.select(stand_in(F.col("block")).alias("h"), "block").select("h.*", "block"), ["h1", "h2"], ["block"], "blocks")
         if names.groupBy("h1", "h2").count().where("count > 1").isEmpty():
             break
+        discard(names)
+    else:
+        raise RuntimeError("no salt tells all distinct blocks apart")
     hashed = base.select(ROW_KEY, "id", F.sha2("raw", 256).alias("text_sha256"), cut(lambda b: stand_in(b)).alias("hs"))
     rows = materialise(hashed, "rows")
     passing = [names, rows]
@@ -80,14 +85,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, key_col: str | None = None) -> DataFrame:
     """One row per row of docs: row key, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest
-    id stays; of repeated rows with that id, the one that the scan numbers first. Rows without an id
+    id stays; of repeated rows with that id, the one that is numbered first. Rows without an id
     stay only if no equal text has one. An empty table gives no rows.
     """
-    ids = identities(docs, id_col, text_col, block_bytes)
+    ids = identities(docs, id_col, text_col, block_bytes, key_col)
     groups = ids.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"),
         F.max(F.struct(F.col("id"), (-F.col(ROW_KEY)).alias("order"))).alias("top"),

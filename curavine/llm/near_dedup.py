@@ -4,13 +4,12 @@ Each distinct text's word shingles are hashed once. The hash picks a bucket; of
 remaining hash, a register keeps the number of leading zeros and the mantissa bits that follow. Empty
 buckets borrow from filled ones, so that short texts have full sketches. Bands of registers give the
 candidate pairs, an estimate of the Jaccard similarity, corrected for accidental collisions of registers,
-drops the hopeless ones, and the full shingle sets decide.
+drops the hopeless ones, and the full sets of true shingles, without any hash, decide.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_core as tc
-from .common import ROW_KEY, connected_components, discard, materialise, shuffle_partitions, small_batches, with_row_key
+from .common import ROW_KEY, connected_components, discard, materialise, numbered, shuffle_partitions, small_batches
 
 SHINGLE_WORDS = 5
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: 40 bands of 8 registers: a pair of similarity 0.85 is missed with a probability of 3e-6, 0.8 with 6e-4.
 BANDS, ROWS_PER_BAND = 40, 8
 REGISTERS = BANDS * ROWS_PER_BAND
@@ -102,22 +102,14 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((same - by_chance) / (1 - by_chance), 0, 1)
 
 
-def _sets(texts: list[str | None], k: int):
-    """(first index, sorted distinct shingles, their number) for slices of the texts."""
-    for at, raw in tc.slices(texts):
-        words, counts = tc.word_hashes(raw)
-        yield at, *tc.distinct(*tc.shingles(words, counts, k))
-
-
 def _profile(k: int):
     def run(batches):
         for batch in small_batches(batches):
-            for at, values, counts in _sets(batch.column(2).to_pylist(), k):
-                regs = sketch(values, counts)
-                ends = np.cumsum(counts)
-                sig = [hashlib.blake2b(values[e - c : e].tobytes(), digest_size=16).digest() for e, c in zip(ends, counts)]
+            for at, raw in tc.slices(batch.column(2).to_pylist()):
+                values, counts = tc.distinct(*tc.shingles(*tc.word_hashes(raw), k))
+                sig = [tc.sequence_digest(t) for t in raw]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(counts)), batch.column(1).slice(at, len(counts)), pa.array(counts, pa.int64()), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())],
+                    [batch.column(0).slice(at, len(counts)), batch.column(1).slice(at, len(counts)), pa.array(counts, pa.int64()), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in sketch(values, counts)], pa.binary())],
                     names=[ROW_KEY, "id", "n", "sig", "sketch"],
                 )
 
@@ -125,7 +117,7 @@ def _profile(k: int):
 
 
 def _bands(batches):
-    for batch in batches:
+    for batch in small_batches(batches):
         regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band_keys(regs).ravel())], names=["cid", "band"])
 
@@ -141,7 +133,7 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 def _likely(threshold: float):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             found = estimate(_registers(col["sa"]), _registers(col["sb"]), col["na"].to_numpy(), col["nb"].to_numpy())
             ok = pa.array(found >= _floor(threshold))
@@ -150,16 +142,17 @@ def _likely(threshold: float):
     return run
 
 
-def _tied(percent: int, exact: bool):
+def _tied(percent: int, k: int, exact: bool):
     """Components that belong together, found within cells of classes.
 
-    Rows (cell key, i, j, cid, comp, n, sketch, blk, set) come sorted by cell. Classes of different
+    Rows (cell key, i, j, cid, comp, n, sketch, blk, raw) come sorted by cell. Classes of different
     components are compared by the estimate and, where exact, by their full sets. What is tied already
     isn't compared again, and only the ties come out: fewer rows than the cell has components.
     """
     threshold = percent / 100
 
-    def cell(i, j, cid, comp, n, regs, blk, sets):
+    def cell(i, j, cid, comp, n, regs, blk, raw):
+        sets = tc.true_shingles(raw, k) if exact else []
         _, first, back = np.unique(comp, return_index=True, return_inverse=True)
         tie = first[back]
         begun = tie.copy()
@@ -181,9 +174,9 @@ def _tied(percent: int, exact: bool):
 
         def out():
             if len(held) > 1:
-                _, i, j, cid, comp, n, sk, blk, sets = zip(*held)
+                _, i, j, cid, comp, n, sk, blk, raw = zip(*held)
                 regs = np.frombuffer(b"".join(sk), np.uint16).reshape(-1, REGISTERS)
-                a, b = cell(i[0], j[0], *(np.array(v) for v in (cid, comp, n)), regs, np.array(blk), sets)
+                a, b = cell(i[0], j[0], *(np.array(v) for v in (cid, comp, n)), regs, np.array(blk), raw)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -200,50 +193,49 @@ def _tied(percent: int, exact: bool):
 
 def _cells(rows: DataFrame, key: str) -> DataFrame:
     """Deal rows out as cells of a key's blocks, two blocks to a cell, of a bounded number of rows and bytes."""
-    held = F.greatest(F.count(F.lit(1)) / CELL_ROWS, F.sum(F.coalesce(F.octet_length("set"), F.lit(0))) / CELL_BYTES)
+    held = F.greatest(F.count(F.lit(1)) / CELL_ROWS, F.sum(F.coalesce(F.octet_length("raw"), F.lit(0))) / CELL_BYTES)
     many = rows.groupBy(key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(held).cast("int").alias("k")).where("x < y")
     rows = rows.join(many.select(key, "k"), key).withColumn("blk", F.pmod(F.hash("cid"), F.col("k")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    rows = rows.select(key, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cid", "comp", "n", "sketch", "blk", "set")
+    rows = rows.select(key, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cid", "comp", "n", "sketch", "blk", "raw")
     return rows.repartition(shuffle_partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _full_sets(k: int):
-    def run(batches):
-        for batch in small_batches(batches):
-            for at, values, counts in _sets(batch.column(1).to_pylist(), k):
-                ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(counts)), pa.array([values[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary())], names=["cid", "set"]
-                )
-
-    return run
-
-
-def _similar(x: bytes, y: bytes, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union for two sorted sets of 64-bit hashes."""
-    both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union for two sets, given as distinct numbers."""
+    both = np.concatenate((x, y))
     both.sort(kind="stable")
     inter = int((both[1:] == both[:-1]).sum())
     return 100 * inter >= percent * (len(both) - inter)
 
 
-def _confirmed(percent: int):
+def _confirmed(percent: int, k: int):
     def run(batches):
-        for batch in batches:
-            good = pa.array([_similar(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+        for batch in small_batches(batches):
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            good = pa.array([_similar(*tc.true_shingles([x, y], k), percent) for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return run
 
 
+def _raw(text: str):
+    """A text with A-Z in lower case, as bytes; null counts as empty."""
+    return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER).cast("binary")
+
+
 class _Search:
-    """Distinct shingle sets (classes), their sketches and the means to check pairs of them."""
+    """Distinct sequences of words (classes), their sketches and the means to check pairs of them."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, k: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, key_col: str | None):
         self.percent, self.k = percent, k
         self.passing: list[DataFrame] = []
-        self.base = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")))
+        own = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")]
+        if key_col is None:
+            self.base = numbered(docs.select(*own), "texts")
+            self.passing.append(self.base)
+        else:
+            self.base = docs.select(F.col(key_col).alias(ROW_KEY), *own)
         schema = f"{ROW_KEY} long, id {self.base.schema['id'].dataType.simpleString()}, n long, sig binary, sketch binary"
         self.rows = materialise(self.base.select(ROW_KEY, "id", "t").mapInArrow(_profile(k), schema), "profiles")
         with_id = F.min(F.when(F.col("id").isNotNull(), F.struct("id", ROW_KEY)))
@@ -252,7 +244,7 @@ class _Search:
         )
         first = first.select("sig", F.col("head")["id"].alias("rep"), F.coalesce(F.col("head")[ROW_KEY], "any_row").alias("first_row"), "n", "sketch")
         self.classes = materialise(first.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-        self.members = self._written(self.classes.select("cid", "sketch").mapInArrow(_bands, "cid long, band long"), "bands")
+        self.members = self.classes.select("cid", "sketch").mapInArrow(_bands, "cid long, band long")
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         """A table that components() deletes once it is done."""
@@ -267,18 +259,17 @@ class _Search:
         pairs = pairs.where(least * 100 >= F.greatest("na", "nb") * self.percent)
         return self.confirmed(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(self.percent / 100), "a long, b long"))
 
-    def sets(self, used: DataFrame) -> DataFrame:
-        """(cid, full set) of the classes; only their texts are read again."""
+    def texts(self, used: DataFrame) -> DataFrame:
+        """(cid, raw) of the classes; only their texts are read again."""
         used = used.join(self.classes.select("cid", F.col("first_row").alias(ROW_KEY)), "cid")
-        texts = self.base.select(ROW_KEY, "t").join(used, ROW_KEY).select("cid", "t")
-        return self._written(texts.mapInArrow(_full_sets(self.k), "cid long, set binary"), "sets")
+        return self.base.select(ROW_KEY, "t").join(used, ROW_KEY).select("cid", _raw("t").alias("raw"))
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
         """Those of the pairs whose full sets are similar enough."""
         likely = self._written(likely, "likely")
-        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-        both = likely.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-        return self._written(both.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a long, b long"), "links")
+        texts = self.texts(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        both = likely.join(texts.select(F.col("cid").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("raw").alias("y")), "b")
+        return self._written(both.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent, self.k), "a long, b long"), "links")
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that have links.
@@ -292,36 +283,35 @@ class _Search:
         ends = self.members.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
         shared = self._written(self.members.join(ends, "band"), "buckets")
         star = shared.select("cid", F.explode(F.array("lo", "hi")).alias("other")).where("cid != other")
-        star = self._written(star.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "star")
-        found = self.links(star)
-        comps = self._written(connected_components(found), "components")
-        place = self.classes.select("cid", "n", "sketch").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+        found = self.links(star.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
+        place = self.classes.select("cid", "n", "sketch").join(connected_components(found).withColumnRenamed("node", "cid"), "cid", "left")
         place = self._written(place.select("cid", F.coalesce("component", "cid").alias("comp"), "n", "sketch"), "placed")
-        at = self._written(shared.select("band", "cid").join(place.select("cid", "comp"), "cid"), "placed")
+        at = shared.select("band", "cid").join(place.select("cid", "comp"), "cid")
         mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        at = at.join(mixed, "band").select("band", "cid").join(place, "cid").withColumn("set", F.lit(None).cast("binary"))
-        ties = _cells(at, "band").mapInArrow(_tied(self.percent, exact=False), "a long, b long").distinct()
-        clusters = self._written(connected_components(ties), "clusters").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+        at = at.join(mixed, "band").select("band", "cid").join(place, "cid").withColumn("raw", F.lit(None).cast("binary"))
+        ties = _cells(at, "band").mapInArrow(_tied(self.percent, self.k, exact=False), "a long, b long").distinct()
+        clusters = connected_components(ties).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
         inside = self._written(place.join(clusters, "comp"), "clustered")
-        inside = inside.join(self.sets(inside.select("cid")), "cid")
-        more = _cells(inside, "cluster").mapInArrow(_tied(self.percent, exact=True), "a long, b long")
+        inside = inside.join(self.texts(inside.select("cid")), "cid")
+        more = _cells(inside, "cluster").mapInArrow(_tied(self.percent, self.k, exact=True), "a long, b long")
         labels = connected_components(found.union(more))
         for table in self.passing:
             discard(table)
         return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle_words: int = SHINGLE_WORDS, key_col: str | None = None) -> DataFrame:
     """One row per row of docs: row key, doc_id, n_shingles, component_id, kept, keeps_row.
 
     Texts are linked when their sets of word shingles have 100 * intersection >= percent * union.
     component_id is the smallest id reachable by links, kept tells whether it is the row's own;
     keeps_row is true for exactly one row of each component, also where ids repeat or are null.
     Null and empty texts and those without words have no shingles and are linked with nothing. A text
-    of fewer words than a shingle has them all as its one shingle. An empty table gives no rows.
-    docs must be a scan that yields the same rows when read again, as a table of files does.
+    of fewer words than a shingle has them all as its one shingle. An empty table gives no rows; other
+    columns are ignored. Texts are read twice: key_col names a column of a written table that numbers its
+    rows; without it, a numbered copy of ids and texts is written first.
     """
-    s = _Search(docs, id_col, text_col, percent, shingle_words)
+    s = _Search(docs, id_col, text_col, percent, shingle_words, key_col)
     comps = s.components()
     label = s.classes.select("sig", "cid", "rep", "first_row").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     label = materialise(label.select("sig", "rep", "first_row", F.coalesce("component", "cid").alias("component")), "labels")

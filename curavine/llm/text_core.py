@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Bytes of text that one vectorised step holds; a longer text is a step of its own.
 SLICE_BYTES = 2_000_000
+#: Bytes of a long text that are split into words at a time, and words whose hashes a worker remembers.
+PIECE_BYTES, KNOWN_WORDS = 1_000_000, 200_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,25 +24,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-with np.errstate(over="ignore"):
-    _BYTE = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _MULT)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE[_SPACE] = 0
-_BASE = _U(0xD6E8FEB86659FD93)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+class _Words(dict):
+    """Hash of each word met: BLAKE2b cut to 64 bits, so that no one can easily make two words that share it."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 65536), base, dtype=np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if len(have) <= 4 * SLICE_BYTES:
-            _powers[int(base)] = have
-    return have[:n]
+
+_words = _Words()
+
+
+def split(raw: bytes) -> Iterator[list[bytes]]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text in order, some at a time; at least one list, which may be empty."""
+    at = 0
+    while len(raw) - at > PIECE_BYTES and (m := _SPACE.search(raw, at + PIECE_BYTES)):
+        yield raw[at : m.start()].split()
+        at = m.end()
+    yield (raw[at:] if at else raw).split()
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -55,20 +61,33 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words [^\\x20\\x09-\\x0D]+ in order, and the number of words of each text."""
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    space = _SPACE[data]
-    first = ~space
-    first[1:] &= space[:-1]
-    starts = np.flatnonzero(first)
-    ends = np.cumsum([len(x) + 1 for x in raw])
-    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    with np.errstate(over="ignore"):
-        terms = _BYTE[data] * _power(_BASE, len(data))
-        hashes = mix(np.add.reduceat(terms, starts) * _power(_BASE_INV, len(data))[starts])
-    return hashes, counts
+    """Hashes of all words in order, and the number of words of each text."""
+    own, counts = [], []
+    for text in raw:
+        n = 0
+        for words in split(text):
+            own.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+        counts.append(n)
+    return np.concatenate(own) if own else np.zeros(0, np.uint64), np.array(counts, np.int64)
+
+
+def sequence_digest(text: bytes) -> bytes:
+    """A 128-bit digest of the sequence of words."""
+    h = hashlib.blake2b(digest_size=16)
+    for words in split(text):
+        if words:
+            h.update(b" ".join(words) + b" ")
+    return h.digest()
+
+
+def _places(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many words: shingles each, words left up to the text's end, and where a shingle starts."""
+    made = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    ends = np.cumsum(counts)
+    at = np.arange(int(counts.sum()))
+    left = np.repeat(ends, counts) - at
+    return made, left, np.repeat(counts, counts) - left < np.repeat(made, counts)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,25 +95,42 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
 
     A text of fewer than k words has its whole sequence as one shingle; without words it has none.
     """
+    made, left, starts = _places(counts, k)
     n = len(words)
-    made = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    if not n:
-        return np.zeros(0, np.uint64), made
     with np.errstate(over="ignore"):
-        factors = mix((np.arange(k, dtype=np.uint64) + _U(77)) * _MULT) | _U(1)
-        total = np.zeros(n, np.uint64)
-        begins = np.cumsum(counts) - counts
-        left = np.repeat(begins + counts, counts) - np.arange(n)  # words up to the text's end
-        for i in range(k):
-            part = words[i:] * factors[i]
-            if i:
-                part = np.where(left[: n - i] > i, part, _U(0))
-            total[: n - i] += part
-        length = np.minimum(np.repeat(counts, counts), k).astype(np.uint64)
-        total = mix(total + length * _MULT)
-    within = np.arange(n) - np.repeat(begins, counts)
-    keep = within < np.repeat(made, counts)
-    return total[keep], made
+        total = np.minimum(np.repeat(counts, counts), k).astype(np.uint64)
+        for i in range(min(k, n)):
+            more = mix(total[: n - i] * _MULT + words[i:])
+            total[: n - i] = more if i == 0 else np.where(left[: n - i] > i, more, total[: n - i])
+    return total[starts], made
+
+
+class _Numbers(dict):
+    """Words as numbers from 1 on, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
+def true_shingles(raw: list[bytes], k: int) -> list[np.ndarray]:
+    """The distinct k-word shingles of each text, as numbers that texts of this list share and no hash is part of.
+
+    Words are numbered, then runs of two, three, up to k words: a run is a shorter run and a word, and
+    distinct pairs of their numbers are numbered anew.
+    """
+    numbers = _Numbers()
+    parts = [[np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in split(text)] for text in raw]
+    counts = np.array([sum(map(len, p)) for p in parts], np.int64)
+    words = np.concatenate([w for p in parts for w in p]) if raw else np.zeros(0, np.int64)
+    made, left, starts = _places(counts, k)
+    name, n = words, len(words)
+    for i in range(1, k):
+        after = np.zeros(n, np.int64)
+        after[: max(n - i, 0)] = np.where(left[: max(n - i, 0)] > i, words[i:], 0)
+        name = np.unique(name * (len(numbers) + 1) + after, return_inverse=True)[1]
+    values, sizes = distinct(name[starts], made)
+    return np.split(values, np.cumsum(sizes)[:-1]) if raw else []
 
 
 def distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -174,3 +174,32 @@ def test_recall_of_embeddings_at_the_threshold():
         k, p = plan.keys(pair), pair @ plan.counted
         found += bool((k[0] == k[1]).any() and (np.abs(p[0] - p[1]) <= plan.window).sum() >= plan.needed)
     assert found >= 0.98 * 400
+
+
+def _alike(a, b):
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_words_that_a_polynomial_hash_confuses_are_told_apart(spark):
+    """The Thue-Morse word and its complement agree in any polynomial hash modulo a power of two."""
+    pairs = []
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        pairs += ["".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)]
+    got = near_dedup.near_dedup(spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_links_hold_on_true_shingles(spark, monkeypatch):
+    """Where all hashes agree, every pair is a candidate; only those whose words agree are linked."""
+    monkeypatch.setattr(near_dedup.tc, "shingles", lambda words, counts, k: (np.full(len(counts), 7, np.uint64), np.ones(len(counts), np.int64)))
+    batch = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array([1, 1]), near_dedup.pa.array([2, 3]), near_dedup.pa.array([b"a b c d e f"] * 2), near_dedup.pa.array([b"a b c d e g", b"a b  c d e f"])], names=["a", "b", "x", "y"])
+    out = list(near_dedup._confirmed(80, 5)([batch]))
+    assert [b.to_pylist() for b in out] == [[{"a": 1, "b": 3}]]
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, near_dedup.near_dedup])
+def test_partitions_of_a_scan_do_not_matter(spark, sf, operator):
+    """A table that is cut otherwise, as when executors come or go, gives the same rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _alike(operator(docs.repartition(7, "source")).drop(ROW_KEY), operator(docs.coalesce(1)).drop(ROW_KEY))
