@@ -45,24 +45,37 @@ def near_components(docs, percent):
     return components(list(docs), links)
 
 
-def lm(docs, prior):
-    text = {i: [*words(t), None] for i, t in docs}
-    single, double, starts = Counter(), Counter(), 0
-    for i, _ in docs:
-        if crc32(("" if i is None else str(i)).encode()) % 7 != 2:
-            single.update(text[i])
-            double.update(zip(["start", *text[i]], text[i]))
-            starts += 1
-    n, v = sum(single.values()), len(single)
+class Backoff:
+    """Counts of a training corpus and the smoothed probabilities of words after a history."""
+
+    def __init__(self, docs, discount, least):
+        self.c, self.after, self.discount, self.least = Counter(), defaultdict(Counter), discount, least
+        self.text = {i: [*words(t), None] for i, t in docs}
+        for i, _ in docs:
+            if crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+                self.c.update(self.text[i])
+                own = ["start", *self.text[i]]
+                for k in range(1, len(own)):
+                    self.after[own[k - 1],][own[k]] += 1
+                    if k > 1:
+                        self.after[own[k - 2], own[k - 1]][own[k]] += 1
+        self.n, self.v = sum(self.c.values()), len(self.c)
+
+    def p(self, w, h=()):
+        if not h:
+            return (self.c[w] + 1) / (self.n + self.v + 1)
+        seen = self.after.get(h, {})
+        total = sum(seen.values())
+        if total < self.least:
+            return self.p(w, h[1:])
+        return max(seen.get(w, 0) - self.discount, 0) / total + self.discount * len(seen) / total * self.p(w, h[1:])
+
+
+def lm(docs, discount, least):
+    m = Backoff(docs, discount, least)
     out = {}
-    for i, own in text.items():
-        base = score = 0.0
-        before = "start"
-        for w in own:
-            p = (single[w] + 1) / (n + v + 1)
-            context = starts if before == "start" else single[before]
-            base += log10(p)
-            score += log10((double[before, w] + prior * p) / (context + prior))
-            before = w
-        out[i] = (len(own), sum(single[w] > 0 for w in own), n, base, score)
+    for i, own in m.text.items():
+        base = sum(log10(m.p(w)) for w in own)
+        score = sum(log10(m.p(w, tuple(["start", *own][max(0, k - 1) : k + 1]))) for k, w in enumerate(own))
+        out[i] = (len(own), sum(m.c[w] > 0 for w in own), m.n, base, score)
     return out

@@ -7,6 +7,7 @@ import pytest
 from curavine.llm import chat, html_text, language, lm, queries
 
 from ..compare import same
+from .brute import Backoff
 from .brute import lm as brute_lm
 
 
@@ -14,17 +15,18 @@ def clashing(spark, rows):
     return spark.createDataFrame([(i, t, lang, 1, "x", 2.0) for i, t, lang in rows], "doc_id long, text string, lang string, n int, t string, score double")
 
 
-@pytest.mark.parametrize("chunk", [16_000_000, 3_000])
-def test_scores_match_brute_force(spark, sf, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "least"), [(8_000_000, 4), (3_000, 1)])
+def test_scores_match_brute_force(spark, sf, monkeypatch, chunk, least):
     monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
-    rows = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(9001, None, None), (9002, "", None), (9003, "zzz qqq", None), (9004, "y " * 5000, None)]
-    got = lm.score(clashing(spark, rows), prior=5.0).collect()
-    want = brute_lm([(i, t) for i, t, _ in rows], 5.0)
+    rows = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(9001, None, None), (9002, "", None), (9003, "zzz qqq", None), (9004, "y " * 5000, None), (9005, "y y y", None)]
+    got = lm.score(clashing(spark, rows), least=least).collect()
+    want = brute_lm([(i, t) for i, t, _ in rows], lm.DISCOUNT, least)
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_chunks")]
 
 
 def test_model_beats_its_base(spark, sf):
@@ -41,14 +43,27 @@ def test_score_edges(spark):
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0
 
 
-def test_probabilities_of_a_context_sum_to_one():
-    """Arcs and the failure arc of a state share out the whole mass, that of unknown words among it."""
-    single, n, v, prior = np.array([6.0, 3.0, 1.0]), 10, 3, 2.0
-    base = (single + 1) / (n + v + 1)
-    double = np.array([2.0, 1.0, 0.0])
-    p = (double + prior * base) / (3 + prior)
-    unknown = prior * (1 / (n + v + 1)) / (3 + prior)
-    assert p.sum() + unknown == pytest.approx(1.0)
+def test_scores_do_not_depend_on_the_partitions_of_a_scan(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = (sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in lm.score(d).collect()) for d in (docs.coalesce(1), docs.repartition(7, "source")))
+    assert one == many
+
+
+def test_probabilities_of_every_state_sum_to_one(spark):
+    """Scores of one-word continuations of a history, that of an unknown word among them, share out the whole mass."""
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, ["a b c a b", "b c", "a b d", "c a b c", "d"][k % 5], None) for k, i in enumerate(train)]
+    out = [i for i in range(100, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    words = ["a", "b", "c", "d", "unknown", ""]
+    for history in ("", "a", "b", "a b", "b c", "c a", "d d", "unknown a"):
+        # the probability of a word after the history, from the scores of texts with and without it
+        probe = [(i, f"{history} {w}", None) for i, w in zip(out, words)] + [(out[10], f"{history} a q", None)]
+        got = {r.doc_id: r.score for r in lm.score(clashing(spark, rows + probe)).collect()}
+        model = Backoff([(i, t) for i, t, _ in rows], lm.DISCOUNT, lm.LEAST)
+        own = tuple(["start", *(w.encode() for w in history.split())][-2:])
+        assert sum(model.p(w, own) for w in [*model.c, b"unknown"]) == pytest.approx(1.0)
+        want = brute_lm([(i, t) for i, t, _ in rows + probe], lm.DISCOUNT, lm.LEAST)
+        assert all(got[i] == pytest.approx(want[i][4], rel=1e-9) for i in got)
 
 
 def test_languages_of_held_out_texts(spark):
