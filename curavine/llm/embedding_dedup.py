@@ -1,9 +1,13 @@
 """Near-duplicates among embeddings by collision-counting projections.
 
-All vectors are projected on many fixed random directions. On each projection, two vectors collide when
-one lies in the window centred at the other. Several projections at a time, cut at fixed steps, deal the
-vectors into cells, in a number of tables that makes sure of the recall; within a cell the windows'
-collisions of each pair are counted, and the pairs that reach the count go to the exact comparison.
+All vectors are projected on many fixed random directions. On one projection after another the vectors are
+sorted, and the window centred at each of them, along the sorted values, gives the vectors that it may be
+near to. A window on one projection alone holds a share of the whole table, so dense windows are subdivided
+first: some more projections of each sorted one, cut at fixed steps, deal the vectors into groups, and
+sorting and windows are each group's own. There are as many such tables as the recall needs. Of each pair
+that a window brings together, the collisions on all counted projections are added up, where the two collide
+if one lies in the window centred at the other; a pair that reaches the count, which the recall sets, goes to
+the exact comparison.
 """
 
 from __future__ import annotations
@@ -15,19 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, shuffle_partitions
+from .common import connected_components, discard, materialise, shuffle_partitions
 
 #: Projections whose collisions are counted, and the half-width of a window in standard deviations of the
 #: difference of two vectors at the threshold: such a pair collides on each with a probability of 0.866.
 COUNTED, WINDOW = 32, 1.5
+#: Half-width, in the same unit, of the windows that find pairs on a sorted projection: 0.988 of those at the threshold.
+SORTED_WINDOW = 2.5
 #: Chance that a pair at the threshold is lost: over all tables, and by the count.
 MISS_TABLES, MISS_COUNT = 1e-3, 1e-5
-#: Width of a cell in the same unit.
-CELL = 2.85
-#: Vectors that unrelated vectors may bring to a cell on average; the projections of a cell follow from it.
-CELL_GUESTS = 400
-#: Rows of a block of a large cell; a task compares two blocks at a time.
-BLOCK_ROWS = 1024
+#: Width of the steps of the projections that subdivide, in the same unit.
+STEP = 5.0
+#: Vectors that unrelated vectors may bring to a group on average; the number of subdividing projections follows from it.
+GUESTS = 2000
+#: Rows of a block of a large group; a task compares two blocks at a time, so many rows of the one at once.
+BLOCK_ROWS, TILE_ROWS = 2048, 256
 
 
 def _normal(x: float) -> float:
@@ -55,22 +61,24 @@ class Plan:
     def __init__(self, cosine: float, dim: int, rows: int):
         self.cosine, self.dim = cosine, dim
         near = math.sqrt(max(2 * (1 - cosine), 1e-12))
-        self.window, self.cell = WINDOW * near, CELL * near
-        p_near, p_far = _same_cell(CELL), _same_cell(CELL * near / math.sqrt(2))
-        self.per_cell = max(1, math.ceil(math.log(max(rows, 2) / CELL_GUESTS) / -math.log(p_far)))
-        self.tables = math.ceil(math.log(MISS_TABLES) / math.log(1 - p_near**self.per_cell))
+        self.window, self.sorted_window, self.step = WINDOW * near, SORTED_WINDOW * near, STEP * near
+        p_near, p_far = _same_cell(STEP), _same_cell(STEP * near / math.sqrt(2))
+        self.cuts = max(0, math.ceil(math.log(max(rows, 2) / GUESTS) / -math.log(p_far)))
+        met = p_near**self.cuts * (2 * _normal(SORTED_WINDOW) - 1)
+        self.tables = math.ceil(math.log(MISS_TABLES) / math.log(1 - met))
         self.needed = _collisions_needed(2 * _normal(WINDOW) - 1)
         rng = np.random.default_rng(20240501)
-        self.lines = rng.standard_normal((dim, self.tables * self.per_cell))
-        self.shifts = rng.random(self.tables * self.per_cell) * self.cell
+        self.sorted = rng.standard_normal((dim, self.tables))
+        self.lines = rng.standard_normal((dim, self.tables * self.cuts))
+        self.shifts = rng.random(self.tables * self.cuts) * self.step
         self.counted = rng.standard_normal((dim, COUNTED))
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        """A 64-bit cell key for each vector and table."""
-        at = np.floor((unit @ self.lines + self.shifts) / self.cell).astype(np.int64).reshape(len(unit), self.tables, self.per_cell)
+        """A 64-bit key of its group for each vector and table."""
+        at = np.floor((unit @ self.lines + self.shifts) / self.step).astype(np.int64).reshape(len(unit), self.tables, self.cuts)
         with np.errstate(over="ignore"):
-            key = np.broadcast_to(np.arange(self.tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), at.shape[:2]).copy()
-            for i in range(self.per_cell):
+            key = np.broadcast_to((np.arange(self.tables, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), at.shape[:2]).copy()
+            for i in range(self.cuts):
                 key = (key ^ at[:, :, i].view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
                 key ^= key >> np.uint64(29)
         return key.view(np.int64)
@@ -106,37 +114,65 @@ def _dealt(plan: Plan, kind: str):
     return run
 
 
+def _merge(tie: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Join what the links left - right connect: tie names each vector's least one known to be connected."""
+    while True:
+        low = np.minimum(tie[left], tie[right])
+        before = tie.copy()
+        tops = tie[left], tie[right]
+        np.minimum.at(tie, tops[0], low)
+        np.minimum.at(tie, tops[1], low)
+        while not np.array_equal(flat := tie[tie], tie):
+            tie[:] = flat
+        if (tie == before).all():
+            return
+
+
 def _compared(plan: Plan, kind: str):
-    """Links within cells.
+    """Links within groups.
 
-    Link numbers are summed within the cell, so rows grow with the vectors, not with the pairs: each row
+    Link numbers are summed within the group, so rows grow with the vectors, not with the pairs: each row
     is (cid, linked vectors found here, a linked vector to tie it to). A pair counts in the first table
-    in which it meets only.
+    whose windows bring it together only.
     """
 
-    def cell(key, i, j, cid, copies, raw, blk):
+    def group(key, i, j, cid, copies, raw, blk):
         unit = _unit(raw, kind)
         keys = plan.keys(unit)
         table = int(np.flatnonzero(keys[0] == key)[0])
-        lines = unit @ plan.counted
+        places = unit @ plan.sorted
+        order = np.argsort(places[:, table], kind="stable")
+        cid, copies, unit, keys, places, blk = (x[order] for x in (cid, copies, unit, keys, places, blk))
+        along = places[:, table]
+        lines = np.ascontiguousarray((unit @ plan.counted).T.astype(np.float32))
         n = len(cid)
-        linked = np.zeros(n, np.int64)
-        tie = np.arange(n)
-        for x in range(n - 1):
-            y = np.arange(x + 1, n)
+        linked, tie = np.zeros(n, np.int64), np.arange(n)
+        # windows are centred at each vector; as pairs are looked at once, only their upper halves are
+        end = np.searchsorted(along, along + plan.sorted_window, side="right")
+        for x in range(0, n, TILE_ROWS):
+            tile, y = slice(x, min(x + TILE_ROWS, n)), int(end[min(x + TILE_ROWS, n) - 1])
+            rows, cols = np.arange(x, tile.stop)[:, None], np.arange(x, y)[None, :]
+            count = np.zeros((tile.stop - x, y - x), np.int8)
+            for line in lines:
+                count += np.abs(line[tile, None] - line[None, x:y]) <= plan.window
+            met = (count >= plan.needed) & (cols > rows) & (cols < end[tile, None])
             if i != j:
-                y = y[blk[y] != blk[x]]
-            y = y[(np.abs(lines[y] - lines[x]) <= plan.window).sum(axis=1) >= plan.needed]
-            y = y[unit[y] @ unit[x] >= plan.cosine]
-            if not len(y):
+                met &= blk[tile, None] != blk[None, x:y]
+            a, b = np.nonzero(met)
+            a, b = a + x, b + x
+            if len(a) * 4 > met.size:  # most of the tile: the products are cheaper all at once
+                sure = (unit[tile] @ unit[x:y].T)[a - x, b - x] >= plan.cosine
+            else:
+                sure = np.einsum("ij,ij->i", unit[a], unit[b]) >= plan.cosine
+            a, b = a[sure], b[sure]
+            if not len(a):
                 continue
-            fresh = y[~(keys[y, :table] == keys[x, :table]).any(axis=1)]
-            linked[x] += copies[fresh].sum()
-            linked[fresh] += copies[x]
-            # union of what is tied within this cell, by the smallest position
-            group = np.unique(np.r_[tie[x], tie[y]])
-            if len(group) > 1:
-                tie[np.isin(tie, group)] = group[0]
+            _merge(tie, a, b)
+            fresh = np.ones(len(a), bool)
+            for t in range(table):
+                fresh &= ~((keys[a, t] == keys[b, t]) & (np.abs(places[a, t] - places[b, t]) <= plan.sorted_window))
+            a, b = a[fresh], b[fresh]
+            linked += np.bincount(a, copies[b], n).astype(np.int64) + np.bincount(b, copies[a], n).astype(np.int64)
         some = (linked > 0) | (tie != np.arange(n))
         yield cid[some], linked[some], cid[tie[some]]
 
@@ -146,7 +182,7 @@ def _compared(plan: Plan, kind: str):
         def out():
             if len(held) > 1:
                 key, i, j, cid, copies, raw, blk = zip(*held)
-                for arrays in cell(key[0], i[0], j[0], np.array(cid), np.array(copies), raw, np.array(blk)):
+                for arrays in group(key[0], i[0], j[0], np.array(cid), np.array(copies), raw, np.array(blk)):
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["cid", "linked", "other"])
 
         for batch in batches:
@@ -176,12 +212,13 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = materialise(rows.mapInArrow(_packed(kind), f"id {rows.schema['id'].dataType.simpleString()}, vec binary"), "vectors")
     classes = rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "vector-classes")
-    found = []
+    found, passing = [], [classes]
     # vectors of each dimension are compared among themselves
     for size, number in sorted(tuple(r) for r in classes.groupBy(F.octet_length("vec")).count().collect()):
         own = classes.where(F.octet_length("vec") == size)
         plan = Plan(cosine, size // int(kind[2]), number)
         dealt = materialise(own.select("cid", "vec").mapInArrow(_dealt(plan, kind), "cid long, key long"), "dealt")
+        passing.append(dealt)
         full = dealt.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("k"), F.count(F.lit(1)).alias("m")).where("m > 1")
         dealt = dealt.join(full.select("key", "k"), "key").withColumn("blk", F.pmod(F.hash("cid"), F.col("k")))
         cells = dealt.join(own.select("cid", "copies", "vec"), "cid").select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
@@ -200,6 +237,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = materialise(out.select("vec", "rep", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")), "labels")
     heads = out.groupBy("component").agg(F.min("rep").alias("component_id"))
     out = materialise(out.join(heads, "component").select("vec", "n_links", "component_id"), "labels")
+    for table in [*passing, *found]:
+        discard(table)
     linked = rows.where("vec is not null").join(out, "vec").select("id", "n_links", "component_id")
     alone = rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(

@@ -146,8 +146,11 @@ def brute_vectors(rows, cosine):
     return sorted((str(i), degree[k], str(least.get(label[k]) if k in good else i)) for k, (i, _) in enumerate(rows))
 
 
-def test_embeddings_match_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL_GUESTS", 20)
+@pytest.mark.parametrize("blocks", [2048, 9])
+def test_embeddings_match_brute_force(spark, sf, monkeypatch, blocks):
+    monkeypatch.setattr(embedding_dedup, "GUESTS", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 7)
     rng = np.random.default_rng(4)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     for g in range(8):
@@ -164,16 +167,26 @@ def test_embeddings_match_brute_force(spark, sf, monkeypatch):
 def test_recall_of_embeddings_at_the_threshold():
     """Pairs at a cosine of exactly 0.95 are found by the tables and the counts of the production plan."""
     plan, rng, found = embedding_dedup.Plan(0.95, 64, 50_000), np.random.default_rng(6), 0
-    for _ in range(400):
-        a = rng.standard_normal(64)
-        a /= np.linalg.norm(a)
-        o = rng.standard_normal(64)
-        o -= (o @ a) * a
-        b = 0.95 * a + np.sqrt(1 - 0.95**2) * o / np.linalg.norm(o)
-        pair = np.stack((a, b))
-        k, p = plan.keys(pair), pair @ plan.counted
-        found += bool((k[0] == k[1]).any() and (np.abs(p[0] - p[1]) <= plan.window).sum() >= plan.needed)
-    assert found >= 0.98 * 400
+    assert plan.cuts > 2
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.standard_normal((3000, 64))
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    met = (plan.keys(a) == plan.keys(b)) & (np.abs(a @ plan.sorted - b @ plan.sorted) <= plan.sorted_window)
+    counts = (np.abs(a @ plan.counted - b @ plan.counted) <= plan.window).sum(axis=1)
+    found = met.any(axis=1) & (counts >= plan.needed)
+    assert found.mean() >= 0.995
+
+
+def test_merging_links_names_components():
+    random.seed(5)
+    links = [(random.randrange(200), random.randrange(200)) for _ in range(130)]
+    tie = np.arange(200)
+    for k in range(0, 130, 40):
+        part = np.array(links[k : k + 40])
+        embedding_dedup._merge(tie, part[:, 0], part[:, 1])
+    assert dict(enumerate(tie.tolist())) == components(range(200), links)
 
 
 def _alike(a, b):
