@@ -8,8 +8,6 @@ training texts do is rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,13 +26,17 @@ TOLERANCE = 0.5
 #: Runs of letters from which a text's cosine no longer grows with its length; below, less is expected.
 FULL_LENGTH = 400
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MAP = np.full(256, 0x20, np.uint8)
 _MAP[0x80:] = np.arange(0x80, 0x100)
 _MAP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _MAP[0] = 0
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of one of Unicode's letter categories; numbers like ½ are none."""
+    return any(map(str.isalpha, text))
+
+
 def term_counts(texts: list[str]):
     """(first index, counts of features) for slices of the texts."""
     at = 0
@@ -157,10 +159,10 @@ def _fitted(idf: np.ndarray):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Centroids:
-    """Fit on about per_language labelled texts of each language, chosen by a hash of their ids.
+    """Fit on about per_language labelled texts of each language, chosen by a hash of their ids and texts.
 
     Every label is learned, however many there are. Held-out rows and rows without text, letters or label
-    aren't used. Whole texts are read. Each language is fitted in a task of its own; the driver gets the
+    aren't used, repeated rows once. Whole texts are read. Each language is fitted in a task of its own; the driver gets the
     model, 64 KB a language at most, and 4096 document counts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
@@ -168,12 +170,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     steps = 1 << 30
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     limits = materialise(rows.groupBy("lang").count().select("lang", (share * steps).cast("long").alias("limit")), "language-limits")
-    rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(steps)) < F.col("limit"))
+    # the limits, a row for each label, are broadcast only if their written table is small enough
+    rows = rows.join(limits, "lang").withColumn("h", F.xxhash64(F.lit("language sample"), "id", "t"))
+    rows = rows.where(F.pmod("h", F.lit(steps)) < F.col("limit")).dropDuplicates(["lang", "h"])
 
     def count(batches):
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+            kept = [i for i, t in enumerate(texts) if has_letter(t)]
             for at, counts in term_counts([texts[i] for i in kept]):
                 used = [np.flatnonzero(c) for c in counts]
                 yield pa.RecordBatch.from_arrays(
@@ -201,7 +205,7 @@ def _predicted(model: Centroids, texts: list[str]) -> tuple[list, list, list]:
     for at, counts in term_counts(texts):
         which, near, far = model.predict(counts)
         for t, w, s, r in zip(texts[at : at + len(counts)], which.tolist(), near.tolist(), far.tolist()):
-            known = bool(model.languages) and _LETTER.search(t) is not None
+            known = bool(model.languages) and has_letter(t)
             lang.append(model.languages[w] if known else UNKNOWN)
             score.append(s if known else 0.0)
             rejected.append(r or not known)
