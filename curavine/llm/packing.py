@@ -9,6 +9,7 @@ rounded plan leaves over is packed greedily, one after another, cut wherever a w
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -25,6 +26,11 @@ DEEPEST, STEPS = 5, {2: 1, 3: 48, 4: 80, 5: 112}
 SWEEPS = 40
 
 
+#: The faster library's matcher fails on about a million white spaces in a row; longer runs than this go to tokenizers.
+LONGEST_RUN = 50_000
+_RUN = re.compile(r"\s{%d}" % LONGEST_RUN)
+
+
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
     return tokenizers.Tokenizer.from_file(path)
@@ -59,7 +65,7 @@ def _fast(path: str):
 def token_ids(path: str, text: str) -> list[int]:
     """Ids of the tokenizers library for the text, without special tokens added."""
     fast = _fast(path)
-    if fast is None or any(s in text for s in fast[1]):
+    if fast is None or any(s in text for s in fast[1]) or (len(text) >= LONGEST_RUN and _RUN.search(text)):
         return _tokenizer(path).encode(text, add_special_tokens=False).ids
     return fast[0].encode_ordinary(text)
 
@@ -186,8 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Pieces of a sequence follow one another without gaps, and no sequence is longer than the window. Ids of
     documents may be null or repeat; other columns are ignored. An empty table gives no rows.
 
-    Only the histogram of lengths, a plan whose size depends on the window alone, and one number for each
-    partition reach the driver.
+    Only the histogram of lengths reaches the driver; the plan's size depends on the window alone.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
@@ -227,13 +232,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     # rests beyond the plan lie one after another in the order of (task, number)
     loose = ranked.where("r.base < 0").select("task", "number", "length")
     in_task = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    sums = {r["task"]: r["s"] for r in loose.groupBy("task").agg(F.sum("length").alias("s")).collect()}
-    running, before = 0, []
-    for task in sorted(sums):
-        before.append((task, running))
-        running += sums[task]
-    before = spark.createDataFrame(before or [(-1, 0)], "task int, before long")
-    loose = loose.withColumn("own", F.coalesce(F.sum("length").over(in_task), F.lit(0))).join(F.broadcast(before), "task")
+    # one row for each scan partition is summed up in one task, and joined by merging
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = loose.groupBy("task").agg(F.sum("length").alias("s")).select("task", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
+    loose = loose.withColumn("own", F.coalesce(F.sum("length").over(in_task), F.lit(0))).join(before.hint("merge"), "task")
     loose = loose.select("task", "number", (F.col("own") + F.col("before")).alias("pos"))
     loose = pieces.drop("met").join(materialise(loose, "loose"), ["task", "number"])
     tail = loose.select("doc_id", "start", "ids", "doc_tokens", "pos").mapInArrow(_laid(window, base), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
