@@ -13,7 +13,8 @@ import html
 import random
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,6 @@ PATH_FEATURES, WORD_FEATURES, SIZES = 384, 32, 6
 INPUTS = PATH_FEATURES + WORD_FEATURES + SIZES
 HIDDEN = 24
 TRAIN_PAGES, EPOCHS, BATCH = 3000, 8, 16
-#: Open elements that a block's path keeps, from the innermost outwards.
-PATH_DEPTH = 48
 #: Blocks, padding included, that are labelled at once.
 CELLS = 40_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?", re.S)
@@ -47,46 +46,84 @@ CLOSES = {
 }
 
 
+def _bit(word: str) -> int:
+    return 1 << zlib.crc32(word.encode()) % PATH_FEATURES
+
+
 @functools.lru_cache(maxsize=100_000)
-def _element(name: str, attributes: str) -> tuple[str, tuple[str, ...], str | None]:
-    words, label = [name], None
+def _element(name: str, attributes: str) -> tuple[str, int, str | None]:
+    """An opening tag's name, the features of its name and of its class and id words as bits, and its label."""
+    mask, label = _bit(name), None
     for key, *values in _NAMED.findall(attributes):
         value = next((v for v in values if v), "")
         if key.lower() == "data-y":
             label = value
         else:
-            words += [f"{key.lower()}:{w}" if key.lower() == "role" else f".{w}" for w in _WORD.findall(value.lower())]
-    return name, tuple(words), label
+            for w in _WORD.findall(value.lower()):
+                mask |= _bit(f"{key.lower()}:{w}" if key.lower() == "role" else f".{w}")
+    return name, mask, label
 
 
 class Block:
-    __slots__ = ("label", "linked", "path", "text")
+    """A leaf block: its text, features of all elements that it lies in as bits, the innermost one's name, linked characters."""
+
+    __slots__ = ("label", "leaf", "linked", "path", "text")
+
+    def __init__(self, text: str, path: int, leaf: str, linked: int, label: str | None):
+        self.text, self.path, self.leaf, self.linked, self.label = text, path, leaf, linked, label
+
+
+class _Open:
+    """The open elements. Each carries the features of all around it, so that depth costs nothing; where the
+    elements of a name are is known, so that no tag looks through the others."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, str | None]] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []  # places of the elements that aren't inline
 
-    def __init__(self, text: str, path: tuple, linked: int, label: str | None):
-        self.text, self.path, self.linked, self.label = text, path, linked, label
+    def push(self, name: str, mask: int, label: str | None) -> None:
+        _, around, outer = self.stack[-1] if self.stack else ("", 0, None)
+        self.at[name].append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, mask | around, outer if label is None else label))
+
+    def drop(self, k: int) -> None:
+        while len(self.stack) > k:
+            name = self.stack.pop()[0]
+            self.at[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost element of these names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
+    def first_after(self, names, k: int) -> int | None:
+        """The outermost element of these names within the one at k."""
+        found = [own[i] for n in names if (i := bisect_right(own := self.at[n], k)) < len(own)]
+        return min(found, default=None)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page: white space made one space, character references decoded, none empty."""
+    """Leaf blocks of a page: white space made one space, character references decoded, none empty.
+
+    Time grows with the page's length, however deep its elements are nested.
+    """
     page = page or ""
     made: list[Block] = []
-    stack: list[tuple] = []
+    open_ = _Open()
     parts: list[str] = []
     linked = at = 0
-    held: Counter = Counter()  # names of the open elements
-
-    def drop(k: int) -> None:
-        for e in stack[k:]:
-            held[e[0]] -= 1
-        del stack[k:]
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                label = next((e[2] for e in reversed(stack) if e[2] is not None), None)
-                made.append(Block(text, tuple(e[1] for e in stack[-PATH_DEPTH:]), linked, label))
+                leaf, path, label = open_.stack[-1] if open_.stack else ("", 0, None)
+                made.append(Block(text, path, leaf, linked, label))
             parts.clear()
         linked = 0
 
@@ -95,7 +132,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            if held["a"]:
+            if open_.at["a"]:
                 linked += len(text)
 
     lower = None
@@ -114,18 +151,13 @@ def blocks(page: str | None) -> list[Block]:
         if closing:
             if name in VOID or name in RAW:
                 continue
-            if held[name]:
+            if open_.at[name]:
                 if name not in INLINE:
                     end_block()
-                    drop(max(k for k, e in enumerate(stack) if e[0] == name))
-                else:
-                    # an inline element ends within its block only
-                    k = len(stack) - 1
-                    while k >= 0 and stack[k][0] in INLINE and stack[k][0] != name:
-                        k -= 1
-                    if k >= 0 and stack[k][0] == name:
-                        held[name] -= 1
-                        del stack[k]
+                    open_.drop(open_.at[name][-1])
+                # an inline element ends within its block only, with those opened in it
+                elif open_.at[name][-1] > (open_.blocks[-1] if open_.blocks else -1):
+                    open_.drop(open_.at[name][-1])
             elif name not in INLINE:
                 end_block()
             continue
@@ -137,38 +169,23 @@ def blocks(page: str | None) -> list[Block]:
         if name not in INLINE:
             end_block()
             # a paragraph ends where a block begins, with the inline elements left open in it
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] in INLINE:
-                k -= 1
-            if k >= 0 and stack[k][0] == "p" and name != "br":
-                drop(k)
-            own, limit = CLOSES.get(name, (None, None))
-            if own:
-                k = len(stack) - 1
-                first = None
-                while k >= 0 and stack[k][0] not in limit:
-                    if stack[k][0] in own:
-                        first = k
-                    k -= 1
-                if first is not None:
-                    drop(first)
+            if open_.blocks and open_.stack[open_.blocks[-1]][0] == "p" and name != "br":
+                open_.drop(open_.blocks[-1])
+            own, limit = CLOSES.get(name, ((), ()))
+            first = open_.first_after(own, open_.last(limit))
+            if first is not None:
+                open_.drop(first)
         if name not in VOID:
-            stack.append(_element(name, m[3] if m[3] is not None else m[6] or ""))
-            held[name] += 1
+            open_.push(*_element(name, m[3] if m[3] is not None else m[6] or ""))
     take(page[at:])
     end_block()
     return made
 
 
 @functools.lru_cache(maxsize=50_000)
-def _path_vector(path: tuple) -> np.ndarray:
-    v = np.zeros(PATH_FEATURES, np.float32)
-    for depth, words in enumerate(reversed(path)):
-        for w in words:
-            v[zlib.crc32(w.encode()) % PATH_FEATURES] = 1.0
-        if depth == 0 and words:
-            v[zlib.crc32(b"leaf " + words[0].encode()) % PATH_FEATURES] = 1.0
-    return v
+def _path_vector(path: int, leaf: str) -> np.ndarray:
+    bits = path | (_bit("leaf " + leaf) if leaf else 0)
+    return np.unpackbits(np.frombuffer(bits.to_bytes(PATH_FEATURES // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
 def inputs(pages: list[list[Block]]) -> np.ndarray:
@@ -177,7 +194,7 @@ def inputs(pages: list[list[Block]]) -> np.ndarray:
     x = np.zeros((len(own), INPUTS), np.float32)
     if not own:
         return x
-    x[:, :PATH_FEATURES] = np.stack([_path_vector(b.path) for b in own])
+    x[:, :PATH_FEATURES] = np.stack([_path_vector(b.path, b.leaf) for b in own])
     n_words = []
     at = 0
     for _, raw in tc.slices([b.text for b in own]):

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -80,11 +81,11 @@ def test_languages_of_held_out_texts(spark):
 def test_language_edges(spark):
     en, de = "the house and the garden of the town ", "das haus und der garten von der stadt "
     rows = [(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(60)]
-    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !!! ::", None), (103, "the", None), (None, en, None), (104, en * 20_000, None), (103, "the", None), (105, "x\0y the house", None)]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !!! ::", None), (103, "the", None), (None, en, None), (104, en * 20_000, None), (103, "the", None), (105, "x\0y the house", None), (106, "½ ² ৬ Ⅷ", "de")]
     got = language.identify(clashing(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    assert by[100].lang_pred == by[101].lang_pred == by[102].lang_pred == "und" and by[102].rejected and by[102].score == 0.0
+    assert by[100].lang_pred == by[101].lang_pred == by[102].lang_pred == by[106].lang_pred == "und" and by[102].rejected and by[102].score == 0.0
     assert by[104].lang_pred == "en" and by[None].lang_pred == "en" and not by[103].rejected
     assert all(0 <= r.score <= 1 for r in got)
     far = language.identify(clashing(spark, rows + [(200, "ξψφ" * 400, None)])).where("doc_id = 200").first()
@@ -94,6 +95,33 @@ def test_language_edges(spark):
     assert language.identify(clashing(spark, rows).limit(0)).count() == 0
 
 
+def brute_language(model, text):
+    """Language and cosine of a text, from runs of three bytes counted one by one."""
+    raw = text.lower().replace("\0", " ").encode("utf-8", "replace")
+    raw = re.sub(b" +", b" ", b" " + bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in raw) + b" ")
+    n = np.zeros(language.FEATURES)
+    for i in range(len(raw) - 2):
+        n[((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 20] += 1
+    x = np.log1p(n) * model.idf
+    cosines = model.centres @ (x / max(np.linalg.norm(x), 1e-12))
+    return model.languages[model.owner[cosines.argmax()]], cosines.max()
+
+
+def test_predictions_match_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.identify(docs, model=model).collect():
+        lang, cosine = brute_language(model, texts[r.doc_id] or "")
+        assert r.lang_pred == lang and r.score == pytest.approx(min(max(cosine, 0), 1), abs=1e-5)
+
+
+def test_repeated_rows_do_not_widen_the_sample(spark):
+    rows = [(None, "the house and the town", "en")] * 3000 + [(i, f"das haus und die stadt {i}", "de") for i in range(50)]
+    model = language.fit(clashing(spark, rows), per_language=10_000)
+    assert model.languages == ["de", "en"] and len(model.centres) == 5  # one distinct English text
+
+
 def test_language_does_not_read_labels_of_held_out_rows(spark):
     rows = [(i, "the house and the town " * 3, "en") for i in range(200)]
     model = language.fit(clashing(spark, rows))
@@ -250,6 +278,23 @@ def test_blocks_of_odd_markup():
     assert text("<script>never closed <p>x") == []
     assert text("<p>1 < 2 & 3 > 2") == ["1 < 2 & 3 > 2"]
     assert len(text("<div>" * 3000 + "deep")) == 1
+    assert text("<p>a <b>b <i>c</b> d</i></p>e") == ["a b c d", "e"]
+    assert text("<ul><li>a<li>b<ul><li>c</ul>d</ul>") == ["a", "b", "c", "d"]
+    assert text("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+
+
+def test_all_elements_around_a_block_count():
+    outer = html_text.blocks("<nav class=menu>" + "<div>" * 60 + "x")[0]
+    assert outer.path & html_text._bit("nav") and outer.path & html_text._bit(".menu") and outer.leaf == "div"
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 50_000 + "x" + "</div>" * 50_000, "<i>" * 50_000 + "<b>" * 50_000 + "x" + "</i>" * 50_000, "<ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<p><font>x" * 50_000]
+)
+def test_time_grows_with_the_page(page):
+    start = time.process_time()
+    assert html_text.blocks(page)
+    assert time.process_time() - start < 10
 
 
 def test_extract_edges(spark):

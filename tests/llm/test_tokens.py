@@ -162,3 +162,15 @@ def test_full_queries_have_all_rows(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert queries.op3_token_counts(spark, sf).count() == queries.op4_sentencepiece(spark, sf).count() == n
     assert queries.op6_packing(spark, sf).selectExpr("count(distinct doc_id)").first()[0] == n
+
+
+def test_very_long_runs_of_white_space(spark):
+    """The faster tokenizer's matcher fails on these; results are those of the tokenizers library."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" " * 3_000_000, "a" + "\n" * 1_200_000 + "b", "x" * 1_000_000]
+    want = [len(packing._tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
+    assert [got[i] for i in range(3)] == want
+    packed = {r.doc_id: r.doc_tokens for r in packing.pack(docs, path).collect()}
+    assert [packed[i] for i in range(3)] == [n + 1 for n in want]
