@@ -237,13 +237,16 @@ class _Search:
         else:
             self.base = docs.select(F.col(key_col).alias(ROW_KEY), *own)
         schema = f"{ROW_KEY} long, id {self.base.schema['id'].dataType.simpleString()}, n long, sig binary, sketch binary"
-        self.rows = materialise(self.base.select(ROW_KEY, "id", "t").mapInArrow(_profile(k), schema), "profiles")
+        profiles = materialise(self.base.select(ROW_KEY, "id", "t").mapInArrow(_profile(k), schema), "profiles")
         with_id = F.min(F.when(F.col("id").isNotNull(), F.struct("id", ROW_KEY)))
-        first = self.rows.where("n > 0").groupBy("sig").agg(
+        first = profiles.where("n > 0").groupBy("sig").agg(
             with_id.alias("head"), F.min(ROW_KEY).alias("any_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
         )
         first = first.select("sig", F.col("head")["id"].alias("rep"), F.coalesce(F.col("head")[ROW_KEY], "any_row").alias("first_row"), "n", "sketch")
         self.classes = materialise(first.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
+        # sketches stay with the classes only
+        self.rows = materialise(profiles.drop("sketch"), "rows")
+        discard(profiles)
         self.members = self.classes.select("cid", "sketch").mapInArrow(_bands, "cid long, band long")
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
@@ -284,15 +287,16 @@ class _Search:
         shared = self._written(self.members.join(ends, "band"), "buckets")
         star = shared.select("cid", F.explode(F.array("lo", "hi")).alias("other")).where("cid != other")
         found = self.links(star.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
-        place = self.classes.select("cid", "n", "sketch").join(connected_components(found).withColumnRenamed("node", "cid"), "cid", "left")
-        place = self._written(place.select("cid", F.coalesce("component", "cid").alias("comp"), "n", "sketch"), "placed")
-        at = shared.select("band", "cid").join(place.select("cid", "comp"), "cid")
+        seen = self.classes.select("cid", "n", "sketch")
+        place = self.classes.select("cid").join(connected_components(found).withColumnRenamed("node", "cid"), "cid", "left")
+        place = self._written(place.select("cid", F.coalesce("component", "cid").alias("comp")), "placed")
+        at = shared.select("band", "cid").join(place, "cid")
         mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        at = at.join(mixed, "band").select("band", "cid").join(place, "cid").withColumn("raw", F.lit(None).cast("binary"))
+        at = at.join(mixed, "band").join(seen, "cid").withColumn("raw", F.lit(None).cast("binary"))
         ties = _cells(at, "band").mapInArrow(_tied(self.percent, self.k, exact=False), "a long, b long").distinct()
         clusters = connected_components(ties).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
         inside = self._written(place.join(clusters, "comp"), "clustered")
-        inside = inside.join(self.texts(inside.select("cid")), "cid")
+        inside = inside.join(seen, "cid").join(self.texts(inside.select("cid")), "cid")
         more = _cells(inside, "cluster").mapInArrow(_tied(self.percent, self.k, exact=True), "a long, b long")
         labels = connected_components(found.union(more))
         for table in self.passing:
