@@ -3,7 +3,8 @@
 DataFrame functions only. A message's text may be a JSON object: an assistant's with "tool_calls", a list of
 {id, name, arguments}, and a tool's with "tool_call_id" and "content". Beside these, every user's turn counts
 as a call of the tool "respond" with the argument "prompt", and the assistant's turn right after it, if it
-makes no calls, as its result.
+makes no calls, as its result. An argument of the form "$id", anywhere in a call's arguments, is the result of
+the call with that identifier, so such calls come after the results that they use.
 """
 
 from __future__ import annotations
@@ -87,32 +88,88 @@ def problems(schemas: dict) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+def _place(turn: Column, step: Column, depth: Column) -> Column:
+    return F.struct(turn.cast("long").alias("turn"), step.cast("long").alias("step"), depth.cast("int").alias("depth"))
+
+
+def _behind(own: Column, other: Column) -> Column:
+    """Its own place if that is behind the other, else the one right behind the other."""
+    return F.when(own > other, own).otherwise(_place(other["turn"], other["step"], other["depth"] + 1))
+
+
+def _result_place(call: Column, own: Column) -> Column:
+    """A result's place given its call's: its own if that is behind, else right behind the call."""
+    return F.when(own > call, own).when(call["depth"] == 0, _place(call["turn"], call["step"] + 1, F.lit(0))).otherwise(_place(call["turn"], call["step"], call["depth"] + 1))
+
+
+def moved_calls(own: DataFrame, ids: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(conv_id, id, place, cyclic) of the calls that use results of others, in topological order.
+
+    own are the items, ids the calls and results of each identifier. Rounds of one join each place the calls
+    all of whose sources are placed, so that a chain takes as many rounds as it is long; without references
+    nothing is run. Calls that no round can place lie on a cycle, or use one that does: they keep their own
+    place and are marked. References to identifiers that are unknown or not one call's are no sources.
+    """
+    single = ids.where("calls = 1")
+    refs = F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$((?:[^"\\]|\\.)*)"'), F.lit(1))))
+    uses = own.where("kind = 'call' and id is not null and conv_id is not null").where(F.col("arguments").contains('"$')).select("conv_id", "id", refs.alias("source"))
+    uses = uses.join(single.select("conv_id", "id"), ["conv_id", "id"]).join(single.select("conv_id", F.col("id").alias("source")), ["conv_id", "source"])
+    uses = materialise(uses.select("conv_id", "id", "source").distinct(), "chat-uses")
+    if uses.isEmpty():
+        return uses.select("conv_id", "id", F.lit(None).cast("struct<turn:bigint,step:bigint,depth:int>").alias("place"), F.lit(False).alias("cyclic")).limit(0)
+    # the calls that take part, with their own places and those of their results
+    nodes = uses.select("conv_id", "id").union(uses.select("conv_id", "source")).distinct().join(single, ["conv_id", "id"])
+    nodes = materialise(nodes.select("conv_id", "id", "call_place", "result_place", (F.col("results") == 1).alias("answered")), "chat-nodes")
+    placed = nodes.join(uses, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("call_place").alias("place"))
+    placed = materialise(placed, "chat-placed")
+    known = 0
+    for _ in range(max_rounds):
+        now = placed.count()
+        if now == known:
+            break
+        known = now
+        end = F.when(F.col("answered"), _result_place(F.col("place"), F.col("result_place"))).otherwise(F.col("place"))
+        ends = placed.join(nodes, ["conv_id", "id"]).select("conv_id", F.col("id").alias("source"), end.alias("end"))
+        open_ = uses.join(placed.select("conv_id", "id"), ["conv_id", "id"], "left_anti").join(ends, ["conv_id", "source"], "left")
+        ready = open_.groupBy("conv_id", "id").agg(F.count_if(F.col("end").isNull()).alias("missing"), F.max("end").alias("end")).where("missing = 0")
+        ready = ready.join(nodes, ["conv_id", "id"]).select("conv_id", "id", _behind(F.col("call_place"), F.col("end")).alias("place"))
+        placed = materialise(placed.union(ready), "chat-placed")
+    else:
+        raise RuntimeError("chains of calls are too long")
+    return nodes.join(placed, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("place", "call_place").alias("place"), F.col("place").isNull().alias("cyclic"))
+
+
 def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
-    """One row per message, call and result: conv_id, turn, order_turn, order_step, kind, id, status, valid, problems, json.
-
-    Calls and results of a conversation are joined by identifier. status is answered, open or ambiguous
-    (its id occurs on several calls or results) for calls, linked, orphan or ambiguous for results and plain
-    for messages. Ordered by (order_turn, order_step), each call comes before its result, as it does by
-    turn alone unless a result stands in its call's turn or an earlier one; an ambiguous result comes behind
-    the first call of its id. Items of one message keep their order. valid tells whether the
-    arguments meet the tool's schema. json has its keys in alphabetical order and no white space; keys
-    without a value are left out. Repeated rows are kept; an empty table gives no rows.
+    """One row per message, call and result: conv_id, turn, order_turn, order_step, order_depth, kind, id, status, valid, problems, json.
+
+    Calls and results of a conversation are joined by identifier. status is answered, open, ambiguous (its id
+    occurs on several calls or results) or cyclic (it uses, on whatever way, its own result) for calls,
+    linked, orphan or ambiguous for results and plain for messages. Ordered by (order_turn, order_step,
+    order_depth), each call comes before its result and after the results that its arguments name; an
+    ambiguous result comes behind the first call of its id. Items that need not move stand where they are
+    said, in the order of their message. valid tells whether the arguments meet the tool's schema. json has
+    its keys in alphabetical order and no white space; keys without a value are left out. Repeated rows are
+    kept; an empty table gives no rows.
     """
     own = materialise(items(conversations), "chat-items")
-    wide = lambda turn: F.col(turn).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
-    ordinal = wide("turn") + F.col("place")  # one number, as the least struct would need a sort
+    place = _place(F.col("turn"), F.col("place") * 2, F.lit(0))
+    of = lambda kind: F.when(F.col("kind") == kind, place)
     ids = own.where("id is not null and conv_id is not null").groupBy("conv_id", "id")
-    ids = ids.agg(F.count_if(F.col("kind") == "call").alias("calls"), F.count_if(F.col("kind") == "result").alias("results"), F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"), F.min(F.when(F.col("kind") == "call", ordinal)).alias("first"))
-    ids = ids.select("conv_id", "id", "calls", "results", "call_turn", (F.col("first") - wide("call_turn")).cast("int").alias("call_place"))
-    own = own.join(materialise(ids, "chat-ids"), ["conv_id", "id"], "left")
+    ids = ids.agg(F.count_if(F.col("kind") == "call").alias("calls"), F.count_if(F.col("kind") == "result").alias("results"), F.min(of("call")).alias("call_place"), F.min(of("result")).alias("result_place"))
+    ids = materialise(ids, "chat-ids")
+    moved = moved_calls(own, ids)
+    own = own.withColumn("own_place", place).drop("place").join(ids.drop("result_place"), ["conv_id", "id"], "left").join(moved, ["conv_id", "id"], "left")
     twice = (F.col("calls") > 1) | (F.col("results") > 1)
     status = (
         F.when(F.col("kind") == "message", "plain").when(twice, "ambiguous")
+        .when(F.coalesce("cyclic", F.lit(False)) & (F.col("kind") == "call"), "cyclic")
         .when(F.col("kind") == "call", F.when(F.col("results") == 1, "answered").otherwise("open"))
         .otherwise(F.when(F.col("calls") == 1, "linked").otherwise("orphan"))
     )
     own = own.withColumn("status", status).withColumn("problems", problems(SCHEMAS if schemas is None else schemas))
-    late = (F.col("kind") == "result") & F.col("status").isin("linked", "ambiguous") & (F.col("turn") <= F.col("call_turn"))
+    call = F.coalesce("place", "call_place")
+    order = F.when((F.col("kind") == "call") & (F.col("calls") == 1), call).when((F.col("kind") == "result") & (F.col("calls") > 0) & F.col("call_place").isNotNull(), _result_place(call, F.col("own_place")))
+    own = own.withColumn("order", F.coalesce(order, F.col("own_place")))
     line = F.to_json(
         F.struct(
             F.try_parse_json("arguments").alias("arguments"), F.col("content").alias("content"), F.col("conv_id").alias("conversation"), "id", F.col("kind").alias("kind"),
@@ -120,6 +177,6 @@ def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFr
         )
     )
     return own.select(
-        "conv_id", "turn", F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, F.col("call_place") * 2 + 1).otherwise(F.col("place") * 2).alias("order_step"),
+        "conv_id", "turn", F.col("order.turn").alias("order_turn"), F.col("order.step").alias("order_step"), F.col("order.depth").alias("order_depth"),
         "kind", "id", "status", (F.size("problems") == 0).alias("valid"), F.array_join("problems", "; ").alias("problems"), line.alias("json"),
     )

@@ -84,7 +84,7 @@ def oracle_sql() -> dict[str, str]:
                                    WHEN kind = 'call' THEN CASE WHEN results = 1 THEN 'answered' ELSE 'open' END
                                    WHEN calls = 1 THEN 'linked' ELSE 'orphan' END AS status
                   FROM m LEFT JOIN n USING (conv_id, id))
-            SELECT conv_id, turn, turn AS order_turn, 0 AS order_step, kind, id, status,
+            SELECT conv_id, turn, turn AS order_turn, 0 AS order_step, 0 AS order_depth, kind, id, status,
                    kind <> 'call' OR length(text) >= 1 AS valid,
                    CASE WHEN kind = 'call' AND length(text) < 1 THEN 'prompt: too short' ELSE '' END AS problems,
                    '{' || CASE WHEN kind = 'call' THEN '"arguments":{"prompt":' || to_json(text) || '},' ELSE '"content":' || to_json(text) || ',' END

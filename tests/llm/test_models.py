@@ -186,6 +186,20 @@ def test_items_of_a_message_keep_their_order(spark):
     assert {g[0] for g in got} == {3} and got[2][4] == "ambiguous"
 
 
+def test_calls_come_after_the_results_that_they_use(spark):
+    call = lambda i, *uses: '{"id":"%s","name":"add","arguments":{%s}}' % (i, ",".join(f'"x{k}":["${u}"]' for k, u in enumerate(uses)))
+    said = lambda *calls: '{"tool_calls":[%s]}' % ",".join(calls)
+    rows = [(1, 1, "assistant", said(call("a", "b"), call("c", "a", "b"))), (1, 2, "assistant", said(call("b"), call("self", "self"))), (1, 3, "tool", '{"tool_call_id":"b"}'), (1, 4, "tool", '{"tool_call_id":"a"}'), (1, 0, "tool", '{"tool_call_id":"c"}')]
+    rows += [(2, 1, "assistant", said(call("p", "q"), call("q", "p"), call("r", "q"), call("s", "nobody"))), (3, 1, "assistant", said(call("a")))]
+    got = chats(spark, rows).collect()
+    at = {(r.conv_id, r.kind, r.id): (r.order_turn, r.order_step, r.order_depth) for r in got}
+    order = [at[1, k, i] for k, i in (("call", "b"), ("result", "b"), ("call", "a"), ("result", "a"), ("call", "c"), ("result", "c"))]
+    assert order == sorted(set(order)) and at[1, "result", "b"] == (3, 0, 0) and at[1, "result", "a"] == (4, 0, 0)
+    status = {(r.conv_id, r.id): r.status for r in got if r.kind == "call"}
+    assert status[1, "self"] == status[2, "p"] == status[2, "q"] == status[2, "r"] == "cyclic"
+    assert status[2, "s"] == status[3, "a"] == "open" and status[1, "c"] == "answered" and at[2, "call", "q"] == (1, 2, 0)
+
+
 def test_tool_calls_are_linked_ordered_and_checked(spark):
     schemas = {"add": {"x": {"type": "number", "required": True}, "y": {"type": "integer", "required": True, "maximum": 1}, "how": {"type": "string", "enum": ["fast", "slow"]}}}
     calls = '{"tool_calls":[{"id":"a","name":"add","arguments":{"y":2,"x":1.50}},{"id":"b","name":"add","arguments":"{\\"x\\":\\"q\\",\\"how\\":\\"odd\\"}"},{"id":"c","name":"zap","arguments":5},{"id":"d","name":"add","arguments":{"y":1,"x":3}}],"content":"hm"}'
