@@ -100,23 +100,29 @@ def photo_only_title(title: Column | str) -> Column:
 def acceptance_evidence(url: Column | str, alt: Column | str, caption: Column | str, title: Column | str, score: Column, overrides: list[tuple[str, str, float]] = ()) -> Column:
     """Whether a picture's names speak for a plan.
 
-    overrides are (site pattern, file pattern, least score): on such a site only these files count.
+    overrides are (site pattern, file pattern, least score): on such a site only these files count. They come
+    before rules.SITE_EVIDENCE, which has what is known of single sites.
     """
     from .url import looks_like_image, parts
 
-    given = F.struct(text(url).alias("url"), parts(url)["file"].alias("file"), F.lower(text(title)).alias("heading"), F.lower(F.concat_ws(" ", parts(url)["file"], text(alt), text(caption))).alias("own"), score.alias("score"))
+    given = F.struct(text(url).alias("url"), parts(url)["file"].alias("file"), F.lower(text(title)).alias("title"), F.lower(F.concat_ws(" ", parts(url)["file"], text(alt), text(caption))).alias("own"), score.alias("score"))
     return once(given, lambda g: _evidence(g, overrides, looks_like_image))
 
 
 def _evidence(g: Column, overrides, looks_like_image) -> Column:
-    url, file, heading, own, score = (g[k] for k in ("url", "file", "heading", "own", "score"))
-    all_text = F.lower(F.concat_ws(" ", url, own, heading))
+    url, file, title, own, score = (g[k] for k in ("url", "file", "title", "own", "score"))
+    signals = {"all": F.lower(F.concat_ws(" ", url, own, title)), "file": file, "title": title, "short title": F.when(F.length(title) <= 110, title)}
     strong = matches(own, rules.STRONG_EVIDENCE)
-    titled = (F.length(heading) <= 110) & matches(heading, rules.TITLE_EVIDENCE)
-    steps = [(~looks_like_image(url), F.lit(False)), (matches(all_text, rules.SIGNAL_DENY), F.lit(False)), (matches(all_text, "gallery|photo") & ~strong, F.lit(False)), (photo_only_title(heading), F.lit(False))]
-    steps += [(matches(all_text, site), matches(file, name) & (score >= least)) for site, name, least in overrides]
-    steps += [(strong, F.lit(True)), (titled & (score >= 0.55) & ~matches(file, rules.GENERIC_PHOTO), F.lit(True))]
-    return when_first(steps, False)
+    steps = [(~looks_like_image(url), F.lit(False)), (matches(signals["all"], rules.SIGNAL_DENY), F.lit(False)), (matches(signals["all"], "gallery|photo") & ~strong, F.lit(False)), (photo_only_title(title), F.lit(False))]
+    steps += [(matches(signals["all"], site), matches(file, name) & (score >= least)) for site, name, least in overrides]
+    general = when_first([(strong, F.lit(True)), (matches(signals["short title"], rules.TITLE_EVIDENCE) & (score >= 0.55) & ~matches(file, rules.GENERIC_PHOTO), F.lit(True))], False)
+
+    def verdict(checks, otherwise) -> Column:
+        return when_first([(matches(signals[part], pattern) & (score >= least), F.lit(then)) for part, pattern, least, then in checks], F.lit(otherwise).cast("boolean"))
+
+    # a row without a verdict is null, and the next one decides
+    of_sites = [F.when(matches(signals[part], pattern), verdict(checks, otherwise)) for part, pattern, checks, otherwise in rules.SITE_EVIDENCE]
+    return when_first(steps, F.coalesce(*of_sites, general))
 
 
 def picture_kind(alt: Column | str, url: Column | str, outside: Column | None = None) -> Column:

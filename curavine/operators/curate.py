@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.score import matches, photo_only_title, record_score, small_or_banner, when_first
 from ..functions.text import once, ratio3, text
-from ..functions.url import decode, image_key, looks_like_image
+from ..functions.url import IMAGE_EXTENSION, decode, image_key, looks_like_image, parts
 
 
 def route(df: DataFrame, visual: str, confidence: str, checked: Column, positive: Column, hard_reject: Column, evidence: Column, status_open: Column, full_flags: Column,
@@ -50,17 +53,20 @@ def only(candidates: DataFrame, site: str = "", pattern: str = "", domain_column
 
 def cleanup_reason(url: str, alt: str, title: str, width: str, height: str) -> Column:
     """Why an accepted record has to go; empty if it may stay."""
-    given = F.struct(F.lower(decode(url)).alias("url"), text(url).alias("raw"), F.lower(text(title)).alias("title"), F.lower(text(alt)).alias("alt"), small_or_banner(width, height).alias("small"))
+    u = F.lower(decode(url))
+    given = F.struct(u.alias("url"), F.element_at(F.split(u, "[/?#]"), 1).alias("head"), parts(url)["file"].alias("file"), text(url).alias("raw"), F.lower(text(title)).alias("title"), F.lower(text(alt)).alias("alt"), small_or_banner(width, height).alias("small"))
 
     def reason(g: Column) -> Column:
-        everything = F.concat_ws(" ", g["title"], g["url"], F.lower(g["raw"]), g["alt"])
-        strong = matches(F.concat_ws(" ", g["alt"], g["url"]), rules.STRONG_EVIDENCE) | ((F.length(g["title"]) <= 110) & matches(g["title"], rules.TITLE_EVIDENCE))
-        steps = [(g["small"], F.lit("small-or-banner-image"))]
-        for k, (name, pattern, spared) in enumerate(rules.CLEANUP):
-            if k == 2:
-                steps.append((photo_only_title(g["title"]), F.lit("photo-only-title")))
-            steps.append((matches(everything, pattern) & ~(strong & F.lit(spared)), F.lit(name)))
-        return when_first([*steps, (~looks_like_image(g["raw"]), F.lit("non-image-url"))], "")
+        signals = {"all": F.concat_ws(" ", g["title"], g["url"], F.lower(g["raw"]), g["alt"]), **{k: g[k] for k in ("url", "head", "file", "raw", "title")}}
+        strong = matches(F.concat_ws(" ", g["head"], g["alt"]), rules.CLEAN_FILE) | matches(g["url"], rules.PLAN_UPLOADS + "|" + rules.CLEAN_URL)
+        named = {
+            "strong": strong | matches(g["title"], "^平屋の間取り$") | ((F.length(g["title"]) <= 110) & matches(g["title"], rules.CLEAN_TITLE)),
+            "file evidence": matches(g["file"], rules.CLEAN_FILE), "photo-only title": photo_only_title(g["title"]),
+        }
+        holds = lambda x: named[x] if isinstance(x, str) else matches(signals[x[0]], x[1])
+        steps = [(reduce(and_, map(holds, hit)) & ~reduce(or_, map(holds, saved), F.lit(False)), F.lit(name)) for name, hit, saved in rules.CLEANUP]
+        picture = looks_like_image(g["raw"]) & (F.lower(g["raw"]).rlike(rf"\.(?:{IMAGE_EXTENSION})(?:$|[?#])") | F.lower(g["raw"]).rlike("/(?:image|img|uploads|wp-content|madori|plan|floor|drawing)/"))
+        return when_first([(g["small"], F.lit("small-or-banner-image")), *steps, (~picture, F.lit("non-image-url"))], "")
 
     return once(given, reason)
 
@@ -70,13 +76,14 @@ def clean(records: DataFrame, key: str, order: str, url_key: str, content_hash:
     hash, and is the first such row of its URL key. A URL repeat is named before a hash repeat, that before
     the row's own reason. Rows without a hash or a URL key aren't repeats.
     """
-    by_hash = Window.partitionBy(content_hash).orderBy(F.col(score).desc(), F.col(order))
-    hashed = F.coalesce(F.col(content_hash), F.lit("")) != ""
+    hashed, has_url = (F.coalesce(F.col(c), F.lit("")) != "" for c in (content_hash, url_key))
+    # rows without a hash have a window each, and so have those without a URL: they don't meet in one task
+    alone = lambda has: F.when(~has, F.xxhash64(key, order))
+    by_hash = Window.partitionBy(F.when(hashed, F.col(content_hash)), alone(hashed)).orderBy(F.col(score).desc(), F.col(order))
     out = records.withColumn("__best", F.when(hashed, F.first(key).over(by_hash)))
     out = out.withColumn("__own", F.when(hashed & (F.col("__best") != F.col(key)), "duplicate-hash").otherwise(F.col(reason)))
     good = F.col("__own") == ""
-    has_url = F.coalesce(F.col(url_key), F.lit("")) != ""
-    before = F.min(F.when(good, F.col(order))).over(Window.partitionBy(url_key))
+    before = F.min(F.when(good, F.col(order))).over(Window.partitionBy(F.when(has_url, F.col(url_key)), alone(has_url)))
     repeat = has_url & F.coalesce(before < F.col(order), F.lit(False))
     return out.withColumn("why", F.when(repeat, "duplicate-url").otherwise(F.col("__own"))).withColumn("kept", F.col("why") == "").drop("__best", "__own")
 

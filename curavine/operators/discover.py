@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from ..functions.url import host as host_of
 from ..functions.url import host_suffixes, path, path_query
 
 
@@ -44,10 +46,11 @@ def expand(templates: DataFrame, values: DataFrame, template: str, value: str, h
 
 
 def not_blocked(df: DataFrame, url: str, blocked: DataFrame, name: str = "domain") -> DataFrame:
-    """Rows whose host is neither on the list nor below a domain on it: an equi-join on the host's suffixes."""
-    keyed = df.withColumn("__k", F.monotonically_increasing_id())
-    hits = keyed.select("__k", F.explode(host_suffixes(url)).alias(name)).join(blocked.select(F.lower(name).alias(name)).distinct(), name).select("__k").distinct()
-    return keyed.join(hits, "__k", "left_anti").drop("__k")
+    """Rows whose host is neither on the list nor below a domain on it: an equi-join on the suffixes of the distinct hosts."""
+    keyed = df.withColumn("__host", host_of(url))
+    hosts = df.select(F.col(url).alias("__url")).select(host_of("__url").alias("__host"), host_suffixes("__url").alias("__names")).distinct()
+    hits = hosts.select("__host", F.explode("__names").alias(name)).join(blocked.select(F.lower(name).alias(name)).distinct(), name).select("__host").distinct()
+    return keyed.join(hits, "__host", "left_anti").drop("__host")
 
 
 def crawl_order(links: DataFrame, seeds: list[str], relevance: DataFrame, budget: int) -> DataFrame:
@@ -62,7 +65,9 @@ def crawl_order(links: DataFrame, seeds: list[str], relevance: DataFrame, budget
     while found.count() < budget:
         depth += 1
         new = edge.select(F.col("url").alias("source")).join(links, "source").select(F.col("target").alias("url")).distinct().join(found.select("url"), "url", "left_anti")
-        new = new.join(relevance, "url", "left").withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("relevance", F.lit(0)).desc(), "url"))).select("url", F.lit(depth).alias("depth"), F.col("place").cast("long")).limit(budget)
+        best = [F.coalesce("relevance", F.lit(0)).desc(), F.col("url")]
+        new = new.join(relevance, "url", "left").orderBy(*best).limit(budget)  # what is ranked is never more than the budget
+        new = new.withColumn("place", F.row_number().over(Window.orderBy(*best))).select("url", F.lit(depth).alias("depth"), F.col("place").cast("long"))
         edge = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
         if edge.isEmpty():
             break
@@ -125,15 +130,30 @@ def allowed(urls: DataFrame, url: str, rules: DataFrame, host: str = "host", wit
     rules: host, ord, kind, rule. * stands for anything, a final $ for the end; lengths are counted without
     both, or, with_query, in full on path and query. URLs meet their host's rules only, by an equi-join.
     """
-    keyed = urls.withColumn("__k", F.monotonically_increasing_id())
     at = path_query(url) if with_query else path(url)
+    keyed = urls.withColumn("__p", at)
     body = F.regexp_replace("rule", r"\$$", "")
     pattern = F.concat(F.lit("^"), F.array_join(F.transform(F.split(body, r"\*"), lambda s: F.concat(F.lit(r"\Q"), s, F.lit(r"\E"))), ".*"), F.when(F.col("rule").endswith("$"), "$").otherwise(""))
     length = F.length("rule") if with_query else F.length(F.regexp_replace("rule", r"[*$]", ""))
-    hits = keyed.select("__k", host, at.alias("__p")).join(rules, host)
+    hits = keyed.select(host, "__p").distinct().join(rules, host)
     hits = hits.withColumn("__re", pattern).where(F.expr("__p rlike __re"))
-    best = hits.groupBy("__k").agg(F.max_by("kind", F.struct(length.alias("n"), (-F.col("ord")).alias("o"))).alias("__kind"))
-    return keyed.join(best, "__k", "left").withColumn("allowed", F.coalesce(F.col("__kind") != "disallow", F.lit(True))).drop("__k", "__kind")
+    best = hits.groupBy(host, "__p").agg(F.max_by("kind", F.struct(length.alias("n"), (-F.col("ord")).alias("o"))).alias("__kind"))
+    out = keyed.join(best, [host, "__p"], "left").withColumn("allowed", F.coalesce(F.col("__kind") != "disallow", F.lit(True)))
+    return out.select(*urls.columns, "allowed")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def usable_patterns(lists: pd.Series) -> pd.Series:
+    """Patterns of a site's rules, of which invalid ones are made plain text; for a table of sites, not of pages."""
+
+    def usable(pattern: str) -> str:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return re.escape(pattern)
+        return pattern
+
+    return lists.map(lambda x: None if x is None else [usable(p) for p in x if p is not None])
 
 
 def adapter_accepts(signal: Column, rejects: Column, accepts: Column) -> Column:

@@ -16,9 +16,10 @@ def _keep(df: DataFrame, rank: Column, limit: int) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str], by_blank: bool = True) -> DataFrame:
     """The first row of each key. by_blank=False keeps every row whose first key is null or empty."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    if not by_blank:
-        rank = F.when(F.coalesce(F.col(keys[0]).cast("string"), F.lit("")) == "", F.lit(1)).otherwise(rank)
-    return _keep(df, rank, 1)
+    if by_blank:
+        return _keep(df, rank, 1)
+    blank = F.coalesce(F.col(keys[0]).cast("string"), F.lit("")) == ""  # these rows are never brought together
+    return _keep(df.where(~blank), rank, 1).unionByName(df.where(blank))
 
 
 def arg_max_first(df: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
@@ -36,29 +37,29 @@ def seen_before(df: DataFrame, key: str, order: str, name: str = "seen") -> Data
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
 
 
-def interleave(df: DataFrame, key: str, order: str, name: str = "position") -> DataFrame:
+def interleave(df: DataFrame, key: str, order: str, name: str = "position", turns: int = 65_536) -> DataFrame:
     """Adds the position of each row when keys take turns, in the order in which they first occur.
 
-    Turns are numbered within keys; the positions follow from the number of rows in earlier turns, so
-    that no window spans the table.
+    Turns are numbered within keys; the positions follow from the number of rows in earlier turns. These are
+    summed up for so many turns at a time, so that one task sees a row for each such stretch only.
     """
     own = df.withColumn("__turn", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     firsts = df.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
     own = own.join(firsts, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
-    sizes = own.groupBy("__turn").agg(F.count(F.lit(1)).alias("__n"))
-    # one row for each turn: as many as the largest key has rows
-    sizes = sizes.withColumn("__ahead", F.coalesce(F.sum("__n").over(Window.orderBy("__turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = own.join(sizes, "__turn")
+    sizes = own.groupBy("__turn").agg(F.count(F.lit(1)).alias("__n")).withColumn("__stretch", F.floor(F.col("__turn") / turns))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = sizes.groupBy("__stretch").agg(F.sum("__n").alias("__n")).select("__stretch", before(Window.orderBy("__stretch")).alias("__base"))
+    sizes = sizes.withColumn("__own", before(Window.partitionBy("__stretch").orderBy("__turn"))).join(stretches, "__stretch")
+    own = own.join(sizes.select("__turn", (F.col("__own") + F.col("__base")).alias("__ahead")), "__turn")
     place = F.row_number().over(Window.partitionBy("__turn").orderBy("__first"))
     return own.withColumn(name, F.col("__ahead") + place).drop("__turn", "__first", "__ahead")
 
 
 def first_accepted(df: DataFrame, key: str, order: str, accepted: str) -> DataFrame:
     """Rows up to the first accepted one of their key; rows without a key all stay."""
-    w = Window.partitionBy(key)
-    first = F.min(F.when(F.col(accepted), F.col(order))).over(w)
-    keep = (F.coalesce(F.col(key), F.lit("")) == "") | first.isNull() | (F.col(order) <= first)
-    return df.withColumn("__keep", keep).where("__keep").drop("__keep")
+    firsts = df.where(F.col(accepted) & (F.coalesce(F.col(key), F.lit("")) != "")).groupBy(key).agg(F.min(order).alias("__first"))
+    joined = df.join(firsts, key, "left").where(F.col("__first").isNull() | (F.col(order) <= F.col("__first")))
+    return joined.select(*df.columns)
 
 
 def islands(df: DataFrame, sequence: str, step: str, name: str = "island") -> DataFrame:

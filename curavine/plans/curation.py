@@ -26,9 +26,11 @@ def curated(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame) ->
     """One run over candidates that aren't known yet.
 
     candidates: id, ord, domain, page_url, image_url, title, alt, near, width, height, model_status,
-    model_plan, model_confidence, layout, area, floors, last_seen. accepted and rejected: id, image_url of
+    model_plan, model_confidence, layout, area, floors, last_seen, and content_hash if it is known. accepted and rejected: id, image_url of
     earlier runs. Everything is one plan of DataFrame operations; nothing is collected.
     """
+    if "content_hash" not in candidates.columns:
+        candidates = candidates.withColumn("content_hash", F.lit(None).cast("string"))
     new = curate.admit(candidates, rejected, accepted, "id", "image_url", "image_url")
     full, own = SC.signal("image_url", "alt", "title", "near"), SC.signal("image_url", "alt", "title")
     new = new.withColumn("v", SC.visual(full, own, "width", "height")).withColumn("visual", F.col("v.score"))
@@ -37,11 +39,11 @@ def curated(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame) ->
     strong = SC.matches(F.concat_ws(" ", text("image_url"), text("alt")), SC.rules.STRONG_EVIDENCE)
     new = new.withColumn("confidence", SC.final_confidence(checked, positive, strong, F.coalesce("model_confidence", F.lit(0.0)), F.col("visual")))
     new = new.withColumn("evidence", SC.acceptance_evidence("image_url", "alt", F.lit(""), "title", F.col("visual")))
-    routed = curate.route(new, "visual", "confidence", checked, positive, F.size("v.hard_rejects") > 0, F.col("evidence"), ~checked, positive)
+    routed = curate.route(new, "visual", "confidence", checked, positive, F.size("v.hard_rejects") > 0, F.col("evidence"), F.coalesce(F.col("model_status"), F.lit("unchecked")) != "unchecked", positive)
     routed = routed.withColumn("url_key", image_key("image_url"))
     routed = keys.first_accepted(routed.withColumn("ok", F.col("route") == "accept"), "url_key", "ord", "ok")
     good = routed.where("route = 'accept'").withColumn("score", SC.record_score("image_url", "width", "height")).withColumn("own", curate.cleanup_reason("image_url", "alt", "title", "width", "height"))
-    cleaned = curate.clean(good.withColumn("hash", F.lit(None).cast("string")), "id", "ord", "url_key", "hash", "score", "own")
+    cleaned = curate.clean(good, "id", "ord", "url_key", "content_hash", "score", "own")
     kept = cleaned.where("kept")
     out = routed.where("route = 'reject'").select("id", "image_url", "domain", "reason").unionByName(cleaned.where("not kept").select("id", "image_url", "domain", F.col("why").alias("reason")))
     review = routed.where("route = 'review'").select("id", "image_url", "domain", "visual", "confidence", "reason")

@@ -12,7 +12,7 @@ from ..functions import hashing as H
 from ..functions import score as SC
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import convert, curate, discover, keys, search, upsert
+from ..operators import convert, curate, discover, keys, plans, search, upsert
 from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,11 +159,11 @@ def nested_items_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0
-    UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)""")
+    SELECT c_custkey * 2 AS id, c_name AS name FROM customer
+    UNION ALL SELECT s_suppkey * 3, s_name FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT c_custkey * 2 FROM customer)""")
 def union_left_wins(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return keys.union_first(a, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"], "name")
+    a = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("id"), F.col("c_name").alias("name"))
+    return keys.union_first(a, table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_name").alias("name")), ["id"], "name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -231,17 +231,17 @@ def same_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS first_seen, strftime(o_orderdate, '%Y-%m-%d') AS last_seen FROM orders WHERE o_orderkey % 2 = 0),
-    i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'N' END AS status, '1999-01-01' AS first_seen, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE '1996-06-01' END AS last_seen FROM orders WHERE o_orderkey % 3 = 0)
+    WITH s AS (SELECT o_orderkey * 2 AS id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS first_seen, strftime(o_orderdate, '%Y-%m-%d') AS last_seen FROM orders),
+    i AS (SELECT o_orderkey * 3 AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'N' END AS status, '1999-01-01' AS first_seen, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE '1996-06-01' END AS last_seen FROM orders)
     SELECT coalesce(s.id, i.id) AS id, coalesce(i.status, s.status) AS status, coalesce(s.first_seen, i.first_seen) AS first_seen,
            CASE WHEN nullif(i.last_seen, '') IS NULL THEN s.last_seen WHEN s.last_seen IS NULL OR i.last_seen > s.last_seen THEN i.last_seen ELSE s.last_seen END AS last_seen,
            CASE WHEN s.id IS NULL THEN 1 ELSE 0 END AS side
     FROM s FULL JOIN i ON s.id = i.id""")
 def upsert_by_id(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    s = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("day").alias("first_seen"), F.col("day").alias("last_seen"), F.col("o_orderkey").alias("ord"))
-    i = o.where("o_orderkey % 3 = 0").select(
-        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 6 != 0, "N").alias("status"), F.lit("1999-01-01").alias("first_seen"),
+    s = o.select((F.col("o_orderkey") * 2).alias("id"), F.col("o_orderstatus").alias("status"), F.col("day").alias("first_seen"), F.col("day").alias("last_seen"), F.col("o_orderkey").alias("ord"))
+    i = o.select(
+        (F.col("o_orderkey") * 3).alias("id"), F.when(F.col("o_orderkey") % 6 != 0, "N").alias("status"), F.lit("1999-01-01").alias("first_seen"),
         F.when(F.col("o_orderkey") % 9 == 0, "").otherwise("1996-06-01").alias("last_seen"), F.col("o_orderkey").alias("ord"),
     )
     return upsert.upsert(s, i).select("id", "status", "first_seen", "last_seen", "side")
@@ -250,13 +250,13 @@ def upsert_by_id(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL OR b.conf > coalesce(a.conf, -1.0) THEN b.conf ELSE a.conf END AS conf,
            CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NOT NULL AND b.c > a.c THEN b.v ELSE a.v END AS v
-    FROM (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) / 50 AS conf, nullif(p_brand, 'Brand#11') AS v, CAST(p_size AS DOUBLE) AS c FROM part WHERE p_partkey % 2 = 0) a
-    FULL JOIN (SELECT p_partkey AS id, 0.5::DOUBLE AS conf, p_type AS v, 25.0::DOUBLE AS c FROM part WHERE p_partkey % 3 = 0) b ON a.id = b.id""")
+    FROM (SELECT p_partkey * 2 AS id, CAST(p_size AS DOUBLE) / 50 AS conf, nullif(p_brand, 'Brand#11') AS v, CAST(p_size AS DOUBLE) AS c FROM part) a
+    FULL JOIN (SELECT p_partkey * 3 AS id, 0.5::DOUBLE AS conf, p_type AS v, 25.0::DOUBLE AS c FROM part) b ON a.id = b.id""")
 def merge_better(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     fact = lambda v, c: F.struct(v.alias("value"), c.cast("double").alias("confidence")).alias("fact")
-    a = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size").cast("double") / 50).alias("conf"), fact(F.nullif(F.col("p_brand"), F.lit("Brand#11")), F.col("p_size")))
-    b = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.lit(0.5).cast("double").alias("conf"), fact(F.col("p_type"), F.lit(25.0)))
+    a = p.select((F.col("p_partkey") * 2).alias("id"), (F.col("p_size").cast("double") / 50).alias("conf"), fact(F.nullif(F.col("p_brand"), F.lit("Brand#11")), F.col("p_size")))
+    b = p.select((F.col("p_partkey") * 3).alias("id"), F.lit(0.5).cast("double").alias("conf"), fact(F.col("p_type"), F.lit(25.0)))
     return upsert.merge_accepted(a, b, "id", ["fact"], "conf", []).select("id", "conf", F.col("fact.value").alias("v"))
 
 
@@ -319,16 +319,16 @@ def validate_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT 'n' || n_nationkey AS domain, n_nationkey % 3 AS failures, 'ok' AS last_status, NULL::VARCHAR AS block_reason, TIMESTAMP '2026-01-01' AS t FROM nation WHERE n_nationkey < 20),
-    o AS (SELECT 'n' || n_nationkey AS domain, n_nationkey % 2 = 0 AS ok, CASE WHEN n_nationkey % 4 = 1 THEN 'captcha' ELSE 'http' END AS reason FROM nation WHERE n_nationkey >= 10)
+    WITH s AS (SELECT 'n' || n_nationkey AS domain, n_nationkey % 3 AS failures, 'ok' AS last_status, NULL::VARCHAR AS block_reason, TIMESTAMP '2026-01-01' AS t FROM nation),
+    o AS (SELECT 'n' || (n_nationkey + 10) AS domain, n_nationkey % 2 = 0 AS ok, CASE WHEN n_nationkey % 4 = 1 THEN 'captcha' ELSE 'http' END AS reason FROM nation)
     SELECT coalesce(s.domain, o.domain) AS domain, CAST(CASE WHEN ok THEN 0 WHEN ok IS NULL THEN coalesce(failures, 0) ELSE coalesce(failures, 0) + 1 END AS INTEGER) AS failures,
            CASE WHEN ok THEN 'ok' WHEN ok IS NULL THEN last_status ELSE 'stopped' END AS last_status, CASE WHEN NOT ok THEN reason END AS block_reason,
            CASE WHEN NOT ok THEN strftime(TIMESTAMP '2026-03-01' + CASE WHEN reason = 'captcha' THEN INTERVAL 72 HOUR ELSE INTERVAL 24 HOUR END, '%Y-%m-%d %H') END AS next_crawl
     FROM s FULL JOIN o ON s.domain = o.domain""")
 def backoff_state(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").withColumn("domain", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
-    s = n.where("n_nationkey < 20").select("domain", (F.col("n_nationkey") % 3).alias("failures"), F.lit("ok").alias("last_status"), F.lit(None).cast("string").alias("block_reason"), F.lit(None).cast("timestamp_ntz").alias("next_crawl_after"), F.expr("timestamp_ntz'2026-01-01'").alias("last_crawled_at"))
-    o = n.where("n_nationkey >= 10").select("domain", (F.col("n_nationkey") % 2 == 0).alias("ok"), F.when(F.col("n_nationkey") % 4 == 1, "captcha").otherwise("http").alias("reason"))
+    s = n.select("domain", (F.col("n_nationkey") % 3).alias("failures"), F.lit("ok").alias("last_status"), F.lit(None).cast("string").alias("block_reason"), F.lit(None).cast("timestamp_ntz").alias("next_crawl_after"), F.expr("timestamp_ntz'2026-01-01'").alias("last_crawled_at"))
+    o = n.select(F.concat(F.lit("n"), (F.col("n_nationkey") + 10).cast("string")).alias("domain"), (F.col("n_nationkey") % 2 == 0).alias("ok"), F.when(F.col("n_nationkey") % 4 == 1, "captcha").otherwise("http").alias("reason"))
     out = curate.next_state(s, o, F.expr("timestamp_ntz'2026-03-01'"), {"captcha": 72})
     return out.select("domain", F.col("failures").cast("int").alias("failures"), "last_status", "block_reason", F.date_format("next_crawl_after", "yyyy-MM-dd HH").alias("next_crawl"))
 
@@ -521,14 +521,14 @@ def new_since_watermark(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, max(event_id) AS watermark FROM events GROUP BY 1")
 def raised_watermarks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", "event_id")
-    state = e.where("event_id % 3 = 0").groupBy("event_type").agg(F.max("event_id").alias("watermark"))
+    state = e.groupBy("event_type").agg(F.min("event_id").alias("watermark"))
     return incremental.raise_watermarks(e, state, "event_type", "event_id")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0)")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def processed_set(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return incremental.not_processed(e, e.where("event_id % 50 = 0").select("user_id").distinct(), "user_id").select("event_id")
+    return incremental.not_processed(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id").select("event_id")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
@@ -559,3 +559,73 @@ def review_budget(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return keys.seeded_sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
+
+
+def _literals(rows: list[tuple]) -> str:
+    """Rows as SQL values."""
+    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+_FLOORS = [
+    ("plan 1f", 1.0), ("plan 2F ", 2.0), ("x1.5階部分", 1.5), ("a_2f.png", 2.0), ("12階部分", 2.0), ("img01.suumo.com/front/gazo/chumon/a/main/b_m03.jpg", 3.0),
+    ("be-enough.jp/a/plan1-img02.png", 1.0), ("二階間取り", 2.0), ("x_heimen3.png", 3.0), ("家", 9.0), ("", 9.0),
+]
+
+
+@query(f"SELECT col0 AS signal, col1::DOUBLE AS floor FROM (VALUES {_literals(_FLOORS)}) t")
+def floor_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, [(s,) for s, _ in _FLOORS], "signal string").select("signal", plans.floor_order(F.col("signal")).alias("floor"))
+
+
+_TITLES = [
+    ("A邸の1階部分間取り", "A邸間取り"), ("A邸（2階部分）間取り図", "A邸 間取り図"), ("家の間取り図 2枚目", "家の間取り図"), ("家 3枚目", "家"), ("間取り2F", "間取り"), ("家 1f", "家"), ("1階の間取り", ""), ("3 階部分の家", "の家"), ("二階部分", ""),
+]
+
+
+@query(f"SELECT col0 AS title, col1 AS plain FROM (VALUES {_literals(_TITLES)}) t")
+def plain_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, [(s,) for s, _ in _TITLES], "title string").select("title", plans.plain_title("title").alias("plain"))
+
+
+_CLEANED = [
+    ("https://x/madori/plan_1.png", "", "間取り図", 800, 600, ""), ("https://x/common/a.png", "", "", 0, 0, "common-ui-image"), ("https://x/p.png", "", "", 100, 100, "small-or-banner-image"), ("https://x/living.jpg", "", "", 800, 600, "room-photo"),
+    ("https://x/page", "", "", 0, 0, "non-image-url"), ("https://x/b.png", "", "リビングの", 800, 600, "photo-only-title"), ("https://x/b.png", "", "打ち合わせの間取り図", 800, 600, "process-photo"), ("https://x/madori.png", "", "打ち合わせの様子", 800, 600, ""),
+    ("https://www.yuyuhome.co.jp/a.png", "", "", 800, 600, "domain-photo-gallery"), ("https://www.yuyuhome.co.jp/plan.png", "", "", 800, 600, ""), ("https://be-enough.jp/x/plan3-img01.jpg", "", "", 800, 600, "be-enough-site-plan-or-elevation"),
+    ("https://sfc.jp/a.png", "", "土間あり", 800, 600, "sfc-photo-section"), ("https://x/b.png", "間取り 玄関", "", 800, 600, ""), ("12-3.jpg", "", "", 800, 600, "generic-uploaded-photo"), ("https://x/thum.png", "", "", 800, 600, "text-or-thumbnail-image"),
+    ("https://x/gallery.png", "", "", 800, 600, "photo-or-system-image"), ("https://x/a-300x200.png", "", "", 800, 600, "small-thumbnail"), ("https://genmai-home.com/a.png", "", "", 800, 600, "blog-non-plan-image"),
+]
+
+
+@query(f"SELECT col0 AS url, col1 AS alt, col2 AS title, col5 AS reason FROM (VALUES {_literals(_CLEANED)}) t")
+def cleanup_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = _values(spark, [r[:5] for r in _CLEANED], "url string, alt string, title string, width int, height int")
+    return rows.select("url", "alt", "title", curate.cleanup_reason("url", "alt", "title", "width", "height").alias("reason"))
+
+
+_EVIDENCE = [
+    ("https://x/a.png", "", "間取り図", 0.6, True), ("https://x/a.png", "", "間取り図", 0.5, False), ("https://x/img_12.png", "", "間取り図", 0.9, False), ("https://x/a.png", "間取り", "", 0.0, True), ("https://x/thum.png", "間取り", "", 1.0, False),
+    ("https://x/a.png", "間取り", "作成中", 1.0, False), ("https://x/madori.png", "", "作成中", 0.0, True), ("https://www.hamaguri.co.jp/a.png", "間取り", "", 1.0, False), ("https://yuyuhome.co.jp/a.png", "間取り", "平面図", 0.7, True),
+    ("https://yuyuhome.co.jp/a.png", "間取り", "平面図", 0.6, False), ("https://hirayakoubou.net/ys-1a-fig.png", "", "", 0.45, True), ("https://irohaie.com/like1.png", "", "", 0.55, True), ("https://be-enough.jp/p/plan1-img04.jpg", "", "", 1.0, False),
+]
+
+
+@query(f"SELECT col0 AS url, col1 AS alt, col2 AS title, col3::DOUBLE AS visual, col4 AS evidence FROM (VALUES {_literals(_EVIDENCE)}) t")
+def acceptance_evidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = _values(spark, [r[:4] for r in _EVIDENCE], "url string, alt string, title string, visual double")
+    return rows.withColumn("evidence", SC.acceptance_evidence("url", "alt", F.lit(""), "title", F.col("visual")))
+
+
+_PLANS = [
+    ("1", "c", "https://cleverlyhome.com/kurashi/plan/7", "https://c/a.png", "家の1階部分", "3LDK", 99.5, "sequence:c:https://cleverlyhome.com/kurashi/plan/7:3LDK:99.50:家"),
+    ("2", "f", "https://forumu.co.jp/madori/madori-12.html", "https://f/i/madori_12.png", "", None, None, "page-image:f:https://forumu.co.jp/madori/madori-12.html:madori_12"),
+    ("3", "s", "https://suumo.jp/chumon/tn_x/rn_y/z/jitsurei/jc_5/", "https://i/a.png", "1階間取り", None, None, "detail-page:s:https://suumo.jp/chumon/tn_x/rn_y/z/jitsurei/jc_5/"),
+    ("4", "z", "https://z/p", "https://z/ie/myhome/img/12_8.jpg", "2階間取り", None, None, "sequence:z:https://z/p:sfc-12-7"), ("5", "x", "https://x/p", "https://x/madori_2f.png", "", None, None, "image:x:https://x/madori.png"),
+    ("6", "s", "https://x/q", "https://i/a.png", "1階間取り", None, None, "record:6"),
+]
+
+
+@query(f"SELECT col0 AS id, col7 AS key FROM (VALUES {_literals(_PLANS)}) t")
+def plan_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = _values(spark, [(*r[:5], "", *r[5:7]) for r in _PLANS], "id string, domain string, page string, image string, title string, alt string, layout string, area double")
+    return rows.select("id", plans.group_key("id", "domain", "page", "image", "title", "alt", "layout", "area").alias("key"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import upsert
+from ..operators.upsert import last_per_key, upsert
 
 
 def _empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
@@ -95,9 +95,11 @@ class Store:
     def _write(self, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{self._version() + 1}")
 
-    def put(self, rows: DataFrame) -> None:
-        """Insert or replace by key; of repeated keys any one is kept."""
-        self._write(self.all().join(rows.select(self.key), self.key, "left_anti").unionByName(rows.dropDuplicates([self.key])))
+    def put(self, rows: DataFrame, order: str | None = None) -> None:
+        """Insert or replace by key; of repeated keys the last by order is kept, or, without an order, any one."""
+        own = rows.dropDuplicates([self.key]) if order is None else last_per_key(rows, self.key, order)
+        own = own.select(*self.all().columns)
+        self._write(self.all().join(own.select(self.key), self.key, "left_anti").unionByName(own))
 
     def delete(self, keys: DataFrame) -> None:
         self._write(self.all().join(keys, self.key, "left_anti"))

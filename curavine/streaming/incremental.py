@@ -61,17 +61,22 @@ def upsert_sink(path: str, key: str, order: str) -> Callable[[DataFrame, int], N
 def per_key_watermark(stream: DataFrame, key: str, time: str, columns: str) -> DataFrame:
     """Streaming form of new_since: state keeps each key's greatest time, which never expires.
 
-    columns is the schema of the result, the stream's own; time is a comparable text or timestamp.
+    columns is the schema of the result, the stream's own; time is a comparable text or timestamp. Rows without
+    a time all count, and don't move the watermark.
     """
 
+    def comparable(times: pd.Series) -> pd.Series:
+        return times.dt.strftime("%Y-%m-%d %H:%M:%S.%f") if pd.api.types.is_datetime64_any_dtype(times) else times.astype(str)
+
     def later(_: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.get[0] if state.exists else None
         top = mark
         for pdf in groups:
-            times = pdf[time].astype(str)
-            yield pdf[(times > mark) if mark is not None else [True] * len(pdf)]
-            if len(times):
-                top = times.max() if top is None else max(top, times.max())
+            given = pdf[time].notna()
+            times = comparable(pdf[time])
+            yield pdf if mark is None else pdf[~given | (times > mark)]
+            if given.any():
+                top = max(filter(None, (top, times[given].max())))
         if top is not None:
             state.update((top,))
 

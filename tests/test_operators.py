@@ -133,10 +133,47 @@ def test_quality_buckets(spark):
 def test_cleanup_reasons(spark):
     rows = [
         ("https://x/madori/plan_1.png", "", "間取り図", 800, 600), ("https://x/common/a.png", "", "", 0, 0), ("https://x/p.png", "", "", 100, 100), ("https://x/living.jpg", "", "", 800, 600),
-        ("https://x/page", "", "", 0, 0), ("https://x/b.png", "", "リビングの", 800, 600),
+        ("https://x/page", "", "", 0, 0), ("https://x/b.png", "", "リビングの", 800, 600), ("https://x/b.png", "", "打ち合わせの間取り図", 800, 600), ("https://x/madori.png", "", "打ち合わせの様子", 800, 600),
+        ("https://www.yuyuhome.co.jp/a.png", "", "", 800, 600), ("https://www.yuyuhome.co.jp/plan.png", "", "", 800, 600), ("https://be-enough.jp/x/plan3-img01.jpg", "", "", 800, 600), ("https://sfc.jp/a.png", "", "土間あり", 800, 600),
+        ("https://x/b.png", "間取り 玄関", "", 800, 600), ("12-3.jpg", "", "", 800, 600),
     ]
     df = table(spark, rows, "u string, a string, t string, w int, h int")
-    assert [r[0] for r in df.select(curate.cleanup_reason("u", "a", "t", "w", "h")).collect()] == ["", "common-ui-image", "small-or-banner-image", "room-photo", "non-image-url", "photo-only-title"]
+    assert [r[0] for r in df.select(curate.cleanup_reason("u", "a", "t", "w", "h")).collect()] == ["", "common-ui-image", "small-or-banner-image", "room-photo", "non-image-url", "photo-only-title", "process-photo", "", "domain-photo-gallery", "", "be-enough-site-plan-or-elevation", "sfc-photo-section", "", "generic-uploaded-photo"]
+
+
+def test_evidence_of_single_sites(spark):
+    rows = [
+        ("https://x/a.png", "", "間取り図", 0.6, True), ("https://x/a.png", "", "間取り図", 0.5, False), ("https://x/img_12.png", "", "間取り図", 0.9, False), ("https://x/a.png", "間取り", "", 0.0, True),
+        ("https://x/thum.png", "間取り", "", 1.0, False), ("https://x/a.png", "間取り", "作成中", 1.0, False), ("https://x/madori.png", "", "作成中", 0.0, True), ("https://www.hamaguri.co.jp/a.png", "間取り", "", 1.0, False),
+        ("https://yuyuhome.co.jp/a.png", "間取り", "平面図", 0.7, True), ("https://yuyuhome.co.jp/a.png", "間取り", "平面図", 0.6, False), ("https://hirayakoubou.net/ys-1a-fig.png", "", "", 0.45, True), ("https://hirayakoubou.net/madori.png", "", "", 1.0, False),
+        ("https://irohaie.com/like1.png", "", "", 0.55, True), ("https://irohaie.com/b.png", "間取り", "", 0.9, False), ("https://be-enough.jp/p/plan1-img02.jpg", "", "", 0.45, True), ("https://be-enough.jp/p/plan1-img04.jpg", "", "", 1.0, False),
+        ("https://with-e-home.com/img/uploads/plans/2024-01-02/a.png", "", "", 0.5, True), ("https://with-e-home.com/img/uploads/plans/2024-01-02/a.png", "", "", 0.4, False),
+    ]
+    df = table(spark, rows, "u string, a string, t string, v double, want boolean")
+    got = df.select("u", "t", "v", "want", score.acceptance_evidence("u", "a", F.lit(""), "t", F.col("v")).alias("got")).collect()
+    assert [tuple(r) for r in got if r.got != r.want] == []
+
+
+def test_floors_and_plain_titles(spark):
+    floors = [("plan 1f", 1.0), ("plan 2F ", 2.0), ("x1.5階部分", 1.5), ("a_2f.png", 2.0), ("12階部分", 2.0), ("img01.suumo.com/front/gazo/chumon/a/main/b_m03.jpg", 3.0), ("be-enough.jp/a/plan1-img02.png", 1.0), ("家", 9.0), (None, 9.0)]
+    df = table(spark, floors, "s string, f double")
+    assert [r[0] for r in df.select(plans.floor_order(F.col("s"))).collect()] == [f for _, f in floors]
+    titles = [("A邸の1階部分間取り", "A邸間取り"), ("A邸（2階部分）間取り図", "A邸 間取り図"), ("家の間取り図 2枚目", "家の間取り図"), ("家　3枚目", "家"), ("間取り2F", "間取り"), ("1階の間取り", ""), ("3 階部分の家", "の家")]
+    df = table(spark, titles, "t string, w string")
+    assert [r[0] for r in df.select(plans.plain_title("t")).collect()] == [w for _, w in titles]
+
+
+def test_keys_of_plans(spark):
+    s = "id string, domain string, page string, image string, title string, alt string, layout string, area double"
+    rows = [
+        ("1", "c", "https://cleverlyhome.com/kurashi/plan/7", "https://c/a.png", "家の1階部分", "", "3LDK", 99.5, "sequence:c:https://cleverlyhome.com/kurashi/plan/7:3LDK:99.50:家"),
+        ("2", "c", "https://cleverlyhome.com/kurashi/plan/7", "https://c/b.png", "2F", "", None, None, "sequence:c:https://cleverlyhome.com/kurashi/plan/7:layout-unknown:area-unknown:2F"),
+        ("3", "f", "https://forumu.co.jp/madori/madori-12.html", "https://f/i/madori_12.png", "", "", None, None, "page-image:f:https://forumu.co.jp/madori/madori-12.html:madori_12"),
+        ("4", "s", "https://suumo.jp/chumon/tn_x/rn_y/z/jitsurei/jc_5/", "https://i/a.png", "1階間取り", "", None, None, "detail-page:s:https://suumo.jp/chumon/tn_x/rn_y/z/jitsurei/jc_5/"), ("5", "s", "https://x/q", "https://i/a.png", "1階間取り", "", None, None, "record:5"),
+    ]
+    df = table(spark, rows, s + ", want string")
+    for r in df.select("id", "want", plans.group_key("id", "domain", "page", "image", "title", "alt", "layout", "area").alias("got")).collect():
+        assert r.got == r.want
 
 
 def test_robots_dialects():
@@ -162,6 +199,22 @@ def test_block_list_matches_whole_labels(spark):
     assert sorted(r.id for r in got.collect()) == [2, 4]
 
 
+def test_invalid_patterns_of_an_adapter_are_plain_text(spark):
+    df = table(spark, [("a plan(1", ["x["], ["plan("]), ("ax[", ["x["], []), ("b", [], ["^B$"]), (None, ["b"], ["c"])], "s string, no array<string>, yes array<string>")
+    got = df.select(discover.adapter_accepts(F.col("s"), discover.usable_patterns("no"), discover.usable_patterns("yes"))).collect()
+    assert [r[0] for r in got] == [True, False, True, False]
+
+
+def test_rows_without_keys_do_not_meet(spark):
+    df = table(spark, [(1, None, True), (2, "", True), (3, None, False), (4, "a", False), (5, "a", True), (6, "a", False), (7, "b", False)], "ord int, k string, ok boolean")
+    assert sorted(r.ord for r in keys.first_accepted(df, "k", "ord", "ok").collect()) == [1, 2, 3, 4, 5, 7]
+    assert sorted(r.ord for r in keys.keep_first(df, ["k"], ["ord"], by_blank=False).collect()) == [1, 2, 3, 4, 7]
+    many = table(spark, [(k * 1000 + i, k) for k, n in enumerate((700, 3, 41)) for i in range(n)], "ord int, src int")
+    got = [r.src for r in keys.interleave(many, "src", "ord", turns=16).orderBy("position").collect()]
+    want = [k for i in range(700) for k, n in enumerate((700, 3, 41)) if i < n]
+    assert got == want
+
+
 def test_crawl_order(spark):
     links = table(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "a"), ("d", "e")], "source string, target string")
     out = discover.crawl_order(links, ["a"], table(spark, [("c", 5)], "url string, relevance int"), 4)
@@ -173,15 +226,15 @@ def test_plan_groups(spark):
     rows = [
         ("1", "x", "https://x/p", "https://x/madori_2f.png", "青い家 2F", "", None, 100.0, None, "2026-01-02"), ("2", "x", "https://x/p", "https://x/madori_1f.png", "青い家 1F", "", "3LDK", 100.0, "", "2026-01-03"),
         ("3", "x", "https://x/q", "https://x/photo.png", "one", "", None, None, None, None), ("4", "y", "https://y/case/77/", "https://y/a.png", "1階部分", "", None, None, None, None),
-        ("5", "y", "https://y/case/77/", "https://y/b.png", "2階部分 4LDK", "", None, None, None, None), ("6", "z", "https://z/p", "https://z/img/12_8.jpg", "2階間取り", "", None, None, None, None),
-        ("7", "z", "https://z/p", "https://z/img/12_7.jpg", "1階間取り", "", None, None, None, None),
+        ("5", "y", "https://y/case/77/", "https://y/b.png", "2階部分 4LDK", "", None, None, None, None), ("6", "z", "https://z/p", "https://z/ie/myhome/img/12_8.jpg", "2階間取り", "", None, None, None, None),
+        ("7", "z", "https://z/p", "https://z/ie/myhome/img/12_7.jpg", "1階間取り", "", None, None, None, None),
     ]
     out = {tuple(r.images): r for r in plans.group_plans(table(spark, rows, s)).collect()}
     blue = out["https://x/madori_1f.png", "https://x/madori_2f.png"]
     assert (blue.title, blue.layout, blue.floors, blue.tsubo, blue.fetched_at, blue.n_images) == ("青い家", "3LDK", "2階建", 30.25, "2026-01-03", 2)
     case = out["https://y/a.png", "https://y/b.png"]
     assert case.layout == "4LDK" and case.floors == "2階建" and case.group_id.startswith("group:detail-page:y:")
-    assert out["https://z/img/12_7.jpg", "https://z/img/12_8.jpg"].group_id.startswith("group:sequence:z:")
+    assert out["https://z/ie/myhome/img/12_7.jpg", "https://z/ie/myhome/img/12_8.jpg"].group_id.startswith("group:sequence:z:")
     assert out[("https://x/photo.png",)].group_id == "3" and out[("https://x/photo.png",)].title == "one"
     stats = plans.feed_stats(table(spark, rows, s), plans.group_plans(table(spark, rows, s)), "domain").first()
     assert (stats.accepted, stats.plans, stats.multi_image, stats.domains) == (7, 4, 3, {"x": 3, "y": 2, "z": 2})
@@ -251,13 +304,14 @@ def test_curation_run(spark):
     rows = [
         row(1, "https://d/madori/plan_1f.png", "間取り図 1F", "checked", True, 0.95), row(2, "https://d/madori/plan_2f.png", "間取り図 2F", "checked", True, 0.95), row(3, "https://d/madori/plan_1f.png?v=2", "間取り図 1F", "checked", True, 0.95),
         row(4, "https://d/logo.png", "", None, None, None), row(5, "https://d/uploads/x.png", "", None, None, None), row(6, "https://d/known.png", "", None, None, None), row(7, "https://d/img/madori.png", "", "checked", False, 0.9),
+        row(8, "https://d/uploads/y.png", "", "checked", True, 0.3),
     ]
     done = table(spark, [("x", "https://d/known.png")], "id string, image_url string")
     r = curation.curated(table(spark, rows, s), done, done.limit(0))
     assert sorted(x.id for x in r.accepted.collect()) == ["1", "2"]
-    assert {x.id: x.reason for x in r.rejected.collect()} == {"4": "hard-reject", "7": "not-a-plan"}
-    assert [x.id for x in r.review.collect()] == ["5"]
+    assert {x.id: x.reason for x in r.rejected.collect()} == {"4": "hard-reject", "5": "low-confidence", "7": "not-a-plan"}
+    assert [(x.id, x.reason) for x in r.review.collect()] == [("8", "uncertain")]
     plan = r.plans.collect()
     assert len(plan) == 1 and plan[0].n_images == 2 and plan[0].floors == "2階建"
     q = r.stats.first()
-    assert (q.candidates, q.accepted, q.rejected, q.review, q.rate, q.quality) == (7, 2, 2, 1, 0.286, "medium")
+    assert (q.candidates, q.accepted, q.rejected, q.review, q.rate, q.quality) == (8, 2, 3, 1, 0.25, "medium")
