@@ -62,3 +62,8 @@ def better(current: Column, incoming: Column) -> Column:
     """Of two facts the filled one; of two filled ones that of higher confidence, the current one on a tie."""
     filled = lambda s: s.isNotNull() & s["value"].isNotNull()
     return F.when(~filled(current), incoming).when(filled(incoming) & (incoming["confidence"] > current["confidence"]), incoming).otherwise(current)
+
+
+def company(t: Column | str) -> Column:
+    """The maker that a page names; empty if it names none."""
+    return F.regexp_extract(text(t), "(?U)" + rules.COMPANY, 1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .. import rules
 from .text import _c, once, text
 
 #: Parameters that say where a visitor came from.
@@ -165,3 +166,29 @@ def pattern_score(x: Column | str, weights: list[tuple[str, float]], base: float
     for pattern, w in weights:
         out = out + F.when(text(x).rlike(pattern), F.lit(float(w))).otherwise(F.lit(0.0))
     return out
+
+
+def url_score(url: Column | str, step: str, title: Column | str | None = None, mime: Column | str | None = None) -> Column:
+    """Score of a URL for a step of discovery (a key of rules.URL_SCORES).
+
+    "archive" and "search" look at the decoded text. search takes the title before the URL too; archive adds
+    to the score of pictures, told by MIME type or extension. Null counts as empty.
+    """
+    named = url if title is None or step != "search" else F.concat_ws(" ", text(title), text(url))
+    signal = decode(named) if step in ("archive", "search") else text(url)
+    score = once(signal, lambda s: pattern_score(s, rules.URL_SCORES[step]))
+    if step != "archive":
+        return score
+    picture = once(signal, lambda s: s.rlike(rf"(?i)\.(?:{IMAGE_EXTENSION})(?:[?#].*)?$"))
+    if mime is not None:
+        picture = picture | text(mime).rlike("(?i)^image/")
+    return score + F.when(picture, float(rules.ARCHIVE_PICTURE_SCORE)).otherwise(0.0)
+
+
+def priority(url: Column | str) -> Column:
+    """Whether a URL is one to visit first; an unwanted folder rules it out, and so does an empty URL."""
+    return deny_then_allow(url, "(?i)" + "|".join(rules.LOW_PRIORITY_URLS), "(?i)" + "|".join(rules.PRIORITY_URLS))
+
+
+def priority_sitemap(url: Column | str) -> Column:
+    return text(url).rlike("(?i)" + rules.PRIORITY_SITEMAP)

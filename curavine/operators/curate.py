@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.score import matches, photo_only_title, record_score, small_or_banner, when_first
-from ..functions.text import once, ratio3, text
+from ..functions.text import first_filled, once, ratio3, text
 from ..functions.url import IMAGE_EXTENSION, decode, image_key, looks_like_image, parts
+from .convert import filter_nested
+from .keys import keep_first
 
 
 def route(df: DataFrame, visual: str, confidence: str, checked: Column, positive: Column, hard_reject: Column, evidence: Column, status_open: Column, full_flags: Column,
@@ -98,17 +100,24 @@ def validate(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key), F.explode(hits).alias("check"))
 
 
-def source_quality(kinds: DataFrame, domain: str, kind: str, states: DataFrame | None = None) -> DataFrame:
+def source_quality(kinds: DataFrame, domain: str, kind: str, states: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """Counts of candidates, accepted, rejected and review rows of each domain, with rate and quality.
 
-    One aggregation over the union of the four kinds; a missing domain counts as unknown.
+    One aggregation over the union of the four kinds; a missing domain counts as unknown. states adds its
+    columns; last_crawled_at is taken from the statistics of the run before where the state has none.
     """
     d = F.coalesce(F.nullif(F.col(domain), F.lit("")), F.lit("unknown")).alias("domain")
     n = lambda k: F.count_if(F.col(kind) == k)
     out = kinds.groupBy(d).agg(n("candidate").alias("candidates"), n("accepted").alias("accepted"), n("rejected").alias("rejected"), n("review").alias("review"))
     out = out.withColumn("rate", ratio3(F.col("accepted"), F.col("candidates")))
     out = out.withColumn("quality", quality(F.col("rate"), F.col("accepted")))
-    return out.join(states, "domain", "left") if states is not None else out
+    if states is not None:
+        out = out.join(states, "domain", "left")
+    if before is not None:
+        own = F.nullif(F.col("last_crawled_at"), F.lit("")) if states is not None else F.lit(None)
+        out = out.join(before.select("domain", F.col("last_crawled_at").alias("__before")), "domain", "left")
+        out = out.withColumn("last_crawled_at", F.coalesce(own, F.col("__before"))).drop("__before")
+    return out
 
 
 def quality(rate: Column, accepted: Column) -> Column:
@@ -196,3 +205,27 @@ def advance(state: DataFrame, done: int, size: int, run: Column, most: int = 120
         "completed_rounds": F.col("completed_rounds") + F.floor(end / size).cast("int"), "next_index": F.pmod(end, F.lit(size)).cast("int"),
         "runs": F.slice(history, F.greatest(F.lit(1), F.size(history) - most + 1), F.lit(most)),
     })
+
+
+def with_review(candidates: DataFrame, review: DataFrame, key: str, column: str, order: Column | str) -> DataFrame:
+    """The candidates' column, and where it is null that of the last review row of their key."""
+    last = review.groupBy(key).agg(F.max_by(column, order).alias("__review"))
+    return candidates.join(last, key, "left").withColumn(column, F.coalesce(column, "__review")).drop("__review")
+
+
+def with_site(candidates: DataFrame, sites: DataFrame, key: str, source: str, name: str, order: str) -> DataFrame:
+    """The candidates' source, trimmed, and where it is empty the name of the first site of their key; else empty."""
+    first = sites.groupBy(key).agg(F.min_by(name, order).alias("__name"))
+    own = F.regexp_replace(text(source), r"(?U)^\s+|\s+$", "")
+    return candidates.join(first, key, "left").withColumn(source, F.coalesce(first_filled(own, "__name"), F.lit(""))).drop("__name")
+
+
+def merge_crawls(base: DataFrame, incoming: DataFrame, images: str, page: str, order: str, keep) -> DataFrame:
+    """Two crawls as one: pictures without a URL or that aren't to be kept go, and so do rows left without any.
+
+    Of rows with the same page and first picture the first stays, base rows before incoming ones. Adds n_images.
+    """
+    both = base.withColumn("__side", F.lit(0)).unionByName(incoming.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    both = filter_nested(both, images, lambda i: (text(i["url"]) != "") & keep(i))
+    both = both.withColumn("__key", F.concat_ws(":", text(page), F.element_at(images, 1)["url"]))
+    return keep_first(both, ["__key"], ["__side", order]).drop("__key", "__side")

@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from .. import rules as fixed
+from ..functions.text import first_filled, text
+from ..functions.url import domain as domain_of
 from ..functions.url import host as host_of
 from ..functions.url import host_suffixes, path, path_query
+from .keys import top_n
 
 
 def domain_summary(rows: DataFrame, domain: str, score: str, query: str, url: str, order: str, image: Column, html: Column, samples: int = 12) -> DataFrame:
@@ -39,6 +43,44 @@ def select_sites(urls: DataFrame, host: str, score: str, order: str, existing: D
     return rows.where(F.col("rank") <= per_site).drop("__at")
 
 
+def existing_counts(candidates: DataFrame, url: str, fallback: str, name: str = "host") -> DataFrame:
+    """Known candidates of each site: of the URL's domain, or of the fallback's where the URL is empty.
+
+    What is no URL counts as a site's name. Rows with neither don't count.
+    """
+    given = F.coalesce(first_filled(url, fallback), F.lit(""))
+    site = F.coalesce(F.nullif(domain_of(given), F.lit("")), F.lower(F.regexp_replace(given, r"^www\.", "")))
+    return candidates.select(site.alias(name)).where(F.col(name) != "").groupBy(name).agg(F.count(F.lit(1)).alias("existing"))
+
+
+def select_found(found: DataFrame, url: str, score: str, least: float, per_site: int, most: int) -> DataFrame:
+    """The best finds: of those with the least score or more, so many of each site and so many in all, best first.
+
+    Equal scores come in the order of their URLs. The sites' ranks are cut before rows are shuffled.
+    """
+    best = [F.col(score).desc(), F.col(url)]
+    rows = found.where(F.col(score) >= least).withColumn("__site", domain_of(url))
+    return top_n(rows, ["__site"], best, per_site).drop("__site").orderBy(*best).limit(most)
+
+
+def by_quality(domains: DataFrame, domain: str, order: str, stats: DataFrame, blocked: list[str], quality: str = "quality") -> DataFrame:
+    """Distinct domains that aren't blocked, the better sources first, equal ones as they first occurred.
+
+    stats: one row for each domain; domains without one come last, after low ones. Adds quality_rank.
+    """
+    rows = domains.where((text(domain) != "") & ~text(domain).isin(*blocked)).groupBy(domain).agg(F.min(order).alias(order))
+    rank = F.lit(0)
+    for value, n in fixed.QUALITY_RANKS.items():
+        rank = F.when(F.col(quality) == value, n).otherwise(rank)
+    return rows.join(stats.select(domain, quality), domain, "left").select(domain, order, rank.alias("quality_rank")).orderBy(F.col("quality_rank").desc(), order)
+
+
+def hits_per_query(results: DataFrame, memo: str, queries: list[str]) -> DataFrame:
+    """How many results name each query in their memo: one aggregation with a count for each of a run's queries."""
+    counts = [F.struct(F.lit(q).alias("query"), F.count_if(F.contains(text(memo), F.lit(q))).alias("hits")) for q in queries]
+    return results.agg(F.array(*counts).cast("array<struct<query:string,hits:bigint>>").alias("counts")).select(F.inline("counts"))
+
+
 def expand(templates: DataFrame, values: DataFrame, template: str, value: str, hole: str, limit: int | None = None) -> DataFrame:
     """Every template with every value in place of the hole; both are lists that a configuration holds."""
     out = templates.crossJoin(values).withColumn("query", F.replace(F.col(template), F.lit(hole), F.col(value)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import hashing as H
+from ..functions import meta
 from ..functions import score as SC
 from ..functions import text as T
 from ..functions import url as U
@@ -76,8 +77,8 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
 def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     o = table(spark, d, "orders").join(n, "o_orderkey", "left")
-    return o.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") > 100000).alias("large"),
-                 F.sum(F.greatest(F.lit(1), "n")).alias("at_least_one"), F.sum("n").alias("lines"))
+    counted = {"orders": F.lit(True), "finished": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 100000}
+    return convert.totals(o, counted, F.sum(F.greatest(F.lit(1), "n")).alias("at_least_one"), F.sum("n").alias("lines"))
 
 
 # --- by key ----------------------------------------------------------------------------------------------
@@ -629,3 +630,139 @@ _PLANS = [
 def plan_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = _values(spark, [(*r[:5], "", *r[5:7]) for r in _PLANS], "id string, domain string, page string, image string, title string, alt string, layout string, area double")
     return rows.select("id", plans.group_key("id", "domain", "page", "image", "title", "alt", "layout", "area").alias("key"))
+
+
+# --- discovery and merging of crawls -------------------------------------------------------------------------
+
+_URL_SCORES = [
+    ("crawl", "https://x/madori/1", "", "", 120.0), ("crawl", "https://x/works/3ldk?category=1", "", "", 15.0), ("crawl", "https://x/works/3Ldk", "", "", 35.0), ("crawl", "", "", "", 0.0),
+    ("archive", "https://x/a%E9%96%93%E5%8F%96.png", "", "", 140.0), ("archive", "https://x/works/layout", "", "image/png", 140.0), ("archive", "https://x/blog/a", "", "", -60.0),
+    ("seed", "https://x/plan/plan12/", "", "", 120.0), ("seed", "https://x/company/works/floorplan", "", "", 55.0), ("site", "https://x/sitemap.xml?x=1", "", "", -200.0),
+    ("site", "https://x/news/contact", "", "", -160.0), ("site", "https://x/plan/plan3", "", "", 120.0), ("search", "https://x/plan", "注文住宅 3LDK", "", 85.0), ("search", "https://x/hiraya", "コツ", "", -115.0),
+]
+
+
+@query(f"SELECT col0 AS step, col1 AS url, col4::DOUBLE AS score FROM (VALUES {_literals(_URL_SCORES)}) t")
+def url_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _values(spark, [r[:4] for r in _URL_SCORES], "step string, url string, title string, mime string")
+    score = SC.when_first([(F.col("step") == s, U.url_score("url", s, "title", "mime")) for s in rules.URL_SCORES], None)
+    return rows.select("step", "url", score.alias("score"))
+
+
+_PRIORITIES = [("https://x/plan/1", True, True), ("https://x/news/plan/", False, True), ("https://x/about", False, False), ("https://x/3LDK", True, False), ("", False, False), ("https://x/Works/", True, True), ("https://x/floor", False, True)]
+
+
+@query(f"SELECT col0 AS url, col1 AS first, col2 AS sitemap FROM (VALUES {_literals(_PRIORITIES)}) t")
+def priority_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, [(u,) for u, *_ in _PRIORITIES], "url string").select("url", U.priority("url").alias("first"), U.priority_sitemap("url").alias("sitemap"))
+
+
+@query(rf"""SELECT regexp_replace({_HOST}, '^www\.', '') AS host, count(*) AS existing FROM pages WHERE {_HOST} <> '' GROUP BY 1""")
+def existing_counts(spark: SparkSession, d: str) -> DataFrame:
+    return discover.existing_counts(table(spark, d, "pages").withColumn("source", F.lit("")), "url", "source")
+
+
+@query(rf"""
+    SELECT domain, url, score FROM (SELECT url, regexp_replace({_HOST}, '^www\.', '') AS domain, CAST({_SCORE} AS DOUBLE) AS score FROM pages) WHERE score >= 0.5
+    QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score DESC, url) <= 3 ORDER BY score DESC, url LIMIT 50""")
+def found_selection(spark: SparkSession, d: str) -> DataFrame:
+    return discover.select_found(_pages(spark, d).drop("page_id"), "url", "score", 0.5, 3, 50)
+
+
+@query("""
+    WITH q AS (SELECT s_nationkey, CASE WHEN avg(s_acctbal) > 5000 THEN 'high' WHEN avg(s_acctbal) > 4000 THEN 'medium' WHEN avg(s_acctbal) > 3000 THEN 'low' END AS quality FROM supplier GROUP BY 1)
+    SELECT n_name AS domain, n_nationkey AS ord, CASE quality WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS quality_rank
+    FROM nation LEFT JOIN q ON s_nationkey = n_nationkey WHERE n_name NOT IN ('FRANCE', 'NATION_3', '')""")
+def quality_order(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("domain"), F.col("n_nationkey").alias("ord"))
+    mean = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("m"))
+    stats = n.join(mean, "n_nationkey").select("domain", F.when(F.col("m") > 5000, "high").when(F.col("m") > 4000, "medium").when(F.col("m") > 3000, "low").alias("quality"))
+    return discover.by_quality(n, "domain", "ord", stats, ["FRANCE", "NATION_3"])
+
+
+_NAMED = ["the", "and ", "zzzz", ""]
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS query, count(*) FILTER (contains(coalesce(text, ''), '{q}')) AS hits FROM documents" for q in _NAMED))
+def query_hits(spark: SparkSession, d: str) -> DataFrame:
+    return discover.hits_per_query(table(spark, d, "documents"), "text", _NAMED)
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_returnflag DESC) = 1)
+    SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), l_returnflag) AS status FROM orders LEFT JOIN r ON l_orderkey = o_orderkey""")
+def review_fallback(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("status"))
+    r = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "o_orderkey", "l_returnflag": "status"})
+    return curate.with_review(o, r, "o_orderkey", "status", F.struct("l_linenumber", "l_partkey", "l_suppkey", "status"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment ELSE coalesce(n_name, '') END AS source
+    FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey > 5""")
+def site_names(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("site"), F.concat(F.lit(" "), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(""), F.lit("　")).alias("source"))
+    sites = table(spark, d, "nation").where("n_nationkey > 5").select(F.col("n_nationkey").alias("site"), "n_name", F.col("n_nationkey").alias("ord"))
+    return curate.with_site(c, sites, "site", "source", "n_name", "ord").select("c_custkey", "source")
+
+
+def _orders_with_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as candidates, their lines as pictures in order."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.concat(F.lit("http://x/"), F.col("l_partkey").cast("string")).alias("url"))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("images"))
+    return items.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, min(struct_pack(a := l_linenumber, b := l_partkey, c := l_suppkey)) AS first, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+    b AS (SELECT o_custkey, l_orderkey, 'http://x/' || first.b AS url, n, 0 AS side FROM l JOIN orders ON o_orderkey = l_orderkey),
+    both_sides AS (SELECT * FROM b UNION ALL SELECT o_custkey + 1, l_orderkey, url, n, 1 FROM b)
+    SELECT o_custkey AS page, l_orderkey AS ord, url, n FROM both_sides QUALIFY row_number() OVER (PARTITION BY o_custkey, url ORDER BY side, l_orderkey) = 1""")
+def merged_crawls(spark: SparkSession, d: str) -> DataFrame:
+    base = _orders_with_parts(spark, d)
+    out = curate.merge_crawls(base, base.withColumn("o_custkey", F.col("o_custkey") + 1), "images", "o_custkey", "l_orderkey", lambda i: i["l_returnflag"] != "R")
+    return out.select(F.col("o_custkey").alias("page"), F.col("l_orderkey").alias("ord"), F.element_at("images", 1)["url"].alias("url"), F.col("n_images").cast("long").alias("n"))
+
+
+_COLLECTED = [
+    (1, "家", "web", "", "4LDK", "", [("a", "http://x/a.png", "", "", "1階 3 ldk", "floorplan"), ("b", "http://x/a-300x200.png", "", "", "", "floorplan"), ("c", "http://x/c.png", "", "", "", "exterior")], "家", "3LDK", "", "web", 1),
+    (2, "", "web", "工務店", "", "", [("a", "http://x/a.png", "data:1", "t", "", "floorplan"), ("b", "http://x/b.png", "", "t", "2F", "floorplan")], "自動収集した間取り図", "", "2階建", "工務店", 2),
+    (3, "平屋", "", "", "", "2階建", [("a", "http://x/a.png", "", "", "", "floorplan")], "平屋", "", "平屋", "", 1), (4, "家", "w", "", "", "", [("a", "http://x/a.png", "", "", "", "interior")], None, None, None, None, 0), (5, "家", "w", "", "", "", None, None, None, None, None, 0),
+]
+
+
+@query("SELECT col0::BIGINT AS id, col1 AS title, col2 AS layout, col3 AS floors, col4 AS company, col5::BIGINT AS n FROM (VALUES " + _literals([(r[0], *r[7:]) for r in _COLLECTED if r[-1]]) + ") t")
+def collected_items(spark: SparkSession, d: str) -> DataFrame:
+    schema = "id long, title string, source string, company string, layout string, floors string, images array<struct<id:string,url:string,data_url:string,thumbnail_url:string,alt:string,kind:string>>"
+    return convert.collected(_values(spark, [r[:7] for r in _COLLECTED], schema)).select("id", "title", "layout", "floors", "company", F.size("images").cast("long").alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS status, 'kept' AS a, 'new' AS b FROM orders""")
+def spread_records(spark: SparkSession, d: str) -> DataFrame:
+    entry = lambda **kv: F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v)))
+    both = convert.spread(entry(a=F.lit("kept"), status=F.lit("old")), entry(b=F.lit("new"), status=F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))))
+    return table(spark, d, "orders").select("o_orderkey", both.alias("m")).select("o_orderkey", *(F.col("m")[k].alias(k) for k in ("status", "a", "b")))
+
+
+@query("""
+    WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 6 END, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem)
+    SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY place) AS parts FROM l WHERE place <= 3 GROUP BY 1""")
+def pictures_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    o = _orders_with_parts(spark, d)
+    kind = lambda i: F.when(i["l_returnflag"] == "R", "floorplan").when(i["l_returnflag"] == "A", "sitePlan").otherwise("unknown")
+    o = o.withColumn("images", F.transform("images", lambda i: i.withField("kind", kind(i)))).withColumns({"has": F.col("l_orderkey") > 10, "at": F.col("o_custkey")})
+    out = convert.candidate_view(o, "has", "at", "images", most=3).withColumn("images", convert.without_fields(F.col("images"), "url", "kind"))
+    return out.select("l_orderkey", F.array_join(F.transform("images", lambda i: i["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("SELECT s_suppkey AS id FROM supplier UNION SELECT user_id FROM events WHERE user_id IS NOT NULL")
+def processed_keys(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.processed_with(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, d, "events").select(F.col("user_id").alias("id")), "id")
+
+
+_COMPANIES = [("施工会社：山田工務店 | 家", "山田工務店"), ("売主 A不動産", "A不動産"), ("会社名:　木の家｜x", "木の家"), ("家", ""), ("会社名 あ", ""), ("", "")]
+
+
+@query(f"SELECT col0 AS page, col1 AS company FROM (VALUES {_literals(_COMPANIES)}) t")
+def company_names(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, [(p,) for p, _ in _COMPANIES], "page string").select("page", meta.company("page").alias("company"))

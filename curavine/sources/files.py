@@ -66,6 +66,31 @@ def write_document(df: DataFrame, path: str, **fields) -> None:
     df.select(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+#: State of a crawl: its domains, and what has been processed of archives and documents.
+CRAWL_STATE = (
+    "schemaVersion int, domains map<string,struct<lastCrawledAt:string,lastStatus:string,failures:int,blockReason:string,nextCrawlAfter:string>>, "
+    "commonCrawl struct<processedIndexes:array<string>>, pdf struct<processedUrls:array<string>>, updatedAt string"
+)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The crawl's state, one row: what the document lacks has its default; a missing or broken one is all defaults."""
+    kept = read_document(spark, path, CRAWL_STATE, optional=True).limit(1)
+    row = spark.range(1).select().join(kept, how="left")
+    default = {c.name: F.lit(None).cast(c.dataType) for c in kept.schema}
+    default |= {"schemaVersion": F.lit(1), "domains": F.map_from_arrays(F.array(), F.array()).cast(kept.schema["domains"].dataType)}
+    for outer, inner in (("commonCrawl", "processedIndexes"), ("pdf", "processedUrls")):
+        default[outer] = F.struct(F.coalesce(F.col(outer)[inner], F.array().cast("array<string>")).alias(inner))
+    nested = lambda c: default[c] if c in ("commonCrawl", "pdf") else F.coalesce(F.col(c), default[c])
+    return row.select(*(nested(c).alias(c) for c in kept.columns))
+
+
+def write_state(state: DataFrame, path: str) -> None:
+    """Writes the state of a crawl with the time of writing; state is a single row and must not be read from path itself."""
+    fields = {c: F.col(c) for c in state.columns} | {"updatedAt": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")}
+    write_document(state, path, **fields)
+
+
 def entries(df: DataFrame, column: str, key: str = "domain") -> DataFrame:
     """A map of structs as a table of its keys."""
     return df.select(F.explode(column).alias(key, "__v")).select(key, "__v.*")

@@ -30,6 +30,11 @@ def not_processed(rows: DataFrame, processed: DataFrame, key: str) -> DataFrame:
     return rows.join(processed.select(key), key, "left_anti")
 
 
+def processed_with(processed: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """The processed keys and those seen now, each once; empty ones don't count."""
+    return processed.select(key).unionByName(seen.select(key)).where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").distinct()
+
+
 def watch_feed(spark: SparkSession, path: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 minutes") -> StreamingQuery:
     """Hands each new file of a feed's folder to a function, exactly once for each batch number."""
     stream = spark.readStream.schema(schema).option("multiLine", True).json(path)

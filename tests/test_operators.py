@@ -315,3 +315,32 @@ def test_curation_run(spark):
     assert len(plan) == 1 and plan[0].n_images == 2 and plan[0].floors == "2階建"
     q = r.stats.first()
     assert (q.candidates, q.accepted, q.rejected, q.review, q.rate, q.quality) == (8, 2, 3, 1, 0.25, "medium")
+
+
+def test_quality_keeps_the_time_of_an_earlier_run(spark):
+    kinds = table(spark, [("a", "candidate"), ("b", "candidate"), ("c", "candidate")], "d string, k string")
+    states = table(spark, [("a", "2026-02"), ("b", None)], "domain string, last_crawled_at string")
+    before = table(spark, [("a", "2025-01"), ("b", "2025-02"), ("z", "2025-03")], "domain string, last_crawled_at string")
+    at = lambda *x: {r.domain: r.last_crawled_at for r in curate.source_quality(kinds, "d", "k", *x).collect()}
+    assert at(states, before) == {"a": "2026-02", "b": "2025-02", "c": None}
+    assert at(None, before) == {"a": "2025-01", "b": "2025-02", "c": None}
+
+
+def test_quality_order_and_hits_on_empty_tables(spark):
+    d = table(spark, [("a", 1), ("b", 2), ("a", 3), ("c", 4), (None, 5), ("x", 6)], "domain string, ord int")
+    stats = table(spark, [("b", "low"), ("c", "high")], "domain string, quality string")
+    assert [(r.domain, r.quality_rank) for r in discover.by_quality(d, "domain", "ord", stats, ["x"]).collect()] == [("c", 3), ("b", 1), ("a", 0)]
+    assert discover.by_quality(d.limit(0), "domain", "ord", stats, []).count() == 0
+    assert [tuple(r) for r in discover.hits_per_query(d.limit(0), "domain", ["a"]).collect()] == [("a", 0)]
+    assert discover.hits_per_query(d, "domain", []).count() == 0
+
+
+def test_spread_of_missing_maps(spark):
+    df = spark.sql("SELECT map('a', 1) AS l, CAST(NULL AS map<string,int>) AS r UNION ALL SELECT NULL, NULL UNION ALL SELECT map('a', 1, 'b', 2), map('b', CAST(NULL AS int))")
+    assert [r.m for r in df.select(convert.spread(F.col("l"), F.col("r")).alias("m")).collect()] == [{"a": 1}, None, {"a": 1, "b": None}]
+
+
+def test_candidates_with_plans_come_first(spark):
+    df = table(spark, [(1, False, "2026", []), (2, True, "2025", [("a", "other"), ("b", "floorplan")]), (3, None, "2027", None)], "id int, plan boolean, at string, images array<struct<id:string,kind:string>>")
+    got = convert.candidate_view(df, "plan", "at", "images", 1).collect()
+    assert [r.id for r in got] == [2, 3, 1] and [i.id for i in got[0].images] == ["b"] and got[1].images is None

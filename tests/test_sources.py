@@ -120,3 +120,14 @@ def test_streams(spark, tmp_path):
     marks = incremental.per_key_watermark(stream, "k", "t", "k string, t string, v int")
     marks.writeStream.format("memory").queryName("later").option("checkpointLocation", f"file://{tmp_path}/cp3").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("later").count() == 3
+
+
+def test_crawl_state_has_defaults_and_a_time(spark, tmp_path):
+    path = str(tmp_path / "state")
+    fresh = files.read_state(spark, path).collect()
+    assert len(fresh) == 1 and fresh[0].schemaVersion == 1 and fresh[0].domains == {} and fresh[0].pdf.processedUrls == [] and fresh[0].updatedAt is None
+    part = spark.sql("SELECT named_struct('processedUrls', array('u')) AS pdf, map('d', named_struct('failures', 2)) AS domains")
+    files.write_state(part, path)
+    row = files.read_state(spark, path).first()
+    assert row.pdf.processedUrls == ["u"] and row.commonCrawl.processedIndexes == [] and row.domains["d"].failures == 2
+    assert row.schemaVersion == 1 and row.updatedAt.endswith("Z")
