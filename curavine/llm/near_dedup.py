@@ -25,7 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BANDS, ROWS_PER_BAND = 40, 8
 REGISTERS = BANDS * ROWS_PER_BAND
 MANTISSA_BITS = 10
-#: Standard deviations that an estimate may lie below the threshold: at 4, a link is lost once in 30,000.
+#: Standard deviations that an estimate may lie below the threshold: at 4, a link at the very threshold is lost once in
+#: 30,000 if the estimate is normally distributed; in a simulation of sets of 37 and 60 shingles 1 of 2,000 was.
 SLACK = 4.0
 #: Rows of a block of a large bucket; a task compares two blocks at a time.
 CELL_ROWS, CELL_BYTES = 2048, 16_000_000
