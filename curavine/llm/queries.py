@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, language, lm, packing, pieces, token_counts
+from . import chat, html_text, language, lm, packing, pieces, secret_scan, token_counts
 from . import embedding_dedup as embed
 from . import exact_dedup as exact
 from . import near_dedup as near
@@ -59,6 +59,34 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document, the secrets of the combined automaton's rules: numbers and digest of the base kinds, and all spans."""
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+#: Patterns of secrets as SQL has them: kind, whole match, the group that has a least length, that length.
+_SECRETS = [
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", "(AKIA[A-Z0-9]+)", 18), ("hex", "([0-9a-f]+)", 16), ("github", "gh[pousr]_([A-Za-z0-9]+)", 36), ("slack", "xox[abprs]-([A-Za-z0-9-]+)", 10),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 36), ("private_key", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 0),
+]
+
+
+def _secrets_sql() -> str:
+    """A match's place follows from the lengths of the matches, and of the gaps before them, up to it."""
+    one = "SELECT rid, {k} AS k, '{kind}' AS kind, unnest(regexp_extract_all(t, '{all}', 1)) AS gap, unnest(regexp_extract_all(t, '{all}', 2)) AS hit, unnest(regexp_extract_all(t, '{all}', 3)) AS own, {least} AS least, unnest(range(len(regexp_extract_all(t, '{all}', 1)))) AS i FROM d"
+    each = " UNION ALL ".join(one.format(k=k, kind=kind, all=f"(?s)(.*?)({pattern})", least=least) for k, (kind, pattern, least) in enumerate(_SECRETS))
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, k ORDER BY i) AS BIGINT) AS upto FROM ({each})),
+        s AS (SELECT rid, k, kind, upto - length(hit) AS pos, kind || ':' || (upto - length(hit)) || ':' || upto AS span FROM m WHERE length(own) >= least),
+        g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                     string_agg(span, ',' ORDER BY pos, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY pos, k) AS spans FROM s GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (rid)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -92,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
                    || ',"kind":"' || kind || '"' || CASE WHEN kind = 'call' THEN ',"name":"respond"' ELSE '' END
                    || ',"role":' || to_json(role) || ',"status":"' || status || '","turn":' || turn || '}' AS json
             FROM s""",
+        "op11_secret_scan": _secrets_sql(),
     }
