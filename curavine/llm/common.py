@@ -26,15 +26,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/curavine-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: its lineage ends there.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, in parts by a column if one is given, and read it back: its lineage ends there.
 
     The files outlive lost executors and go when the driver's JVM ends.
     """
     spark = df.sparkSession
     root = scratch_dir(spark)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(root)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, language, lm, packing, pieces, secret_scan, token_counts
+from . import chat, html_text, language, lexical_search, lm, packing, pieces, secret_scan, token_counts
 from . import embedding_dedup as embed
 from . import exact_dedup as exact
 from . import near_dedup as near
@@ -64,6 +64,11 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each item of benchmark, scores added up by one owner of terms after another."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Patterns of secrets as SQL has them: kind, whole match, the group that has a least length, that length.
 _SECRETS = [
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12),
@@ -121,4 +126,14 @@ def oracle_sql() -> dict[str, str]:
                    || ',"role":' || to_json(role) || ',"status":"' || status || '","turn":' || turn || '}' AS json
             FROM s""",
         "op11_secret_scan": _secrets_sql(),
+        "op12_lexical_search": r"""
+            WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{t}') AS w FROM documents),
+            s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+            p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+            f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, s GROUP BY term, docs),
+            b AS (SELECT iid, item_id, term, count(*) AS times
+                  FROM (SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{t}')) AS term FROM benchmark) GROUP BY ALL),
+            r AS (SELECT iid, item_id, rid, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+                  FROM b JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20""".replace("{t}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"),
     }

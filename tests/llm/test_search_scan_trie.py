@@ -1,9 +1,11 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
-from curavine.llm import queries, secret_scan
+from curavine.llm import lexical_search, queries, secret_scan
 from curavine.llm.rule_automaton import Automaton, Rule
 
 from ..compare import same
@@ -86,3 +88,57 @@ def test_secret_scan_sql_on_odd_rows(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     same(queries.op11_secret_scan(spark, str(tmp_path)), con.execute(queries.oracle_sql()["op11_secret_scan"]))
+
+
+# --- search ------------------------------------------------------------------------------------------------
+
+
+def brute_search(docs, items, top=20):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own = [(i, Counter(terms(t)), len(terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(n > 0 for _, _, n in own), sum(n for _, _, n in own)
+    df = Counter(w for _, c, _ in own for w in c)
+    out = []
+    for item, text in items:
+        found = []
+        for i, c, n in own:
+            m = 100 - 25 + (25 * n * n_docs) // max(n_terms, 1)
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * ((10**9 * c[w]) // (1000 * c[w] + 12 * m)) for w in terms(text) if w in c)
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(str(item), k + 1, str(i), -s) for k, (s, _, _, i) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+ODD_TEXTS = [None, "", "  .,- ", "Foo foo FOO bar", "foo bar", "foo bar", "Àé àé É", "x" * 5000, "foo " * 3000, "日本 語 foo", "a-b_c\x00d\x7fe", "1 2 3 foo2"]
+
+
+def searched(spark, docs, items, **how):
+    d = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in docs], "doc_id long, text string, row long, n int, term string")
+    b = spark.createDataFrame([(i, t, 1, "y") for i, t in items], "item_id long, text string, item long, number string")
+    return sorted((str(r.item_id), r["rank"], str(r.doc_id), r.score) for r in lexical_search.search(d, b, **how).collect())
+
+
+def test_search_of_odd_rows(spark):
+    random.seed(12)
+    words = ["foo", "Bar", "baz", "qux", "é", "É", "日本", "1", "zz9"]
+    docs = [*enumerate(ODD_TEXTS), (None, "foo bar"), (None, "rare foo"), (5, "foo bar"), (5, "foo bar"), *((100 + k, " ".join(random.choices(words, k=random.randint(0, 30)))) for k in range(300))]
+    items = [(1, "foo bar foo"), (2, None), (3, ""), (1, "Foo, BAR!"), (None, "rare é"), (4, "unknown"), (5, " ".join(words * 3)), (6, "foo"), (7, "a b c d e")]
+    want = brute_search(docs, items)
+    assert searched(spark, docs, items, docs_per_shard=50) == want
+    assert searched(spark, docs, items, wanted_bytes=0) == want  # the terms are found by a join
+    assert searched(spark, docs, items, top=3) == brute_search(docs, items, 3)
+    assert searched(spark, docs, []) == searched(spark, [], items) == []
+
+
+def test_search_in_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "ITEM_BITS", 1)
+    random.seed(13)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(k, " ".join(random.choices(words, k=random.randint(1, 40)))) for k in range(400)]
+    items = [(k, " ".join(random.choices(words, k=5))) for k in range(23)]
+    assert searched(spark, docs, items, docs_per_shard=64) == brute_search(docs, items)
+
+
+def test_search_matches_sql(spark, sf, duck):
+    same(queries.op12_lexical_search(spark, sf), duck.execute(queries.oracle_sql()["op12_lexical_search"]))
