@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, language, lexical_search, lm, packing, pieces, secret_scan, token_counts
+from . import chat, html_text, language, lexical_search, lm, packing, pieces, prefix_trie, secret_scan, token_counts
 from . import embedding_dedup as embed
 from . import exact_dedup as exact
 from . import near_dedup as near
@@ -69,6 +69,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations, from a ternary search tree for each range shard."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 #: Patterns of secrets as SQL has them: kind, whole match, the group that has a least length, that length.
 _SECRETS = [
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12),
@@ -126,6 +131,27 @@ def oracle_sql() -> dict[str, str]:
                    || ',"role":' || to_json(role) || ',"status":"' || status || '","turn":' || turn || '}' AS json
             FROM s""",
         "op11_secret_scan": _secrets_sql(),
+        # the CRC-32 is worked out bit by bit; a prefix is named by the digests of its turns, 64 characters each
+        "op13_prefix_trie": r"""
+            WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i
+                       FROM (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                                    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+            c AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                             lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))) % 4 AS h
+                  FROM (SELECT DISTINCT conv_id FROM o)),
+            b AS (SELECT c.conv_id, 0 AS part, i, k, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
+                  UNION ALL SELECT c.conv_id, 1, i, k, words FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+            s AS (SELECT conv_id, words, row_number() OVER w AS depth, string_agg(k, '') OVER w AS name FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+            e AS (SELECT c.conv_id, count(depth) AS turns FROM c LEFT JOIN s USING (conv_id) GROUP BY 1),
+            m AS (SELECT conv_id, words, depth, name FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+            n AS (SELECT name, depth, min(conv_id) AS low, count(*) AS n, any_value(words) AS words,
+                         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends FROM m JOIN e USING (conv_id) GROUP BY 1, 2),
+            k AS (SELECT left(name, length(name) - 64) AS name, count(*) AS kids FROM n WHERE depth > 0 GROUP BY 1),
+            l AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (name)),
+            t AS (SELECT left(name, 64 * a) AS name, count(*) FILTER (kids = 0) AS leaves, CAST(sum((n - 1) * words) AS BIGINT) AS saved
+                  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM l) GROUP BY 1)
+            SELECT l.low AS conv_id, l.depth AS depth, p.low AS parent_conv_id, l.n AS n_convs, kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, l.ends AS ends_sha256
+            FROM l JOIN t USING (name) LEFT JOIN n p ON l.depth > 0 AND p.name = left(l.name, length(l.name) - 64)""",
         "op12_lexical_search": r"""
             WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{t}') AS w FROM documents),
             s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),

@@ -1,11 +1,13 @@
+import hashlib
 import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
-from curavine.llm import lexical_search, queries, secret_scan
+from curavine.llm import lexical_search, prefix_trie, queries, secret_scan
 from curavine.llm.rule_automaton import Automaton, Rule
 
 from ..compare import same
@@ -142,3 +144,75 @@ def test_search_in_blocks_of_items(spark, monkeypatch):
 
 def test_search_matches_sql(spark, sf, duck):
     same(queries.op12_lexical_search(spark, sf), duck.execute(queries.oracle_sql()["op12_lexical_search"]))
+
+
+# --- trie --------------------------------------------------------------------------------------------------
+
+
+def brute_trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
+            own[conv].append((turn is not None, turn or 0, digest, role, text))
+    built = {}
+    for c, turns in own.items():
+        turns.sort()
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = [t[3:] for t in own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:]]
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    kids = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not kids[p]
+            saved[p[:d]] += (len(m) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(built[c]) == len(p))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def trie_of(spark, rows, **how):
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "conv_id long, turn long, role string, text string, depth int, name string, n int")
+    return sorted((tuple(r) for r in prefix_trie.conversation_trie(df, **how).collect()), key=str)
+
+
+def conversations(seed, n, texts, most):
+    random.seed(seed)
+    return [(c, t, random.choice(["user", "assistant", None]), random.choice(texts)) for c in range(n) for t in range(random.randint(1, most))]
+
+
+@pytest.mark.parametrize("shard_turns, fan", [(1, 2), (5, 2), (30, 32), (65_536, 32)])
+def test_trie_equals_brute_force(spark, shard_turns, fan):
+    rows = conversations(shard_turns, 120, ["a", "a b", "", None, "é  ü\nx"], 4)
+    rows += [(c, t, "user", f"same {t}") for c in range(200, 260) for t in range(3)]  # a large group of copies
+    rows += [(-7, 0, "user", "minus"), (-20, 0, "user", "a b"), (None, 0, "user", "nobody"), (400, None, "user", "late"), (400, 0, "user", "first"), (401, 1, "x", "tie"), (401, 1, "x", "tie"), (401, 1, "y", "tie")]
+    rows += [(500, t, "user", f"long {t}") for t in range(300)] + [(520, t, "user", f"long {t}") for t in range(299)]
+    assert trie_of(spark, rows, shard_turns=shard_turns, fan=fan) == brute_trie(rows)
+
+
+def test_trie_without_conversations(spark):
+    assert trie_of(spark, []) == [] and trie_of(spark, [(None, 1, "a", "b")]) == []
+
+
+def test_tree_is_balanced():
+    trie = prefix_trie.Trie()
+    for k in prefix_trie.medians(1023):
+        trie.insert([k], [1])
+    depth, left = 0, [(trie.down[0], 1)]
+    while left:
+        at, d = left.pop()
+        depth = max(depth, d)
+        left += [(x, d + 1) for x in (trie.smaller[at], trie.larger[at]) if x >= 0]
+    assert depth == 10
+
+
+def test_trie_matches_sql(spark, sf, duck):
+    same(queries.op13_prefix_trie(spark, sf), duck.execute(queries.oracle_sql()["op13_prefix_trie"]))
