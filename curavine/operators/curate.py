@@ -76,18 +76,22 @@ def cleanup_reason(url: str, alt: str, title: str, width: str, height: str) -> C
 def clean(records: DataFrame, key: str, order: str, url_key: str, content_hash: str, score: str, reason: str) -> DataFrame:
     """Adds kept and why. A row is kept if it has no reason of its own, is the preferred one of its content
     hash, and is the first such row of its URL key. A URL repeat is named before a hash repeat, that before
-    the row's own reason. Rows without a hash or a URL key aren't repeats.
+    the row's own reason. Rows without a hash or a URL key aren't repeats. The preferred and first rows come
+    from aggregations, so that no hash or URL key has to fit into a task.
     """
-    hashed, has_url = (F.coalesce(F.col(c), F.lit("")) != "" for c in (content_hash, url_key))
-    # rows without a hash have a window each, and so have those without a URL: they don't meet in one task
-    alone = lambda has: F.when(~has, F.xxhash64(key, order))
-    by_hash = Window.partitionBy(F.when(hashed, F.col(content_hash)), alone(hashed)).orderBy(F.col(score).desc(), F.col(order))
-    out = records.withColumn("__best", F.when(hashed, F.first(key).over(by_hash)))
-    out = out.withColumn("__own", F.when(hashed & (F.col("__best") != F.col(key)), "duplicate-hash").otherwise(F.col(reason)))
-    good = F.col("__own") == ""
-    before = F.min(F.when(good, F.col(order))).over(Window.partitionBy(F.when(has_url, F.col(url_key)), alone(has_url)))
-    repeat = has_url & F.coalesce(before < F.col(order), F.lit(False))
-    return out.withColumn("why", F.when(repeat, "duplicate-url").otherwise(F.col("__own"))).withColumn("kept", F.col("why") == "").drop("__best", "__own")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    rows = records.withColumns({"__hashed": named(content_hash), "__url": named(url_key)})
+    # rows without a hash or a URL key look for one that is never there, each for another, so that they don't meet in one task
+    look = lambda has, c: F.when(F.col(has), F.col(c).cast("string")).otherwise(F.xxhash64(key, order).cast("string"))
+    by_hash = rows.where("__hashed").withColumn("__place", F.struct(F.col(score).isNull(), -F.col(score), F.col(order)))
+    best = by_hash.groupBy(F.col(content_hash).cast("string").alias("__h")).agg(F.min_by(key, "__place").alias("__best")).withColumn("__is", F.lit(True))
+    out = rows.withColumn("__look", look("__hashed", content_hash)).join(best, (F.col("__look") == F.col("__h")) & (F.col("__hashed") == F.col("__is")), "left").drop("__h", "__is", "__look")
+    out = out.withColumn("__own", F.when(F.col("__hashed") & (F.col("__best") != F.col(key)), "duplicate-hash").otherwise(F.col(reason)))
+    firsts = out.where("__url and __own = ''").groupBy(F.col(url_key).cast("string").alias("__u")).agg(F.min(order).alias("__before")).withColumn("__is", F.lit(True))
+    out = out.withColumn("__look", look("__url", url_key)).join(firsts, (F.col("__look") == F.col("__u")) & (F.col("__url") == F.col("__is")), "left")
+    repeat = F.coalesce(F.col("__before") < F.col(order), F.lit(False))
+    out = out.withColumn("why", F.when(repeat, "duplicate-url").otherwise(F.col("__own"))).withColumn("kept", F.col("why") == "")
+    return out.drop("__hashed", "__url", "__best", "__own", "__u", "__is", "__look", "__before")
 
 
 def preferred(records: DataFrame, url: str, width: str, height: str, name: str = "score") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import numbered_within, running_sums
+
 
 def _keep(df: DataFrame, rank: Column, limit: int) -> DataFrame:
     return df.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
@@ -33,26 +35,19 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
 
 
 def seen_before(df: DataFrame, key: str, order: str, name: str = "seen") -> DataFrame:
-    """Adds the number of earlier rows of the same key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    """Adds the number of earlier rows of the same key, which may hold any share of the rows."""
+    return numbered_within(df, [key], [order], name).withColumn(name, F.col(name) - 1)
 
 
-def interleave(df: DataFrame, key: str, order: str, name: str = "position", turns: int = 65_536) -> DataFrame:
+def interleave(df: DataFrame, key: str, order: str, name: str = "position") -> DataFrame:
     """Adds the position of each row when keys take turns, in the order in which they first occur.
 
-    Turns are numbered within keys; the positions follow from the number of rows in earlier turns. These are
-    summed up for so many turns at a time, so that one task sees a row for each such stretch only.
+    A row's turn is its number within its key, and its position its number by turn and by its key's first row.
     """
-    own = df.withColumn("__turn", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    own = numbered_within(df, [key], [order], "__turn")
     firsts = df.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
     own = own.join(firsts, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
-    sizes = own.groupBy("__turn").agg(F.count(F.lit(1)).alias("__n")).withColumn("__stretch", F.floor(F.col("__turn") / turns))
-    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stretches = sizes.groupBy("__stretch").agg(F.sum("__n").alias("__n")).select("__stretch", before(Window.orderBy("__stretch")).alias("__base"))
-    sizes = sizes.withColumn("__own", before(Window.partitionBy("__stretch").orderBy("__turn"))).join(stretches, "__stretch")
-    own = own.join(sizes.select("__turn", (F.col("__own") + F.col("__base")).alias("__ahead")), "__turn")
-    place = F.row_number().over(Window.partitionBy("__turn").orderBy("__first"))
-    return own.withColumn(name, F.col("__ahead") + place).drop("__turn", "__first", "__ahead")
+    return numbered_within(own, [], ["__turn", "__first"], name).drop("__turn", "__first")
 
 
 def first_accepted(df: DataFrame, key: str, order: str, accepted: str) -> DataFrame:
@@ -69,8 +64,7 @@ def islands(df: DataFrame, sequence: str, step: str, name: str = "island") -> Da
 
 def running_count(df: DataFrame, keys: list[str], order: str, condition: Column, name: str) -> DataFrame:
     """Adds the number of rows up to this one, within the keys, that meet the condition."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(condition.cast("int")).over(w))
+    return running_sums(df, keys, [order], {name: condition.cast("int")})
 
 
 def union_first(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
