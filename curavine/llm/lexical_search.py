@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, discard, materialise, numbered, small_batches, with_row_key
+from .common import ROW_KEY, materialise, numbered, small_batches, with_row_key
 from .text_core import split
 
 OWNERS, DOCS_PER_SHARD, ITEM_BITS = 4, 2048, 8
@@ -46,21 +46,18 @@ def term_counts(raw: bytes) -> tuple[int, Counter]:
 def _scan(df: DataFrame, wanted: frozenset[bytes] | None = None) -> DataFrame:
     """(row, id, n, term, tf) of numbered rows (row key, id, text): one row per distinct term, or wanted term, of a text.
 
-    Beside them, a row without a term for each batch has the number of texts with terms in tf and of their terms in n.
+    Each text that has terms also has a row without one, which alone has its id.
     """
 
     def run(batches):
         for batch in small_batches(batches):
             out: list[list] = [[], [], [], [], []]
-            texts, terms = 0, 0
             for row, id_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 n, found = term_counts(raw or b"")
-                texts, terms = texts + (n > 0), terms + n
                 own = found.items() if wanted is None else [(t, found[t]) for t in found.keys() & wanted]
-                for column, values in zip(out, ([row] * len(own), [id_] * len(own), [n] * len(own), [t for t, _ in own], [k for _, k in own])):
+                more, told = len(own), [None] * (n > 0)
+                for column, values in zip(out, ([row] * (more + len(told)), [id_] * len(told) + [None] * more, [n] * (more + len(told)), told + [t for t, _ in own], told + [k for _, k in own])):
                     column += values
-            for column, value in zip(out, (None, None, terms, None, texts)):
-                column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["row", "id", "n", "term", "tf"])
 
@@ -74,18 +71,20 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 
 def _add(owner: int, top: int | None):
-    """A stage: bundles of one shard and block meet the owner's postings; with top, only so many best documents stay."""
+    """A stage: bundles of one shard and block meet the owner's postings; with top, only so many best documents stay.
+
+    Documents are their rows' numbers on the way. Only the last stage needs their ids: rows of the term -1 have them.
+    """
 
     def run(bundles: pa.Table, postings: pa.Table) -> pa.Table:
         items, bundles = bundles.num_rows, bundles.cast(_KINDS)
-        if not items or not (postings.num_rows or top):
+        if not items or not postings.num_rows:
             return bundles
-        (lengths, rows), (_, ids), (_, scores) = (_lists(bundles[c]) for c in ("rows", "ids", "scores"))
-        rows, ids, scores = (np.asarray(x) for x in (rows, ids, scores))
-        order = np.argsort(np.asarray(postings["term"]), kind="stable")
-        term, row, id_, gain = (np.asarray(postings[c])[order] for c in ("term", "row", "id", "gain"))
-        docs, first = np.unique(np.concatenate([rows, row]), return_index=True)
-        doc_ids = np.concatenate([ids, id_])[first]
+        (lengths, rows), (_, scores) = (_lists(bundles[c]) for c in ("rows", "scores"))
+        rows, scores = np.asarray(rows), np.asarray(scores)
+        order = np.lexsort((np.asarray(postings["row"]), np.asarray(postings["term"])))
+        term, row, gain = (np.asarray(postings[c])[order] for c in ("term", "row", "gain"))
+        docs = np.unique(np.concatenate([rows, row]))
         total = np.zeros((items, len(docs)), np.int64)
         total[np.repeat(np.arange(items), lengths), np.searchsorted(docs, rows)] = scores
         at = np.searchsorted(docs, row)
@@ -97,12 +96,15 @@ def _add(owner: int, top: int | None):
         for item, k, a, b in zip(which, times, starts, ends):
             total[item, at[a:b]] += k * gain[a:b]  # a document has one posting of a term
         found = [np.flatnonzero(line) for line in total]
+        ids = np.zeros(len(docs), np.int64)
         if top:
-            found = [f[np.lexsort((docs[f], doc_ids[f], docs[f] < 0, -line[f]))[:top]] for f, line in zip(found, total)]
+            known = np.searchsorted(term, 0)  # rows of the term -1 come first
+            ids[at[:known]] = np.asarray(postings["id"].fill_null(0))[order[:known]]
+            found = [f[np.lexsort((docs[f], ids[f], docs[f] < 0, -line[f]))[:top]] for f, line in zip(found, total)]
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32())
         flat = np.concatenate(found)
-        lists = [docs[flat], doc_ids[flat], np.concatenate([line[f] for f, line in zip(found, total)])]
-        for name, values in zip(("rows", "ids", "scores"), lists):
+        lists = {"rows": docs[flat], "scores": np.concatenate([line[f] for f, line in zip(found, total)])}
+        for name, values in (lists | ({"ids": ids[flat]} if top else {})).items():
             bundles = bundles.set_column(bundles.column_names.index(name), name, pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64())))
         return bundles
 
@@ -123,34 +125,36 @@ def search(docs: DataFrame, items: DataFrame, top: int = 20, id_col: str = "doc_
     terms = numbered(asked.select("term").distinct(), "search-terms").withColumnRenamed(ROW_KEY, "number")
     size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
     wanted = frozenset(bytes(r.term) for r in terms.select("term").collect()) if size <= wanted_bytes else None
-    own = with_row_key(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).select(ROW_KEY, "id", "text")
-    # a document without an id has a negative row
-    found = _scan(own, wanted).join(terms, "term", "left").where("term is null or number is not null")
-    row = F.when(F.col("id").isNull(), -F.col("row") - 1).otherwise(F.col("row"))
-    found = materialise(found.select(row.alias("row"), F.coalesce("id", F.lit(0)).alias("id"), "n", "tf", "number"), "search-postings")
-    n_docs, n_terms = (x or 0 for x in found.where("number is null").agg(F.sum("tf"), F.sum("n")).first())
+    own = with_row_key(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    # a document without an id has a negative number
+    own = own.select(F.when(F.col("id").isNull(), -F.col(ROW_KEY) - 1).otherwise(F.col(ROW_KEY)).alias("row"), "id", "text")
+    found = materialise(_scan(own, wanted).join(terms, "term", "left").where("term is null or number is not null").drop("term"), "search-postings")
+    texts = found.where("number is null")
+    n_docs, n_terms = (x or 0 for x in texts.agg(F.count(F.lit(1)), F.sum("n")).first())
 
     df = found.where("number is not null").groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
-    owners = materialise(df.select("number", weight.alias("w"), F.pmod(F.xxhash64("number"), F.lit(OWNERS)).cast("int").alias("owner")), "search-owners")
+    owners = df.select("number", weight.alias("w"), F.pmod(F.xxhash64("number"), F.lit(OWNERS)).cast("int").alias("owner")).where("w > 0")
     block = F.shiftright("item", ITEM_BITS)
-    uses = asked.join(terms, "term").join(owners, "number").where("w > 0")
+    uses = materialise(asked.join(terms, "term").join(owners, "number").select("item", block.alias("block"), "number", "times", "w", "owner"), "search-uses")
+    # a term's row for each block that asks for it: a table whose size is known, so that Spark can tell whether to broadcast it
+    asks = materialise(uses.select("number", "block", "w", "owner").distinct(), "search-asks")
     shards = max(1, -(-n_docs // docs_per_shard))
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
     m = F.expr(f"75L + (25L * n * {n_docs}L) div {max(n_terms, 1)}L")
-    gains = found.join(owners, "number").where("w > 0").withColumn("m", m)
-    gains = gains.join(uses.select("number", block.alias("block")).distinct(), "number").select(
-        F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "block", F.col("number").alias("term"), "row", "id",
-        F.expr("w * ((1000000000L * tf) div (1000L * tf + 12L * m))").alias("gain"), "owner",
-    )
+    gain = F.expr("w * ((1000000000L * tf) div (1000L * tf + 12L * m))").alias("gain")
+    gains = found.where("number is not null").join(asks, "number").withColumn("m", m).select(shard, "block", F.col("number").alias("term"), "row", gain, "owner")
     gains = materialise(gains.where("gain > 0"), "search-gains", by="owner")
-    discard(found)
+    blocks = [r.block for r in asks.select("block").distinct().collect()]  # one for each ITEMS_PER_BLOCK queries
+    known = texts.select(shard, F.explode(F.array(*map(F.lit, blocks)).cast("array<bigint>")).alias("block"), F.lit(-1).cast("long").alias("term"), "row", "id", F.lit(0).cast("long").alias("gain"))
 
     none = F.array().cast("array<bigint>")
-    bundles = uses.groupBy("item").agg(F.collect_list(F.struct("owner", F.col("number").alias("term"), "times")).alias("terms"))
-    bundles = bundles.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), block.alias("block"), "item", "terms", none.alias("rows"), none.alias("ids"), none.alias("scores"))
+    bundles = uses.groupBy("item", "block").agg(F.collect_list(F.struct("owner", F.col("number").alias("term"), "times")).alias("terms"))
+    bundles = bundles.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "block", "item", "terms", none.alias("rows"), none.alias("ids"), none.alias("scores"))
     for owner in range(OWNERS):
-        part = gains.where(F.col("owner") == owner).drop("owner")
-        stage = _add(owner, top if owner == OWNERS - 1 else None)
+        part, last = gains.where(F.col("owner") == owner).drop("owner"), owner == OWNERS - 1
+        part = part.unionByName(known, allowMissingColumns=True) if last else part
+        stage = _add(owner, top if last else None)
         bundles = bundles.groupBy("shard", "block").cogroup(part.groupBy("shard", "block")).applyInArrow(stage, BUNDLE)
     best = bundles.select("item", F.explode(F.arrays_zip("rows", "ids", "scores")).alias("d")).select("item", "d.*")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("scores").desc(), F.col("rows") < 0, "ids", "rows"))
