@@ -14,7 +14,7 @@ from ..functions import score as SC
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import convert, curate, discover, keys, plans, search, upsert
-from ..streaming import incremental
+from ..streaming import crawl_gate, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,6 +519,39 @@ def new_since_watermark(spark: SparkSession, d: str) -> DataFrame:
     return incremental.new_since(e, state, "event_type", "ts").select("event_id")
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; the pattern also finds a table that is one file."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+
+
+@query(SQL["new_since_watermark"])
+def news_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream, whose state begins with the marks."""
+    e = table(spark, d, "events")
+    marks = e.where("event_type <> 'purchase'").groupBy("event_type").agg((F.max("ts") - F.expr("INTERVAL 2 DAY")).alias("watermark"))
+    out = crawl_gate.news(_stream(spark, d, "events").select("event_id", "event_type", "ts"), "event_type", "ts", marks)
+    return crawl_gate.run_available(out, crawl_gate.run_folder(spark, "news")).select("event_id")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT event_id, user_id, ts, value >= 10 AS ok, CASE event_type WHEN 'purchase' THEN 72 WHEN 'error' THEN 6 ELSE 24 END AS hours FROM events),
+    v AS (SELECT user_id, event_id, ts, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CASE WHEN NOT ok THEN ts + to_hours(hours) END AS until
+          FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+          UNION ALL
+          SELECT user_id, event_id, ts, CASE WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN NOT ok THEN ts + to_hours(hours) END
+          FROM (SELECT e.*, v.failures, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS i
+                FROM v JOIN e ON e.user_id = v.user_id AND (e.ts > v.ts OR e.ts = v.ts AND e.event_id > v.event_id) AND e.ts >= coalesce(v.until, v.ts)) WHERE i = 1)
+    SELECT e.event_id, v.event_id IS NOT NULL AS admitted, CAST(last_value(failures IGNORE NULLS) OVER w AS INTEGER) AS failures,
+           strftime((last_value(CASE WHEN v.event_id IS NOT NULL THEN {'u': until} END IGNORE NULLS) OVER w).u, '%Y-%m-%d %H:%M:%S') AS until
+    FROM e LEFT JOIN v USING (event_id) WINDOW w AS (PARTITION BY e.user_id ORDER BY e.ts, e.event_id ROWS UNBOUNDED PRECEDING)""")
+def visits_after_back_off(spark: SparkSession, d: str) -> DataFrame:
+    """Which visits back-offs let through: a stream with state and timers for each user."""
+    e = _stream(spark, d, "events")
+    out = crawl_gate.back_off(e, "user_id", "event_id", "ts", F.col("value") >= 10, F.col("event_type"), {"purchase": 72, "error": 6})
+    visits = crawl_gate.run_available(out, crawl_gate.run_folder(spark, "visits")).where("kind = 'visit'")
+    return visits.select(F.col("visit").alias("event_id"), "admitted", "failures", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
+
+
 @query("SELECT event_type, max(event_id) AS watermark FROM events GROUP BY 1")
 def raised_watermarks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", "event_id")

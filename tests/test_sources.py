@@ -117,9 +117,6 @@ def test_streams(spark, tmp_path):
     run()
     sink(spark.createDataFrame([("b", "2021", 3)], "k string, t string, v int"), 1)  # the same batch once more
     assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/b1").select("k", "v").collect()) == [("a", 1), ("b", 3)]
-    marks = incremental.per_key_watermark(stream, "k", "t", "k string, t string, v int")
-    marks.writeStream.format("memory").queryName("later").option("checkpointLocation", f"file://{tmp_path}/cp3").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("later").count() == 3
 
 
 def test_crawl_state_has_defaults_and_a_time(spark, tmp_path):
