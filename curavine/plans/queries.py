@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +12,10 @@ from ..functions import score as SC
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import convert, curate, discover, keys, plans, search, upsert
+from ..scratch import new_folder
 from ..streaming import crawl_gate, incremental
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from . import web_queries  # noqa: F401
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -530,7 +513,7 @@ def news_stream(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     marks = e.where("event_type <> 'purchase'").groupBy("event_type").agg((F.max("ts") - F.expr("INTERVAL 2 DAY")).alias("watermark"))
     out = crawl_gate.news(_stream(spark, d, "events").select("event_id", "event_type", "ts"), "event_type", "ts", marks)
-    return crawl_gate.run_available(out, crawl_gate.run_folder(spark, "news")).select("event_id")
+    return crawl_gate.run_available(out, new_folder(spark, "news")).select("event_id")
 
 
 @query("""
@@ -548,7 +531,7 @@ def visits_after_back_off(spark: SparkSession, d: str) -> DataFrame:
     """Which visits back-offs let through: a stream with state and timers for each user."""
     e = _stream(spark, d, "events")
     out = crawl_gate.back_off(e, "user_id", "event_id", "ts", F.col("value") >= 10, F.col("event_type"), {"purchase": 72, "error": 6})
-    visits = crawl_gate.run_available(out, crawl_gate.run_folder(spark, "visits")).where("kind = 'visit'")
+    visits = crawl_gate.run_available(out, new_folder(spark, "visits")).where("kind = 'visit'")
     return visits.select(F.col("visit").alias("event_id"), "admitted", "failures", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
 
 

@@ -21,12 +21,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/curavine-tables-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the scratch folder, read again: it outlives lost executors, and goes when the driver's JVM ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the scratch folder, for what is not written as a table; it goes when the driver's JVM ends."""
     root = scratch_dir(spark)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the scratch folder, read again: it outlives lost executors, and goes when the driver's JVM ends."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..scratch import scratch_dir
-
 HOUR = 3_600_000_000  # microseconds
 
 
@@ -26,13 +24,6 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataF
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared scratch folder for a stream's output and checkpoint."""
-    import uuid
-
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 class _News(StatefulProcessor):
     """The greatest time of a key, in microseconds. Rows of a batch are held against the mark from before the batch."""
 
