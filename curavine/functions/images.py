@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote, unquote, urljoin, urlsplit
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructType
 
 from .. import rules
+from . import markup, weburl
 
-_IMG = re.compile(r"<(img|source)\b[^>]*>|url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", re.I | re.S)
-_ATTR = re.compile(r"([a-zA-Z_:@][-a-zA-Z0-9_:.@]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 #: Between the pictures of a srcset. A comma within a URL, as of an image server's options, parts nothing.
 _NEXT = re.compile(r",\s+|,(?=https?:|\.{0,2}/)|(?:(?<=\d[wx])|(?<=\.(?:jpg|png|gif))|(?<=\.(?:jpeg|webp))),", re.I)
-_EXT = re.compile(r"\.(?:jpe?g|png|webp|gif)(?:$|[?#])", re.I)
-#: Elements that hold a picture's context, from the most to the least telling, and the longest that counts.
+#: Elements that hold a picture's context, from the most to the least telling, and the longest that counts; else so much around it.
 ENCLOSING, LONGEST, AROUND = ("figure", "article", "li", "section", "div"), 8000, 1200
+#: Attributes of an img element that name one picture each, in this order.
+LAZY = ("src", "data-src", "data-original", "data-lazy-src", "data-srcset", "data-large_image", "data-bg", "data-background-image")
 
 
 def _struct(**fields) -> StructType:
@@ -32,30 +32,14 @@ def _struct(**fields) -> StructType:
 
 
 _TEXT, _INT, _FLAG, _SHARE = StringType(), IntegerType(), BooleanType(), DoubleType()
-_PICTURE = _struct(position=_INT, url=_TEXT, alt=_TEXT, title=_TEXT, width=_INT, height=_INT, caption=_TEXT, context=_TEXT)
+_PICTURE = _struct(position=_INT, url=_TEXT, found_in=_TEXT, alt=_TEXT, width=_INT, height=_INT, caption=_TEXT, near=_TEXT, page_title=_TEXT)
 _FEATURES = _struct(
     white=_SHARE, dark=_SHARE, vivid=_SHARE, grey=_SHARE, light=_SHARE, colourful=_SHARE, banner_like=_FLAG, plan_like=_FLAG, photo_like=_FLAG, hard_reject=_FLAG, reason=_TEXT,
 )
 
 
-def _enclosing(page: str, at: int) -> str:
-    for name in ENCLOSING:
-        opens = [m.start() for m in re.finditer(rf"<{name}\b", page[max(0, at - LONGEST) : at], re.I)]
-        if opens:
-            start = max(0, at - LONGEST) + opens[-1]
-            end = page.lower().find(f"</{name}>", at)
-            inner = page[start:at].lower()
-            if end >= 0 and f"</{name}>" not in inner and end + len(name) + 3 - start <= LONGEST:
-                return page[start : end + len(name) + 3]
-    return page[max(0, at - AROUND) : at + AROUND]
-
-
-def _plain(markup: str) -> str:
-    return " ".join(re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", markup)).split())
-
-
-def _attributes(tag: str) -> dict[str, str]:
-    return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(tag)}
+def _spaced(text: str) -> str:
+    return " ".join(text.split())
 
 
 def _srcset(value: str) -> list[tuple[str, str]]:
@@ -64,38 +48,116 @@ def _srcset(value: str) -> list[tuple[str, str]]:
     return [(p[0].strip(","), p[1] if len(p) > 1 else "") for p in parts if p and p[0].strip(",")]
 
 
-def pictures(page: str | None) -> Iterator[tuple]:
-    """(position, url, alt, title, width, height, caption, context) of a page's pictures, each URL once.
-
-    src, lazy-loading and background attributes, quoted or not, and srcset of img and source elements and url() of styles count; data URLs don't.
+def _contexts(page: str) -> Iterator[tuple[str, int, str, list[tuple[str, int, int]]]]:
+    """(element, place, tag, blocks) of the img and source elements: each block reaches from the last opening tag of an
+    enclosing kind before the picture to the first closing one behind it, both found in the one pass over the tags.
+    """
+    last: dict[str, int] = {}
+    waiting: dict[str, list[dict]] = {name: [] for name in ENCLOSING}
+    found, begun = [], []
+    for tag in markup.tags(page, ("img", "source", *ENCLOSING)):
+        if begun and begun[0].end <= tag.start:  # tags that no picture stands in
+            last.update((t.name, t.start) for t in begun)
+            begun = []
+        if tag.name in waiting:
+            if not tag.closing:
+                begun.append(tag)
+            elif tag.end - tag.start == len(tag.name) + 3:
+                for blocks in waiting[tag.name]:
+                    blocks[tag.name] = blocks[tag.name][0], tag.end
+                waiting[tag.name] = []
+        elif not tag.closing:
+            blocks = {name: (start, None) for name, start in last.items()}
+            for name in last:
+                waiting[name].append(blocks)
+            found.append((tag.name, tag.start, page[tag.start : tag.end], blocks))
+    for name, start, raw, blocks in found:
+        yield name, start, raw, [(k, *blocks[k]) for k in ENCLOSING if k in blocks and blocks[k][1] is not None and blocks[k][1] - blocks[k][0] <= LONGEST]
+
+
+def pictures(page: str | None, page_url: str | None = None) -> Iterator[tuple]:
+    """(position, url, found_in, alt, width, height, caption, near, page_title) of a page's pictures, each address once.
+
+    Pictures are those of img elements, by LAZY and srcset, of source elements and of url() in styles, in this order;
+    data and script addresses are none. Without a page_url, addresses stay as they are written. The caption is
+    that of a figure around the picture. near is the text of the closest block that isn't too long, or of what stands
+    around the picture, with caption, alt, surroundings and the page's title.
     """
-    page, seen = page or "", set()
-    for m in _IMG.finditer(page):
-        attrs: dict[str, str] = {}
-        urls: list[str] = []
-        if m[2]:
-            urls = [m[2]] if _EXT.search(m[2]) else []
-        else:
-            attrs = _attributes(m[0])
-            urls = [attrs[k].split()[0] for k in ("src", "data-src", "data-original", "data-lazy-src", "data-large_image", "data-bg", "data-background-image") if attrs.get(k, "").split()]
-            for k in ("srcset", "data-srcset"):
-                urls += [url for url, _ in _srcset(attrs.get(k, ""))]
-        for url in urls:
-            if url in seen or url.startswith("data:"):
+    page, seen, texts = page or "", set(), {}
+    base = weburl.parse(page_url) if page_url else None
+    title = _spaced(markup.content(page, "title"))
+    first: dict[str, int] = {}
+
+    def around(raw: str, at: int) -> str:
+        at = first.setdefault(raw, at)  # the first that is written alike
+        return markup.without_tags(page[max(0, at - AROUND) : at + len(raw) + AROUND])
+
+    def address(link: str) -> str:
+        if re.match("data:|javascript:|#", link, re.I):
+            return ""
+        if page_url is None:
+            return link
+        found = weburl.parse(link, base)
+        return found.href() if found else ""
+
+    def block(start: int, end: int, kind: str) -> tuple[str, str]:
+        if (start, end) not in texts:
+            own = page[start:end]
+            texts[start, end] = _spaced(markup.without_tags(own)), _spaced(markup.content(own, "figcaption")) if kind == "figure" else ""
+        return texts[start, end]
+
+    def each() -> Iterator[tuple]:
+        later = []
+        for name, at, raw, blocks in _contexts(page):
+            attrs = markup.attributes(raw)
+            where = around(raw, at)
+            near, caption = block(blocks[0][1], blocks[0][2], blocks[0][0]) if blocks else (_spaced(where), "")
+            size = lambda k: int(attrs[k]) if attrs.get(k, "").isdecimal() and len(attrs[k]) < 10 else None  # noqa: B023, E731
+            if name == "source":
+                later += [(link, "picture-source", "", None, None, caption, near, where) for link, _ in _srcset(attrs.get("srcset") or attrs.get("data-srcset", ""))]
                 continue
+            links = [(attrs[k].split()[0], k) for k in LAZY if k != "data-srcset" and attrs.get(k, "").split()]
+            links += [(link, k) for k in ("data-srcset", "srcset") for link, _ in _srcset(attrs.get(k, ""))]
+            for link, k in sorted(links, key=lambda x: (*LAZY, "srcset").index(x[1])):
+                yield link, k, _spaced(attrs.get("alt", "")), size("width"), size("height"), caption, near, where
+        yield from later
+        for at, link in markup.style_urls(page):
+            where = around(page[at : at + len(link) + 5], at)
+            yield link, "css-background", "", None, None, "", _spaced(where), where
+
+    for link, found_in, alt, width, height, caption, near, where in each():
+        url = address(link)
+        if url and url not in seen:
             seen.add(url)
-            context = _enclosing(page, m.start())
-            caption = re.search(r"(?is)<figcaption\b[^>]*>(.*?)</figcaption>", context)
-            size = lambda k: int(attrs[k]) if attrs.get(k, "").isdigit() else None
-            yield len(seen), url, attrs.get("alt", ""), attrs.get("title", ""), size("width"), size("height"), _plain(caption[1]) if caption else "", _plain(context)
+            yield len(seen), url, found_in, alt, width, height, caption, _spaced(" ".join(filter(None, (near, caption, alt, where, title)))), title
+
+
+def document_links(page: str | None, page_url: str | None = None) -> Iterator[tuple]:
+    """(position, url, label) of the links to PDF files whose address or label speaks of plans or catalogues."""
+    page, base, n = page or "", weburl.parse(page_url) if page_url else None, 0
+    for tag, end, _ in markup.elements(page, "a", lambda raw: len(raw) > 3):
+        link = markup.attributes(page[tag.start : tag.end]).get("href", "")
+        found = weburl.parse(link, base) if link and not re.match("data:|javascript:|#", link, re.I) else None
+        url, label = found.href() if found else "", _spaced(markup.without_tags(page[tag.end : end]))
+        if re.search(r"\.pdf(?:$|[?#])", url, re.I) and _has(rules.DOCUMENT, f"{url} {label}"):
+            n += 1
+            yield n, url, label
+
+
+@F.udtf(returnType=_struct(position=_INT, url=_TEXT, label=_TEXT))
+class DocumentLinks:
+    """Table function over a page's markup and URL."""
+
+    def eval(self, page: str, page_url: str | None = None):
+        yield from document_links(page, page_url)
 
 
 @F.udtf(returnType=_PICTURE)
 class HtmlPictures:
-    """Table function over a page's markup."""
+    """Table function over a page's markup and, for absolute addresses, its URL."""
 
-    def eval(self, page: str):
-        yield from pictures(page)
+    def eval(self, page: str, page_url: str | None = None):
+        yield from pictures(page, page_url)
 
 
 _CRAWLED = _struct(position=_INT, url=_TEXT, kind=_TEXT, alt=_TEXT, review=_FLAG, score=_INT)
@@ -104,48 +166,16 @@ CRAWLED = (
     "src", "data-src", "data-original", "data-lazy", "data-lazy-src", "data-original-src", "data-bg", "data-background", "data-bg-src", "data-lazy-background", "data-src-mobile",
     "data-src-pc",
 )
-_LINKED = re.compile(r"<a\b[^>]*href\s*=\s*([\"']?)([^\"'\s>]+)\1[^>]*>(.*?)</a>", re.I | re.S)
-_STYLED = re.compile(r"url\(([\"']?)([^\"')]+\.(?:png|jpe?g|webp|gif)(?:\?[^\"')]+)?)\1\)", re.I)
-_QUOTED = re.compile(r"[\"']((?:(?:https?:)?//|/|\.\.?/)[^\"'\s)]+?\.(?:png|jpe?g|webp|gif)(?:\?[^\"'\s)]*)?)[\"']", re.I)
 _IMAGE_URL = re.compile(r"\.(?:png|jpe?g|webp|gif)(?:[?#].*)?$", re.I)
+_HREF = re.compile(r"href\s*=\s*([\"']?)([^\"'\s>]+)\1", re.I)
+_STYLE_FILE = re.compile(r"\.(?:png|jpe?g|webp|gif)(?:\?.+)?$", re.I)
+_QUOTED_FILE = re.compile(r"(?:(?:https?:)?//|/|\.\.?/).+?\.(?:png|jpe?g|webp|gif)(?:\?.*)?$", re.I)
 
 
 def _has(pattern: str, value: str) -> bool:
     return re.search(pattern, value, re.I) is not None
 
 
-def _decoded(value: str) -> str:
-    for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x2F;", "/")):
-        value = value.replace(name, char)
-    return value
-
-
-def _stripped(markup: str) -> str:
-    return re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ", markup))
-
-
-def _meta(page: str, name: str) -> str:
-    q = re.escape(name)
-    m = re.search(rf"<meta[^>]+(?:property|name)=[\"']{q}[\"'][^>]+content=[\"']([^\"']+)", page, re.I) or re.search(rf"<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+(?:property|name)=[\"']{q}[\"']", page, re.I)
-    return _decoded(m[1]) if m else ""
-
-
-def _element(page: str, name: str) -> str:
-    m = re.search(rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", page)
-    return _decoded(_stripped(m[1])) if m else ""
-
-
-def _absolute(link: str, base: str) -> str:
-    link = link.strip()
-    if not link or link.startswith("#") or _has("^(?:data|javascript):", link):
-        return ""
-    try:
-        url = urljoin(base, link)
-        return quote(url, safe="%!#$&'()*+,/:;=?@[]~|^\\") if urlsplit(url).scheme and urlsplit(url).netloc else ""
-    except ValueError:
-        return ""
-
-
 def _number(value: str | None) -> float:
     try:
         return float(value or 0)
@@ -169,72 +199,139 @@ def _outside(signal: str) -> bool:
     return _has(rules.SITE_PHOTO + r"\.(?:jpe?g|png|webp)", signal) or feature or _has(rules.OUTSIDE, signal)
 
 
+def _address(link: str, base: weburl.Url | None, web_only: bool) -> str:
+    """The address of a link as the crawl has it: fragments and data aren't fetched."""
+    if not link or link.startswith("#"):
+        return ""
+    found = weburl.parse(link, base)
+    return found.href() if found and found.scheme != "data" and (found.scheme in ("http", "https") or not web_only) else ""
+
+
+def _written(page: str, tail: str) -> Iterator[tuple[str, str, float, float, int | None, bool]]:
+    """(link, alt, width, height, content index, literal) of all that looks like a picture, in the order in which it counts.
+
+    Sources: og:image or twitter:image, img and source elements with their lazy-loading attributes, links to picture
+    files, url() of styles and quoted picture files, as in scripts. tail follows the words for pictures without any.
+    """
+    rank = lambda d: _number(d[:-1]) * (1000 if d[-1:] in "xX" else 1)
+    widest = lambda value: [url for url, _ in sorted(_srcset(value), key=lambda p: -rank(p[1]))]
+    content, own, later = 0, [], []
+    shown = markup.meta(page, "og:image") or markup.meta(page, "twitter:image")
+    yield shown, "OG" + tail, 0, 0, None, False
+    for tag in markup.tags(page, ("img", "source")):
+        if tag.closing:
+            continue
+        a = {k: markup.decoded(v) for k, v in markup.attributes(page[tag.start : tag.end]).items()}
+        if tag.name == "source":
+            later += [(link, a.get("alt") or a.get("title") or "", 0, 0, None, False) for link in widest(a.get("srcset") or a.get("data-srcset") or "")]
+            continue
+        alt = next((a[k] for k in ("alt", "title", "aria-label", "class", "id") if a.get(k)), "")
+        width, height, index = _number(a.get("width")), _number(a.get("height")), None
+        if width >= rules.CRAWL_CONTENT_SIZE[0] or height >= rules.CRAWL_CONTENT_SIZE[1] or _has("wp-image|content|main|floor|plan|madori", alt):
+            index, content = content, content + 1
+        own += [(link, alt, width, height, index, False) for link in (*(a.get(k, "") for k in CRAWLED), *widest(a.get("srcset", "")), *widest(a.get("data-srcset", "")))]
+    yield from own
+    yield from later
+    for tag, end, _ in markup.elements(page, "a", _HREF.search):
+        href = markup.decoded(_HREF.search(page, tag.start, tag.end)[2])
+        if _IMAGE_URL.search(href):
+            yield href, markup.plain(page[tag.end : end]), 0, 0, None, False
+    for _, link in markup.style_urls(page):
+        if _STYLE_FILE.search(link):
+            yield link, _BACKGROUND[tail], 0, 0, None, False
+    used = -1
+    for at, link in markup.quoted(page):
+        if at > used and _QUOTED_FILE.match(link):
+            yield link, markup.plain(page[max(0, at - 240) : at + 320]), 0, 0, content, True
+            content += 1
+            used = at + len(link) + 1  # its second quote isn't the first of another
+
+
+#: What stands in for a missing alt text of a page's own and of a background picture, in the crawl and in archived pages.
+_BACKGROUND = {"画像": "背景画像", " image": "background image"}
+
+
+def page_title(page: str) -> str:
+    """The first title of a page that isn't empty: those for sharing, the first heading, its own."""
+    titles = (markup.meta(page, "og:title"), markup.meta(page, "twitter:title"), markup.content(page, "h1"), markup.content(page, "title"))
+    return next((t for t in (_spaced(markup.decoded(x)) for x in titles) if t), "")
+
+
+def _shown(url: str, width: float, height: float, literal: bool) -> bool:
+    """Whether a picture looks like part of a page's content."""
+    large = width >= rules.CRAWL_CONTENT_SIZE[0] or height >= rules.CRAWL_CONTENT_SIZE[1]
+    return bool(_IMAGE_URL.search(url)) and not _has(rules.NO_CONTENT_URL, url) and (_has(rules.CONTENT_URL, url) or large or literal)
+
+
 def crawled_pictures(page: str | None, page_url: str, contextual: bool = False, loose: bool = False, most: int | None = None) -> list[tuple]:
     """(position, url, kind, alt, review, score) of a page's pictures as the crawl sees them, the best score first.
 
-    Sources: og:image or twitter:image, img and source elements with their lazy-loading attributes, links to
-    picture files, url() of styles and quoted picture files, as in scripts. Each URL counts once. Decorative
-    pictures, article thumbnails and photos labelled as rooms are left out. contextual lets the first content
-    picture of a page about plans be one if its names say so; loose does so for early content pictures of such
-    pages without the names and marks them for review. most keeps the best ones only.
+    Each URL counts once. Decorative pictures, article thumbnails and photos labelled as rooms are left out.
+    contextual lets the first content picture of a page about plans be one if its names say so; loose does so for
+    early content pictures of such pages without the names and marks them for review. most keeps the best ones only.
     """
-    page, found, seen, content = page or "", [], set(), 0
-    title = next((t for t in (" ".join(x.split()) for x in (_meta(page, "og:title"), _meta(page, "twitter:title"), _element(page, "h1"), _element(page, "title"))) if t), "")
-    about = f"{title} {page_url} {' '.join(_decoded(_stripped(page)).split())[: rules.CRAWL_PAGE_CHARS]}"
+    page, found, seen, base = page or "", [], set(), weburl.parse(page_url or "")
+    about = f"{page_title(page)} {page_url} {_spaced(markup.decoded(markup.plain(page)))[: rules.CRAWL_PAGE_CHARS]}"
     contextual, loose = contextual and _has(rules.CRAWL_PAGE, about), loose and _has(rules.CRAWL_EXPLICIT_PAGE, about)
-
-    def add(link: str, alt: str = "", width: float = 0, height: float = 0, index: int | None = None, literal: bool = False) -> None:
-        url = _absolute(link, page_url)
+    for link, alt, width, height, index, literal in _written(page, "画像"):
+        url = _address(link, base, False)
         if not url or url in seen:
-            return
-        alt = _decoded(alt)
+            continue
+        alt = markup.decoded(alt)
         path = [p for p in unquote(urlsplit(url).path).split("/") if p]
         file, parent = (path[-1] if path else ""), (path[-2] if len(path) > 1 else "")
         signal = f"{alt} {'/'.join(path[-3:])}"
         if _has(rules.ROOM_LABEL, signal):
-            return
+            continue
         strong = _strong(alt, file, parent)
         kind = "other"
         if not article_thumbnail(signal):
             kind = "exterior" if _outside(signal) else "floorplan" if strong else next((k for k, p in rules.KINDS if _has(p, signal)), "other")
-        large = width >= rules.CRAWL_CONTENT_SIZE[0] or height >= rules.CRAWL_CONTENT_SIZE[1]
-        shown = bool(_IMAGE_URL.search(url)) and not _has(rules.NO_CONTENT_URL, url) and (_has(rules.CONTENT_URL, url) or large or literal)
-        review = False
+        shown, review = _shown(url, width, height, literal), False
         if kind == "other" and shown and contextual and index == 0 and strong and (not alt.strip() or _has(rules.GENERIC_ALT, alt)):
             kind = "floorplan"
         if kind == "other" and shown and loose and (index or 0) <= rules.LAST_LOOSE and (_has(rules.CRAWL_PLAN, signal) or not _has(rules.PHOTO_SIGNAL, signal)):
             kind, review = "floorplan", True
         if _has(r"\.svg(?:\?|$)", url) or article_thumbnail(signal) or _has(rules.DECORATIVE, signal):
-            return
+            continue
         seen.add(url)
-        score = rules.KIND_SCORES.get(kind, 0) + sum(w for p, w in rules.CRAWL_WORD_SCORES if _has(p, signal)) + (rules.LOOSE_SCORE if review else 0)
+        score = rules.KIND_SCORES.get(kind, 0) + sum(w for p, w in rules.WORD_SCORES if _has(p, signal)) + (rules.LOOSE_SCORE if review else 0)
         found.append((url, kind, alt, review, score))
+    return [(i + 1, *f) for i, f in enumerate(sorted(found, key=lambda f: -f[4])[:most])]
 
-    def widest(value: str) -> list[str]:
-        rank = lambda d: _number(d[:-1]) * (1000 if d[-1:] in "xX" else 1)
-        return [url for url, _ in sorted(_srcset(value), key=lambda p: -rank(p[1]))]
 
-    add(_meta(page, "og:image") or _meta(page, "twitter:image"), "OG画像")
-    for m in re.finditer(r"<img\b[^>]*>", page, re.I):
-        a = {k: _decoded(v) for k, v in _attributes(m[0]).items()}
-        alt = next((a[k] for k in ("alt", "title", "aria-label", "class", "id") if a.get(k)), "")
-        width, height, index = _number(a.get("width")), _number(a.get("height")), None
-        if width >= rules.CRAWL_CONTENT_SIZE[0] or height >= rules.CRAWL_CONTENT_SIZE[1] or _has("wp-image|content|main|floor|plan|madori", alt):
-            index, content = content, content + 1
-        for link in [*(a.get(k, "") for k in CRAWLED), *widest(a.get("srcset", "")), *widest(a.get("data-srcset", ""))]:
-            add(link, alt, width, height, index)
-    for m in re.finditer(r"<source\b[^>]*>", page, re.I):
-        a = {k: _decoded(v) for k, v in _attributes(m[0]).items()}
-        for link in widest(a.get("srcset") or a.get("data-srcset") or ""):
-            add(link, a.get("alt") or a.get("title") or "")
-    for m in _LINKED.finditer(page):
-        if _IMAGE_URL.search(_decoded(m[2])):
-            add(_decoded(m[2]), _stripped(m[3]))
-    for m in _STYLED.finditer(page):
-        add(m[2], "背景画像")
-    for m in _QUOTED.finditer(page):
-        add(m[1], _stripped(page[max(0, m.start() - 240) : m.start() + 320]), index=content, literal=True)
-        content += 1
+def archived_pictures(page: str | None, page_url: str, loose: bool = False, most: int | None = 40) -> list[tuple]:
+    """(position, url, kind, alt, review, score) of an archived page's pictures of plans, the best score first.
+
+    A picture counts if its alt text, file or folder names a plan; loose also lets early content pictures of pages
+    about plans in, but for photos, and marks those for review whose words don't tell of one. Pictures without an alt
+    text have the page's title.
+    """
+    page, found, seen, base = page or "", [], set(), weburl.parse(page_url or "")
+    title = page_title(page)
+    text = _spaced(markup.decoded(markup.plain(page)))[: rules.ARCHIVED_PAGE_CHARS]
+    about = _has(rules.ARCHIVED_PAGE, f"{title} {text} {page_url}")
+    loose = loose and _has(rules.CRAWL_EXPLICIT_PAGE, f"{title} {page_url} {text}")
+    for link, alt, width, height, index, literal in _written(page, " image"):
+        url = _address(link, base, True)
+        if not url or url in seen or re.fullmatch("undefined|null", link, re.I) or not _IMAGE_URL.search(url):
+            continue
+        whole = unquote(urlsplit(url).path)
+        path = [p for p in whole.split("/") if p]
+        signal = f"{alt} {whole} "[:18000]
+        if _has(rules.ROOM_LABEL, signal):
+            continue
+        named = _strong(alt, path[-1] if path else "", path[-2] if len(path) > 1 else "")
+        early = loose and _shown(url, width, height, literal) and (index or 0) <= rules.LAST_LOOSE
+        if not named and (not early or (_has(rules.PHOTO_SIGNAL, signal) and not _has(rules.CRAWL_PLAN, signal))):
+            continue
+        spared = _has(rules.ARCHIVED_SPARED, signal)
+        if _has(r"\.svg(?:\?|$)", signal) or _has(rules.ARCHIVED_DECORATIVE, signal) or (_has(rules.ARCHIVED_OUTSIDE, signal) and not spared):
+            continue
+        seen.add(url)
+        review = early and not (about and named) and not any(_has(p, signal) for p in rules.ARCHIVED_PLAN)
+        score = (rules.ARCHIVED_LOOSE_SCORE if early else 0) + sum(w for p, w in rules.ARCHIVED_WORD_SCORES if _has(p, signal))
+        found.append((url, "floorplan", _spaced(markup.decoded(alt or title or "floorplan candidate")), review, score))
     return [(i + 1, *f) for i, f in enumerate(sorted(found, key=lambda f: -f[4])[:most])]
 
 
@@ -246,6 +343,14 @@ class CrawledPictures:
         yield from crawled_pictures(page, page_url or "", contextual, loose)
 
 
+@F.udtf(returnType=_CRAWLED)
+class ArchivedPictures:
+    """Table function over an archived page's markup and URL."""
+
+    def eval(self, page: str, page_url: str, loose: bool = False):
+        yield from archived_pictures(page, page_url or "", loose)
+
+
 def dimensions(data: bytes | None) -> tuple[int | None, int | None, str | None]:
     """Width, height and format from the header of a PNG, GIF, JPEG or WebP file; nulls for anything else."""
     none = None, None, None

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import rules
+from . import weburl
 from .text import _c, once, text
 
 #: Parameters that say where a visitor came from.
@@ -121,14 +120,17 @@ def index_queries(x: Column | str) -> Column:
 def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     """Absolute URL of a link on a page; empty where there is none or it isn't http(s)."""
 
-    def one(b: str | None, u: str | None) -> str:
-        try:
-            out = urljoin(b or "", (u or "").strip())
-        except ValueError:
-            return ""
-        return out if out.lower().startswith(("http://", "https://")) else ""
+    return pd.Series([weburl.absolute(u, b) for b, u in zip(base, link)])
+
 
-    return pd.Series([one(b, u) for b, u in zip(base, link)])
+def standard(x: Column | str) -> Column:
+    """The address of a URL by the URL Standard, so that all ways of writing an international host meet; what isn't one stays as it is.
+
+    Only URLs that could change by it go through Python: those with other than plain characters, a port, user or dots.
+    """
+    plain = text(x).rlike(r"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+/(?:[A-Za-z0-9_~/?=&,;+%-]|(?<![/.%2eE])\.)*$")
+    asked = F.when(~plain, text(x))
+    return F.coalesce(F.nullif(weburl.web_address(asked, F.lit(None).cast("string")), F.lit("")), text(x))
 
 
 def unwrap(x: Column | str, hops: int = 3) -> Column:

@@ -132,6 +132,21 @@ def error_counts(df: DataFrame, domain: str, status: Column) -> DataFrame:
     return df.where(status == "error").groupBy(domain).agg(F.count(F.lit(1)).alias("errors"))
 
 
+def route_documents(candidates: DataFrame, processed: DataFrame, key: str, document: str, picture: str, order: list[Column | str], most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows for review, URLs that are processed now) of the first candidates that lead to documents not processed before.
+
+    A candidate's document is its own, or else its picture if that is a PDF file. What has no address on the web is
+    processed, but not reviewed. processed has a column url. Adds document, reason and note to the rows for review;
+    most is the number of documents of one run.
+    """
+    own = F.coalesce(F.nullif(text(document), F.lit("")), F.when(text(picture).rlike(r"(?i)\.pdf(?:$|[?#])"), text(picture)))
+    rows = candidates.withColumn("__document", own).where("__document is not null")
+    rows = rows.join(processed.select(F.col("url").alias("__document")).distinct(), "__document", "left_anti").orderBy(*order).limit(most)
+    reason, note = F.lit("pdf-rendering-not-enabled"), F.lit("PDF page rendering is optional. Route pages through visual/Ollama classification before acceptance.")
+    review = rows.where(F.col("__document").rlike(r"(?i)^https?://")).withColumns({document: F.col("__document"), "reason": reason, "note": note, "status": F.lit("review")})
+    return review.drop("__document"), rows.select(F.col("__document").alias("url")).distinct()
+
+
 def review_budget(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The rows that come first; how many may be asked about is a budget of the run."""
     return df.orderBy(*order).limit(most)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images, weburl
+from ..functions import text as T
+from ..operators import curate
 from ..scratch import new_folder, written
 from ..sources import archive
 from .registry import query, table
@@ -33,3 +36,61 @@ def archive_records(spark: SparkSession, d: str) -> DataFrame:
     archive.register(spark)
     found = spark.read.format("curavine_archive").option("rangeBytes", 4_000_000).load(folder).where("length is not null")
     return found.select("url", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), "status", "mime", "kind")
+
+
+# --- pictures, links and documents of pages ------------------------------------------------------------------
+
+# the pages' markup with a picture, or a document, made of each link
+_LINK = '<a href="(/[^"]*)">([^<]*)</a>'
+_SHOWN = '<img data-src="{0}.png?s=1" alt=" {1}  plan"><img srcset="{0}.png?s=1 1x, /x/..{0}-2x.png 2x">'
+_FILED = [('<a href="(/[a-z][^"]*)">([^<]*)</a>', '<a class=x href="{0}.pdf">Plan  <b>{1}</b></a>'), ('<a href="(/[A-M][^"]*)">([^<]*)</a>', "<a href='{0}.PDF#page=2'>{1}</a>")]
+_ORIGIN = "lower(regexp_extract(url, '^[a-z]+://[^/?#]+'))"
+
+
+def _escaped(sql: str) -> str:
+    """A path as addresses have it: letters beyond ASCII as %XX."""
+    return f"array_to_string(list_transform(string_split({sql}, ''), lambda c: CASE WHEN regexp_matches(c, '^[!-~]$') THEN c ELSE url_encode(c) END), '')"
+
+
+@query(rf"""
+    WITH i AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS link, unnest(regexp_extract_all(html, '{_LINK}', 2)) AS label, unnest(range(len(regexp_extract_all(html, '{_LINK}')))) AS i FROM pages),
+    p AS (SELECT page_id, i * 2 AS place, {_ORIGIN} || {_escaped("link")} || '.png?s=1' AS address, 'data-src' AS found_in, trim(regexp_replace(label || ' plan', '\s+', ' ', 'g')) AS alt FROM i
+          UNION ALL SELECT page_id, i * 2 + 1, {_ORIGIN} || {_escaped("link")} || '-2x.png', 'srcset', '' FROM i)
+    SELECT page_id, address, found_in, alt FROM p QUALIFY row_number() OVER (PARTITION BY page_id, address ORDER BY place) = 1""")
+def page_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The pictures of pages, one made of each link: attributes, sets of sources, addresses, each once."""
+    spark.udtf.register("html_pictures", images.HtmlPictures)
+    shown = F.regexp_replace("html", _LINK, "<a href='$1'>$2</a>" + _SHOWN.format("$1", "$2"))
+    table(spark, d, "pages").select("page_id", "url", shown.alias("html")).createOrReplaceTempView("pages_with_pictures")
+    return spark.sql("SELECT page_id, i.url AS address, found_in, alt FROM pages_with_pictures p, LATERAL html_pictures(p.html, p.url) i")
+
+
+@query(rf"""
+    WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']+)["''][^>]*>', 1)) AS link FROM pages)
+    SELECT {_ORIGIN} || {_escaped("link")} AS address, count(*) AS n, count(DISTINCT page_id) AS pages FROM l GROUP BY 1""")
+def link_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """How often pages link to each address."""
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(T.links("html")).alias("l"))
+    # with backslashes, and by way of other folders: the address is the same
+    odd = F.regexp_replace("url", "^(https?)://([^/?#]+).*$", r"$1:\\\\$2\\x?#y")
+    found = links.select("page_id", weburl.web_address(F.concat(F.lit("./z/..\\.."), F.col("l.href")), odd).alias("address"))
+    return found.groupBy("address").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query(rf"""
+    WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS link, unnest(regexp_extract_all(html, '{_LINK}', 2)) AS label, unnest(range(len(regexp_extract_all(html, '{_LINK}')))) AS i FROM pages),
+    f AS (SELECT page_id, i, {_ORIGIN} || {_escaped("link")} || CASE WHEN regexp_matches(link, '^/[a-z]') THEN '.pdf' ELSE '.PDF#page=2' END AS document,
+                 CASE WHEN regexp_matches(link, '^/[a-z]') THEN 'Plan ' ELSE '' END || trim(regexp_replace(label, '\s+', ' ', 'g')) AS label FROM l WHERE regexp_matches(link, '^/[a-zA-M]')),
+    c AS (SELECT * FROM f WHERE regexp_matches(document || ' ' || label, '(?i)間取り|madori|plan|floorplan|catalog|catalogue|カタログ|プラン|商品|lineup'))
+    SELECT page_id, document, label, 'review' AS status, 'pdf-rendering-not-enabled' AS reason FROM c WHERE document NOT IN (SELECT document FROM c WHERE page_id % 3 = 0) ORDER BY page_id, i LIMIT 200""")
+def documents_for_review(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with plans that pages link to, but those processed before, within a run's number of documents."""
+    spark.udtf.register("document_links", images.DocumentLinks)
+    html = F.col("html")
+    for pattern, to in _FILED:
+        html = F.regexp_replace(html, pattern, to.format("$1", "$2"))
+    table(spark, d, "pages").select("page_id", "url", html.alias("html")).createOrReplaceTempView("pages_with_documents")
+    found = spark.sql("SELECT page_id, position, i.url AS document, label, '' AS picture FROM pages_with_documents p, LATERAL document_links(p.html, p.url) i")
+    before = found.where("page_id % 3 = 0").select(F.col("document").alias("url"))
+    review, _ = curate.route_documents(found, before, "page_id", "document", "picture", ["page_id", "position"], 200)
+    return review.select("page_id", "document", "label", "status", "reason")

@@ -122,25 +122,6 @@ def test_small_or_banner(spark):
     assert [r[0] for r in df.select(score.small_or_banner("w", "h")).collect()] == [True, False, True, False]
 
 
-def test_pictures_of_a_page(spark):
-    page = """<article><p>around</p><figure><img data-src="a.jpg" src="data:x" srcset="a.jpg 1x, b.jpg 2x" alt="plan" width="30"><figcaption>cap</figcaption></figure></article>
-    <div style="background:url('c.png')"></div><source srcset="d.webp">"""
-    rows = list(images.pictures(page))
-    assert [r[1] for r in rows] == ["a.jpg", "b.jpg", "c.png", "d.webp"]
-    assert rows[0][2] == "plan" and rows[0][4] == 30 and rows[0][6] == "cap" and rows[0][7] == "cap"
-    assert list(images.pictures(None)) == []
-    spark.udtf.register("html_pictures", images.HtmlPictures)
-    assert spark.sql("SELECT url FROM html_pictures('<img src=\"z.png\">')").first()[0] == "z.png"
-
-
-def test_pictures_in_unquoted_and_further_attributes():
-    page = """<img src=a.jpg width=30><img data-large_image="b.jpg" data-bg='c.jpg'><img data-background-image="d.jpg" srcset="e.jpg 1x,f.jpg 2x,/w_3,h_4/g.jpg 3x">
-    <source srcset="h.webp,i.webp"><source srcset="data:image/png;base64,AAAA 1x, j.webp 2x">"""
-    rows = list(images.pictures(page))
-    assert [r[1] for r in rows] == ["a.jpg", "b.jpg", "c.jpg", "d.jpg", "e.jpg", "f.jpg", "/w_3,h_4/g.jpg", "h.webp", "i.webp", "j.webp"]
-    assert rows[0][4] == 30
-
-
 def test_crawled_pictures(spark):
     page = """<meta property="og:image" content="/og.jpg"><h1>平屋の間取り</h1><img data-src-pc=/up/madori1.png alt="間取り図"><img data-lazy="/x/logo.png"><img data-bg="/k/kitchen.jpg">
     <a href=/big/floor-plan_01.jpg>open</a><i style="background:url(/s/bg.gif)"></i><script>var u = "https://c.jp/img/q.webp";</script><img src=/r/1.jpg alt="家｜リビング ">
@@ -176,3 +157,11 @@ def test_pixels(spark):
     assert r[0].plan_like and not r[0].hard_reject
     assert r[1].photo_like and r[1].reason == "photo"
     assert r[2].reason == "small" and r[3].reason == "unreadable"
+
+
+def test_standard_addresses_have_one_key(spark):
+    rows = ["https://日本語.jp/a", "HTTPS://日本語。JP:443/a", "https://xn--wgv71a119e.jp/x/../a", "https://a.example/b?c=1&d=%E3%81%82", "no url", None, "https://a.example/x/./b", "https://a.example:443/%2e/b"]
+    df = spark.createDataFrame([(x,) for x in rows], "u string")
+    got = [r[0] for r in df.select(U.standard("u")).collect()]
+    assert got == ["https://xn--wgv71a119e.jp/a"] * 3 + ["https://a.example/b?c=1&d=%E3%81%82", "no url", "", "https://a.example/x/b", "https://a.example/b"]
+    assert [r[0] for r in df.select(U.host(U.standard("u"))).limit(3).collect()] == ["xn--wgv71a119e.jp"] * 3
