@@ -9,7 +9,7 @@ from ..functions import images, weburl
 from ..functions import text as T
 from ..operators import curate
 from ..scratch import new_folder, written
-from ..sources import archive
+from ..sources import archive, sitemaps
 from .registry import query, table
 
 # --- archives ----------------------------------------------------------------------------------------------
@@ -94,3 +94,30 @@ def documents_for_review(spark: SparkSession, d: str) -> DataFrame:
     before = found.where("page_id % 3 = 0").select(F.col("document").alias("url"))
     review, _ = curate.route_documents(found, before, "page_id", "document", "picture", ["page_id", "position"], 200)
     return review.select("page_id", "document", "label", "status", "reason")
+
+
+# --- sitemaps ------------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH p AS (SELECT page_id, page_id % 30 AS k, url FROM pages WHERE url IS NOT NULL),
+    f AS (SELECT DISTINCT k FROM p WHERE k % 4 <> 0 ORDER BY k LIMIT 20)
+    SELECT url AS loc, 'https://s.example/works-' || k || '.xml' AS sitemap, CASE WHEN page_id % 2 = 0 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') ELSE '2023-12-31' END AS lastmod,
+           CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END AS images
+    FROM p JOIN f USING (k) WHERE page_id % 5 = 0 OR regexp_matches(lower(url), '/plan/|/plans/|/madori/|/floorplan/|/floor-plan/|/layout/|/lineup/|/product/|/hiraya/|/works/|/case/|/example/|/model/|/housing/|/home/|間取り|施工事例|プラン|平屋|3ldk|4ldk')""")
+def sitemap_tree(spark: SparkSession, d: str) -> DataFrame:
+    """URLs of an index's first twenty sitemaps that are worth reading, from XML files that the pages are written to."""
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
+    picture = lambda n: F.concat("url", F.lit(f"&<{n}>.png"))
+    rows = table(spark, d, "pages").where("url is not null").select(
+        F.col("url").alias("loc"), F.when(F.col("page_id") % 2 == 0, day).alias("lastmod"), F.when(F.col("page_id") % 5 == 0, F.array(picture(1), picture(2))).otherwise(F.array()).alias("images"),
+        (F.col("page_id") % 30).cast("int").alias("k"),
+    )
+    folder = new_folder(spark, "sitemaps")
+    sitemaps.write_urls(rows.repartition("k"), f"{folder}/urls", "k")
+    name = F.concat(F.lit("https://s.example/"), F.when(F.col("k") % 4 == 0, "feed-").otherwise("works-"), F.col("k").cast("string"), F.lit(".xml"))
+    sitemaps.write_children(rows.select("k").distinct().select(name.alias("loc"), F.lit("2023-12-31").alias("lastmod")), f"{folder}/index")
+    children = sitemaps.read_children(spark, f"{folder}/index").withColumn("k", F.regexp_extract("loc", r"(\d+)", 1).cast("int"))
+    first = sitemaps.first_children(children.withColumn("index", F.lit("all")), "index", "k")
+    urls = sitemaps.read_urls(spark, f"{folder}/urls").withColumn("k", F.regexp_extract("sitemap", r"k=(\d+)", 1).cast("int")).withColumn("sitemap", name)
+    return sitemaps.tree(first, urls).select("loc", "sitemap", "lastmod", F.size("images").alias("images"))

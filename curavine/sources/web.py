@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import collapse_space, decode_references, first_filled, links, text
-from ..functions.url import unwrap
+from ..functions.url import priority_sitemap, unwrap
+from .sitemaps import in_text
 
 
 def sitemap_urls(df: DataFrame, body: str, *keep: str) -> DataFrame:
     """(keep..., loc, lastmod, images) of the url blocks of sitemaps."""
     block = F.explode(F.regexp_extract_all(text(body), F.lit(r"(?is)<url\b[^>]*>(.*?)</url>"), F.lit(1))).alias("b")
-    one = lambda tag: F.trim(decode_references(F.regexp_extract("b", rf"(?is)<{tag}>\s*(.*?)\s*</{tag}>", 1)))
-    images = F.transform(F.regexp_extract_all("b", F.lit(r"(?is)<image:loc>\s*(.*?)\s*</image:loc>"), F.lit(1)), decode_references)
+    one = lambda tag: F.trim(decode_references(F.regexp_extract("b", rf"(?is)<{tag}(?:\s[^>]*)?>\s*(.*?)\s*</{tag}>", 1)))
+    images = F.transform(F.regexp_extract_all("b", F.lit(r"(?is)<image:loc(?:\s[^>]*)?>\s*(.*?)\s*</image:loc>"), F.lit(1)), decode_references)
     return df.select(*keep, block).select(*keep, one("loc").alias("loc"), F.nullif(one("lastmod"), F.lit("")).alias("lastmod"), images.alias("images")).where("loc != ''")
 
 
 def child_sitemaps(body: Column | str, most: int = 20) -> Column:
-    """The first sitemaps that an index names."""
-    found = F.regexp_extract_all(text(body), F.lit(r"(?is)<sitemap\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>.*?</sitemap>"), F.lit(1))
-    return F.slice(F.transform(found, decode_references), 1, most)
+    """array<struct<loc,lastmod>> of the first sitemaps worth reading that an index names; the others don't count for the number."""
+    decoded = F.transform(in_text(body), lambda c: F.struct(decode_references(c["loc"]).alias("loc"), c["lastmod"].alias("lastmod")))
+    return F.slice(F.filter(decoded, lambda c: priority_sitemap(c["loc"])), 1, most)
 
 
 def locations(body: Column | str) -> Column:

@@ -54,8 +54,11 @@ def test_sitemaps(spark):
     body = "<urlset><url><loc> https://x/a?b&amp;c </loc><lastmod>2026-01-01</lastmod><image:image><image:loc>i.png</image:loc></image:image></url><url><loc></loc></url></urlset>"
     df = spark.createDataFrame([(1, body), (2, None)], "id int, b string")
     assert [tuple(r) for r in web.sitemap_urls(df, "b", "id").collect()] == [(1, "https://x/a?b&c", "2026-01-01", ["i.png"])]
-    index = spark.createDataFrame([("<sitemapindex><sitemap><loc>u1</loc></sitemap><sitemap><loc>u2</loc></sitemap></sitemapindex>",)], "b string")
-    assert index.select(web.child_sitemaps("b", 1), web.locations("b")).first()[0] == ["u1"]
+    index = spark.createDataFrame([("<sitemapindex><sitemap><loc>u1</loc></sitemap><sitemap a='b'><loc c=d>works2</loc><lastmod>2026</lastmod></sitemap><sitemap><loc>plan3&amp;</loc></sitemap></sitemapindex>",)], "b string")
+    # those worth reading are chosen before they are counted
+    assert [tuple(c) for c in index.select(web.child_sitemaps("b", 1)).first()[0]] == [("works2", "2026")]
+    assert [tuple(c) for c in index.select(web.child_sitemaps("b")).first()[0]] == [("works2", "2026"), ("plan3&", None)]
+    assert index.select(web.locations("b")).first()[0] == ["u1", "plan3&"]
 
 
 def test_archive(spark):
