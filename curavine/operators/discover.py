@@ -166,20 +166,42 @@ def sitemaps(body: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(body) if isinstance(body, str) else body, F.lit("")), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(https?://[^\s#]+)"), F.lit(1)))
 
 
+def _rest_matches(at: str, literal: str, body: str, ends: str) -> Column:
+    """Whether a path goes on from a rule's literal beginning as the rule does: its pieces between * follow one another.
+
+    Each piece is looked for from the end of the one before, which finds a way if there is any. With a final $, the
+    last piece has to be the path's end.
+    """
+    last = f"element_at(split({body}, '[*]'), -1)"
+    pieces = f"slice(split({body}, '[*]'), 2, greatest(size(split({body}, '[*]')) - 2, 0))"
+    # where the next piece may begin; 0 if one was not found
+    reached = f"aggregate({pieces}, CAST(length({literal}) + 1 AS INT), (p, s) -> CASE WHEN p = 0 OR s = '' THEN p WHEN locate(s, {at}, p) = 0 THEN 0 ELSE locate(s, {at}, p) + length(s) END)"
+    after = f"CASE WHEN {ends} THEN endswith({at}, {last}) AND length({at}) - length({last}) + 1 >= p ELSE {last} = '' OR locate({last}, {at}, p) > 0 END"
+    wild = f"exists(array({reached}), p -> p > 0 AND {after})"
+    return F.expr(f"CASE WHEN NOT contains({body}, '*') THEN NOT {ends} OR {at} = {literal} ELSE {wild} END")
+
+
 def allowed(urls: DataFrame, url: str, rules: DataFrame, host: str = "host", with_query: bool = False) -> DataFrame:
     """Adds allowed: the longest matching rule of the URL's host decides, the first of equal ones; none allows.
 
     rules: host, ord, kind, rule. * stands for anything, a final $ for the end; lengths are counted without
-    both, or, with_query, in full on path and query. URLs meet their host's rules only, by an equi-join.
+    both, or, with_query, in full on path and query, where an empty rule matches nothing. A rule's beginning up to
+    its first * is a prefix of the paths that it matches. Paths meet rules by an equi-join on host and prefix, with one
+    prefix for each length that rules of the host have; only what follows a * is then looked for.
     """
     at = path_query(url) if with_query else path(url)
     keyed = urls.withColumn("__p", at)
-    body = F.regexp_replace("rule", r"\$$", "")
-    pattern = F.concat(F.lit("^"), F.array_join(F.transform(F.split(body, r"\*"), lambda s: F.concat(F.lit(r"\Q"), s, F.lit(r"\E"))), ".*"), F.when(F.col("rule").endswith("$"), "$").otherwise(""))
+    own = rules.select(F.col(host).alias("__host"), "ord", "kind", "rule", F.endswith("rule", F.lit("$")).alias("__ends"), F.regexp_replace("rule", r"\$$", "").alias("__body"))
+    own = own.where("rule <> ''") if with_query else own.where("rule is not null")
+    own = own.withColumn("__prefix", F.substring_index("__body", "*", 1))
+    lengths = own.groupBy("__host").agg(F.collect_set(F.length("__prefix")).alias("__lengths"))
     length = F.length("rule") if with_query else F.length(F.regexp_replace("rule", r"[*$]", ""))
-    hits = keyed.select(host, "__p").distinct().join(rules, host)
-    hits = hits.withColumn("__re", pattern).where(F.expr("__p rlike __re"))
-    best = hits.groupBy(host, "__p").agg(F.max_by("kind", F.struct(length.alias("n"), (-F.col("ord")).alias("o"))).alias("__kind"))
+    paths = keyed.select(F.col(host).alias("__host"), "__p").distinct().join(lengths, "__host")
+    paths = paths.select("__host", "__p", F.explode(F.filter("__lengths", lambda n: n <= F.length("__p"))).alias("__n"))
+    paths = paths.select("__host", "__p", F.left("__p", F.col("__n")).alias("__prefix"))
+    hits = paths.join(own, ["__host", "__prefix"]).where(_rest_matches("__p", "__prefix", "__body", "__ends"))
+    best = hits.groupBy("__host", "__p").agg(F.max_by("kind", F.struct(length.alias("n"), (-F.col("ord")).alias("o"))).alias("__kind"))
+    best = best.withColumnsRenamed({"__host": host})
     out = keyed.join(best, [host, "__p"], "left").withColumn("allowed", F.coalesce(F.col("__kind") != "disallow", F.lit(True)))
     return out.select(*urls.columns, "allowed")
 

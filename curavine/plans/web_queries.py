@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import images, weburl
 from ..functions import text as T
-from ..operators import curate
+from ..functions import url as U
+from ..operators import curate, discover
 from ..scratch import new_folder, written
 from ..sources import archive, sitemaps
 from .registry import query, table
@@ -44,6 +45,7 @@ def archive_records(spark: SparkSession, d: str) -> DataFrame:
 _LINK = '<a href="(/[^"]*)">([^<]*)</a>'
 _SHOWN = '<img data-src="{0}.png?s=1" alt=" {1}  plan"><img srcset="{0}.png?s=1 1x, /x/..{0}-2x.png 2x">'
 _FILED = [('<a href="(/[a-z][^"]*)">([^<]*)</a>', '<a class=x href="{0}.pdf">Plan  <b>{1}</b></a>'), ('<a href="(/[A-M][^"]*)">([^<]*)</a>', "<a href='{0}.PDF#page=2'>{1}</a>")]
+_HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))"
 _ORIGIN = "lower(regexp_extract(url, '^[a-z]+://[^/?#]+'))"
 
 
@@ -121,3 +123,39 @@ def sitemap_tree(spark: SparkSession, d: str) -> DataFrame:
     first = sitemaps.first_children(children.withColumn("index", F.lit("all")), "index", "k")
     urls = sitemaps.read_urls(spark, f"{folder}/urls").withColumn("k", F.regexp_extract("sitemap", r"k=(\d+)", 1).cast("int")).withColumn("sitemap", name)
     return sitemaps.tree(first, urls).select("loc", "sitemap", "lastmod", F.size("images").alias("images"))
+
+
+# --- robots rules --------------------------------------------------------------------------------------------
+
+_RULE = """CASE page_id % 5 WHEN 0 THEN path WHEN 1 THEN left(path, 4) || '*' || right(path, 1) WHEN 2 THEN '/*' || right(path, 2) || '$' WHEN 3 THEN left(path, 5) ELSE left(path, 2) || '*/' || '*' || right(path, 3) END"""
+_AT = "coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
+
+
+def _robots_sql(at: str, length: str) -> str:
+    """Every path against every rule of its host, by LIKE."""
+    like = "replace(rtrim(rule, '$'), '*', '%') || CASE WHEN ends_with(rule, '$') THEN '' ELSE '%' END"
+    return f"""
+        WITH p AS (SELECT page_id, regexp_replace({_HOST}, '^(www|blog|m)\\.', '') AS host, {at} AS target, {_AT} AS path FROM pages),
+        r AS (SELECT host, page_id AS ord, CASE WHEN page_id % 3 = 0 THEN 'allow' ELSE 'disallow' END AS kind, {_RULE} AS rule FROM p),
+        b AS (SELECT page_id, kind FROM p JOIN r USING (host) WHERE target LIKE {like} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {length} DESC, ord) = 1)
+        SELECT page_id, coalesce(kind <> 'disallow', true) AS allowed FROM p LEFT JOIN b USING (page_id)"""
+
+
+def _robots(spark: SparkSession, d: str, with_query: bool) -> DataFrame:
+    """Pages under rules that their host's pages make: one rule of each page."""
+    host = F.regexp_replace(U.host("url"), r"^(www|blog|m)\.", "")
+    pages = table(spark, d, "pages").select("page_id", "url", host.alias("host"), U.path("url").alias("path"))
+    rules = pages.select("host", F.col("page_id").alias("ord"), F.when(F.col("page_id") % 3 == 0, "allow").otherwise("disallow").alias("kind"), F.expr(_RULE).alias("rule"))
+    return discover.allowed(pages, "url", rules, "host", with_query).select("page_id", "allowed")
+
+
+@query(_robots_sql(_AT, "length(replace(replace(rule, '*', ''), '$', ''))"))
+def robots_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """The dialect that looks at paths, and counts lengths without * and $."""
+    return _robots(spark, d, False)
+
+
+@query(_robots_sql(f"{_AT} || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1)", "length(rule)"))
+def robots_by_path_and_query(spark: SparkSession, d: str) -> DataFrame:
+    """The dialect that looks at paths with their queries, and counts lengths in full."""
+    return _robots(spark, d, True)

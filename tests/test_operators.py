@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -344,3 +345,26 @@ def test_candidates_with_plans_come_first(spark):
     df = table(spark, [(1, False, "2026", []), (2, True, "2025", [("a", "other"), ("b", "floorplan")]), (3, None, "2027", None)], "id int, plan boolean, at string, images array<struct<id:string,kind:string>>")
     got = convert.candidate_view(df, "plan", "at", "images", 1).collect()
     assert [r.id for r in got] == [2, 3, 1] and [i.id for i in got[0].images] == ["b"] and got[1].images is None
+
+
+def test_robots_rules_equal_patterns(spark):
+    """Prefixes and pieces find what one pattern for each rule finds, also with thousands of rules for a host."""
+    random.seed(8)
+    piece = lambda n: "".join(random.choices("ab/", k=random.randint(0, n)))
+    rules = [("h", i, random.choice(["allow", "disallow"]), "/" + piece(4) + "".join("*" + piece(2) for _ in range(random.randint(0, 3))) + random.choice(["", "", "$"])) for i in range(60)]
+    rules += [("h", 100, "allow", "*"), ("h", 101, "allow", "*a$"), ("h", 102, "allow", "/a**b"), ("h", 103, "disallow", "/$"), ("other", 0, "disallow", "/")]
+    paths = sorted({"/" + piece(9) for _ in range(200)} | {"/"})
+    urls = table(spark, [("h", "http://h.jp" + p) for p in paths] + [("none", "http://n.jp/a")], "host string, url string")
+
+    def by_pattern(path, n):
+        hits = [(n(r), -o, k) for h, o, k, r in rules if h == "h" and re.match("".join(".*" if c == "*" else re.escape(c) for c in r.removesuffix("$")) + ("$" if r.endswith("$") else ""), path)]
+        return max(hits)[2] != "disallow" if hits else True
+
+    for with_query, n in ((False, lambda r: len(r.replace("*", "").replace("$", ""))), (True, len)):
+        got = {r.url: r.allowed for r in discover.allowed(urls, "url", table(spark, rules, "host string, ord int, kind string, rule string"), with_query=with_query).collect()}
+        assert got == {"http://h.jp" + p: by_pattern(p, n) for p in paths} | {"http://n.jp/a": True}
+    many = table(spark, [("h", i, "disallow", f"/x/{i}/") for i in range(3000)] + [("h", 5000, "disallow", "")], "host string, ord int, kind string, rule string")
+    asked = table(spark, [("h", f"http://h.jp/x/{i}/y") for i in range(2990, 3010)], "host string, url string")
+    plan = discover.allowed(asked, "url", many, with_query=True)
+    assert sum(r.allowed for r in plan.collect()) == 10
+    assert "rlike" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
