@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import images, weburl
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import curate, discover
+from ..operators import adapters, curate, discover
 from ..scratch import new_folder, written
 from ..sources import archive, sitemaps
 from .registry import query, table
@@ -159,3 +159,26 @@ def robots_by_path(spark: SparkSession, d: str) -> DataFrame:
 def robots_by_path_and_query(spark: SparkSession, d: str) -> DataFrame:
     """The dialect that looks at paths with their queries, and counts lengths in full."""
     return _robots(spark, d, True)
+
+
+# --- adapters ------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+    WITH i AS (SELECT page_id, url, regexp_replace({_HOST}, '^www\.', '') AS domain, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS link, unnest(range(len(regexp_extract_all(html, '{_LINK}')))) AS i FROM pages),
+    p AS (SELECT page_id, url, domain, i * 2 AS place, {_ORIGIN} || {_escaped("link")} || '.png?s=1' AS address FROM i UNION ALL SELECT page_id, url, domain, i * 2 + 1, {_ORIGIN} || {_escaped("link")} || '-2x.png' FROM i),
+    o AS (SELECT *, length(domain) % 4 AS n FROM p QUALIFY row_number() OVER (PARTITION BY page_id, address ORDER BY place) = 1)
+    SELECT page_id, domain || ' homes' AS company, address FROM o
+    WHERE CASE n WHEN 0 THEN contains(url, '/en/') AND contains(address, '?s=1') WHEN 1 THEN NOT contains(address, '-2x')
+                 WHEN 2 THEN regexp_matches(url, '[0-9]\.html|/de/') AND NOT contains(address, '?s=1') AND regexp_matches(lower(address), '^[^ ]*/[a-m][^/ ]*-2x') ELSE false END""")
+def adapter_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of pages that the adapters of their sites let through; some patterns are no regular expressions."""
+    shown = F.regexp_replace("html", _LINK, "<a href='$1'>$2</a>" + _SHOWN.format("$1", "$2"))
+    pages = table(spark, d, "pages").select("page_id", "url", U.domain("url").alias("domain"), shown.alias("html"))
+    n = F.length("domain") % 4
+    lists = lambda *by_n: F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in by_n)), n + 1)
+    sites = pages.select("domain").distinct().select(
+        F.concat(F.lit("WWW."), F.upper("domain")).alias("domain"), (n != 3).alias("enabled"), F.concat("domain", F.lit(" homes")).alias("company"),
+        lists(["/en/", "(x"], [], [r"[0-9]\.html", "/de/"], []).alias("page_patterns"), lists([], ["^[^ ]*-2x"], ["?s=1", "x{{"], []).alias("reject_patterns"), lists(["?s=1"], [], ["^[^ ]*/[a-m][^/ ]*-2x", "*no"], []).alias("accept_patterns"),
+    )
+    return adapters.adapter_pictures(pages, sites, keep=("page_id",)).select("page_id", "company", F.col("image_url").alias("address"))
