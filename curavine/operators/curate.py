@@ -203,9 +203,13 @@ def review_pass(images: DataFrame, budget: DataFrame, answers: DataFrame, key: s
     """
     j = images.join(budget.select(key).withColumn("__in", F.lit(True)), key, "left").join(answers, key, "left")
     answered = F.coalesce(F.col("__in"), F.lit(False)) & F.col("is_plan").isNotNull()
+    return j.withColumn("kept", kept_after(answered, checked, was_plan, hard_reject, least, keep_unchecked)).drop("__in")
+
+
+def kept_after(answered: Column, checked: Column, was_plan: Column, hard_reject: Column, least: float, keep_unchecked: bool) -> Column:
+    """Whether a picture stays after a review with the answer (is_plan, confidence), if it is answered."""
     good = F.col("is_plan") & (F.col("confidence") >= least) & ~hard_reject
-    kept = F.when(checked, F.coalesce(was_plan, F.lit(True))).when(answered, good).otherwise(F.lit(keep_unchecked))
-    return j.withColumn("kept", kept).drop("__in")
+    return F.when(checked, F.coalesce(was_plan, F.lit(True))).when(answered, good).otherwise(F.lit(keep_unchecked))
 
 
 def past_answer(status: Column, is_plan: Column, category: Column, confidence: Column, reason: Column) -> Column:

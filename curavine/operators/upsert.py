@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.meta import better
@@ -45,6 +47,18 @@ def counts(stored: DataFrame, result: DataFrame) -> DataFrame:
     return before.crossJoin(after).withColumn("added", F.greatest(F.lit(0), F.col("after") - F.col("before")))
 
 
+def write_counted(stored: DataFrame, incoming: DataFrame, write: Callable[[DataFrame], None], key: str = "id", order: str = "ord") -> dict[str, int]:
+    """Upsert and write: numbers of rows before, after and added, counted as the rows go by, without another scan.
+
+    write has to run the job, once. Rows that a lost executor made before are counted again with their task.
+    """
+    before, after = Observation("stored"), Observation("written")
+    n = F.count(F.lit(1)).alias("n")
+    write(upsert(stored.observe(before, n), incoming, key, order).observe(after, n))
+    was, now = before.get["n"], after.get["n"]
+    return {"before": was, "after": now, "added": max(0, now - was)}
+
+
 def better_scalar(current: Column, incoming: Column) -> Column:
     """The current value unless it is null or empty."""
     return F.coalesce(F.when(current.cast("string") != "", current), incoming)

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import convert, curate, discover, keys, plans, search, upsert
 from ..scratch import new_folder
-from ..streaming import crawl_gate, incremental
+from ..streaming import crawl_gate, incremental, review
 from . import web_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -231,6 +231,15 @@ def upsert_by_id(spark: SparkSession, d: str) -> DataFrame:
     return upsert.upsert(s, i).select("id", "status", "first_seen", "last_seen", "side")
 
 
+@query("SELECT count(*) AS before, (SELECT count(*) FROM (SELECT o_orderkey * 2 AS id FROM orders UNION SELECT o_orderkey * 3 FROM orders)) AS after, (SELECT count(*) FROM orders WHERE o_orderkey * 3 NOT IN (SELECT o_orderkey * 2 FROM orders)) AS added FROM orders")
+def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows before, after and added of an upsert, counted while it is written."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("status"))
+    path = new_folder(spark, "upsert-counts")
+    n = upsert.write_counted(o.withColumn("id", F.col("ord") * 2), o.withColumn("id", F.col("ord") * 3), lambda rows: rows.write.parquet(path))
+    return spark.createDataFrame([(n["before"], n["after"], n["added"])], "before long, after long, added long")
+
+
 @query("""
     SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL OR b.conf > coalesce(a.conf, -1.0) THEN b.conf ELSE a.conf END AS conf,
            CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NOT NULL AND b.c > a.c THEN b.v ELSE a.v END AS v
@@ -535,6 +544,22 @@ def visits_after_back_off(spark: SparkSession, d: str) -> DataFrame:
     return visits.select(F.col("visit").alias("event_id"), "admitted", "failures", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
 
 
+@query("""
+    WITH p AS (SELECT event_id, event_type, value, event_type = 'signup' AS checked, CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 5 ELSE 1 END AS priority FROM events),
+    b AS (SELECT event_id FROM p WHERE NOT checked ORDER BY priority, event_id LIMIT 300)
+    SELECT event_id, b.event_id IS NOT NULL AS asked,
+           CASE WHEN checked THEN value >= 50 WHEN b.event_id IS NOT NULL AND event_id % 5 <> 0 THEN event_id % 2 = 0 AND value / 100 >= 0.65 AND event_type <> 'error' ELSE true END AS kept
+    FROM p LEFT JOIN b USING (event_id)""")
+def review_within_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A review pass over a stream, with a budget of questions in its state."""
+    e = _stream(spark, d, "events").select("event_id", "event_type", "value")
+    answers = table(spark, d, "events").where("event_id % 5 <> 0").select("event_id", (F.col("event_id") % 2 == 0).alias("is_plan"), (F.col("value") / 100).alias("confidence"))
+    kind = F.col("event_type")
+    priority = F.when(kind == "purchase", 0).when(kind == "error", 5).otherwise(1)
+    out = review.review_stream(e, answers, "event_id", "event_id", priority, kind == "signup", F.col("value") >= 50, kind == "error", 300)
+    return crawl_gate.run_available(out, new_folder(spark, "review")).select("event_id", "asked", "kept")
+
+
 @query("SELECT event_type, max(event_id) AS watermark FROM events GROUP BY 1")
 def raised_watermarks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", "event_id")

@@ -69,6 +69,14 @@ def test_upsert_equals_a_loop(spark):
     assert n.before == 8 and n.added == max(0, n.after - 8)
 
 
+def test_counts_while_writing(spark, tmp_path):
+    rows = lambda a, b: table(spark, [(str(i), i) for i in range(a, b)], "id string, ord int")
+    jobs = []
+    n = upsert.write_counted(rows(0, 50), rows(40, 75), lambda df: jobs.append(df) or df.write.parquet(f"{tmp_path}/a"))
+    assert n == {"before": 50, "after": 75, "added": 25} and spark.read.parquet(f"{tmp_path}/a").count() == 75 and len(jobs) == 1
+    assert upsert.write_counted(rows(0, 3), rows(0, 0), lambda df: df.write.parquet(f"{tmp_path}/b")) == {"before": 3, "after": 3, "added": 0}
+
+
 def test_import_replaces_or_merges(spark):
     a, b = table(spark, [(1, "x", 0), (2, "y", 1)], "id int, v string, ord int"), table(spark, [(2, "n", 0), (2, "m", 1)], "id int, v string, ord int")
     got = lambda r: {x.id: x.v for x in upsert.replace_or_merge(a, b, "id", "ord", r).collect()}
