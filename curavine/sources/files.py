@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,6 +29,32 @@ def read_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of the first line of each file that isn't JSON; blank lines don't count as lines.
+
+    A file may be read in many splits. Lines are counted within their split, and the counts of the splits before are
+    added: one aggregation, whose rows are splits, and one running sum over a file's splits.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.monotonically_increasing_id().alias("id"))
+    bad = F.when(F.try_parse_json("value").isNull(), F.struct("id", F.substring("value", 1, 200).alias("text")))
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.min(bad).alias("bad"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    line = before + F.col("bad.id") - F.col("first") + 1
+    found = splits.withColumn("line", line).where("bad is not null")
+    return found.groupBy("file").agg(F.min(F.struct("line", "bad.text")).alias("b")).select("file", "b.*")
+
+
+def read_checked_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As read_lines, but a broken line is an error at once that names its file and line."""
+    if not exists(spark, path):
+        return _empty(spark, schema)
+    first = broken_lines(spark, path).orderBy("file").first()
+    if first is not None:
+        raise ValueError(f"invalid JSON at {first.file}:{first.line}: {first.text}")
+    return read_lines(spark, path, schema)
+
+
 def read_lines_in_order(spark: SparkSession, path: str, schema: str, order: str = "ord") -> DataFrame:
     """As read_lines, with each row's place in the file. The lines are one row each of a text source, so the
     file's byte order is their order: partitions are numbered by it.

@@ -50,6 +50,30 @@ def test_store(spark, tmp_path):
     assert s.all().count() == 0
 
 
+def test_a_broken_line_is_named_wherever_it_is(spark, tmp_path):
+    rows = [f'{{"id": "r{k}", "n": {k}}}' for k in range(400)]
+    rows[7:7] = ["", "   "]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows) + "\n")
+    rows[333], rows[380] = '{"id": "broken', "no json"
+    (tmp_path / "b.jsonl").write_text("\r\n".join(rows))
+    (tmp_path / "c.jsonl").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700", "3000", "128m"):  # many splits of a file, some, and one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert size == "128m" or spark.read.text(f"{tmp_path}/b.jsonl").rdd.getNumPartitions() > 2
+            got = files.broken_lines(spark, str(tmp_path)).collect()
+            assert [(r.file.rsplit("/", 1)[1], r.line, r.text) for r in got] == [("b.jsonl", 332, '{"id": "broken')]  # two blank lines aren't counted
+            with pytest.raises(ValueError, match=r"b\.jsonl:332: "):
+                files.read_checked_lines(spark, f"{tmp_path}/b.jsonl", "id string, n int")
+            assert files.read_checked_lines(spark, f"{tmp_path}/a.jsonl", "id string, n int").count() == 400
+        assert files.read_checked_lines(spark, f"{tmp_path}/none.jsonl", "id string").count() == 0 == files.broken_lines(spark, f"{tmp_path}/c.jsonl").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_sitemaps(spark):
     body = "<urlset><url><loc> https://x/a?b&amp;c </loc><lastmod>2026-01-01</lastmod><image:image><image:loc>i.png</image:loc></image:image></url><url><loc></loc></url></urlset>"
     df = spark.createDataFrame([(1, body), (2, None)], "id int, b string")
