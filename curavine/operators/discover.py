@@ -191,7 +191,9 @@ def allowed(urls: DataFrame, url: str, rules: DataFrame, host: str = "host", wit
     """
     at = path_query(url) if with_query else path(url)
     keyed = urls.withColumn("__p", at)
-    own = rules.select(F.col(host).alias("__host"), "ord", "kind", "rule", F.endswith("rule", F.lit("$")).alias("__ends"), F.regexp_replace("rule", r"\$$", "").alias("__body"))
+    # of equal rules only the first can decide
+    own = rules.groupBy(F.col(host).alias("__host"), "rule").agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("ord"))
+    own = own.select("__host", "ord", "kind", "rule", F.endswith("rule", F.lit("$")).alias("__ends"), F.regexp_replace("rule", r"\$$", "").alias("__body"))
     own = own.where("rule <> ''") if with_query else own.where("rule is not null")
     own = own.withColumn("__prefix", F.substring_index("__body", "*", 1))
     lengths = own.groupBy("__host").agg(F.collect_set(F.length("__prefix")).alias("__lengths"))

@@ -11,7 +11,7 @@ from ..functions import meta
 from ..functions import score as SC
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import convert, curate, discover, keys, plans, search, upsert
+from ..operators import convert, curate, discover, keys, plans, promotion, search, upsert
 from ..scratch import new_folder
 from ..streaming import crawl_gate, incremental, review
 from . import web_queries  # noqa: F401
@@ -333,6 +333,63 @@ def due_now(spark: SparkSession, d: str) -> DataFrame:
     return curate.due(e.crossJoin(F.broadcast(now)), F.col("now")).select("event_id")  # now is one row
 
 
+_ANSWER = """CASE WHEN quality IS NULL THEN NULL WHEN doc_id % 11 = 0 THEN 'no {{answer' WHEN doc_id % 13 = 0 THEN '{{"isFloorplan": true}}' ELSE
+    concat('Sure: {{"category": "', CASE WHEN doc_id % 7 = 0 THEN 'photo' ELSE 'floorplan' END, '", "isFloorplan": ', CASE WHEN quality = 1 THEN 'true' ELSE 'false' END, ', "isTopDownPlan": ', CASE WHEN doc_id % 5 = 0 THEN '"true"' ELSE 'true' END,
+           ', "hasWallsOrRoomBoundaries": ', CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE 'true' END, ', "confidence": ', CASE WHEN doc_id % 17 = 0 THEN '1.7' WHEN doc_id % 2 = 0 THEN '0.95' ELSE '0.8' END, '}} ok') END"""
+
+
+@query("""
+    WITH a AS (SELECT d.doc_id, least(1.0, n_chars / 4000.0)::DOUBLE AS visual, quality, toxic, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND quality IS NOT NULL AS checked FROM documents d LEFT JOIN labels l USING (doc_id)),
+    f AS (SELECT *, checked AND quality = 1 AS is_plan, checked AND doc_id % 5 <> 0 AS top_down, checked AND doc_id % 3 <> 0 AS walls, CASE WHEN NOT checked THEN 0.0 WHEN doc_id % 17 = 0 THEN 1.0 WHEN doc_id % 2 = 0 THEN 0.95 ELSE 0.8 END::DOUBLE AS c, doc_id % 4 <> 0 AS named FROM a),
+    g AS (SELECT *, is_plan AND top_down AND walls AND doc_id % 7 <> 0 AS full_flags, least(1.0, greatest(0.0, c * 0.8::DOUBLE + visual * 0.2::DOUBLE)) AS weighted FROM f),
+    h AS (SELECT *, CASE WHEN NOT checked THEN least(0.84::DOUBLE, visual) WHEN full_flags AND named THEN greatest(weighted, least(0.97::DOUBLE, c * 0.92::DOUBLE + visual * 0.08::DOUBLE + 0.02::DOUBLE)) ELSE weighted END AS confidence FROM g)
+    SELECT doc_id, CASE WHEN quality IS NULL THEN 'unchecked' WHEN checked THEN 'checked' ELSE 'error' END AS status, is_plan, top_down, walls, full_flags,
+           CASE WHEN coalesce(toxic, 0) = 1 THEN 'reject' WHEN checked AND NOT is_plan THEN 'reject' WHEN full_flags AND confidence >= 0.85 AND named THEN 'accept'
+                WHEN confidence >= 0.6 OR visual >= 0.45 OR named OR quality IS NOT NULL THEN 'review' ELSE 'reject' END AS route
+    FROM h""")
+def promoted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as candidates with a model's answers: accepted are those with all four flags, and words for a plan."""
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    rows = rows.select(
+        "doc_id", F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0)).alias("visual"), F.when(F.col("doc_id") % 4 == 0, "https://x.jp/uploads/a.png").otherwise("https://x.jp/uploads/madori_1.png").alias("image_url"),
+        F.lit("").alias("alt"), F.lit("").alias("caption"), F.lit("").alias("title"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).alias("hard_rejects"), promotion.model_review(F.expr(_ANSWER.replace("{{", "{").replace("}}", "}"))).alias("review"),
+    )
+    out = promotion.promote(rows)
+    return out.select("doc_id", "review.status", "review.is_plan", "review.top_down", "review.walls", promotion.fully_positive("review").alias("full_flags"), "route")
+
+
+@query("""
+    WITH c AS (SELECT doc_id, coalesce(source, '') AS domain, least(1.0, n_chars / 4000.0)::DOUBLE AS visual, CASE WHEN quality IS NULL THEN 'unchecked' WHEN toxic = 1 THEN 'error' ELSE 'checked' END AS status FROM documents LEFT JOIN labels USING (doc_id)),
+    e AS (SELECT *, count(*) FILTER (status = 'error') OVER (PARTITION BY domain) AS errors, row_number() OVER (PARTITION BY domain ORDER BY doc_id) - 1 AS seen FROM c),
+    p AS (SELECT *, visual + CASE WHEN doc_id % 3 = 0 THEN 0.35::DOUBLE ELSE 0 END - CASE WHEN doc_id % 5 = 0 THEN 0.6::DOUBLE ELSE 0 END - least(1.0, errors * 0.3::DOUBLE) - CASE WHEN status = 'checked' THEN 0.4::DOUBLE ELSE 0 END
+                    - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END - least(0.35::DOUBLE, seen * 0.03::DOUBLE) AS priority FROM e)
+    SELECT doc_id, errors, seen, round(priority, 6) AS priority, row_number() OVER (ORDER BY priority DESC, doc_id) AS place FROM p""")
+def promotion_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which documents, as candidates, are looked at: errors of their source, running numbers within it, a place among all."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    rows = rows.select(
+        "doc_id", F.col("source").alias("domain"), F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0)).alias("visual"), F.when(F.col("quality").isNull(), "unchecked").when(F.col("toxic") == 1, "error").otherwise("checked").alias("model_status"),
+        F.concat(F.lit("https://x.jp/i/"), F.when(F.col("doc_id") % 3 == 0, "madori").otherwise("a"), F.when(F.col("doc_id") % 5 == 0, "_photo").otherwise(""), F.lit(".png")).alias("image_url"),
+        F.lit("").alias("alt"), F.lit("").alias("caption"), F.lit("").alias("title"), F.when(F.col("doc_id") % 7 == 0, "https://x.jp/a.pdf").alias("pdf_url"),
+    )
+    out = promotion.promotion_order(rows, "doc_id")
+    return out.select("doc_id", "errors", F.col("seen").cast("long").alias("seen"), F.round("priority", 6).alias("priority"), F.col("place").cast("long").alias("place"))
+
+
+@query("""
+    WITH b AS (SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'log' || (event_id % 500) END AS id, strftime(ts, '%Y-%m-%d') AS created, event_type AS site, CAST(user_id AS VARCHAR) AS url, 'm' AS message, 0 AS side FROM events WHERE event_id % 2 = 0
+               UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'log' || (event_id % 700) END, strftime(ts, '%Y-%m-%d'), event_type, CAST(user_id AS VARCHAR), 'm', 1 FROM events WHERE event_id % 2 = 1)
+    SELECT ord, id FROM b QUALIFY row_number() OVER (PARTITION BY coalesce(nullif('i' || id, 'i'), 'k' || created || ':' || site || ':' || url || ':' || message) ORDER BY side, ord) = 1""")
+def merged_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The logs of two crawls, each entry once."""
+    e = table(spark, d, "events")
+    own = lambda rest, n, none: e.where(F.col("event_id") % 2 == rest).select(
+        F.col("event_id").alias("ord"), F.when(F.col("event_id") % 3 == 0, F.lit(none)).otherwise(F.concat(F.lit("log"), (F.col("event_id") % n).cast("string"))).alias("id"),
+        F.date_format("ts", "yyyy-MM-dd").alias("created"), F.col("event_type").alias("site"), F.col("user_id").cast("string").alias("url"), F.lit("m").alias("message"),
+    )
+    return promotion.merge_logs(own(0, 500, ""), own(1, 700, None), "ord").select("ord", "id")
+
+
 # --- discovery -------------------------------------------------------------------------------------------
 
 

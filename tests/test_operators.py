@@ -308,22 +308,24 @@ def test_rotation_history(spark):
 
 
 def test_curation_run(spark):
-    s = "id string, ord int, domain string, page_url string, image_url string, title string, alt string, near string, width int, height int, model_status string, model_plan boolean, model_confidence double, layout string, area double, floors string, last_seen string"
-    row = lambda i, url, title, status, plan, conf: (str(i), i, "d", "https://d/p", url, title, "", "", 900, 900, status, plan, conf, None, None, None, "2026")
+    s = "id string, ord int, domain string, page_url string, image_url string, title string, alt string, near string, width int, height int, model_status string, model_category string, model_plan boolean, model_top_down boolean, model_walls boolean, model_confidence double, layout string, area double, floors string, last_seen string"
+    def row(i, url, title, status, plan, conf, walls=True):
+        return str(i), i, "d", "https://d/p", url, title, "", "", 900, 900, status, "floorplan" if plan else None, plan, plan, walls and plan, conf, None, None, None, "2026"
+
     rows = [
         row(1, "https://d/madori/plan_1f.png", "間取り図 1F", "checked", True, 0.95), row(2, "https://d/madori/plan_2f.png", "間取り図 2F", "checked", True, 0.95), row(3, "https://d/madori/plan_1f.png?v=2", "間取り図 1F", "checked", True, 0.95),
         row(4, "https://d/logo.png", "", None, None, None), row(5, "https://d/uploads/x.png", "", None, None, None), row(6, "https://d/known.png", "", None, None, None), row(7, "https://d/img/madori.png", "", "checked", False, 0.9),
-        row(8, "https://d/uploads/y.png", "", "checked", True, 0.3),
+        row(8, "https://d/uploads/y.png", "", "checked", True, 0.3), row(9, "https://d/madori/photo_of_plan_3.png", "間取り図", "checked", True, 0.99, walls=False),
     ]
     done = table(spark, [("x", "https://d/known.png")], "id string, image_url string")
     r = curation.curated(table(spark, rows, s), done, done.limit(0))
     assert sorted(x.id for x in r.accepted.collect()) == ["1", "2"]
     assert {x.id: x.reason for x in r.rejected.collect()} == {"4": "hard-reject", "5": "low-confidence", "7": "not-a-plan"}
-    assert [(x.id, x.reason) for x in r.review.collect()] == [("8", "uncertain")]
+    assert sorted((x.id, x.reason) for x in r.review.collect()) == [("8", "uncertain"), ("9", "uncertain")]  # a plan without walls is looked at again
     plan = r.plans.collect()
     assert len(plan) == 1 and plan[0].n_images == 2 and plan[0].floors == "2階建"
     q = r.stats.first()
-    assert (q.candidates, q.accepted, q.rejected, q.review, q.rate, q.quality) == (8, 2, 3, 1, 0.25, "medium")
+    assert (q.candidates, q.accepted, q.rejected, q.review, q.rate, q.quality) == (9, 2, 3, 2, 0.222, "medium")
 
 
 def test_quality_keeps_the_time_of_an_earlier_run(spark):
