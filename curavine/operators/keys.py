@@ -104,5 +104,5 @@ def paged(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame
 
 
 def seeded_sample(df: DataFrame, n: int, *key: str, seed: str = "sample") -> DataFrame:
-    """n rows in an order drawn from a hash of their keys: the same on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """n rows in an order drawn from the MD5 of the seed and their keys, joined by bars: the same on every run, and in other engines."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key)).cast("binary")), *key).limit(n)

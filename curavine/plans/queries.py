@@ -14,7 +14,7 @@ from ..functions import url as U
 from ..operators import convert, curate, discover, keys, plans, promotion, search, upsert
 from ..scratch import new_folder
 from ..streaming import crawl_gate, incremental, review
-from . import web_queries  # noqa: F401
+from . import rule_queries, web_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -56,9 +56,9 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_totalprice > 100000) AS large,
            CAST(sum(greatest(1, n)) AS BIGINT) AS at_least_one, CAST(sum(n) AS BIGINT) AS lines
-    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_orderkey = o_orderkey""")
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     o = table(spark, d, "orders").join(n, "o_orderkey", "left")
     counted = {"orders": F.lit(True), "finished": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 100000}
     return convert.totals(o, counted, F.sum(F.greatest(F.lit(1), "n")).alias("at_least_one"), F.sum("n").alias("lines"))
@@ -150,9 +150,9 @@ def union_left_wins(spark: SparkSession, d: str) -> DataFrame:
     return keys.union_first(a, table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_name").alias("name")), ["id"], "name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000 AND o_custkey IS NOT NULL)")
 def except_keys(spark: SparkSession, d: str) -> DataFrame:
-    return keys.except_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return keys.except_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT n_nationkey, n_name, ((n_nationkey - 20) % 25 + 25) % 25 AS turn FROM nation WHERE ((n_nationkey - 20) % 25 + 25) % 25 < 8")
@@ -655,106 +655,13 @@ def review_budget(spark: SparkSession, d: str) -> DataFrame:
     return curate.review_budget(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25)
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('sample|' || o_orderkey), o_orderkey LIMIT 100")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return keys.seeded_sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
-def _literals(rows: list[tuple]) -> str:
-    """Rows as SQL values."""
-    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
-_FLOORS = [
-    ("plan 1f", 1.0), ("plan 2F ", 2.0), ("x1.5階部分", 1.5), ("a_2f.png", 2.0), ("12階部分", 2.0), ("img01.suumo.com/front/gazo/chumon/a/main/b_m03.jpg", 3.0),
-    ("be-enough.jp/a/plan1-img02.png", 1.0), ("二階間取り", 2.0), ("x_heimen3.png", 3.0), ("家", 9.0), ("", 9.0),
-]
-
-
-@query(f"SELECT col0 AS signal, col1::DOUBLE AS floor FROM (VALUES {_literals(_FLOORS)}) t")
-def floor_orders(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [(s,) for s, _ in _FLOORS], "signal string").select("signal", plans.floor_order(F.col("signal")).alias("floor"))
-
-
-_TITLES = [
-    ("A邸の1階部分間取り", "A邸間取り"), ("A邸（2階部分）間取り図", "A邸 間取り図"), ("家の間取り図 2枚目", "家の間取り図"), ("家 3枚目", "家"), ("間取り2F", "間取り"), ("家 1f", "家"), ("1階の間取り", ""), ("3 階部分の家", "の家"), ("二階部分", ""),
-]
-
-
-@query(f"SELECT col0 AS title, col1 AS plain FROM (VALUES {_literals(_TITLES)}) t")
-def plain_titles(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [(s,) for s, _ in _TITLES], "title string").select("title", plans.plain_title("title").alias("plain"))
-
-
-_CLEANED = [
-    ("https://x/madori/plan_1.png", "", "間取り図", 800, 600, ""), ("https://x/common/a.png", "", "", 0, 0, "common-ui-image"), ("https://x/p.png", "", "", 100, 100, "small-or-banner-image"), ("https://x/living.jpg", "", "", 800, 600, "room-photo"),
-    ("https://x/page", "", "", 0, 0, "non-image-url"), ("https://x/b.png", "", "リビングの", 800, 600, "photo-only-title"), ("https://x/b.png", "", "打ち合わせの間取り図", 800, 600, "process-photo"), ("https://x/madori.png", "", "打ち合わせの様子", 800, 600, ""),
-    ("https://www.yuyuhome.co.jp/a.png", "", "", 800, 600, "domain-photo-gallery"), ("https://www.yuyuhome.co.jp/plan.png", "", "", 800, 600, ""), ("https://be-enough.jp/x/plan3-img01.jpg", "", "", 800, 600, "be-enough-site-plan-or-elevation"),
-    ("https://sfc.jp/a.png", "", "土間あり", 800, 600, "sfc-photo-section"), ("https://x/b.png", "間取り 玄関", "", 800, 600, ""), ("12-3.jpg", "", "", 800, 600, "generic-uploaded-photo"), ("https://x/thum.png", "", "", 800, 600, "text-or-thumbnail-image"),
-    ("https://x/gallery.png", "", "", 800, 600, "photo-or-system-image"), ("https://x/a-300x200.png", "", "", 800, 600, "small-thumbnail"), ("https://genmai-home.com/a.png", "", "", 800, 600, "blog-non-plan-image"),
-]
-
-
-@query(f"SELECT col0 AS url, col1 AS alt, col2 AS title, col5 AS reason FROM (VALUES {_literals(_CLEANED)}) t")
-def cleanup_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = _values(spark, [r[:5] for r in _CLEANED], "url string, alt string, title string, width int, height int")
-    return rows.select("url", "alt", "title", curate.cleanup_reason("url", "alt", "title", "width", "height").alias("reason"))
-
-
-_EVIDENCE = [
-    ("https://x/a.png", "", "間取り図", 0.6, True), ("https://x/a.png", "", "間取り図", 0.5, False), ("https://x/img_12.png", "", "間取り図", 0.9, False), ("https://x/a.png", "間取り", "", 0.0, True), ("https://x/thum.png", "間取り", "", 1.0, False),
-    ("https://x/a.png", "間取り", "作成中", 1.0, False), ("https://x/madori.png", "", "作成中", 0.0, True), ("https://www.hamaguri.co.jp/a.png", "間取り", "", 1.0, False), ("https://yuyuhome.co.jp/a.png", "間取り", "平面図", 0.7, True),
-    ("https://yuyuhome.co.jp/a.png", "間取り", "平面図", 0.6, False), ("https://hirayakoubou.net/ys-1a-fig.png", "", "", 0.45, True), ("https://irohaie.com/like1.png", "", "", 0.55, True), ("https://be-enough.jp/p/plan1-img04.jpg", "", "", 1.0, False),
-]
-
-
-@query(f"SELECT col0 AS url, col1 AS alt, col2 AS title, col3::DOUBLE AS visual, col4 AS evidence FROM (VALUES {_literals(_EVIDENCE)}) t")
-def acceptance_evidence(spark: SparkSession, d: str) -> DataFrame:
-    rows = _values(spark, [r[:4] for r in _EVIDENCE], "url string, alt string, title string, visual double")
-    return rows.withColumn("evidence", SC.acceptance_evidence("url", "alt", F.lit(""), "title", F.col("visual")))
-
-
-_PLANS = [
-    ("1", "c", "https://cleverlyhome.com/kurashi/plan/7", "https://c/a.png", "家の1階部分", "3LDK", 99.5, "sequence:c:https://cleverlyhome.com/kurashi/plan/7:3LDK:99.50:家"),
-    ("2", "f", "https://forumu.co.jp/madori/madori-12.html", "https://f/i/madori_12.png", "", None, None, "page-image:f:https://forumu.co.jp/madori/madori-12.html:madori_12"),
-    ("3", "s", "https://suumo.jp/chumon/tn_x/rn_y/z/jitsurei/jc_5/", "https://i/a.png", "1階間取り", None, None, "detail-page:s:https://suumo.jp/chumon/tn_x/rn_y/z/jitsurei/jc_5/"),
-    ("4", "z", "https://z/p", "https://z/ie/myhome/img/12_8.jpg", "2階間取り", None, None, "sequence:z:https://z/p:sfc-12-7"), ("5", "x", "https://x/p", "https://x/madori_2f.png", "", None, None, "image:x:https://x/madori.png"),
-    ("6", "s", "https://x/q", "https://i/a.png", "1階間取り", None, None, "record:6"),
-]
-
-
-@query(f"SELECT col0 AS id, col7 AS key FROM (VALUES {_literals(_PLANS)}) t")
-def plan_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = _values(spark, [(*r[:5], "", *r[5:7]) for r in _PLANS], "id string, domain string, page string, image string, title string, alt string, layout string, area double")
-    return rows.select("id", plans.group_key("id", "domain", "page", "image", "title", "alt", "layout", "area").alias("key"))
-
-
 # --- discovery and merging of crawls -------------------------------------------------------------------------
 
-_URL_SCORES = [
-    ("crawl", "https://x/madori/1", "", "", 120.0), ("crawl", "https://x/works/3ldk?category=1", "", "", 15.0), ("crawl", "https://x/works/3Ldk", "", "", 35.0), ("crawl", "", "", "", 0.0),
-    ("archive", "https://x/a%E9%96%93%E5%8F%96.png", "", "", 140.0), ("archive", "https://x/works/layout", "", "image/png", 140.0), ("archive", "https://x/blog/a", "", "", -60.0),
-    ("seed", "https://x/plan/plan12/", "", "", 120.0), ("seed", "https://x/company/works/floorplan", "", "", 55.0), ("site", "https://x/sitemap.xml?x=1", "", "", -200.0),
-    ("site", "https://x/news/contact", "", "", -160.0), ("site", "https://x/plan/plan3", "", "", 120.0), ("search", "https://x/plan", "注文住宅 3LDK", "", 85.0), ("search", "https://x/hiraya", "コツ", "", -115.0),
-]
-
-
-@query(f"SELECT col0 AS step, col1 AS url, col4::DOUBLE AS score FROM (VALUES {_literals(_URL_SCORES)}) t")
-def url_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _values(spark, [r[:4] for r in _URL_SCORES], "step string, url string, title string, mime string")
-    score = SC.when_first([(F.col("step") == s, U.url_score("url", s, "title", "mime")) for s in rules.URL_SCORES], None)
-    return rows.select("step", "url", score.alias("score"))
-
-
-_PRIORITIES = [("https://x/plan/1", True, True), ("https://x/news/plan/", False, True), ("https://x/about", False, False), ("https://x/3LDK", True, False), ("", False, False), ("https://x/Works/", True, True), ("https://x/floor", False, True)]
-
-
-@query(f"SELECT col0 AS url, col1 AS first, col2 AS sitemap FROM (VALUES {_literals(_PRIORITIES)}) t")
-def priority_urls(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [(u,) for u, *_ in _PRIORITIES], "url string").select("url", U.priority("url").alias("first"), U.priority_sitemap("url").alias("sitemap"))
-
-
 @query(rf"""SELECT regexp_replace({_HOST}, '^www\.', '') AS host, count(*) AS existing FROM pages WHERE {_HOST} <> '' GROUP BY 1""")
 def existing_counts(spark: SparkSession, d: str) -> DataFrame:
     return discover.existing_counts(table(spark, d, "pages").withColumn("source", F.lit("")), "url", "source")
@@ -797,10 +704,10 @@ def review_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment ELSE coalesce(n_name, '') END AS source
-    FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey > 5""")
+    FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def site_names(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("site"), F.concat(F.lit(" "), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(""), F.lit("　")).alias("source"))
-    sites = table(spark, d, "nation").where("n_nationkey > 5").select(F.col("n_nationkey").alias("site"), "n_name", F.col("n_nationkey").alias("ord"))
+    sites = table(spark, d, "nation").select(F.col("n_nationkey").alias("site"), "n_name", F.col("n_nationkey").alias("ord"))
     return curate.with_site(c, sites, "site", "source", "n_name", "ord").select("c_custkey", "source")
 
 
@@ -822,19 +729,6 @@ def merged_crawls(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("o_custkey").alias("page"), F.col("l_orderkey").alias("ord"), F.element_at("images", 1)["url"].alias("url"), F.col("n_images").cast("long").alias("n"))
 
 
-_COLLECTED = [
-    (1, "家", "web", "", "4LDK", "", [("a", "http://x/a.png", "", "", "1階 3 ldk", "floorplan"), ("b", "http://x/a-300x200.png", "", "", "", "floorplan"), ("c", "http://x/c.png", "", "", "", "exterior")], "家", "3LDK", "", "web", 1),
-    (2, "", "web", "工務店", "", "", [("a", "http://x/a.png", "data:1", "t", "", "floorplan"), ("b", "http://x/b.png", "", "t", "2F", "floorplan")], "自動収集した間取り図", "", "2階建", "工務店", 2),
-    (3, "平屋", "", "", "", "2階建", [("a", "http://x/a.png", "", "", "", "floorplan")], "平屋", "", "平屋", "", 1), (4, "家", "w", "", "", "", [("a", "http://x/a.png", "", "", "", "interior")], None, None, None, None, 0), (5, "家", "w", "", "", "", None, None, None, None, None, 0),
-]
-
-
-@query("SELECT col0::BIGINT AS id, col1 AS title, col2 AS layout, col3 AS floors, col4 AS company, col5::BIGINT AS n FROM (VALUES " + _literals([(r[0], *r[7:]) for r in _COLLECTED if r[-1]]) + ") t")
-def collected_items(spark: SparkSession, d: str) -> DataFrame:
-    schema = "id long, title string, source string, company string, layout string, floors string, images array<struct<id:string,url:string,data_url:string,thumbnail_url:string,alt:string,kind:string>>"
-    return convert.collected(_values(spark, [r[:7] for r in _COLLECTED], schema)).select("id", "title", "layout", "floors", "company", F.size("images").cast("long").alias("n"))
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS status, 'kept' AS a, 'new' AS b FROM orders""")
 def spread_records(spark: SparkSession, d: str) -> DataFrame:
     entry = lambda **kv: F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v)))
@@ -856,11 +750,3 @@ def pictures_by_kind(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT s_suppkey AS id FROM supplier UNION SELECT user_id FROM events WHERE user_id IS NOT NULL")
 def processed_keys(spark: SparkSession, d: str) -> DataFrame:
     return incremental.processed_with(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, d, "events").select(F.col("user_id").alias("id")), "id")
-
-
-_COMPANIES = [("施工会社：山田工務店 | 家", "山田工務店"), ("売主 A不動産", "A不動産"), ("会社名:　木の家｜x", "木の家"), ("家", ""), ("会社名 あ", ""), ("", "")]
-
-
-@query(f"SELECT col0 AS page, col1 AS company FROM (VALUES {_literals(_COMPANIES)}) t")
-def company_names(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [(p,) for p, _ in _COMPANIES], "page string").select("page", meta.company("page").alias("company"))
