@@ -102,7 +102,7 @@ def _result_place(call: Column, own: Column) -> Column:
     return F.when(own > call, own).when(call["depth"] == 0, _place(call["turn"], call["step"] + 1, F.lit(0))).otherwise(_place(call["turn"], call["step"], call["depth"] + 1))
 
 
-def moved_calls(own: DataFrame, ids: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def moved_calls(own: DataFrame, ids: DataFrame) -> DataFrame:
     """(conv_id, id, place, cyclic) of the calls that use results of others, in topological order.
 
     own are the items, ids the calls and results of each identifier. Rounds of one join each place the calls
@@ -123,10 +123,7 @@ def moved_calls(own: DataFrame, ids: DataFrame, max_rounds: int = 1000) -> DataF
     placed = nodes.join(uses, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("call_place").alias("place"))
     placed = materialise(placed, "chat-placed")
     known = 0
-    for _ in range(max_rounds):
-        now = placed.count()
-        if now == known:
-            break
+    while (now := placed.count()) > known:  # a round that places nothing is the last
         known = now
         end = F.when(F.col("answered"), _result_place(F.col("place"), F.col("result_place"))).otherwise(F.col("place"))
         ends = placed.join(nodes, ["conv_id", "id"]).select("conv_id", F.col("id").alias("source"), end.alias("end"))
@@ -134,8 +131,6 @@ def moved_calls(own: DataFrame, ids: DataFrame, max_rounds: int = 1000) -> DataF
         ready = open_.groupBy("conv_id", "id").agg(F.count_if(F.col("end").isNull()).alias("missing"), F.max("end").alias("end")).where("missing = 0")
         ready = ready.join(nodes, ["conv_id", "id"]).select("conv_id", "id", _behind(F.col("call_place"), F.col("end")).alias("place"))
         placed = materialise(placed.union(ready), "chat-placed")
-    else:
-        raise RuntimeError("chains of calls are too long")
     return nodes.join(placed, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("place", "call_place").alias("place"), F.col("place").isNull().alias("cyclic"))
 
 

@@ -29,6 +29,8 @@ HIDDEN = 24
 TRAIN_PAGES, EPOCHS, BATCH = 3000, 8, 16
 #: Blocks, padding included, that are labelled at once.
 CELLS = 40_000
+#: Blocks of a long page whose inputs are held at a time.
+STRETCH = 8192
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?", re.S)
 _NAMED = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -188,8 +190,11 @@ def _path_vector(path: int, leaf: str) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits.to_bytes(PATH_FEATURES // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
-def inputs(pages: list[list[Block]]) -> np.ndarray:
-    """One row of features for each block of the pages, one page after another."""
+def inputs(pages: list[list[Block]], begin: int = 0, total: int = 0) -> np.ndarray:
+    """One row of features for each block of the pages, one page after another.
+
+    With a total, the blocks are a stretch of a longer page of so many, which begins at a place in it.
+    """
     own = [b for p in pages for b in p]
     x = np.zeros((len(own), INPUTS), np.float32)
     if not own:
@@ -205,7 +210,7 @@ def inputs(pages: list[list[Block]]) -> np.ndarray:
         n_words.append(counts)
         at += len(counts)
     words = np.concatenate(n_words)
-    place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages])
+    place = np.concatenate([(begin + np.arange(len(p))) / max(total or len(p), 1) for p in pages])
     chars = np.array([len(b.text) for b in own])
     sizes = (np.log1p(words) / 4, np.log1p(chars) / 6, np.array([b.linked for b in own]) / np.maximum(chars, 1), place, 1 - place, np.array([b.text[-1] in ".!?:;\"'»”" for b in own]))
     x[:, -SIZES:] = np.stack([s.astype(np.float32) for s in sizes], axis=1)
@@ -230,10 +235,10 @@ class Labeller:
             self.p["b" + d] = bias
         self.p["V"], self.p["c"] = draw(2 * HIDDEN, 1)[:, 0], np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """Hidden states (T, B, H) of one direction; padding leaves the state as it is."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states (T, B, H) of one direction, what gradients need, and the last state; padding leaves the state as it is."""
         steps, batch, _ = x.shape
-        h = c = np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32),) * 2
         a = x @ self.p["W" + d] + self.p["b" + d]
         out, memo = np.zeros((steps, batch, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -246,7 +251,7 @@ class Labeller:
                 memo.append((t, i, f, o, z, c, s, h))
             c, h = np.where(m, c_new, c), np.where(m, o * s, h)
             out[t] = h
-        return out, memo
+        return out, memo, (h, c)
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         h = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
@@ -275,19 +280,34 @@ class Labeller:
             g |= {"W" + d: x.reshape(-1, INPUTS).T @ flat, "U" + d: du, "b" + d: flat.sum(axis=0)}
         return g
 
+    def stretched(self, page: list[Block]) -> np.ndarray:
+        """Scores of a long page's blocks, a stretch at a time in each direction, with the state carried on: no more than a stretch's inputs are held."""
+        score = np.full(len(page), self.p["c"][0], np.float32)
+        for k, d in enumerate("fb"):
+            own, state = self.p["V"][k * HIDDEN : (k + 1) * HIDDEN], None
+            starts = range(0, len(page), STRETCH)
+            for a in starts if d == "f" else reversed(starts):
+                part = page[a : a + STRETCH]
+                out, _, state = self._run(inputs([part], a, len(page))[:, None], np.ones((len(part), 1), bool), d, False, state)
+                score[a : a + STRETCH] += out[:, 0] @ own
+        return score
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Whether each block of each page is of the article; pages of like length go together."""
+        """Whether each block of each page is of the article; pages of like length go together, long ones by stretches."""
         lengths = np.array([len(p) for p in pages])
-        x = inputs(pages)
-        begin = np.cumsum(lengths) - lengths
         found: list = [np.zeros(0, bool)] * len(pages)
         order = [int(k) for k in np.argsort(lengths, kind="stable") if lengths[k]]
         while order:
             group, top = [], 0
+            if lengths[order[0]] > STRETCH:
+                found[order[0]] = self.stretched(pages[order[0]]) > 0
+                order.pop(0)
+                continue
             while order and len(group) < 256 and (not group or (len(group) + 1) * lengths[order[0]] <= CELLS):
                 group.append(order.pop(0))
                 top = int(lengths[group[-1]])
-            inp, mask = padded([x[begin[k] : begin[k] + lengths[k]] for k in group], top)
+            x = inputs([pages[k] for k in group])
+            inp, mask = padded(np.split(x, np.cumsum(lengths[group])[:-1]), top)
             score = self.scores(inp, mask)
             for b, k in enumerate(group):
                 found[k] = score[: lengths[k], b] > 0

@@ -29,8 +29,8 @@ SPACE = "▁"
 LONG = 48
 #: Short parts that are worked off together: their arrays stay in a processor's cache.
 TOGETHER = 10_000
-#: Parts of a generation that a Python worker remembers; the one before is kept as well.
-REMEMBERED = 300_000
+#: Parts, and bytes of them and their ids, of a generation that a Python worker remembers; the one before is kept as well.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 48_000_000
 _PARTS = re.compile(r" +[^ ]*")
 _NONE = np.int64(1 << 40)
 
@@ -84,6 +84,7 @@ class Pieces:
             self.as_bytes[i] = bytes([b])
         self.seen: dict[str, tuple[str, str]] = {}
         self.before: dict[str, tuple[str, str]] = {}
+        self.held = 0
 
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
         """Ids of each part, its spaces written as in the text."""
@@ -204,8 +205,8 @@ class Pieces:
 
     def learn(self, parts: list[str]) -> None:
         """Encode parts that aren't known yet and check them against the library."""
-        if len(self.seen) > REMEMBERED:
-            self.before, self.seen = self.seen, {}
+        if len(self.seen) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.before, self.seen, self.held = self.seen, {}, 0
         parts = [p for p in parts if p not in self.seen]
         again = [p for p in parts if p in self.before]
         self.seen.update(zip(again, map(self.before.__getitem__, again)))
@@ -222,6 +223,7 @@ class Pieces:
             raise AssertionError("decoding differs from the library's")
         for p, x, b in zip(parts, ids, back):
             self.seen[p] = " ".join(map(self.id_text.__getitem__, x)), b
+        self.held += sum(len(self.seen[p][0]) + 4 * (len(p) + len(self.seen[p][1])) + 200 for p in (*parts, *again))
 
 
 def parts_of(text: str) -> list[str]:

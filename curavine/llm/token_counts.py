@@ -125,9 +125,11 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
         if a < at and "." in text[at:b]:
             spans.append((a, b, "<mail>"))
         at = text.find("@", b)
-    masked = [(s[0], s[1]) for s in spans]
+    masked, k = [(s[0], s[1]) for s in spans], 0
     for m in _DIGITS.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in masked):
+        while k < len(masked) and masked[k][1] <= m.start():  # starts and ends of addresses both grow
+            k += 1
+        if k == len(masked) or masked[k][0] >= m.end():
             spans.append((m.start(), m.end(), "<number>"))
     return [(a, b - a, to) for a, b, to in sorted(spans, reverse=True)]
 

@@ -317,3 +317,38 @@ def test_extract_edges(spark):
     got = html_text.extract(df).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("3", 0), ("3", 0), ("4", 20_000 * 37 - 1), ("None", 0)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_long_pages_are_labelled_by_stretches(monkeypatch):
+    """The state is carried from one stretch to the next: scores are those of the whole page."""
+    model = html_text.trained(pages=60, epochs=1)
+    writer = html_text._Writer(3)
+    page = html_text.blocks("".join(writer.page() for _ in range(30)))
+    x, mask = html_text.padded([html_text.inputs([page])], len(page))
+    whole = model.scores(x, mask)[:, 0]
+    monkeypatch.setattr(html_text, "STRETCH", 64)
+    assert len(page) > 5 * 64 and np.allclose(model.stretched(page), whole, atol=1e-4)
+    assert (model.label([page, page[:10]])[0] == (model.stretched(page) > 0)).all()
+
+
+def test_a_dense_page_needs_bounded_memory():
+    import tracemalloc
+
+    model = html_text.trained(pages=60, epochs=1)
+    page = html_text.blocks("<p>a" * 100_000)
+    tracemalloc.start()
+    assert len(model.label([page])[0]) == len(page) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000  # all inputs at once would be 169 MB, and twice that when padded
+    tracemalloc.stop()
+
+
+def test_a_long_chain_of_calls_stops_nothing(spark):
+    """Each call uses the one behind it: as many rounds as calls, and no number of them is too many."""
+    import json
+
+    n = 25
+    calls = [{"id": f"c{k}", "name": "respond", "arguments": {"prompt": f"$c{k + 1}"} if k + 1 < n else {"prompt": "x"}} for k in range(n)]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (2, 0, "user", "hello"), (2, 1, "assistant", "hi")]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    order = [r.id for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.order_turn, r.order_step, r.order_depth))]
+    assert order == [f"c{k}" for k in reversed(range(n))] and sum(r.conv_id == 2 for r in got) == 2

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -174,3 +175,34 @@ def test_very_long_runs_of_white_space(spark):
     assert [got[i] for i in range(3)] == want
     packed = {r.doc_id: r.doc_tokens for r in packing.pack(docs, path).collect()}
     assert [packed[i] for i in range(3)] == [n + 1 for n in want]
+
+
+def test_many_redactions_take_time_in_proportion():
+    """Numbers and addresses are met in one pass: 50,000 edits of one text."""
+    import time
+
+    text = lambda n: " ".join(f"a{k}@b.example 12345678{k % 10} x+1@c.de9999999" for k in range(n))
+    by_pairs = []
+    mails = [(m.start(), m.end()) for m in re.finditer(r"[\w.+-]+@[\w.-]+", text(50))]
+    for m in re.finditer(r"\d{7,}", text(50)):
+        if not any(a < m.end() and m.start() < b for a, b in mails):
+            by_pairs.append((m.start(), m.end() - m.start(), "<number>"))
+    assert [e for e in token_counts.redactions(text(50)) if e[2] == "<number>"] == by_pairs[::-1]
+    start = time.process_time()
+    token_counts.redactions(text(2_000))
+    small = time.process_time() - start
+    start = time.process_time()
+    assert len(token_counts.redactions(text(17_000))) > 50_000 - 1
+    assert time.process_time() - start < 8.5 * 4 * max(small, 0.02)
+
+
+def test_what_is_remembered_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 200_000)
+    model = pieces.Pieces(MODEL)
+    for k in range(60):
+        model.learn([" " + chr(0x4E00 + (k * 37 + i) % 5000) * 300 + str(i) for i in range(10)])
+        assert len(model.seen) <= 70 and len(model.before) <= 70
+    long_text = "".join(chr(0x4E00 + i * 7 % 9000) for i in range(200_000))
+    model.learn([" " + long_text])
+    model.learn([" next"])
+    assert len(model.seen) == 1 and model.seen[" next"][1] == " next"
