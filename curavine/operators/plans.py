@@ -98,7 +98,8 @@ def group_plans(records: DataFrame) -> DataFrame:
 def companions(images: DataFrame, group: str, url: str, second: str, first: str) -> DataFrame:
     """First-floor pictures that second-floor ones imply and the group lacks; second and first are file endings."""
     made = images.where(F.col(url).rlike(second)).select(group, F.regexp_replace(url, second, first).alias(url)).distinct()
-    return made.join(images.select(group, without_query(url).alias("__u")), (made[group] == images[group]) & (without_query(made[url]) == F.col("__u")), "left_anti")
+    known = images.select(F.col(group).alias("__g"), without_query(url).alias("__u"))
+    return made.join(known, (F.col(group) == F.col("__g")) & (without_query(url) == F.col("__u")), "left_anti")
 
 
 def feed_stats(records: DataFrame, plans: DataFrame, domain: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import url as U
 from ..operators import convert, curate, discover, keys, plans, promotion, search, upsert
 from ..scratch import new_folder
 from ..streaming import crawl_gate, incremental, review
-from . import rule_queries, web_queries  # noqa: F401
+from . import detail_queries, rule_queries, web_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
