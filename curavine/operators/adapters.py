@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules
+from ..functions import weburl
 from ..functions.images import pictures
 from ..functions.text import text
 
@@ -87,3 +89,39 @@ def page_matches(url: Column | str, patterns: Column | str) -> Column:
         return pa.array([u is not None and (not p or matcher(tuple(x for x in p if x is not None))(u)) for u, p in zip(urls.to_pylist(), lists.to_pylist())], pa.bool_())
 
     return matches(url, patterns)
+
+
+_LINKED = re.compile(r"(?:src|data-src|href)=[\"']([^\"']+)[\"']", re.I)
+
+
+def site_pictures(pages: DataFrame, url: str = "url", html: str = "html", domain: str = "domain", keep: tuple[str, ...] = (), sites: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
+    """(keep..., page_url, image_url) of the plans on pages of single sites, told by the addresses of pages and files.
+
+    sites are (domain, pages, files, files that are none), rules.SITES if not given; other domains' pages are left
+    out before their markup is read. Whatever a page loads or links to counts, each address of a page once.
+    """
+    known = rules.SITES if sites is None else sites
+    bare = F.regexp_replace(F.lower(text(domain)), r"^www\.", "")
+    steps = [(bare == F.lit(d)) & text(url).rlike("(?i)" + shown) for d, shown, *_ in known]
+    site = F.coalesce(*(F.when(c, F.lit(k)) for k, c in enumerate(steps)), F.lit(-1))
+    kept = list(dict.fromkeys(keep))
+    rows = pages.withColumn("__site", site).where("__site >= 0").select(*kept, F.col(url).alias("__url"), F.col(html).alias("__html"), "__site")
+    patterns = [(re.compile(files, re.I), re.compile(none, re.I)) for _, _, files, none in known]
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for k, (address, page, which) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__url", "__html", "__site")))):
+                if not page or _BLOCKED.search(page[:_BLOCKED_CHARS]):
+                    continue
+                files, none = patterns[which]
+                links = dict.fromkeys(weburl.absolute(link, address) for link in _LINKED.findall(page))
+                found = [u for u in links if u and files.search(u) and not none.search(u)]
+                at += [k] * len(found)
+                out += [(address, u) for u in found]
+            own = pa.array(at, pa.int32())
+            columns = [batch.column(c).take(own) for c in kept] + [pa.array([x[i] for x in out], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "page_url", "image_url"])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "page_url string, image_url string"])
+    return rows.mapInArrow(run, schema)

@@ -32,3 +32,19 @@ def test_patterns_are_compiled_once():
     for _ in range(1000):
         assert adapters.matcher(("a+", "?b"))("xA") and adapters.matcher(("a+", "?b"))("?B") and not adapters.matcher(("a+", "?b"))("b")
     assert adapters.matcher.cache_info().misses == 1
+
+
+def test_plans_of_single_sites(spark):
+    img = lambda *links: "".join(f"<img src='{x}'>" for x in links)
+    pages = [
+        (1, "https://suumo.jp/chumon/tn_a/rn_b/c/jitsurei/jc_1/", "suumo.jp", img("https://img01.suumo.com/front/gazo/chumon/1/2/main/a_m01.jpg", "https://img01.suumo.com/front/gazo/chumon/1/2/main/a_p01.jpg")),
+        (2, "https://www.toyotahome.co.jp/housing/howto/madori/design/detail.html?id=3", "www.toyotahome.co.jp", img("/floorplan/12_heimen1.webp", "/floorplan/12_ritumen1.webp", "/common/floorplan/1_heimen.webp", "/floorplan/12_heimen1.webp")),
+        (3, "https://hirayakoubou.net/plan/ys-1a/", "hirayakoubou.net", '<a href="/wp-content/uploads/ys-1a-fig.png">x</a>' + img("/wp-content/uploads/logo-fig.png")), (4, "https://hirayakoubou.net/plan/sample/", "hirayakoubou.net", img("/wp-content/uploads/a-fig.png")),
+        (5, "https://www.iidasangyo.co.jp/order/plan/planhouse/", "www.iidasangyo.co.jp", img("img/3ldk_1.jpg", "img/3ldk_1_s.jpg", "https://x.jp/planhouse/img/3ldk_1.jpg")),
+        (6, "https://www.universalhome.co.jp/concept_plan/hiraya/a1/", "www.universalhome.co.jp", img("img/img_floor_1.png", "img/img_1.png")), (7, "https://www.universalhome.co.jp/concept_plan/hiraya/a1", "www.universalhome.co.jp", "captcha" + img("img/img_floor_1.png")),
+        (8, "https://other.jp/", "other.jp", img("/floorplan/12_heimen1.webp")), (9, None, None, None),
+    ]
+    df = spark.createDataFrame(pages, "id int, url string, domain string, html string")
+    got = sorted((r.id, r.image_url.split("/", 3)[3]) for r in adapters.site_pictures(df, keep=("id",)).collect())
+    assert got == [(1, "front/gazo/chumon/1/2/main/a_m01.jpg"), (2, "floorplan/12_heimen1.webp"), (3, "wp-content/uploads/ys-1a-fig.png"), (5, "order/plan/planhouse/img/3ldk_1.jpg"), (6, "concept_plan/hiraya/a1/img/img_floor_1.png")]
+    assert adapters.site_pictures(df.limit(0)).count() == 0
