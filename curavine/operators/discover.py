@@ -166,8 +166,8 @@ def sitemaps(body: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(body) if isinstance(body, str) else body, F.lit("")), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(https?://[^\s#]+)"), F.lit(1)))
 
 
-#: Tasks that the paths of one host are dealt out to for rules that begin with a wildcard, or with one right behind the first slash.
-SALTS = 16
+#: Tasks that the paths of one host are dealt out to for rules that have a wildcard within their first characters, and these characters.
+SALTS, SHORT = 16, 3
 
 
 def _rest_matches(at: str, literal: str, body: str, ends: str) -> Column:
@@ -205,11 +205,14 @@ def allowed(urls: DataFrame, url: str, rules: DataFrame, host: str = "host", wit
     paths = keyed.select(F.col(host).alias("__host"), "__p").distinct().join(lengths, "__host")
     paths = paths.select("__host", "__p", F.explode(F.filter("__lengths", lambda n: n <= F.length("__p"))).alias("__n"))
     paths = paths.select("__host", "__p", F.left("__p", F.col("__n")).alias("__prefix"))
-    # all paths of a host share the shortest prefixes: these are dealt out to several tasks, each with the few rules that begin so
-    short = F.length("__prefix") <= 1
+    # most paths of a host share the shortest prefixes: these are dealt out to several tasks, each with the rules that begin so
+    short = F.length("__prefix") <= SHORT
     paths = paths.withColumn("__salt", F.when(short, F.pmod(F.xxhash64("__p"), F.lit(SALTS))).otherwise(0).cast("int"))
     own = own.withColumn("__salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    hits = paths.join(own, ["__host", "__prefix", "__salt"]).where(_rest_matches("__p", "__prefix", "__body", "__ends"))
+    # so many tasks however few bytes they read: what they compare is the work
+    paths = paths.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__host", "__prefix", "__salt")
+    own = own.withColumn("__last", F.element_at(F.split("__body", "[*]"), -1))
+    hits = paths.join(own, ["__host", "__prefix", "__salt"]).where(F.contains("__p", "__last")).where(_rest_matches("__p", "__prefix", "__body", "__ends"))
     best = hits.groupBy("__host", "__p").agg(F.max_by("kind", F.struct(length.alias("n"), (-F.col("ord")).alias("o"))).alias("__kind"))
     best = best.withColumnsRenamed({"__host": host})
     out = keyed.join(best, [host, "__p"], "left").withColumn("allowed", F.coalesce(F.col("__kind") != "disallow", F.lit(True)))

@@ -182,3 +182,38 @@ def adapter_pictures(spark: SparkSession, d: str) -> DataFrame:
         lists(["/en/", "(x"], [], [r"[0-9]\.html", "/de/"], []).alias("page_patterns"), lists([], ["^[^ ]*-2x"], ["?s=1", "x{{"], []).alias("reject_patterns"), lists(["?s=1"], [], ["^[^ ]*/[a-m][^/ ]*-2x", "*no"], []).alias("accept_patterns"),
     )
     return adapters.adapter_pictures(pages, sites, keep=("page_id",)).select("page_id", "company", F.col("image_url").alias("address"))
+
+
+# --- pictures as crawls see them -----------------------------------------------------------------------------
+
+# file, alt text, kind and score in a crawl, score in an archived page; a null kind or score: left out. A photo labelled as a
+# room comes back as a quoted file without its label.
+_SEEN = [
+    ("madori", "", "floorplan", 210, 120), ("exterior", "x", "exterior", 20, None), ("kitchen", "4LDK", "interior", 57, None), ("logo", "x", None, None, None), ("plot", "x", "sitePlan", 70, None), ("house", "4LDK 間取り図", "floorplan", 257, 155),
+    ("garden", "間取り図", "exterior", 110, 40), ("plan_3", "", "other", 0, None), ("a", "x｜リビング ", "other", 0, None), ("room", "x", "other", 0, None), ("icon_madori", "", None, None, None), ("b.svg?x", "間取り図", None, None, 120),
+]
+_SEEN_SQL = " ".join(f"SELECT {i} AS form, '{f}' AS file, {alt!r} AS alt, {'NULL' if k is None else repr(k)} AS kind, {'NULL' if s is None else s} AS crawl, {'NULL' if a is None else a} AS archive" + (" UNION ALL" if i < len(_SEEN) - 1 else "") for i, (f, alt, k, s, a) in enumerate(_SEEN))
+_SEEN_ROWS = f"SELECT page_id, {_ORIGIN} || '/i/' || page_id || '/' || file || '.png' AS address, f.* FROM pages JOIN ({_SEEN_SQL}) f ON (page_id + form) % 3 = 0 WHERE url IS NOT NULL AND html IS NOT NULL"
+
+
+def _with_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with pictures of a third of the forms each."""
+    one = lambda i, f, alt: F.when((F.col("page_id") + i) % 3 == 0, F.concat(F.lit(f'<p><img data-src="/i/'), F.col("page_id").cast("string"), F.lit(f'/{f}.png" alt="{alt}"></p>'))).otherwise("")  # noqa: E731, F541
+    pages = table(spark, d, "pages").where("url IS NOT NULL AND html IS NOT NULL")
+    return pages.select("page_id", "url", F.concat("html", *(one(i, f, alt) for i, (f, alt, *_) in enumerate(_SEEN))).alias("html"))
+
+
+@query(f"SELECT page_id, address, kind, crawl AS score FROM ({_SEEN_ROWS}) WHERE kind IS NOT NULL")
+def crawled_page_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds and scores of pages' pictures in a crawl; decorative ones and photos labelled as rooms are left out."""
+    spark.udtf.register("crawled_pictures", images.CrawledPictures)
+    _with_seen(spark, d).createOrReplaceTempView("pages_as_crawled")
+    return spark.sql("SELECT page_id, i.url AS address, kind, score FROM pages_as_crawled p, LATERAL crawled_pictures(p.html, p.url) i")
+
+
+@query(f"SELECT page_id, address, archive AS score FROM ({_SEEN_ROWS}) WHERE archive IS NOT NULL")
+def archived_page_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of archived pages whose names tell of plans, with their scores."""
+    spark.udtf.register("archived_pictures", images.ArchivedPictures)
+    _with_seen(spark, d).createOrReplaceTempView("pages_as_archived")
+    return spark.sql("SELECT page_id, i.url AS address, score FROM pages_as_archived p, LATERAL archived_pictures(p.html, p.url) i")
