@@ -186,11 +186,10 @@ def adapter_pictures(spark: SparkSession, d: str) -> DataFrame:
 
 # --- pictures as crawls see them -----------------------------------------------------------------------------
 
-# file, alt text, kind and score in a crawl, score in an archived page; a null kind or score: left out. A photo labelled as a
-# room comes back as a quoted file without its label.
+# file, alt text, kind and score in a crawl, score in an archived page; a null kind or score: left out
 _SEEN = [
     ("madori", "", "floorplan", 210, 120), ("exterior", "x", "exterior", 20, None), ("kitchen", "4LDK", "interior", 57, None), ("logo", "x", None, None, None), ("plot", "x", "sitePlan", 70, None), ("house", "4LDK 間取り図", "floorplan", 257, 155),
-    ("garden", "間取り図", "exterior", 110, 40), ("plan_3", "", "other", 0, None), ("a", "x｜リビング ", "other", 0, None), ("room", "x", "other", 0, None), ("icon_madori", "", None, None, None), ("b.svg?x", "間取り図", None, None, 120),
+    ("garden", "間取り図", "exterior", 110, 40), ("plan_3", "", "other", 0, None), ("a", "x", "other", 0, None), ("room", "x", "other", 0, None), ("icon_madori", "", None, None, None), ("b.svg?x", "間取り図", None, None, 120),
 ]
 _SEEN_SQL = " ".join(f"SELECT {i} AS form, '{f}' AS file, {alt!r} AS alt, {'NULL' if k is None else repr(k)} AS kind, {'NULL' if s is None else s} AS crawl, {'NULL' if a is None else a} AS archive" + (" UNION ALL" if i < len(_SEEN) - 1 else "") for i, (f, alt, k, s, a) in enumerate(_SEEN))
 _SEEN_ROWS = f"SELECT page_id, {_ORIGIN} || '/i/' || page_id || '/' || file || '.png' AS address, f.* FROM pages JOIN ({_SEEN_SQL}) f ON (page_id + form) % 3 = 0 WHERE url IS NOT NULL AND html IS NOT NULL"
