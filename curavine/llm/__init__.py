@@ -1,4 +1,4 @@
-"""Training-data operators: deduplication, tokens, scoring, packing, language, chat and HTML.
+"""Training-data operators: deduplication, tokens, scoring, packing, language, chat, HTML, secrets, search and tries.
 
 Nothing else in the library imports this subpackage.
 """
