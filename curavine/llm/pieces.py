@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-A text is cut where no piece of the vocabulary can reach across: before each run of spaces. Each distinct
-part is encoded once: its adjacent symbol pairs form an agenda ordered by the score of the piece that they
+A text is cut where no piece of the vocabulary can reach across: before each run of spaces and, if no piece
+holds both, between letters and other characters. Each distinct part is encoded once: its adjacent symbol pairs form an agenda ordered by the score of the piece that they
 make, the leftmost first among equals; the best is merged and its neighbours' pairs are entered anew. Short
 parts are worked off together in arrays, one merge of each at a time, long ones with a heap. Every distinct
-part of an Arrow batch is checked against the sentencepiece library, in both directions.
+part of an Arrow batch is checked against the sentencepiece library, decoding for all new ones at once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import functools
 import hashlib
 import heapq
 import re
-from itertools import chain
+from collections.abc import Iterable
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,11 @@ TOGETHER = 10_000
 #: Parts, and bytes of them and their ids, of a generation that a Python worker remembers; the one before is kept as well.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 48_000_000
 _PARTS = re.compile(r" +[^ ]*")
+#: Letters, or other characters, and the spaces before them. Raised digits are no letters: "²." is a piece.
+_RUNS = re.compile(r" *(?:[^\W\d_¹²³]+|(?:[^\w ]|[\d_¹²³])+)| +")
+_LETTER = re.compile(r"[^\W\d_¹²³]")
+#: Stands before a part that doesn't begin with a space when the library encodes it, as that would put a space there.
+LEAD = "\x01"
 _NONE = np.int64(1 << 40)
 
 
@@ -46,6 +52,11 @@ class Pieces:
         plain = [i for i in range(self.size) if kinds[i] == 0]
         if any(SPACE in text[i].lstrip(SPACE) for i in plain):
             raise ValueError("a piece holds a space after its start: parts can't be encoded on their own")
+        joins = {pair for i in plain for pair in pairwise(text[i])}
+        letter = {c: _LETTER.match(c) is not None for c in set(chain.from_iterable(joins))}
+        reach = any(a != SPACE and letter[a] != letter[b] or LEAD in (a, b) for a, b in joins)
+        self.cut = _PARTS if reach else _RUNS
+        self.lead = len(lib.encode(LEAD))
         probe = "Aé  ①ﬁ́  "
         if lib.decode(lib.encode(probe)) != probe or lib.encode("") != []:
             raise ValueError("the model normalises texts; this encoder takes the identity only")
@@ -203,37 +214,39 @@ class Pieces:
         first = next((i for i in ids if self.kinds[i] != 2), None)
         return text[1:] if first is not None and self.text[first].startswith(SPACE) else text
 
-    def learn(self, parts: list[str]) -> None:
-        """Encode parts that aren't known yet and check them against the library."""
+    def parts_of(self, text: str) -> list[str]:
+        """The parts of a text, with the space that comes before every text."""
+        return self.cut.findall(" " + text.replace(SPACE, " "))
+
+    def learn(self, parts: Iterable[str]) -> None:
+        """Encode parts that aren't known yet and check them against the library, both ways."""
         if len(self.seen) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.before, self.seen, self.held = self.seen, {}, 0
-        parts = [p for p in parts if p not in self.seen]
+        parts = dict.fromkeys(filterfalse(self.seen.__contains__, parts))
         again = [p for p in parts if p in self.before]
         self.seen.update(zip(again, map(self.before.__getitem__, again)))
         parts = [p for p in parts if p not in self.before]
         ids = self.encode_parts(parts)
-        plain = [p[1:] for p in parts]
         # the library puts a space before a text itself, but none before an empty one
-        right = [ref if t else [self.by_text[SPACE]] for t, ref in zip(plain, self.library.encode(plain, num_threads=1))]
+        spaced = [p[:1] == " " for p in parts]
+        right = self.library.encode([p[1:] if own else LEAD + p for p, own in zip(parts, spaced)], num_threads=1)
+        for k, p in enumerate(parts):
+            if not spaced[k]:
+                right[k] = right[k][self.lead :]
+            elif p == " ":
+                right[k] = [self.by_text[SPACE]]
         if ids != right:
             bad = next(p for p, a, b in zip(parts, ids, right) if a != b)
             raise AssertionError(f"encoding differs from the library's for {bad[:200]!r}")
         back = [b"".join(map(self.as_bytes.__getitem__, x)).decode("utf-8", "replace") for x in ids]
-        if [b[1:] for b in back] != self.library.decode(ids):
+        # the parts one after another are a text as well: the library decodes them at once
+        if back != parts or "".join(back)[bool(parts) and spaced[0] :] != self.library.decode(list(chain.from_iterable(ids))):
             raise AssertionError("decoding differs from the library's")
         for p, x, b in zip(parts, ids, back):
             self.seen[p] = " ".join(map(self.id_text.__getitem__, x)), b
         self.held += sum(len(self.seen[p][0]) + 4 * (len(p) + len(self.seen[p][1])) + 200 for p in (*parts, *again))
 
 
-def parts_of(text: str) -> list[str]:
-    """The parts of a text, with the space that comes before every text."""
-    text = text.replace(SPACE, " ")
-    if "  " not in text and not text.startswith(" "):
-        return [" " + w for w in text.split(" ")] if not text.endswith(" ") else _PARTS.findall(" " + text)
-    return _PARTS.findall(" " + text)
-
-
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -251,8 +264,8 @@ def _digests(path: str):
                 while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_BYTES):
                     size += len(texts[end])
                     end += 1
-                cut = [parts_of(t) if t else [] for t in texts[at:end]]
-                model.learn(list(dict.fromkeys(chain.from_iterable(cut))))
+                cut = [model.parts_of(t) if t else [] for t in texts[at:end]]
+                model.learn(chain.from_iterable(cut))
                 seen = model.seen.__getitem__
                 for own in cut:
                     known = list(map(seen, own))
@@ -275,7 +288,7 @@ def _encoded(path: str):
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
-                out.append([i for ids in model.encode_parts(parts_of(t) if t else []) for i in ids] + [model.end])
+                out.append([i for ids in model.encode_parts(model.parts_of(t) if t else []) for i in ids] + [model.end])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return run

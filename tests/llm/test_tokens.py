@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -53,6 +54,21 @@ def test_heap_and_arrays_agree():
     assert m._together([p.replace(" ", "▁") for p in parts]) == [m._by_heap(p.replace(" ", "▁")) for p in parts]
 
 
+def test_marks_make_no_new_parts_of_words():
+    words, marks = ["thing", "Été", "und", "日本", "x", "²", "7", "e\u0301"], ["", ",", ".", ".\n", "²", "².", "\x01", ")", "_", "1", "🙂", "  "]
+    text = " ".join(a + w + b + v for w in words for v in words for a in marks for b in marks)
+    pieces.pieces.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])
+    (got,) = pieces._digests(MODEL)(iter([batch]))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ids = sp.encode(text, add_eos=True)
+    row = got.to_pylist()[0]
+    assert row["n_tokens"] == len(ids)
+    assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert row["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert len(pieces.pieces(MODEL).seen) < 1_500  # of 9,216 words with marks
+
+
 def test_a_wrong_encoder_is_noticed(monkeypatch):
     m = pieces.Pieces(MODEL)
     monkeypatch.setattr(m, "encode_parts", lambda parts: [[5] for _ in parts])
