@@ -34,7 +34,8 @@ TOGETHER = 10_000
 REMEMBERED, REMEMBERED_BYTES = 300_000, 48_000_000
 _PARTS = re.compile(r" +[^ ]*")
 #: Letters, or other characters, and the spaces before them. Raised digits are no letters: "²." is a piece.
-_RUNS = re.compile(r" *(?:[^\W\d_¹²³]+|(?:[^\w ]|[\d_¹²³])+)| +")
+#: Possessive, so that a long run leaves nothing to go back to in memory.
+_RUNS = re.compile(r" *(?:[^\W\d_¹²³]+|(?:[^\w ]|[\d_¹²³])++)| +")
 _LETTER = re.compile(r"[^\W\d_¹²³]")
 #: Stands before a part that doesn't begin with a space when the library encodes it, as that would put a space there.
 LEAD = "\x01"
