@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from ..sources.files import exists
 
 HOUR = 3_600_000_000  # microseconds
 
@@ -17,8 +21,26 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Process what a stream has now, from where the run before in this folder has ended, and read all that it has put out."""
+@dataclass
+class ByBatch:
+    """A stream whose batches become rows of a schema as whole tables: rows(batch, number, folder), folder for what is kept between batches."""
+
+    stream: DataFrame
+    rows: Callable[[DataFrame, int, str], DataFrame]
+    schema: StructType
+
+
+def run_available(stream: DataFrame | ByBatch, folder: str, mode: str = "append") -> DataFrame:
+    """Process what a stream has now, from where the run before in this folder has ended, and read all that it has put out.
+
+    A batch that is handed over again after a failure writes in place of what it wrote before.
+    """
+    if isinstance(stream, ByBatch):
+        spark, out = stream.stream.sparkSession, f"{folder}/out"
+        write = lambda batch, number: stream.rows(batch, number, f"{folder}/kept").write.mode("overwrite").parquet(f"{out}/__batch={number}")
+        started = stream.stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+        started.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out).drop("__batch") if exists(spark, out) else spark.createDataFrame([], stream.schema)
     started = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
     started.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
